@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditlake.llm.decontaminate import OP7_SQL, op7_winnowing_decontamination
+from auditlake.llm.line_dedup import OP4_SQL, op4_line_dedup
 from auditlake.llm.near_dedup import op2_minhash_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_minhash_near_dedup]
+    found = [op2_minhash_near_dedup, op4_line_dedup, op7_winnowing_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": OP4_SQL, "op7_winnowing_decontamination": OP7_SQL}
