@@ -189,3 +189,21 @@ def words_of(column: str | Column) -> Column:
 
 def binary_array(values: list[bytes | None]) -> pa.Array:
     return pa.array(values, pa.binary())
+
+
+def bounded_sample(labelled: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most n of the rows, the first by a hash of the keys: the same rows on every call, independent of partitions. The rows (ids and labels, no texts) pass
+    through the driver, so what comes back is small enough to broadcast, and is marked so."""
+    first = labelled.orderBy(F.xxhash64(*keys), *keys).limit(n).collect()
+    return F.broadcast(labelled.sparkSession.createDataFrame(first, labelled.schema))
+
+
+def fold_of(column: str | Column, folds: int = 5) -> Column:
+    """crc32 of the id as text, modulo folds; null for a null id."""
+    return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % folds
+
+
+def doc_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches [first[i], first[i + 1])."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)))
+    return total[first[1:]] - total[first[:-1]]
