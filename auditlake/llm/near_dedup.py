@@ -162,7 +162,7 @@ def rest_links(scratch: Scratch, members: DataFrame, texts: DataFrame, roots: Da
     return full.groupBy("bucket", "i", "j").applyInArrow(f, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, class_size.
 
     Rows of equal sets are one class (class_size rows). component_id: the smallest doc_id among the rows reachable by links; kept: doc_id = component_id.
@@ -203,4 +203,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(docs, k=4).select("doc_id", "n_shingles", "component_id", "kept")
