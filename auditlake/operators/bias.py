@@ -25,7 +25,7 @@ def with_fields(sections: DataFrame, fields: dict[str, list[str]] | None = None)
     fields = FIELDS if fields is None else fields
     name = F.col("section_type")
     found = F.filter(F.array(*(F.when(name.rlike("|".join(w)), F.lit(f)) for f, w in fields.items())), lambda x: x.isNotNull())
-    return sections.where("content <> ''").withColumn("field", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))))
+    return sections.select("doc_id", "section_type", "content").where("content <> ''").withColumn("field", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))))
 
 
 def patterns_of(spark: SparkSession, patterns: list[dict], dedicated: dict | None = None) -> DataFrame:
@@ -46,7 +46,7 @@ def findings(sections: DataFrame, rx: DataFrame, fields: dict[str, list[str]] |
     """BIA-2..8: (doc_id, section_type, field, pattern_id, severity, rule_id, matched_text, confidence): one per section, field and pattern."""
     own = F.broadcast(rx)
     hit = with_fields(sections, fields).join(own, (F.array_contains("fields", F.col("field")) | F.array_contains("fields", "general")) & F.expr("content rlike rx"))
-    hit = hit.select("doc_id", "section_type", "field", "pattern_seq", "pattern_id", "severity", "rule_id", "ord", F.when(F.col("generic"), F.col("keyword")).otherwise(F.regexp_extract("content", F.col("rx"), F.lit(0))).alias("matched_text"), "confidence")
+    hit = hit.select("doc_id", "section_type", "field", "pattern_seq", "pattern_id", "severity", "rule_id", "ord", F.when(F.col("generic"), F.col("keyword")).otherwise(F.regexp_substr("content", F.col("rx"))).alias("matched_text"), "confidence")
     first = hit.groupBy("doc_id", "section_type", "field", "pattern_seq").agg(F.min_by(F.struct("pattern_id", "severity", "rule_id", "matched_text", "confidence"), "ord").alias("f"))
     return first.select("doc_id", "section_type", "field", "pattern_seq", "f.*")
 

@@ -64,10 +64,10 @@ def marked(sections: DataFrame) -> DataFrame:
     return smoothed(spans_of(sections).withColumn("_c", classified("text")).select("*", "_c.*").drop("_c").withColumn("fingerprint_id", F.lit(None).cast("string")))
 
 
-def fingerprints(templates: DataFrame, group: list[str], singles: bool = True) -> DataFrame:
+def fingerprints(templates: DataFrame, group: list[str], singles: bool = True, split=template_sentences) -> DataFrame:
     """LAB-1 / SET-1: templates(doc_id, text, *group) -> (*group, hash_id, normalized, text, frequency, length): sentences that all templates of a group have; of a
     group of one template those with template_score of 5 at least."""
-    each = templates.select("doc_id", *group, F.posexplode(template_sentences("text")).alias("_at", "sentence")).withColumn("normalized", normalized("sentence"))
+    each = templates.select("doc_id", *group, F.posexplode(split("text")).alias("_at", "sentence")).withColumn("normalized", normalized("sentence"))
     docs = templates.groupBy(*group).agg(F.countDistinct("doc_id").alias("_docs"))
     own = each.groupBy(*group, "normalized").agg(F.countDistinct("doc_id").alias("_in"), F.count("*").alias("frequency"), F.min(F.struct("doc_id", "_at", "sentence")).alias("_first"), F.max(template_score("sentence")).alias("_score"))
     kept = own.join(F.broadcast(docs), group).where(((F.col("_docs") > 1) & (F.col("_in") == F.col("_docs"))) | ((F.col("_docs") == 1) & (F.col("_score") >= 5) & F.lit(singles)))

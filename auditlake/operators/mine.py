@@ -87,7 +87,7 @@ def absent(new: DataFrame, there: DataFrame, key: str = "source_url") -> DataFra
 def case_counts(cases_: DataFrame) -> DataFrame:
     """AGG-7: dismissed is what is left."""
     n = lambda t: F.count_if(F.col("decision_type") == t)
-    own = cases_.agg(F.count("*").alias("total"), n("upheld").alias("upheld"), n("rejected").alias("rejected"), n("partial").alias("partial"), F.count_if("is_analyzed = 1").alias("analyzed"))
+    own = cases_.agg(F.count("*").alias("total"), n("upheld").alias("upheld"), n("rejected").alias("rejected"), n("partial").alias("partial"), F.count_if(F.expr("is_analyzed = 1")).alias("analyzed"))
     return own.withColumn("dismissed", F.col("total") - F.col("upheld") - F.col("rejected") - F.col("partial"))
 
 

@@ -17,7 +17,7 @@ def feedback_state(feedback: DataFrame, key: str = "rule_id") -> DataFrame:
     false positives on; alert from a rate of .3 on."""
     own = feedback.where(F.col("feedback_type").isin("confirm", "false_positive", "missed"))
     step = F.when(F.col("feedback_type") == "confirm", BOOST).when(F.col("feedback_type") == "false_positive", -PENALTY).otherwise(0.0)
-    got = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", step.alias("d")))).alias("_e"), F.count("*").alias("total_feedbacks"), F.count_if("feedback_type = 'confirm'").alias("confirm_count"), F.count_if("feedback_type = 'false_positive'").alias("false_positive_count"))
+    got = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", step.alias("d")))).alias("_e"), F.count("*").alias("total_feedbacks"), F.count_if(F.expr("feedback_type = 'confirm'")).alias("confirm_count"), F.count_if(F.expr("feedback_type = 'false_positive'")).alias("false_positive_count"))
     fold = F.aggregate("_e", F.lit(1.0), lambda c, e: F.when(e["d"] == 0, c).otherwise(F.least(F.lit(CAP), F.greatest(F.lit(FLOOR), c + e["d"]))))
     fp = F.col("false_positive_count")
     return got.select(key, fold.alias("current_confidence"), "total_feedbacks", "confirm_count", "false_positive_count", (fp >= REVIEW_FROM).alias("needs_review"), (fp / F.col("total_feedbacks") >= ALERT_RATE).alias("alert"))
@@ -31,7 +31,7 @@ def rules_to_review(state: DataFrame) -> DataFrame:
 def rate_limited(events: DataFrame, key: str = "user_id", most: int = 10, seconds: int = 60, at: str = "ts", order: str = "event_id") -> DataFrame:
     """STR-1/2: adds accepted: fewer than `most` accepted events of the key in the seconds before. Refused events do not count. The state of the fold is the last `most`
     accepted times: an event is refused if the oldest of them is still inside the window."""
-    own = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at)).alias("t"), F.col(order).alias("id")))).alias("_e"))
+    own = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(order).alias("id")))).alias("_e"))
     start = F.struct(F.array().cast("array<bigint>").alias("last"), F.array().cast("array<struct<id:bigint,ok:boolean>>").alias("out"))
 
     def step(acc: Column, e: Column) -> Column:

@@ -35,7 +35,7 @@ def upserted(current: DataFrame, incoming: DataFrame, key: str = "rule_id", orde
     last = ok.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
     after = current.join(last.select(key), key, "left_anti").unionByName(last.drop(order).select(current.columns))
     times = ok.groupBy(key).agg(F.count("*").alias("n")).join(current.select(key).distinct().withColumn("_there", F.lit(1)), key, "left")
-    counts = times.agg(F.coalesce(F.count_if("_there IS NULL"), F.lit(0)).alias("new_rules"), F.coalesce(F.sum(F.when(F.col("_there").isNull(), F.col("n") - 1).otherwise(F.col("n"))), F.lit(0)).alias("updated_rules"))
+    counts = times.agg(F.coalesce(F.count_if(F.expr("_there IS NULL")), F.lit(0)).alias("new_rules"), F.coalesce(F.sum(F.when(F.col("_there").isNull(), F.col("n") - 1).otherwise(F.col("n"))), F.lit(0)).alias("updated_rules"))
     return after, counts, incoming.where(~valid_rule_id(key)).withColumn("reason", F.lit("rule_id"))
 
 
