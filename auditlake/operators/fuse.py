@@ -60,7 +60,8 @@ def parsed(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = whole.select("doc_id", "chunk_no", F.posexplode("_items").alias("seq", "i"))
     reason = F.when(F.col("i").isNull(), "no object").when(~F.coalesce(F.col("i.type").isin(KINDS), F.lit(False)), "type").when(F.coalesce("i.text", F.lit("")) == "", "text")
     each = each.withColumn("reason", reason)
-    conf = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("i.confidence").try_cast("double"))), F.lit(0.5))
+    number = F.col("i.confidence").try_cast("double")  # least and greatest would pass over a null
+    conf = F.when(number.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
     ok = each.where("reason IS NULL").select(
         "doc_id", "chunk_no", "seq", F.lower("i.type").alias("type"), F.coalesce("i.section", F.lit("")).alias("section"), "i.text", F.when(F.col("i.risk_level").isin(RISKS), F.col("i.risk_level")).otherwise("medium").alias("risk_level"), F.coalesce("i.reason", F.lit("")).alias("reason"),
         F.coalesce("i.suggestion", F.lit("")).alias("suggestion"), F.coalesce("i.law_ref", "i.basis").alias("law_ref"), F.coalesce("i.weight", F.lit(10.0)).alias("weight"), F.coalesce("i.evidence", "i.evidence_text", F.lit("")).alias("evidence"), F.coalesce("i.consequence", F.lit("")).alias("consequence"), conf.alias("confidence"),

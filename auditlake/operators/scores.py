@@ -20,10 +20,10 @@ def rule_scores(docs: DataFrame, found: DataFrame) -> DataFrame:
     """SCO-1 for each document: section_score, keyword_score, forbidden_score, total_score (all four types): max(5, 100 - sum), 100 without findings; 1 decimal."""
     by_type = decayed(found, "doc_id", "rule_type")
     whole = decayed(found, "doc_id").withColumnRenamed("deduction", "_all")
-    score = lambda d: F.bround(F.greatest(F.lit(5.0), 100 - d), 1)
+    score = lambda d: F.bround(F.greatest(F.lit(5.0), 100 - F.coalesce(d, F.lit(0.0))), 1)
     wide = by_type.groupBy("doc_id").agg(*(F.max(F.when(F.col("rule_type") == t, F.col("deduction"))).alias(name) for name, t in DIMENSIONS.items()))
     own = docs.select("doc_id").join(wide, "doc_id", "left").join(whole, "doc_id", "left")
-    return own.select("doc_id", *(F.coalesce(score(F.col(c)), F.lit(100.0)).alias(c) for c in DIMENSIONS), F.coalesce(score(F.col("_all")), F.lit(100.0)).alias("total_score"))
+    return own.select("doc_id", *(score(F.col(c)).alias(c) for c in DIMENSIONS), score(F.col("_all")).alias("total_score"))
 
 
 def total_scores(docs: DataFrame, rule_found: DataFrame, model_found: DataFrame) -> DataFrame:
