@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +160,45 @@ class Tokens:
         return self.hash[self.first[i] : self.first[i + 1]]
 
 
+class Texts:
+    """A batch of texts as bytes, with what several operators look at: made once, when first asked for."""
+
+    def __init__(self, column: pa.Array):
+        self.raw, self.at = utf8(column)
+        self.docs = len(column)
+
+    @cached_property
+    def spaced(self) -> Tokens:
+        return Tokens(self.raw, self.at, SPACE)
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """(texts, 256): how often each byte value stands in each text."""
+        out = np.empty((self.docs, 256), np.int64)
+        for i, (a, b) in enumerate(zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)):
+            out[i] = np.bincount(self.raw[a:b], minlength=256)
+        return out
+
+    def count(self, of: np.ndarray) -> np.ndarray:
+        """How many bytes of the values marked in `of` each text has."""
+        return self.counts @ of.astype(np.int64)
+
+
+def first_of_equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(later, twice): whether a key equals one before it, and whether it equals any other one."""
+    n = len(keys)
+    later, twice = np.zeros(n, bool), np.zeros(n, bool)
+    if n:
+        order = np.argsort(keys)
+        same = keys[order][1:] == keys[order][:-1]
+        start = np.flatnonzero(np.concatenate(([True], ~same)))
+        later[:] = True
+        later[np.minimum.reduceat(order, start)] = False
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+    return later, twice
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

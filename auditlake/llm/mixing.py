@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import quality_rules, toxicity
-from auditlake.llm.common import Scratch, bounded_sample, free_name, map_batches, table
+from auditlake.llm.common import Scratch, Texts, bounded_sample, free_name, map_batches, table
 
 #: Labelled rows of each domain that the classifier is learned from, at most.
 SAMPLE = 3_000
@@ -49,9 +49,10 @@ class Classifier:
 
 def dense(column: pa.Array, lexicon: toxicity.Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Words, and all statistics, of each text."""
-    s = quality_rules.statistics(column)
+    read = Texts(column)
+    s = quality_rules.statistics(column, read)
     ratios = np.stack([s[c] for c in quality_rules.RATIOS], axis=1)
-    return s["n_words"], np.concatenate((toxicity.features(column, lexicon), ratios), axis=1)
+    return s["n_words"], np.concatenate((toxicity.features(column, lexicon, read), ratios), axis=1)
 
 
 def softmax_regression(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, ridge: float = 1.0, steps: int = 400) -> np.ndarray:
@@ -105,6 +106,10 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     return Classifier(domains, lexicon, mean, scale, softmax_regression(np.clip((x - mean) / scale, -8, 8), y, w, len(domains)))
 
 
+def as_lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def memberships(docs: DataFrame, model: Classifier, text_col: str, n_words: str, posterior: str) -> DataFrame:
     """docs with the number of words and the posteriors (in the order of model.domains) added."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -113,7 +118,7 @@ def memberships(docs: DataFrame, model: Classifier, text_col: str, n_words: str,
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value
         n, x = dense(batch.column(place), m.lexicon)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), pa.array(m.posteriors(x).tolist(), pa.list_(pa.float64()))], [*batch.schema.names, n_words, posterior])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), as_lists(m.posteriors(x))], [*batch.schema.names, n_words, posterior])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return map_batches(docs, f, f"{kinds}, `{n_words}` long, `{posterior}` array<double>", size=1 << 20)

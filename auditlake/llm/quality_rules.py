@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import LINE_FEED, SPACE, Tokens, bounded_sample, doc_sums, map_batches, table, utf8, windows
+from auditlake.llm.common import LINE_FEED, SPACE, Texts, Tokens, bounded_sample, first_of_equal, map_batches, mix, table, windows
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATIOS = ["mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "capitals", "punctuation", "digits", "distinct_words", "words_per_line", "lone_marks", "exclamations", "longest_run"]
@@ -31,57 +31,49 @@ _DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
 _PUNCT = np.isin(np.arange(256), list(b".,;:!?|#*$%&<>()[]{}\"'-_/\\@+=~^`"))
 
 
-def repeated(h: np.ndarray, first: np.ndarray, n: int = 3) -> np.ndarray:
+def keyed(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Hashes of (hash, text)."""
+    return mix(h + (text.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def repeated(h: np.ndarray, text: np.ndarray, n: int = 3) -> np.ndarray:
     """Which words stand in an n-word window that its text has twice or more."""
     out = np.zeros(len(h) + 1, np.int64)
     if len(h) >= n:
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        w = windows(h, n)
-        at = np.flatnonzero(text[: len(w)] == text[n - 1 :])
-        order = at[np.lexsort((w[at], text[at]))]
-        same = (w[order][1:] == w[order][:-1]) & (text[order][1:] == text[order][:-1])
-        twice = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order
-        np.add.at(out, twice, 1)
-        np.add.at(out, twice + n, -1)
+        at = np.flatnonzero(text[: len(h) - n + 1] == text[n - 1 :])
+        twice = at[first_of_equal(keyed(windows(h, n)[at], text[at]))[1]]
+        out[twice] += 1
+        out[twice + n] -= 1
     return np.cumsum(out[:-1]) > 0
 
 
-def again(h: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Which values equal an earlier one of the same text."""
-    out = np.zeros(len(h), bool)
-    order = np.lexsort((np.arange(len(h)), h, text))
-    out[order[1:]] = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])
-    return out
-
-
-def statistics(column: pa.Array) -> dict[str, np.ndarray]:
+def statistics(column: pa.Array, read: Texts | None = None) -> dict[str, np.ndarray]:
     """BASE (long) and RATIOS (double) of each text."""
-    raw, at = utf8(column)
-    t = Tokens(raw, at, SPACE)
+    read = read or Texts(column)
+    raw, at, docs, t = read.raw, read.at, read.docs, read.spaced
     lines = Tokens(raw, at, LINE_FEED)
-    docs = len(column)
     n = np.diff(t.first)
-    letters = (raw & 0xC0) != 0x80
-    count = lambda lut: doc_sums(lut[raw].astype(np.int64), at)
-    chars = doc_sums((letters & ~SPACE[raw]).astype(np.int64), at)
-    symbols = count(_SYMBOL)
+    chars = read.count(~SPACE & ((np.arange(256) & 0xC0) != 0x80))
+    symbols = read.count(_SYMBOL)
     of_word, of_line = np.repeat(np.arange(docs), n), np.repeat(np.arange(docs), np.diff(lines.first))
     worded = np.searchsorted(t.start, lines.end) > np.searchsorted(t.start, lines.start)
-    dup = again(lines.hash, of_line) & worded
+    dup = first_of_equal(keyed(lines.hash, of_line))[0] & worded
     dup_lines = np.bincount(of_line[dup], minlength=docs)
-    repeat = np.bincount(of_word[repeated(t.hash, t.first)], minlength=docs)
+    repeat = np.bincount(of_word[repeated(t.hash, of_word)], minlength=docs)
     per = lambda a, b: a / np.maximum(b, 1)
     word_lines = np.bincount(of_line[worded], minlength=docs)
     lone = _PUNCT[raw[t.start]] & (t.end - t.start == 1) if len(t.start) else np.zeros(0, bool)
-    upper = count(_UPPER)
+    upper = read.count(_UPPER)
     change = np.flatnonzero(np.concatenate(([True], (t.hash[1:] != t.hash[:-1]) | (of_word[1:] != of_word[:-1])))) if len(t.hash) else np.zeros(0, np.int64)
-    longest = np.zeros(docs, np.int64)
-    np.maximum.at(longest, of_word[change], np.diff(np.append(change, len(t.hash))))
+    run = np.diff(np.append(change, len(t.hash)))
+    longest = (n > 0).astype(np.int64)
+    many = np.flatnonzero(run > 1)
+    np.maximum.at(longest, of_word[change[many]], run[many])
     return {
         "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat,
-        "mean_word": per(chars, n), "symbols_per_word": per(symbols, n), "dup_line_share": per(dup_lines, word_lines), "repeat_share": per(repeat, n), "capitals": per(upper, upper + count(_LOWER)),
-        "punctuation": per(count(_PUNCT), chars), "digits": per(count(_DIGIT), chars), "distinct_words": per(np.bincount(of_word[~again(t.hash, of_word)], minlength=docs), n), "words_per_line": per(n, word_lines),
-        "lone_marks": per(np.bincount(of_word[lone], minlength=docs), n), "exclamations": per(count(np.arange(256) == 33), n), "longest_run": per(longest, n),
+        "mean_word": per(chars, n), "symbols_per_word": per(symbols, n), "dup_line_share": per(dup_lines, word_lines), "repeat_share": per(repeat, n), "capitals": per(upper, upper + read.count(_LOWER)),
+        "punctuation": per(read.count(_PUNCT), chars), "digits": per(read.count(_DIGIT), chars), "distinct_words": per(np.bincount(of_word[~first_of_equal(keyed(t.hash, of_word))[0]], minlength=docs), n), "words_per_line": per(n, word_lines),
+        "lone_marks": per(np.bincount(of_word[lone], minlength=docs), n), "exclamations": per(read.count(np.arange(256) == 33), n), "longest_run": per(longest, n),
     }
 
 

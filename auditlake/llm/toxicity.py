@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.boosting import Boosted, boost
-from auditlake.llm.common import LOWER, NOT_ALNUM, SPACE, Tokens, bounded_sample, doc_sums, fold_of, map_batches, mix, table, utf8
+from auditlake.llm.common import LOWER, NOT_ALNUM, SPACE, Texts, Tokens, bounded_sample, fold_of, map_batches, mix, table, utf8
 
 #: Labelled rows of either label that a model is learned from, at most.
 SAMPLE = 6_000
@@ -36,6 +36,7 @@ _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _ASCII_LETTER = _UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122))
 _DIGIT_OR_SIGN = np.isin(np.arange(256), [ord(c) for c in WRITTEN_FOR])
 _PUNCT = np.array([0x20 < b < 0x7F and NOT_ALNUM[LOWER[b]] for b in range(256)])
+_SIGN = _DIGIT_OR_SIGN | _JOINER
 
 FEATURES = ["words", "lexicon", "strong", "lexicon_kinds", "lexicon_most", "prefix", "prefix_strong", "prefix_kinds", "near_you", "you", "hidden", "obfuscated", "capitals", "capital_words", "punctuation", "exclamations", "questions", "longest_run"]
 
@@ -52,13 +53,14 @@ def isin(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values if len(of) else np.zeros(len(values), bool)
 
 
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(PREFIX + 1)], np.uint64)
+
+
 def beginnings(raw: np.ndarray, t: Tokens) -> np.ndarray:
     """A number for the first PREFIX bytes of each word; of all its bytes if it has fewer."""
-    out = np.zeros(len(t.hash), np.uint64)
-    for k in range(PREFIX):
-        at = t.start + k
-        inside = at < t.end
-        out[inside] |= raw[at[inside]].astype(np.uint64) << np.uint64(8 * k)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(raw),), "<u8", padded, strides=(1,))
+    out = eight[t.start] & _FIRST[np.minimum(t.end - t.start, PREFIX)]
     return mix(out ^ np.uint64(0x5F3759DF))
 
 
@@ -74,58 +76,75 @@ class Lexicon:
         return np.where(self.entry[k] == h, self.weight[k], 0.0)
 
 
-def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
+def by_word(marked: np.ndarray, raw: np.ndarray, t: Tokens) -> np.ndarray:
+    """How many marked bytes each word has; what is between words must not be marked."""
+    return np.add.reduceat(marked[raw].view(np.uint8), t.start, dtype=np.int32) if len(t.start) else np.zeros(0, np.int32)
+
+
+def features(column: pa.Array, lexicon: Lexicon, read: Texts | None = None) -> np.ndarray:
     """(texts, FEATURES)"""
-    raw, at = utf8(column)
+    read = read or Texts(column)
+    raw, at, docs = read.raw, read.at, read.docs
     lower = LOWER[raw]
     t = Tokens(lower, at, NOT_ALNUM)
-    docs, n = len(column), np.diff(t.first)
+    n = np.diff(t.first)
     of = np.repeat(np.arange(docs), n)
-    w, p = lexicon.of(t.hash), lexicon.of(beginnings(lower, t))
-    w, p = np.maximum(w, 0), np.maximum(p, 0)
+    begin = beginnings(lower, t) if len(raw) else t.hash
+    w, p = np.maximum(lexicon.of(t.hash), 0), np.maximum(lexicon.of(begin), 0)
+    toxic, toxic_p = np.flatnonzero(w), np.flatnonzero(p)
     per = lambda x: x / np.maximum(n, 1)
-    total = lambda x: doc_sums(x, t.first)
+    total = lambda k, x=None: np.bincount(of[k], weights=x, minlength=docs)
 
-    def kinds(weight: np.ndarray, h: np.ndarray) -> np.ndarray:
-        k = np.flatnonzero(weight)
+    def kinds(k: np.ndarray, h: np.ndarray) -> np.ndarray:
         pairs = np.unique(np.stack((of[k].astype(np.uint64), h[k]), axis=1), axis=0) if len(k) else np.zeros((0, 2), np.uint64)
         return np.bincount(pairs[:, 0].astype(np.int64), minlength=docs)
 
     most = np.zeros(docs)
-    np.maximum.at(most, of, w)
-    you = isin(t.hash, _YOU)
-    toxic, about = np.flatnonzero(w > 0), np.flatnonzero(you)
+    np.maximum.at(most, of[toxic], w[toxic])
+    about = np.flatnonzero(isin(t.hash, _YOU))
     near = np.zeros(docs)
     if len(toxic) and len(about):
         k = np.searchsorted(about, toxic)
         for side in (np.maximum(k - 1, 0), np.minimum(k, len(about) - 1)):
             close = (np.abs(about[side] - toxic) <= NEAR) & (of[about[side]] == of[toxic])
-            near += np.bincount(of[toxic[close]], minlength=docs)
+            near += total(toxic[close])
 
     # words written with other signs: signs for letters put back, all else inside a word taken out
-    keep = ~_JOINER[raw]
-    shift = np.concatenate(([0], np.cumsum(keep)))
-    plain = Tokens(_PLAIN[raw[keep]], shift[at], SPACE)
-    plain_w = np.maximum(lexicon.of(plain.hash), 0)
-    hidden = np.maximum(doc_sums(plain_w, plain.first) - total(w), 0)
-    spaced = Tokens(raw, at, SPACE)
-    letters = np.concatenate(([0], np.cumsum(_ASCII_LETTER[raw] | (raw >= 0x80))))
-    signs = np.concatenate(([0], np.cumsum(_DIGIT_OR_SIGN[raw] | _JOINER[raw])))
-    inner = (np.minimum(spaced.start + 1, spaced.end), np.maximum(spaced.end - 1, spaced.start + 1)) if len(spaced.hash) else (spaced.start, spaced.end)
-    odd = (letters[spaced.end] - letters[spaced.start] >= 2) & (signs[inner[1]] - signs[inner[0]] > 0) & (letters[np.minimum(spaced.end, len(raw))] - letters[np.maximum(spaced.end - 1, 0)] > 0)
-    upper = np.concatenate(([0], np.cumsum(_UPPER[raw])))
-    ascii_ = np.concatenate(([0], np.cumsum(_ASCII_LETTER[raw])))
-    shout = (upper[t.end] - upper[t.start] == ascii_[t.end] - ascii_[t.start]) & (ascii_[t.end] - ascii_[t.start] >= 2)
+    s = read.spaced
+    of_spaced = np.repeat(np.arange(docs), np.diff(s.first))
+    signs = by_word(_SIGN, raw, s)
+    has = np.flatnonzero(signs)
+    first, last = s.start[has], s.end[has] - 1
+    letters = np.add.reduceat((_ASCII_LETTER | (np.arange(256) >= 0x80))[raw].view(np.uint8), np.minimum(s.start, max(0, len(raw) - 1)), dtype=np.int32)[has] if len(has) else signs[has]
+    ends = _ASCII_LETTER[raw[last]] | (raw[last] >= 0x80)
+    odd = has[(letters >= 2) & (signs[has] - _SIGN[raw[first]] - (_SIGN[raw[last]] & (last > first)) > 0) & ends]
+    lettered = has[letters >= 2]
+    hidden = np.zeros(docs)
+    if len(lettered):
+        size = s.end[lettered] - s.start[lettered] + 1
+        begins = np.cumsum(size) - size
+        where = np.repeat(s.start[lettered] - begins, size) + np.arange(size.sum())
+        some = np.where(np.arange(size.sum()) == np.repeat(begins + size - 1, size), 0x20, raw[np.minimum(where, len(raw) - 1)]).astype(np.uint8)
+        keep = ~_JOINER[some]
+        plain = Tokens(_PLAIN[some[keep]], np.array([0, int(keep.sum())]), SPACE)
+        word = np.searchsorted(begins, np.flatnonzero(keep)[plain.start], "right") - 1 if len(plain.start) else plain.start
+        hidden += np.bincount(of_spaced[lettered[word]], weights=np.maximum(lexicon.of(plain.hash), 0), minlength=docs)
+        inside = np.searchsorted(s.start, t.start[toxic], "right") - 1
+        told = toxic[(signs[inside] > 0)] if len(toxic) else toxic
+        hidden = np.maximum(hidden - total(told, w[told]), 0)
+
+    upper, ascii_ = by_word(_UPPER, raw, t), by_word(_ASCII_LETTER, raw, t)
+    shout = np.flatnonzero((upper == ascii_) & (ascii_ >= 2))
     size = np.maximum(np.diff(at), 1)
-    share = lambda lut: doc_sums(lut[raw].astype(np.int64), at) / size
-    change = np.flatnonzero(np.concatenate(([True], raw[1:] != raw[:-1]))) if len(raw) else np.zeros(0, np.int64)
-    run = np.diff(np.append(change, len(raw))) * (_ASCII_LETTER[raw[change]] if len(change) else 0)
-    longest = np.zeros(docs)
-    if len(change):
-        np.maximum.at(longest, np.searchsorted(at, change, "right") - 1, run)
+    share = lambda lut: read.count(lut) / size
+    longest = (np.diff(at) > 0).astype(np.float64) * (read.count(_ASCII_LETTER) > 0)
+    same = np.flatnonzero((raw[1:] == raw[:-1]) & _ASCII_LETTER[raw[1:]]) if len(raw) > 1 else np.zeros(0, np.int64)
+    if len(same):  # runs of equal letters: consecutive places that equal the next one
+        new = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1] + 1)))
+        np.maximum.at(longest, np.searchsorted(at, same[new], "right") - 1, np.diff(np.append(new, len(same))) + 1.0)
     return np.stack([
-        np.log1p(n), per(total(w)), per(total((w > 3).astype(np.int64))), kinds(w, t.hash), most, per(total(p)), per(total((p > 2).astype(np.int64))), kinds(p, beginnings(lower, t)), per(near), per(total(you.astype(np.int64))),
-        per(hidden), per(doc_sums(odd.astype(np.int64), spaced.first)), doc_sums(_UPPER[raw].astype(np.int64), at) / np.maximum(doc_sums(_ASCII_LETTER[raw].astype(np.int64), at), 1), per(total(shout.astype(np.int64))),
+        np.log1p(n), per(total(toxic, w[toxic])), per(total(np.flatnonzero(w > 3))), kinds(toxic, t.hash), most, per(total(toxic_p, p[toxic_p])), per(total(np.flatnonzero(p > 2))), kinds(toxic_p, begin), per(near), per(total(about)),
+        per(hidden), per(np.bincount(of_spaced[odd], minlength=docs)), read.count(_UPPER) / np.maximum(read.count(_ASCII_LETTER), 1), per(total(shout)),
         share(_PUNCT), share(np.arange(256) == 33), share(np.arange(256) == 63), longest,
     ], axis=1).astype(np.float64)
 
