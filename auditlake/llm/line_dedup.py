@@ -154,10 +154,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines dropped from the text, and n_lines, n_dropped added (under names that docs has not). Lines after the end of a bitmap stay."""
-    row, keep, n_lines, n_dropped = free_name(docs, "_row", "_keep", "n_lines", "n_dropped")
+    row, keep, n_lines, n_dropped, own_id, own_row = free_name(docs, "_row", "_keep", "n_lines", "n_dropped", "_id", "_of")
     left = docs.withColumn(row, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    right = bitmaps.select(F.col("doc_id").alias("_id"), F.col("row").alias("_of"), F.col("n_dropped").alias(n_dropped), F.col("keep").alias(keep))
-    both = left.join(right, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col(row) == F.col("_of")), "left").drop("_id", "_of")
+    right = bitmaps.select(F.col("doc_id").alias(own_id), F.col("row").alias(own_row), F.col("n_dropped").alias(n_dropped), F.col("keep").alias(keep))
+    both = left.join(right, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.col(row) == F.col(own_row)), "left").drop(own_id, own_row)
     both = both.withColumn(n_lines, F.length(F.coalesce(F.col(text_col), F.lit(""))) - F.length(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(""))) + F.lit(1).cast("long")).withColumn(n_dropped, F.coalesce(n_dropped, F.lit(0).cast("long")))
     place = both.columns.index(text_col)
     names = [c for c in both.columns if c not in (row, keep)]
