@@ -5,6 +5,7 @@ Patterns given as data follow the usual Perl-like syntax with these flags: case-
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once: a column that an expression names many times is else computed as often, above all inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(x: Column | str) -> Column:
     """Without white space (Unicode) at both ends."""
     return F.regexp_replace(F.regexp_replace(col(x), r"(?U)^\s+", ""), r"(?U)\s+\z", "")
@@ -215,13 +221,16 @@ SYNONYMS = [("指定品牌", "指定"), ("唯一授权", "唯一"), ("指定型
 def similarity(a: Column | str, b: Column | str) -> Column:
     """FN-5: longest common substring (2 characters at least) by the length of the shorter text, or 0.6 / 0.8 for a near pair; lower-cased; 3 decimals."""
     x, y = F.lower(col(a)), F.lower(col(b))
-    s, t = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    n = F.length(s)
-    lengths = F.when(n >= 2, F.sequence(n, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    found = F.filter(lengths, lambda k: F.exists(F.sequence(F.lit(1), n - k + 1), lambda i: t.contains(F.substring(s, i, k))))
-    longest = F.coalesce(F.get(found, F.lit(0)), F.lit(0)) / F.greatest(n, F.lit(1))
+    pair = F.struct(F.when(F.length(x) <= F.length(y), x).otherwise(y).alias("s"), F.when(F.length(x) <= F.length(y), y).otherwise(x).alias("t"))
+
+    def longest(p: Column) -> Column:
+        s, t, n = p["s"], p["t"], F.length(p["s"])
+        lengths = F.when(n >= 2, F.sequence(n, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        found = F.filter(lengths, lambda k: F.exists(F.sequence(F.lit(1), n - k + 1), lambda i: t.contains(F.substring(s, i, k))))
+        return F.coalesce(F.get(found, F.lit(0)), F.lit(0)) / F.greatest(n, F.lit(1))
+
     near = reduce(F.greatest, [F.when((x.contains(p) & y.contains(q)) | (x.contains(q) & y.contains(p)), 0.6).when(x.contains(p) & y.contains(p), 0.8).otherwise(0.0) for p, q in SYNONYMS])
-    return F.when((x == "") | (y == "") | x.isNull() | y.isNull(), F.lit(0.0)).otherwise(F.bround(F.greatest(longest, near), 3))
+    return F.when((x == "") | (y == "") | x.isNull() | y.isNull(), F.lit(0.0)).otherwise(F.bround(F.greatest(let(pair, longest), near), 3))
 
 
 def sentences(x: Column | str) -> Column:
@@ -237,9 +246,9 @@ def template_sentences(x: Column | str) -> Column:
 def matches(text: Column | str, pattern: Column | str) -> Column:
     """array<struct<start, match>> of all matches of a pattern that never matches the empty string; start counts characters from 0."""
     t, p = col(text), col(pattern)
-    found, gaps = F.regexp_extract_all(t, p, F.lit(0)), F.split(t, p, -1)
-    none = F.array().cast("array<int>")
-    at = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(none)
-    step = lambda acc, i: F.struct((acc["pos"] + F.length(F.get(gaps, i)) + F.length(F.get(found, i))).alias("pos"), F.array_append(acc["out"], acc["pos"] + F.length(F.get(gaps, i))).alias("out"))
-    start = F.aggregate(at, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.arrays_zip(start.alias("start"), found.alias("match"))
+    # the gap before each match; the gap after the last one is left out
+    parts = F.arrays_zip(F.split(t, p, -1).alias("gap"), F.regexp_extract_all(t, p, F.lit(0)).alias("match"))
+    kind = "array<struct<start:int,match:string>>"
+    one = lambda acc, x: F.struct((acc["pos"] + F.length(x["gap"])).alias("start"), x["match"].alias("match"))
+    step = lambda acc, x: F.when(x["match"].isNull(), acc).otherwise(F.struct((acc["pos"] + F.length(x["gap"]) + F.length(x["match"])).alias("pos"), F.array_append(acc["out"], one(acc, x)).alias("out")))
+    return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])

@@ -35,7 +35,8 @@ def packed(sections: DataFrame, limit: int) -> DataFrame:
     limit / 2 characters, named `section(1)` and so on, each of which is a block like the others."""
     half = limit // 2
     block = lambda name, text: F.concat(F.lit("=== "), name, F.lit(" ===\n"), text, F.lit("\n\n"))
-    whole = block(F.col("section_type"), F.col("content"))
+    sections = sections.select("doc_id", "ord", "section_type", block(F.col("section_type"), F.col("content")).alias("_whole"))
+    whole = F.col("_whole")
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(whole) - 1) / half).cast("int")), lambda i: F.struct(F.concat("section_type", F.lit("("), (i + 1).cast("string"), F.lit(")")).alias("name"), block(F.concat("section_type", F.lit("("), (i + 1).cast("string"), F.lit(")")), F.substring(whole, i * half + 1, F.lit(half))).alias("text")))
     parts = sections.withColumn("_b", F.when(F.length(whole) * 2 > limit, cut).otherwise(F.array(F.struct(F.col("section_type").alias("name"), whole.alias("text")))))
     blocks = parts.select("doc_id", "ord", F.posexplode("_b").alias("part", "b")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "part", F.col("b.name").alias("name"), F.col("b.text").alias("text")))).alias("blocks"))

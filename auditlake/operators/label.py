@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import CASED, col, grams, is_placeholder, normalized, overlap, sentences, template_sentences, text_hash
+from auditlake.functions.text import CASED, col, grams, is_placeholder, let, normalized, overlap, sentences, template_sentences, text_hash
 
 # fixed values: signs of template text and of authored text, with weights; words of template text
 FIXED_SIGNS = [("(?:招标投标法|政府采购法|实施条例|财政部令|号令|号文)", 3), (r"(?:第[一二三四五六七八九十\d]+[章节条]|^[一二三四五六七八九十]+[、\.])", 2), ("(?:注[：:]|说明[：:]|注意[：:]|提示[：:]|附[：:])", 1), ("(?:不得|必须|应当|严禁|禁止|须按|须在|应在)", 1), ("(?:投标人须知|前附表|招标公告|资格要求|评审办法|投标须知)", 2), ("(?:投诉|质疑|答复|行政复议|起[诉])", 1)]
@@ -28,14 +28,21 @@ def _sum(x: Column, signs: list[tuple[str, int]]) -> Column:
 def classified(x: Column | str) -> Column:
     """LAB-8: struct<label, confidence> of a sentence."""
     c = col(x)
-    fixed, variable = _sum(c, FIXED_SIGNS), _sum(c, VARIABLE_SIGNS)
-    fixed = fixed + F.when((F.length(c) > 80) & (fixed >= 3), 2).otherwise(0)
-    fixed = fixed + F.when((F.length(c) < 10) & (variable == 0), 1).otherwise(0)
     pair = lambda label, conf: F.struct(F.lit(label).alias("label"), (conf if isinstance(conf, Column) else F.lit(conf)).alias("confidence"))
-    return (
-        F.when(variable >= 4, pair("VARIABLE", F.least(F.lit(0.9), 0.6 + variable * 0.08))).when((fixed >= 5) & (variable <= 1), pair("FIXED", F.least(F.lit(0.9), 0.6 + fixed * 0.06)))
-        .when((fixed >= 3) & (variable == 0), pair("FIXED", 0.65)).when((variable >= 2) & (fixed <= 2), pair("VARIABLE", 0.65)).otherwise(pair("UNCERTAIN", 0.5))
-    )
+
+    def decide(n: Column) -> Column:
+        fixed, variable = n["fixed"], n["variable"]
+        return (
+            F.when(variable >= 4, pair("VARIABLE", F.least(F.lit(0.9), 0.6 + variable * 0.08))).when((fixed >= 5) & (variable <= 1), pair("FIXED", F.least(F.lit(0.9), 0.6 + fixed * 0.06)))
+            .when((fixed >= 3) & (variable == 0), pair("FIXED", 0.65)).when((variable >= 2) & (fixed <= 2), pair("VARIABLE", 0.65)).otherwise(pair("UNCERTAIN", 0.5))
+        )
+
+    def by_length(n: Column) -> Column:
+        longer = F.when((F.length(c) > 80) & (n["fixed"] >= 3), 2).otherwise(0)
+        shorter = F.when((F.length(c) < 10) & (n["variable"] == 0), 1).otherwise(0)
+        return F.struct((n["fixed"] + longer + shorter).alias("fixed"), n["variable"].alias("variable"))
+
+    return let(let(F.struct(_sum(c, FIXED_SIGNS).alias("fixed"), _sum(c, VARIABLE_SIGNS).alias("variable")), by_length), decide)
 
 
 def template_score(x: Column | str) -> Column:

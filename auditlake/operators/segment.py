@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import CJK, col, grams, overlap, strip
+from auditlake.functions.text import CJK, col, grams, let, overlap, strip
 
 # fixed values: names of the sections of a tender document
 SECTION_PATTERNS = {
@@ -47,36 +47,49 @@ def is_toc_page(text: Column | str) -> Column:
     return c.contains("目录") & (F.regexp_count(c, F.lit(f"第{NUMBER}章")) >= 3)
 
 
+def _nearest(clean: Column) -> Column:
+    """Type of the best bigram overlap, MIN_RATIO at least; the first type on ties."""
+    sets = []
+    for kind, ps in SECTION_PATTERNS.items():
+        for p in dict.fromkeys([kind, *(p for p in ps if len(p) >= MIN_CHARS)]):
+            sets.append(F.struct(F.lit(kind).alias("kind"), F.array(*(F.lit(g) for g in sorted({p[i : i + 2] for i in range(len(p) - 1)}))).alias("g")))
+
+    def scored(own: Column) -> Column:
+        each = F.transform(F.array(*sets), lambda x: F.struct(overlap(own, x["g"], "max").alias("score"), x["kind"].alias("kind")))
+        none = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("kind"))
+        return F.aggregate(each, none, lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a), lambda a: F.when(a["score"] >= MIN_RATIO, a["kind"]))
+
+    return F.when(F.length(clean) >= MIN_CHARS, let(grams(clean, 2), scored))
+
+
 def section_type(title: Column | str) -> Column:
     """SEG-3: canonical type of a title; null if none is near enough. Patterns are tried in order; on equal overlap the first type wins."""
-    t = col(title)
-    exact = F.coalesce(*(F.when(t.contains(p) | (F.lit(p).contains(t) & (F.length(t) >= 0.6 * len(p))), F.lit(kind)) for kind, ps in SECTION_PATTERNS.items() for p in ps))
-    clean = strip(F.regexp_replace(t, rf"(?U)^第{NUMBER}[章节节部分]|^[一二三四五六七八九十]+[、.\s]|^[0-9]+[、.\s]|^[A-Z]+[.\s]|^[（(][^)）]+[)）]", ""))
-    clean = strip(F.regexp_replace(clean, "[（(].*[)）]|[:：].*$", ""))
-    own = grams(clean, 2)
-    scores = []
-    for kind, ps in SECTION_PATTERNS.items():
-        sets = [sorted({p[i : i + 2] for i in range(len(p) - 1)}) for p in dict.fromkeys([kind, *(p for p in ps if len(p) >= MIN_CHARS)])]
-        each = [overlap(own, F.array(*map(F.lit, s)), "max") for s in sets]
-        scores.append(F.struct((F.greatest(*each) if len(each) > 1 else each[0]).alias("score"), F.lit(kind).alias("kind")))
-    best = F.aggregate(F.array(*scores), F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("kind")), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
-    near = F.when((F.length(clean) >= MIN_CHARS) & (best["score"] >= MIN_RATIO), best["kind"])
-    return F.when(F.length(t) > 0, F.coalesce(exact, near))
+
+    def of(t: Column) -> Column:
+        exact = F.coalesce(*(F.when(t.contains(p) | (F.lit(p).contains(t) & (F.length(t) >= 0.6 * len(p))), F.lit(kind)) for kind, ps in SECTION_PATTERNS.items() for p in ps))
+        clean = strip(F.regexp_replace(t, rf"(?U)^第{NUMBER}[章节节部分]|^[一二三四五六七八九十]+[、.\s]|^[0-9]+[、.\s]|^[A-Z]+[.\s]|^[（(][^)）]+[)）]", ""))
+        clean = strip(F.regexp_replace(clean, "[（(].*[)）]|[:：].*$", ""))
+        return F.when(F.length(t) > 0, F.coalesce(exact, let(clean, _nearest)))
+
+    return let(col(title), of)
 
 
 def heading_of(line: Column | str) -> Column:
     """SEG-2: the trimmed line if it is a heading, else null."""
-    s = strip(line)
-    known = any_of(s, _LONG)
-    caption = F.regexp_replace(s, rf"(?U)^(第[^章节部分]+[章节节部分]|[一二三四五六七八九十0-9]+[、.\s]|第{NUMBER}条)\s*", "")
-    fits = (caption != "") & (F.length(caption) <= 30)
-    chapter = s.rlike("|".join(CHAPTER)) & fits & known & (caption.rlike("^(?:" + "|".join(_LONG) + ")") | (F.length(caption) <= 8))
-    listed = s.rlike("|".join(LIST))
-    item = F.regexp_replace(s, r"(?U)^([0-9]+[、.\s]|[A-Z]+[.\s]|[（(][^)）]+[)）])\s*", "")
-    plain = F.regexp_replace(s, "[。！？；：,.!]+$", "")
-    short = known & (F.length(s) <= 20) & plain.rlike(CJK)
-    fuzzy = (F.length(s) <= 40) & ~known & section_type(s).isNotNull()
-    return F.when((s != "") & (F.length(s) <= 70), F.when(chapter, s).when(listed, F.when(known & any_of(item, _LONG), s)).when(short | fuzzy, s))
+
+    def of(s: Column) -> Column:
+        known = any_of(s, _LONG)
+
+        def titled(caption: Column) -> Column:
+            return (caption != "") & (F.length(caption) <= 30) & (caption.rlike("^(?:" + "|".join(_LONG) + ")") | (F.length(caption) <= 8))
+
+        chapter = s.rlike("|".join(CHAPTER)) & known & let(F.regexp_replace(s, rf"(?U)^(第[^章节部分]+[章节节部分]|[一二三四五六七八九十0-9]+[、.\s]|第{NUMBER}条)\s*", ""), titled)
+        item = F.regexp_replace(s, r"(?U)^([0-9]+[、.\s]|[A-Z]+[.\s]|[（(][^)）]+[)）])\s*", "")
+        short = known & (F.length(s) <= 20) & F.regexp_replace(s, "[。！？；：,.!]+$", "").rlike(CJK)
+        fuzzy = (F.length(s) <= 40) & ~known & section_type(s).isNotNull()
+        return F.when((s != "") & (F.length(s) <= 70), F.when(chapter, s).when(s.rlike("|".join(LIST)), F.when(known & any_of(item, _LONG), s)).when(short | fuzzy, s))
+
+    return let(strip(line), of)
 
 
 def with_headings(lines: DataFrame) -> DataFrame:
