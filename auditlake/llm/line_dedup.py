@@ -160,7 +160,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     both = left.join(right, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.col(row) == F.col(own_row)), "left").drop(own_id, own_row)
     both = both.withColumn(n_lines, F.length(F.coalesce(F.col(text_col), F.lit(""))) - F.length(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(""))) + F.lit(1).cast("long")).withColumn(n_dropped, F.coalesce(n_dropped, F.lit(0).cast("long")))
     place = both.columns.index(text_col)
-    names = [c for c in both.columns if c not in (row, keep)]
+    names = [*docs.columns, n_lines, n_dropped]
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []

@@ -2,8 +2,8 @@
 
 A document belongs to each domain with a probability: a softmax regression, learned from a labelled table, on dense statistics of the text. With n words and posteriors p of a
 document, a rate r gives n * r * p[k] expected words of domain k. The rates minimise the least squares of (expected totals - targets), whitened by the second
-moments M = sum n p p', over r >= 0, by projected gradient from r = 1: r <- max(0, r - p . M^-1 (totals - targets)). In this metric the step length is 1, a step without
-a clipped rate is the solution, and of the many solutions it is the one nearest to r = 1.
+moments M = sum n p p', over r >= 0, by projected gradient from r = 1: r <- max(0, r - p . M^-1 (totals - targets)), M taken over the documents that are not clipped. In this metric the step length is 1, a
+step without a clipped rate is the solution, and of the many solutions it is the one nearest to r = 1.
 
 A document's rate is a function of its posteriors and the steps so far (one short vector each), so no state is kept: each iteration is one pass over (words,
 posteriors) that returns one short vector per partition.
@@ -140,39 +140,40 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     k = len(domains)
     slim = members.select(n_words, posterior)
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k, k))
-        for b in batches:
-            p = matrix(b.column(1), k)
-            total += (p * b.column(0).to_numpy()[:, None]).T @ p
-        yield pa.RecordBatch.from_pydict({"v": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
-
     def totals(steps: np.ndarray):
+        """Expected words by domain, and second moments of the posteriors over documents whose rate is not 0."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k)
+            total, moments = np.zeros(k), np.zeros((k, k))
             for b in batches:
-                p = matrix(b.column(1), k)
-                total += (b.column(0).to_numpy() * rates(p, steps)) @ p
-            yield pa.RecordBatch.from_pydict({"v": pa.array([total.tolist()], pa.list_(pa.float64()))})
+                n, p = b.column(0).to_numpy(), matrix(b.column(1), k)
+                r = rates(p, steps)
+                total += (n * r) @ p
+                moments += (p * (n * (r > 0))[:, None]).T @ p
+            yield pa.RecordBatch.from_pydict({"v": pa.array([[*total.tolist(), *moments.ravel().tolist()]], pa.list_(pa.float64()))})
 
         return run
 
-    def gather(f) -> np.ndarray:  # one short vector per partition
-        got = [r.v for r in slim.mapInArrow(f, "v array<double>").toLocalIterator()]
-        return np.array([float(sum(sorted(x))) for x in zip(*got, strict=True)]) if got else np.zeros(0)
+    def gather(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # one short vector per partition
+        got = [r.v for r in slim.mapInArrow(totals(steps), "v array<double>").toLocalIterator()]
+        whole = np.array([float(sum(sorted(x))) for x in zip(*got, strict=True)]) if got else np.zeros(k + k * k)
+        return whole[:k], whole[k:].reshape(k, k)
 
-    m = gather(moments)
-    m = m.reshape(k, k) if len(m) else np.zeros((k, k))
-    now = m.sum(axis=1)  # posteriors sum to 1
+    white = lambda m: np.linalg.pinv(m, rcond=1e-10, hermitian=True)
+    steps = np.zeros((0, k))
+    now, m = gather(steps)
+    every = white(m)
     weight = np.array([targets.get(d, 0.0) for d in domains])
     target = now.sum() * weight / weight.sum() if weight.sum() > 0 else now
-    white = np.linalg.pinv(m, rcond=1e-10, hermitian=True)
-    steps = np.zeros((0, k))
+    metric, off, size = every, np.abs(now - target).max(), now.sum()
     for _ in range(ITERATIONS):
-        if now.sum() == 0 or np.abs(now - target).max() <= CLOSE * now.sum():
+        if size == 0 or off <= CLOSE * size:
             break
-        steps = np.concatenate((steps, (white @ (now - target))[None]))
-        now = gather(totals(steps))
+        steps = np.concatenate((steps, (metric @ (now - target))[None]))
+        now, m = gather(steps)
+        before, off = off, np.abs(now - target).max()
+        # clipped documents do not move any more: without them the step is as long as it may be; back to all documents if that did not help
+        metric = white(m) if off < before else every
     return steps, now, target
 
 
