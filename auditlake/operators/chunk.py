@@ -155,3 +155,20 @@ def models_used(routes: DataFrame, default: str) -> DataFrame:
     """The distinct models, the default one first."""
     own = routes.select("model").distinct().where(F.col("model") != default)
     return routes.sparkSession.createDataFrame([(0, default)], "pos int, model string").union(own.select(F.lit(1), "model")).orderBy("pos", "model").select("model")
+
+
+def semantic_chunks(sections: DataFrame, clusters: DataFrame, groups: DataFrame, limit: int, template: str = "{text}") -> DataFrame:
+    """CHK-8: clusters(doc_id, chunk_no, sections) -> (doc_id, chunk_no, section_names, dimension, token_budget, prompt, overlap_tokens): the sections' texts in the order of the cluster, in the
+    template, after the end of the chunk before, cut to the budget of the chunk's dimension."""
+    each = clusters.select("doc_id", "chunk_no", F.posexplode("sections").alias("pos", "section_type"))
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string"))
+    text = each.join(sections.select("doc_id", "section_type", "content"), ["doc_id", "section_type"])
+    block = F.concat(F.lit("=== "), "section_type", F.lit(" ===\n"), "content", F.lit("\n\n"))
+    own = F.array_sort(F.collect_list(F.struct("pos", "section_type", block.alias("b"))))
+    whole = text.groupBy("doc_id", "chunk_no").agg(own.alias("_o")).select("doc_id", "chunk_no", F.array_join(F.transform("_o", lambda x: x["section_type"]), " + ").alias("section_names"), F.array_join(F.transform("_o", lambda x: x["b"]), "").alias("_text"))
+    dims = best_group(each.select(key.alias("key"), F.col("section_type").alias("section")), groups, limit)
+    out = whole.withColumn("key", key).join(dims, "key").drop("key").withColumnRenamed("token_limit", "token_budget")
+    prev = F.lag("_text").over(Window.partitionBy("doc_id").orderBy("chunk_no"))
+    out = out.withColumn("_prev", prev).withColumn("_tail", overlap_tail("_prev", F.col("token_budget")))
+    body = F.when(F.col("_tail") != "", F.concat(F.lit("【上文重叠】\n"), "_tail", F.lit("\n\n"), "_text")).otherwise(F.col("_text"))
+    return out.withColumn("prompt", F.replace(F.lit(template), F.lit("{text}"), body)).withColumn("overlap_tokens", tokens_estimate("_tail")).select("doc_id", "chunk_no", "section_names", "dimension", "token_budget", "prompt", "overlap_tokens")

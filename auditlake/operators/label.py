@@ -165,3 +165,19 @@ def tagged_text(spans: DataFrame) -> DataFrame:
     tag = F.when(F.col("label") == "FIXED", "TEMPLATE").otherwise("REVIEW")
     one = one.withColumn("_t", F.concat(F.lit("<<"), tag, F.lit(">>\n"), "_t", F.lit("\n<</"), tag, F.lit(">>")))
     return one.groupBy("doc_id", "section_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_run", "_t"))), lambda x: x["_t"]), "\n").alias("text"))
+
+
+def quick_checked(texts_: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+    """LAB-14: texts_(sid, text) with label and confidence of each text by itself, by fingerprint where there are any."""
+    one = texts_.select(F.col("sid").alias("doc_id"), F.lit("").alias("section_type"), F.lit(0).alias("ord"), F.lit(0).alias("span_no"), "text")
+    if prints is None:
+        return one.withColumn("_c", classified("text")).select(F.col("doc_id").alias("sid"), "text", "_c.*")
+    own = exact(one, prints).withColumn("_p", is_placeholder("text")).withColumn("_c", classified("text"))
+    label = F.when(F.col("_p"), "VARIABLE").when(F.col("fingerprint_id").isNotNull(), "FIXED").otherwise(F.col("_c.label"))
+    conf = F.when(F.col("_p"), 0.9).when(F.col("fingerprint_id").isNotNull(), 0.95).otherwise(F.col("_c.confidence"))
+    return own.select(F.col("doc_id").alias("sid"), "text", label.alias("label"), conf.alias("confidence"))
+
+
+def texts_for_review(spans: DataFrame) -> DataFrame:
+    """LAB-14: per section the tagged text and the text to review."""
+    return tagged_text(spans).withColumnRenamed("text", "tagged").join(texts(spans).withColumnRenamed("text", "variable"), ["doc_id", "section_type"], "left")

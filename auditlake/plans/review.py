@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import budget
 from auditlake.operators import bias, chunk, fuse, label, routing, rules, scores
+from auditlake.sources.packs import rendered
 
 
 @dataclass
@@ -50,3 +51,9 @@ def prompts(sections: DataFrame, findings: DataFrame, limit: int = 6000, rate: f
     """The prompts for a model: violated sections and a sample of the others, packed up to the limit, with the overlap of the chunk before."""
     chosen = chunk.selected(sections, chunk.violated_sections(findings, sections), rate)
     return chunk.with_overlap(chunk.packed(chosen, limit), limit)
+
+
+def clause_prompts(findings: DataFrame, template: str) -> DataFrame:
+    """CLS-1 up to the model: for each finding the template with {rule_id}, {description}, {text} and {suggestion} filled in."""
+    own = findings.select("doc_id", "rule_seq", "rule_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("description", "text", "suggestion")))
+    return own.withColumn("prompt", rendered(F.lit(template), {c: F.col(c) for c in ("rule_id", "description", "text", "suggestion")}))
