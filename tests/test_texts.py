@@ -178,7 +178,7 @@ def test_clusters(spark):
     groups = spark.createDataFrame([(0, "g1", ["a"], ["b"], ["c"], 400)], "ord int, id string, sections_high array<string>, sections_medium array<string>, sections_low array<string>, token_limit_override int")
     clusters = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 1, ["c", "d"])], "doc_id long, chunk_no int, sections array<string>")
     rows = chunk.semantic_chunks(s, clusters, groups, 300, "<{text}>").orderBy("chunk_no").collect()
-    assert [(r.section_names, r.dimension, r.token_budget, r.overlap_tokens) for r in rows] == [("a + b", "g1", 400, 0), ("c + d", "g1", 400, 200)]
+    assert [(r.section_names, r.dimension, r.token_budget, r.overlap_tokens) for r in rows] == [("a + b", "g1", 400, 0), ("c + d", "g1", 400, 182)]  # the tail begins after a line feed in its first half
     assert rows[1].prompt.startswith("<【上文重叠】\n") and rows[1].prompt.endswith("=== d ===\n" + "x" * 10 + "\n\n>")
 
 
