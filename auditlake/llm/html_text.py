@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +27,7 @@ from auditlake.llm.common import bounded_sample, map_batches, table
 SAMPLE, SAMPLE_BLOCKS = 400, 60
 PLACE = 6.0  # log odds of a place without doubt
 TIE = 1.0
+NEAR = 24  # ancestors that a block remembers; further ones add less than 2^-24 to a tie
 
 # fixed values: elements by what they do to text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +55,7 @@ class Block:
     tag: str
     parent: int
     depth: int
-    path: tuple[int, ...]
+    path: tuple[int, ...]  # the nearest ancestors, outer ones first
     place: float
     linked: int = 0
 
@@ -103,7 +104,8 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, entities decoded, white space made single. Unclosed and crossed elements are closed as browsers would roughly do."""
     out: list[Block] = []
     stack = [_Open("", 0, 0.0, False, False, False)]
-    seen, parts, linked, link = 0, [], 0, 0
+    opened: Counter[str] = Counter()
+    seen, parts, linked = 0, [], 0
     owner: tuple | None = None
 
     def end() -> None:
@@ -115,6 +117,11 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(Block(text, tag, parent, depth, path, place, min(linked, len(text))))
         parts, linked, owner = [], 0, None
 
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
+
     def text(raw: str) -> None:
         nonlocal linked, owner
         top = stack[-1]
@@ -123,13 +130,14 @@ def blocks_of(page: str) -> list[Block]:
         if "&" in raw:
             raw = html.unescape(raw)
         if owner is None and not raw.isspace():
-            k = max((i for i, x in enumerate(stack) if x.tag in BLOCKS), default=0)
-            owner = (stack[k].tag, stack[max(0, k - 1)].key, k, tuple(x.key for x in stack[:k]), top.place)
+            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCKS), 0)
+            owner = (stack[k].tag, stack[max(0, k - 1)].key, k, tuple(x.key for x in stack[max(0, k - NEAR) : k]), top.place)
         parts.append(raw)
-        if link:
+        if opened["a"]:
             linked += len(raw.strip())
 
     at, n = 0, len(page)
+    last_end = page.rfind(">")
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -137,7 +145,9 @@ def blocks_of(page: str) -> list[Block]:
             break
         if lt > at:
             text(page[at:lt])
-        m = _TOKEN.match(page, lt)
+        if lt > last_end and re.match(r"<[a-zA-Z/!?]", page[lt : lt + 2]):  # a tag that the end of the page cuts off
+            break
+        m = _TOKEN.match(page, lt) if lt < last_end else None
         if m is None:  # a sign, no tag
             text("<")
             at = lt + 1
@@ -150,10 +160,8 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCKS:
             end()
         if closing:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if k:
-                link -= sum(x.tag == "a" for x in stack[k:])
-                del stack[k:]
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         attributes = m[3] or m[6] or ""
         if tag in VOID:
@@ -161,20 +169,19 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "p" or tag in HEADINGS or tag in ("li", "dd", "dt", "tr", "td", "th", "option"):  # closes its like, if still open in the same container
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag or (tag == "p" and stack[i].tag in HEADINGS) or (tag in HEADINGS and stack[i].tag == "p"):
-                    link -= sum(x.tag == "a" for x in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCKS:
                     break
         seen += 1
         stack.append(_Open(tag, seen, *_place(tag, attributes, stack[-1])))
-        link += tag == "a"
+        opened[tag] += 1
         if attributes.rstrip().endswith("/") and tag in ("svg", "path", "script"):
-            stack.pop()
+            close(len(stack) - 1)
         elif tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
-            stack.pop()
+            end_tag = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            at = end_tag.end() if end_tag else n
+            close(len(stack) - 1)
     end()
     return out
 
@@ -219,13 +226,10 @@ def ties(blocks: list[Block]) -> dict[tuple[int, int], float]:
     for j, b in enumerate(blocks):
         for i in {j - 1, last.get(b.parent, -1)} - {-1}:
             a = blocks[i]
-            same = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                same += 1
-            away = len(a.path) + len(b.path) - 2 * same
-            out[i, j] = TIE * 0.5**away
+            at = {x: k for k, x in enumerate(a.path)}
+            up = next((k for k, x in enumerate(reversed(b.path)) if x in at), None)
+            if up is not None:  # steps up from b, and down to a
+                out[i, j] = TIE * 0.5 ** (up + len(a.path) - 1 - at[b.path[-1 - up]])
         last[b.parent] = j
     return out
 

@@ -290,3 +290,13 @@ def test_pipeline(spark):
     assert p.run(spark, d).count() == kept.count()
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "12 34", None, "s", 0)], before.schema)
     assert p.language_id(spark, odd, d).count() == 0 and p.line_dedup(spark, odd, d).count() == 3 and p.near_dedup(spark, odd, d).count() == 3 and p.decontamination(spark, odd, d).count() == 3
+
+
+def test_odd_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 100_000, "< " * 100_000, "<p>x" * 20_000, "<div>" * 20_000 + "x", "&amp;" * 50_000, "<b>" * 30_000 + "y</i>" * 30_000, "<div>x" * 20_000, "<div><p>x</div>" * 20_000):
+        html_text.main_text(page, html_text.UNFITTED)
+    assert time.time() - began < 60
+    assert [b.text for b in html_text.blocks_of("<p>a < b</p><p>c<a hr")] == ["a < b", "c"]
