@@ -74,7 +74,9 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def literal(x: object) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    if isinstance(x, str):
+        return "'" + x.replace("'", "''") + "'"
+    return "NULL" if x is None else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
 
 
 def values(rows: list[tuple], names: str) -> str:
