@@ -1,6 +1,6 @@
 """Lines -> headings -> sections (SEG-*). lines(doc_id, line_no, page, text) and, with fonts, max_font_size, is_bold, heading_score.
 
-A fold over the lines of a document, in order, is an aggregate() over a sorted array: a document is one row's work, and documents are independent.
+Text mode is window functions; the font-aware mode, whose headings depend on the running level, is an aggregate() over the sorted lines of a document.
 """
 
 from __future__ import annotations
@@ -108,27 +108,25 @@ def sections_of_lines(lines: DataFrame) -> DataFrame:
 
     A heading of the type of the open section is inlined as 【heading】; lines before the first heading are dropped; a blank line is a line feed; a heading
     without a body stays if another one follows, and is dropped at the end.
-    """
-    marked = with_headings(lines)
-    rows = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.col("page").cast("int").alias("page"), F.coalesce(strip("text"), F.lit("")).alias("text"), "heading", "section_type"))).alias("rows"))
-    empty = F.lit(None).cast(_PART)
-    start = F.struct(F.array().cast(f"array<{_PART}>").alias("done"), empty.alias("open"))
-
-    def put(part: Column, more: Column, page: Column | None = None) -> Column:
-        return F.struct(part["title"].alias("title"), part["section_type"].alias("section_type"), F.concat(part["content"], more).alias("content"), part["level"].alias("level"), part["page_start"].alias("page_start"), (part["page_end"] if page is None else page).alias("page_end"))
 
-    def step(acc: Column, x: Column) -> Column:
-        done, now = acc["done"], acc["open"]
-        fresh = F.struct(x["heading"].alias("title"), x["section_type"].alias("section_type"), F.lit("").alias("content"), F.lit(1).alias("level"), x["page"].alias("page_start"), x["page"].alias("page_end"))
-        same = F.struct(done.alias("done"), put(now, F.concat(F.lit("\n【"), x["heading"], F.lit("】\n"))).alias("open"))
-        opened = F.struct(F.when(now.isNull(), done).otherwise(F.array_append(done, now)).alias("done"), fresh.alias("open"))
-        blank = F.struct(done.alias("done"), F.when(now.isNotNull(), put(now, F.lit("\n"))).alias("open"))
-        body = F.struct(done.alias("done"), F.when(now.isNotNull(), put(now, F.concat(x["text"], F.lit("\n")), x["page"])).alias("open"))
-        return F.when(x["text"] == "", blank).when(x["heading"].isNotNull(), F.when(now["section_type"] == x["section_type"], same).otherwise(opened)).otherwise(body)
-
-    last = lambda acc: F.when(acc["open"].isNotNull() & (strip(acc["open"]["content"]) != ""), F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
-    found = rows.select("doc_id", F.posexplode(F.aggregate("rows", start, step, last)).alias("sec_no", "s"))
-    return found.select("doc_id", "sec_no", "s.*")
+    The open section always has the type of the heading before, as an inlined heading has that type, too: so a heading opens a section if its type is another than that of
+    the heading before it, and sections are runs of a running count.
+    """
+    text = F.coalesce(strip("text"), F.lit(""))
+    marked = with_headings(lines).withColumn("_s", text).withColumn("_kind", F.when(text != "", F.col("section_type")))
+    ordered = Window.partitionBy("doc_id").orderBy("line_no")
+    before = F.last("_kind", True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.col("_kind").isNotNull() & ~F.col("_kind").eqNullSafe(before)
+    runs = marked.withColumn("_opens", opens).withColumn("_sec", F.sum(F.col("_opens").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))).where("_sec > 0")
+    piece = F.when(F.col("_opens"), "").when(F.col("_s") == "", "\n").when(F.col("_kind").isNotNull(), F.concat(F.lit("\n【"), "heading", F.lit("】\n"))).otherwise(F.concat("_s", F.lit("\n")))
+    body = F.when((F.col("_s") != "") & F.col("_kind").isNull(), F.struct("line_no", "page"))
+    own = runs.groupBy("doc_id", "_sec").agg(
+        F.max(F.when(F.col("_opens"), F.col("heading"))).alias("title"), F.max(F.when(F.col("_opens"), F.col("_kind"))).alias("section_type"), F.array_sort(F.collect_list(F.struct("line_no", piece.alias("p")))).alias("_p"),
+        F.max(F.when(F.col("_opens"), F.col("page"))).cast("int").alias("page_start"), F.max(body).alias("_b"),
+    )
+    own = own.withColumn("content", F.array_join(F.transform("_p", lambda x: x["p"]), "")).withColumn("_last", F.max("_sec").over(Window.partitionBy("doc_id")))
+    own = own.where((F.col("_sec") < F.col("_last")) | (strip("content") != ""))
+    return own.select("doc_id", (F.col("_sec") - 1).cast("int").alias("sec_no"), "title", "section_type", "content", F.lit(1).alias("level"), "page_start", F.coalesce(F.col("_b.page").cast("int"), "page_start").alias("page_end"))
 
 
 def section_map(raw: DataFrame) -> DataFrame:

@@ -1,10 +1,18 @@
-"""State that depends on order (AGG-9..12, STR-1/2): a fold over each key's events in order, as aggregate() over a sorted array."""
+"""State that depends on order (AGG-9..12, STR-1/2).
+
+Events are dealt out and sorted by key and time, and a task streams them with the state of one key, which is bounded: no key's events are gathered, however many there are.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.session import ship
+
 # fixed values: steps and bounds of a rule's confidence; limits of plans
 BOOST, PENALTY, FLOOR, CAP = 0.02, 0.05, 0.5, 1.0
 REVIEW_FROM, ALERT_RATE = 3, 0.3
@@ -12,15 +20,48 @@ PLANS = {"free": (5, 50_000), "pro": (100, 1_000_000), "enterprise": (999_999, 1
 # end of the fixed values
 
 
+def _folded(events: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], dict], step: Callable[[dict, pd.DataFrame], pd.DataFrame | None], end: Callable[[object, dict], dict] | None = None) -> DataFrame:
+    """Streams events by key in order. step(state, rows of one key) changes the state, and may give rows; end(key, state) gives a row when a key is over."""
+    ship(events.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, seen = None, start(), False
+        for frame in frames:
+            cut = frame[key].ne(frame[key].shift()).cumsum()
+            for _, rows in frame.groupby(cut, sort=False):
+                k = rows[key].iloc[0]
+                if not seen or k != now:
+                    if seen and end:
+                        yield pd.DataFrame([end(now, state)])
+                    now, state, seen = k, start(), True
+                out = step(state, rows)
+                if out is not None:
+                    yield out
+        if seen and end:
+            yield pd.DataFrame([end(now, state)])
+
+    return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def feedback_state(feedback: DataFrame, key: str = "rule_id") -> DataFrame:
     """AGG-9: feedback(key, ts, event_id, feedback_type): confidence from 1, +.02 for confirm (cap 1), -.05 for false_positive (floor .5), in order of (ts, event_id); counts; needs_review from three
-    false positives on; alert from a rate of .3 on."""
-    own = feedback.where(F.col("feedback_type").isin("confirm", "false_positive", "missed"))
-    step = F.when(F.col("feedback_type") == "confirm", BOOST).when(F.col("feedback_type") == "false_positive", -PENALTY).otherwise(0.0)
-    got = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", step.alias("d")))).alias("_e"), F.count("*").alias("total_feedbacks"), F.count_if(F.expr("feedback_type = 'confirm'")).alias("confirm_count"), F.count_if(F.expr("feedback_type = 'false_positive'")).alias("false_positive_count"))
-    fold = F.aggregate("_e", F.lit(1.0), lambda c, e: F.when(e["d"] == 0, c).otherwise(F.least(F.lit(CAP), F.greatest(F.lit(FLOOR), c + e["d"]))))
-    fp = F.col("false_positive_count")
-    return got.select(key, fold.alias("current_confidence"), "total_feedbacks", "confirm_count", "false_positive_count", (fp >= REVIEW_FROM).alias("needs_review"), (fp / F.col("total_feedbacks") >= ALERT_RATE).alias("alert"))
+    false positives on; alert from a rate of .3 on. Rows without a key are left out."""
+    kind = feedback.schema[key].dataType.simpleString()
+    own = feedback.where(F.col("feedback_type").isin("confirm", "false_positive", "missed") & F.col(key).isNotNull()).select(key, "ts", "event_id", "feedback_type")
+
+    def step(s: dict, rows: pd.DataFrame) -> None:
+        for t in rows["feedback_type"].tolist():
+            s["n"] += 1
+            if t == "confirm":
+                s["yes"], s["c"] = s["yes"] + 1, min(CAP, max(FLOOR, s["c"] + BOOST))
+            elif t == "false_positive":
+                s["no"], s["c"] = s["no"] + 1, min(CAP, max(FLOOR, s["c"] - PENALTY))
+
+    def end(k: object, s: dict) -> dict:
+        return {key: k, "current_confidence": s["c"], "total_feedbacks": s["n"], "confirm_count": s["yes"], "false_positive_count": s["no"], "needs_review": s["no"] >= REVIEW_FROM, "alert": s["no"] / s["n"] >= ALERT_RATE}
+
+    schema = f"`{key}` {kind}, current_confidence double, total_feedbacks long, confirm_count long, false_positive_count long, needs_review boolean, alert boolean"
+    return _folded(own, key, ["ts", "event_id"], schema, lambda: {"c": 1.0, "n": 0, "yes": 0, "no": 0}, step, end)
 
 
 def rules_to_review(state: DataFrame) -> DataFrame:
@@ -30,16 +71,21 @@ def rules_to_review(state: DataFrame) -> DataFrame:
 
 def rate_limited(events: DataFrame, key: str = "user_id", most: int = 10, seconds: int = 60, at: str = "ts", order: str = "event_id") -> DataFrame:
     """STR-1/2: adds accepted: fewer than `most` accepted events of the key in the seconds before. Refused events do not count. The state of the fold is the last `most`
-    accepted times: an event is refused if the oldest of them is still inside the window."""
-    own = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(order).alias("id")))).alias("_e"))
-    start = F.struct(F.array().cast("array<bigint>").alias("last"), F.array().cast("array<struct<id:bigint,ok:boolean>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        ok = (F.size(acc["last"]) < most) | (F.get(acc["last"], F.lit(0)) <= e["t"] - seconds * 1_000_000)
-        last = F.when(ok, F.array_append(F.when(F.size(acc["last"]) >= most, F.slice(acc["last"], 2, most)).otherwise(acc["last"]), e["t"])).otherwise(acc["last"])
-        return F.struct(last.alias("last"), F.array_append(acc["out"], F.struct(e["id"].cast("bigint").alias("id"), ok.alias("ok"))).alias("out"))
-
-    return own.select(key, F.inline(F.aggregate("_e", start, step, lambda acc: acc["out"]))).select(key, F.col("id").alias(order), F.col("ok").alias("accepted"))
+    accepted times: an event is refused if the oldest of them is still inside the window. Rows without a key are left out."""
+    kind = events.schema[key].dataType.simpleString()
+    own = events.where(F.col(key).isNotNull()).select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.col(order).cast("long").alias(order))
+
+    def step(s: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        last, ok = s["last"], []
+        for t in rows["_t"].tolist():
+            yes = len(last) < most or last[0] <= t - seconds * 1_000_000
+            if yes:
+                last = (last if len(last) < most else last[1:]) + [t]
+            ok.append(yes)
+        s["last"] = last
+        return pd.DataFrame({key: rows[key].to_numpy(), order: rows[order].to_numpy(), "accepted": ok})
+
+    return _folded(own, key, ["_t", order], f"`{key}` {kind}, `{order}` long, accepted boolean", lambda: {"last": []}, step)
 
 
 def longest_prefix_limits(requests: DataFrame, limits: DataFrame) -> DataFrame:
