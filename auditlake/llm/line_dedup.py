@@ -127,7 +127,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(spark)
     scratch = Scratch(spark, "line-dedup")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lines = keyed_lines(text.select("doc_id", F.xxhash64("text").alias("row"), "text"), min_chars)
+    # written first: a range partitioner samples its input, which would else hash every text twice
+    lines = scratch.keep(keyed_lines(text.select("doc_id", F.xxhash64("text").alias("row"), "text"), min_chars), "lines")
     order = ["h1", "h2", F.col("doc_id").desc_nulls_last()]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = lines.repartitionByRange(n, *order).sortWithinPartitions(*order, "row").persist(StorageLevel.DISK_ONLY)
@@ -149,6 +150,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     out = scratch.keep(map_batches(gone, pack, "doc_id long, row long, n_dropped long, keep binary"), "bitmaps")
     ordered.unpersist()
+    scratch.drop("lines")
     return out
 
 
