@@ -271,11 +271,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["a", "d1", "d2", "doc_id"]
-    ordered = all_segments(text).repartitionByRange(n, *order).sortWithinPartitions(*order).persist(StorageLevel.DISK_ONLY)
+    # written first: a range partitioner samples its input, which would else look at every byte twice
+    every = scratch.keep(all_segments(text), "segments")
+    ordered = every.repartitionByRange(n, *order).sortWithinPartitions(*order).persist(StorageLevel.DISK_ONLY)
     edge = sorted((x.part, list(x.first), list(x.last)) for x in ordered.select("a", "d1", "d2").mapInArrow(ends, "part int, first array<long>, last array<long>").toLocalIterator())
     around = {p: (edge[i - 1][2] if i else None, edge[i + 1][1] if i + 1 < len(edge) else None) for i, (p, _, _) in enumerate(edge)}
     judged = scratch.keep(ordered.mapInArrow(neighbours(around), f"{SEGMENT}, whole boolean, part boolean"), "judged")
     ordered.unpersist()
+    scratch.drop("segments")
 
     pieces = scratch.keep(fetched(text, judged.where("part")), "pieces")
     hot = scratch.keep(pieces.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > max_group).select("a"), "hot")
