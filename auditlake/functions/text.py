@@ -42,9 +42,12 @@ def text_hash(x: Column | str) -> Column:
 
 def grams(x: Column | str, n: int = 3) -> Column:
     """Distinct character n-grams; empty if the text is shorter than n."""
-    c = col(x)
-    at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))
+
+    def of(c: Column) -> Column:
+        at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))
+
+    return let(col(x), of)
 
 
 def overlap(a: Column, b: Column, of: str = "min") -> Column:

@@ -101,25 +101,15 @@ def fuzzy(sentences_: DataFrame, prints: DataFrame, least: float = FUZZY, key: s
     """LAB-5: sentences_(sid, text) -> (sid, hash_id, score): the best fingerprint by 3-gram overlap of the smaller set, `least` at least, of a length that differs by
     no more than the larger of 30 % and 10; the first in order of text on ties.
 
-    Exact: if the overlap is c of the smaller set's n grams, any n - ceil(c n) + 1 of them meet one of the other set. So the rarest so many grams of either
-    side are looked up among all grams of the other, and candidates are verified. A gram frequent on both sides is never among the rarest ones of a set
-    that has rarer grams, so candidates stay few.
+    Common grams are counted by a join on grams and a partial aggregate, inside the band of lengths, so no pair's sets are ever compared as arrays.
     """
-    n = lambda df, c: df.withColumn("_norm", normalized(c)).withColumn("_g", grams("_norm", 3)).where(F.size("_g") > 0)
-    s = n(sentences_.select("sid", F.col(key).alias("_text")), "_text").select("sid", "_norm", "_g", F.length("_norm").alias("_len"))
-    p = n(prints.select("hash_id", "text"), "text").select("hash_id", F.col("_norm").alias("_pnorm"), F.col("_g").alias("_pg"), F.length("_norm").alias("_plen"))
-    often = p.select(F.explode("_pg").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-
-    def ranked(df: DataFrame, ident: str, g: str) -> DataFrame:
-        each = df.select(ident, F.size(g).alias("_n"), F.explode(g).alias("g")).join(often, "g", "left").na.fill({"n": 0})
-        rank = F.row_number().over(Window.partitionBy(ident).orderBy("n", "g"))
-        return each.withColumn("_rare", rank <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1)
-
-    a, b = ranked(s, "sid", "_g"), ranked(p, "hash_id", "_pg")
-    pairs = a.where("_rare").select("sid", "g").join(b.select("hash_id", "g"), "g").select("sid", "hash_id").union(a.select("sid", "g").join(b.where("_rare").select("hash_id", "g"), "g").select("sid", "hash_id")).distinct()
-    both = pairs.join(s, "sid").join(p, "hash_id").where(F.abs(F.col("_len") - F.col("_plen")) <= F.greatest(F.col("_len") * 0.3, F.lit(10.0)))
-    score = overlap(F.col("_g"), F.col("_pg"))
-    return both.withColumn("score", score).where(F.col("score") >= least).groupBy("sid").agg(F.max_by(F.struct("hash_id", "score"), F.struct(F.col("score"), -F.crc32("_pnorm"))).alias("b")).select("sid", "b.*")
+    n = lambda df, c: df.withColumn("_norm", normalized(c)).select("*", F.length("_norm").alias("_len"), grams("_norm", 3).alias("_g"))
+    a = n(sentences_.select("sid", F.col(key).alias("_text")), "_text").select("sid", "_len", F.size("_g").alias("_n"), F.explode("_g").alias("g"))
+    b = n(prints.select("hash_id", "text"), "text").groupBy("hash_id").agg(F.min(F.struct("_norm", "_len", "_g")).alias("p")).select("hash_id", F.crc32("p._norm").alias("_tie"), F.col("p._len").alias("_plen"), F.size("p._g").alias("_pn"), F.explode("p._g").alias("g"))
+    band = F.abs(F.col("_len") - F.col("_plen")) <= F.greatest(F.col("_len") * 0.3, F.lit(10.0))
+    both = a.join(b, "g").where(band).groupBy("sid", "hash_id").agg(F.count("*").alias("_both"), F.min(F.least("_n", "_pn")).alias("_least"), F.min("_tie").alias("_tie"))
+    score = F.col("_both") / F.col("_least")
+    return both.withColumn("score", score).where(F.col("score") >= least).groupBy("sid").agg(F.max_by(F.struct("hash_id", "score"), F.struct(F.col("score"), -F.col("_tie"))).alias("b")).select("sid", "b.*")
 
 
 def marked_by_fingerprint(sections: DataFrame, prints: DataFrame, with_fuzzy: bool = True) -> DataFrame:
