@@ -68,20 +68,26 @@ def class_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, text): text_key tells texts of one id apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text"))
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands) per row; node is null for an empty set."""
+    """(doc_id, text_key, n_shingles, node, bands) per row; node is null for an empty set."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(1), k)
+        sets = shingle_sets(batch.column(2), k)
         full = [i for i, s in enumerate(sets) if len(s)]
         found = band_hashes(sketches([sets[i] for i in full], bands * rows), bands, rows).view(np.int64)
         at = dict(zip(full, found, strict=True))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), binary_array([class_key(s) if len(s) else None for s in sets]), pa.array([at.get(i) for i in range(len(sets))], pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "node", "bands"],
+            [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), binary_array([class_key(s) if len(s) else None for s in sets]), pa.array([at.get(i) for i in range(len(sets))], pa.list_(pa.int64()))],
+            ["doc_id", "text_key", "n_shingles", "node", "bands"],
         )
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), f, "doc_id long, n_shingles long, node binary, bands array<long>", 512)
+    return map_batches(keyed(docs, id_col, text_col), f, "doc_id long, text_key binary, n_shingles long, node binary, bands array<long>", 512)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -92,20 +98,20 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs(a, b) -> those whose sets are similar. texts(node, text)."""
+    """pairs(a, b) -> those whose sets are similar. texts(node, text), one text for each node."""
 
-    def sets_of(nodes: list[bytes], column: pa.Array) -> list[np.ndarray | None]:
-        """Neighbours in a batch are often the same node: its set is made once. None: the text is that of another row with the same id."""
+    def sets_of(nodes: list[bytes], column: pa.Array) -> list[np.ndarray]:
+        """Neighbours in a batch are often the same node: its set is made once."""
         new = [i for i, x in enumerate(nodes) if not i or x != nodes[i - 1]]
         made = dict(zip(new, shingle_sets(column.take(pa.array(new, pa.int64())), k), strict=True))
-        out: list[np.ndarray | None] = []
-        for i, node in enumerate(nodes):
-            out.append((made[i] if class_key(made[i]) == node else None) if i in made else out[-1])
+        out: list[np.ndarray] = []
+        for i in range(len(nodes)):
+            out.append(made[i] if i in made else out[-1])
         return out
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (sets_of(batch.column(i).to_pylist(), batch.column(i + 2)) for i in (0, 1))
-        keep = [i for i in range(batch.num_rows) if x[i] is not None and y[i] is not None and similar(x[i], y[i], percent)]
+        keep = [i for i in range(batch.num_rows) if similar(x[i], y[i], percent)]
         return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
@@ -141,7 +147,7 @@ def links_between(nodes: list[bytes], sets: list[np.ndarray], labels: list[bytes
 
 
 def rest_links(scratch: Scratch, members: DataFrame, texts: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components inside the buckets. members(bucket, node, n_shingles) of buckets of three at least."""
+    """Links between components inside the buckets. members(bucket, node, n_shingles) of buckets of three at least; texts(node, text), one text for each node."""
     labelled = members.join(roots.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = scratch.keep(labelled, "labelled")
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n_shingles").alias("total")).where("lo <> hi")
@@ -155,8 +161,7 @@ def rest_links(scratch: Scratch, members: DataFrame, texts: DataFrame, roots: Da
     def f(group: pa.Table) -> pa.Table:
         nodes, labels = group["node"].to_pylist(), group["label"].to_pylist()
         sets = shingle_sets(group["text"].combine_chunks(), k)
-        keep = list({n: i for i, n in enumerate(nodes) if class_key(sets[i]) == n}.values())
-        found = links_between([nodes[i] for i in keep], [sets[i] for i in keep], [labels[i] for i in keep], percent) if len(keep) > 1 else []
+        found = links_between(nodes, sets, labels, percent) if len(nodes) > 1 else []
         return pa.table({"a": binary_array([a for a, _ in found]), "b": binary_array([b for _, b in found])})
 
     return full.groupBy("bucket", "i", "j").applyInArrow(f, "a binary, b binary")
@@ -173,14 +178,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     every = scratch.keep(sketched(docs, id_col, text_col, k, bands, rows), "rows")
-    classes = scratch.keep(every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
+    # the row whose text stands for the class; of all rows with a null id only where there is no other
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("own")
+    classes = scratch.keep(every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), own, F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     many = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1")
     members = scratch.keep(buckets.join(many, "bucket"), "members")
 
-    candidates = members.select("node").distinct().join(classes.select("node", "doc_id"), "node")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    texts = scratch.keep(text.join(candidates, F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text").distinct(), "texts")
+    # one text for each node: rows that repeat both id and text fall together
+    candidates = members.select("node").distinct().join(classes.select("node", F.col("own.doc_id").alias("own_id"), F.col("own.text_key").alias("own_key")), "node")
+    text = keyed(docs, id_col, text_col).where("text is not null")
+    texts = scratch.keep(text.join(candidates, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("node", "text").distinct(), "texts")
 
     pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = scratch.keep(verified(pairs, texts, k, percent), "links")
@@ -193,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = classes.select("node", "class_size", F.col("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = whole.join(smallest, "root").select("node", "class_size", "component_id")
-    out = every.drop("bands").join(labels, "node", "left")
+    out = every.drop("bands", "text_key").join(labels, "node", "left")
     # with n_shingles 0 there is no class
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     out = scratch.keep(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size")), "out")

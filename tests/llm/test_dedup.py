@@ -79,6 +79,27 @@ def test_near_duplicates_of_edge_tables(spark):
     assert got == sorted([(5, 2, 5, True), (5, 2, 5, True), (5, 2, 5, True), (None, 2, 5, False), (None, 0, None, True), (7, 2, 5, False)], key=repr)
 
 
+def test_near_duplicates_among_repeated_and_null_ids(spark):
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(36)]
+    near = [[*x[:-1], "other"] for x in texts]
+    nearer = [[*x[:-2], "an", "other"] for x in texts[:12]]
+    # twelve texts of id 5, twelve without id and twelve of ids of their own; near ones with ids, without, and some that make buckets of three
+    ids = [*[5] * 12, *[None] * 12, *range(20, 32)] + [*range(100, 112), *range(200, 212), *[None] * 6, *[6] * 6] + [*[6] * 6, *[None] * 6]
+    rows = list(zip(ids, map(" ".join, texts + near + nearer), strict=True))
+    rows += [(5, rows[13][1]), (None, rows[13][1]), (5, rows[0][1])]
+    root = brute_near([x for _, x in rows], 5)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least.setdefault(root[i][1], []).extend([doc] if doc is not None else [])
+    want = [(doc, root[i][0], min(least[root[i][1]], default=None)) for i, (doc, _) in enumerate(rows)]
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_sketch_fills_every_bin_and_estimates(spark):
     rng = np.random.default_rng(0)
     a = np.unique(common.mix(rng.integers(0, 2**62, 400).astype(np.uint64)))
