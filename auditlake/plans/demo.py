@@ -625,6 +625,14 @@ def case_counts(spark: SparkSession, d: str) -> DataFrame:
     return mine.case_counts(own).select(F.lit("src1").alias("source"), "total", "upheld", "rejected", "partial", "dismissed")
 
 
+@query("SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS upheld, count(*) FILTER (lang = 'fr') AS rejected, count(*) FILTER (lang = 'de') AS partial, count(*) - count(*) FILTER (lang IN ('en', 'fr', 'de')) AS dismissed FROM documents")
+def case_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, where case_counts has those of one source."""
+    kind = F.when(F.col("lang") == "en", "upheld").when(F.col("lang") == "fr", "rejected").when(F.col("lang") == "de", "partial").otherwise("dismissed")
+    own = t(spark, d, "documents").select(kind.alias("decision_type"), F.lit(0).alias("is_analyzed"))
+    return mine.case_counts(own).select("total", "upheld", "rejected", "partial", "dismissed")
+
+
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     n, r = t(spark, d, "nation"), t(spark, d, "region")
     nodes = n.select(F.col("n_nationkey").cast("long").alias("id"), F.lit("rule").alias("node_type"), F.col("n_name").alias("title"), F.lit("").alias("content"), F.lit("").alias("source"), F.lit("").alias("tags")).union(r.select((F.col("r_regionkey") + 1000).cast("long"), F.lit("regulation"), "r_name", F.lit(""), F.lit(""), F.lit("")))

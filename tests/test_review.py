@@ -62,3 +62,14 @@ def test_some_queries_give_their_sql(spark):
         key = list(a.columns)
         rows = lambda f: sorted(map(repr, f.astype(str).itertuples(index=False, name=None)))
         assert rows(a[key]) == rows(b[key]), name
+
+
+def test_all_cases_are_counted(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    got = tuple(demo.QUERIES["case_counts_all"](spark, d).first())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    assert got == tuple(c.sql(demo.SQL["case_counts_all"]).df().iloc[0])
+    assert got[0] == spark.read.parquet(f"{d}/documents.parquet").count() == sum(got[1:])
