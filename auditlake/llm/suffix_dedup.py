@@ -5,9 +5,9 @@
 2. Segments are range-partitioned and sorted by (anchor hash, 128-bit hash of the bytes). A segment equal to a neighbour is repeated whole: its bytes go and need not
    be fetched. A segment with another one under its anchor may share some windows only: its bytes are fetched. Each decision needs the two neighbours only, so
    partitions stream, a very frequent anchor is cut like anything else, and partitions exchange their first and last row through the driver.
-3. The fetched segments are dealt out by anchor into shards whose suffix array is made by induced sorting over disk-backed queues (suffix_sort.py), with memory
-   bounded whatever the size of the shard. Neighbours in it that agree in SPAN bytes are repeated. (The common prefix is compared there, capped at SPAN, and is
-   not carried through the induction.) An anchor with more than MAX_GROUP different segments has its windows counted by 128-bit hash instead: that is
+3. The fetched segments are dealt out by anchor into shards whose suffix array is made by induced sorting over disk-backed queues (suffix_sort.py). A shard is
+   sorted in memory (about 70 bytes for each byte of text; the queues alone may go to disk), so its bytes are bounded. Neighbours in it that agree in SPAN bytes are repeated. (The common prefix is compared there, capped at SPAN, and is
+   not carried through the induction.) An anchor with more than MAX_GROUP different segments or MAX_BYTES of text has its windows counted by 128-bit hash instead: that is
    exact too and no task holds the group.
 4. The intervals of a document are applied to its text.
 """
@@ -32,8 +32,9 @@ SPAN = 200
 GRAM = 51
 REACH = SPAN - GRAM + 1  # grams of a window
 STEP = 1 << 20
-#: Different segments of an anchor that a shard takes (75 MB); beyond it, windows are counted.
+#: Different segments of an anchor, and their bytes, that a shard takes; beyond either, windows are counted.
 MAX_GROUP = 200_000
+MAX_BYTES = 4 << 20
 #: Bytes of text a shard gathers before it is sorted.
 SHARD = 8 << 20
 SEGMENT = "a long, d1 long, d2 long, doc_id long, row long, lo int, hi int"
@@ -259,7 +260,7 @@ def counted(pieces: DataFrame) -> DataFrame:
     return each.join(often, ["d1", "d2"], "left_semi").select("doc_id", "row", "lo", "hi")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP, max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs -> doc_id, text (binary: the remaining bytes), n_bytes, spans (maximal removed runs, [start, end) in bytes), for each row.
 
     Null text is empty. A text shorter than SPAN keeps all. Rows that repeat a doc_id are separate texts, so a repeated row loses all that is in a window. The
@@ -281,7 +282,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.drop("segments")
 
     pieces = scratch.keep(fetched(text, judged.where("part")), "pieces")
-    hot = scratch.keep(pieces.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > max_group).select("a"), "hot")
+    hot = scratch.keep(pieces.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.length("piece")).alias("size")).where((F.col("n") > max_group) | (F.col("size") > max_bytes)).select("a"), "hot")
     if hot.isEmpty():
         some = pieces.repartition(n, "a").sortWithinPartitions("a").mapInArrow(shards, FOUND)
     else:

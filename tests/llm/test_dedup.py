@@ -230,6 +230,18 @@ def test_suffix_dedup_equals_brute_force(spark, most):
     assert got == brute_suffix(texts)
 
 
+def test_anchors_of_many_bytes_are_counted(spark, monkeypatch):
+    rng = random.Random(13)
+    shared = "".join(rng.choice("abcdef") for _ in range(230))
+    texts = [f"{i:05d}" * 30 + shared + f"{i + 7:06d}" * 30 for i in range(40)]
+    calls, real = [], suffix_dedup.counted
+    monkeypatch.setattr(suffix_dedup, "counted", lambda pieces: calls.append(pieces.count()) or real(pieces))
+    for most, counts in ((1000, True), (suffix_dedup.MAX_BYTES, False)):
+        calls.clear()
+        got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.text).hexdigest()) for r in suffix_dedup.repeated_spans(frame(spark, texts), max_bytes=most).collect()}
+        assert got == brute_suffix(texts) and bool(sum(calls)) == counts
+
+
 def test_suffix_dedup_of_edge_tables(spark):
     assert suffix_dedup.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "q" * 10 + "".join(chr(97 + i % 26) for i in range(250))), (1, "q" * 10 + "".join(chr(97 + i % 26) for i in range(250))), (None, "short")]
