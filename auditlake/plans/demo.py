@@ -304,6 +304,18 @@ def fingerprint_build(spark: SparkSession, d: str) -> DataFrame:
     return label.fingerprints(own, ["grp"], singles=False, split=_line_list).select("grp", "hash_id", "frequency", "length")
 
 
+_WORDS = ", ".join(f"'{w}'" for w in label.TEMPLATE_WORDS)
+_SCORE = f"""CASE WHEN regexp_matches(line, '招标投标法|政府采购法|实施条例|财政部|87号令|94号令|38号文') THEN 3 ELSE 0 END + 2 * least(5, len(list_filter([{_WORDS}], lambda w: contains(line, w)))) + CASE WHEN length(line) >= 40 THEN 2 ELSE 0 END
++ CASE WHEN regexp_matches(line, '(第[一二三四五六七八九十\\p{{Nd}}]+[章节条]|^\\p{{Nd}}+[.、])') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(line, '(注[：:]|说明[：:]|注意[：:]|提示[：:])') THEN 1 ELSE 0 END"""
+
+
+@query(f"WITH {_LINES}, k AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents), n AS (SELECT lang, source, count(DISTINCT doc_id) AS docs FROM k GROUP BY ALL), s AS (SELECT lang, source, {_NORM.format('line')} AS norm, count(DISTINCT doc_id) AS has, count(*) AS frequency, max({_SCORE}) AS score FROM lines JOIN k USING (doc_id) WHERE length(line) >= 10 GROUP BY ALL) SELECT lang, source, sha256(norm)[1:16] AS hash_id, frequency, CAST(length(norm) AS INTEGER) AS length FROM s JOIN n USING (lang, source) WHERE (docs > 1 AND has = docs) OR (docs = 1 AND score >= 5)")
+def fingerprint_build_all(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by columns and groups of one template, where fingerprint_build has documents that begin alike."""
+    own = t(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
+    return label.fingerprints(own, ["lang", "source"], split=_line_list).select("lang", "source", "hash_id", "frequency", "length")
+
+
 def _prints(spark: SparkSession, d: str) -> DataFrame:
     own = t(spark, d, "benchmark").select(F.explode(F.split("text", "\n")).alias("text")).where("length(text) >= 10").distinct()
     return own.withColumn("hash_id", fn.text_hash("text"))

@@ -73,3 +73,16 @@ def test_all_cases_are_counted(spark):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
     assert got == tuple(c.sql(demo.SQL["case_counts_all"]).df().iloc[0])
     assert got[0] == spark.read.parquet(f"{d}/documents.parquet").count() == sum(got[1:])
+
+
+def test_fingerprints_of_groups_and_of_single_templates_give_their_sql(spark, tmp_path):
+    import duckdb
+
+    single = "第一条 投标文件应当密封并由投标人盖章\n87号令规定的公开要求如下所述\n天气很好我们去公园散步吧朋友\n12.投标须知说明：装订与签字格式"
+    rows = [(1, single, "zh", "a"), (2, "shared line of the two\nown line of the first", "en", "b"), (3, "own line of the second\nshared line of the two\nshared line of the two", "en", "b"), (4, "a lone line without any sign of a template", None, "c"), (5, "short", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in demo.QUERIES["fingerprint_build_all"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.sql(demo.SQL["fingerprint_build_all"]).df().itertuples(index=False, name=None))
+    assert [r[:2] for r in got].count(("zh", "a")) == 3 and [r[3] for r in got if r[0] == "en"] == [3]
