@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter, deque
 from dataclasses import dataclass, field
 
@@ -293,8 +294,13 @@ def main_text(page: str | None, weight: np.ndarray) -> str:
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
+def sampled_blocks(sure: list[int], page_id: int) -> list[int]:
+    """SAMPLE_BLOCKS of them at most, from all over the page: the first by a hash of their number, which differs by page."""
+    return sure if len(sure) <= SAMPLE_BLOCKS else sorted(sorted(sure, key=lambda i: (zlib.crc32(b"%d %d" % (page_id, i)), i))[:SAMPLE_BLOCKS])
+
+
 def fitted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> np.ndarray:
-    """Weights from at most `sample` pages (the first by a hash of the id), from blocks whose place leaves no doubt."""
+    """Weights from at most `sample` pages (the first by a hash of the id), from blocks whose place leaves no doubt, SAMPLE_BLOCKS of a page."""
     some = bounded_sample(pages.select(F.col(id_col).cast("long").alias("sample_id")).dropna().distinct(), sample, "sample_id")
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).where("html is not null").join(some, F.col("page_id") == F.col("sample_id")).select("page_id", "html")
 
@@ -302,7 +308,7 @@ def fitted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sa
         ids, xs, ys = [], [], []
         for page_id, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             blocks = blocks_of(page)
-            sure = [i for i, b in enumerate(blocks) if abs(b.place) >= PLACE][:SAMPLE_BLOCKS]
+            sure = sampled_blocks([i for i, b in enumerate(blocks) if abs(b.place) >= PLACE], page_id)
             x = looks(blocks) if blocks else None
             for i in sure:
                 ids.append(page_id)

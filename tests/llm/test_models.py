@@ -300,3 +300,15 @@ def test_odd_markup_takes_linear_time():
         html_text.main_text(page, html_text.UNFITTED)
     assert time.time() - began < 60
     assert [b.text for b in html_text.blocks_of("<p>a < b</p><p>c<a hr")] == ["a < b", "c"]
+
+
+def test_blocks_of_the_fit_come_from_the_whole_page(spark, monkeypatch):
+    page = "<html><body><article>" + "".join(f"<p>Sentence number {i} of the article.</p>" for i in range(150)) + "</article><footer>" + "".join(f"<p>Link {i}</p>" for i in range(100)) + "</footer></body></html>"
+    seen, real = [], html_text.fit
+    monkeypatch.setattr(html_text, "fit", lambda x, y: seen.append((x, y)) or real(x, y))
+    html_text.fitted(spark.createDataFrame([(i, page) for i in range(3)], "page_id long, html string"))
+    x, y = seen[0]
+    place = x[:, html_text.FEATURES.index("position")]
+    assert len(y) == 3 * html_text.SAMPLE_BLOCKS and 0 < y.sum() < len(y)
+    assert (place < 0.3).any() and (place > 0.8).any()
+    assert html_text.sampled_blocks([4, 7], 1) == [4, 7]
