@@ -2,11 +2,12 @@
 by temperature.
 
 A feature is a hashed n-gram of 1 to 3 letters of the lower-cased text (anything that is no letter is a word's edge): its share of the text's n-grams times its
-inverse document frequency. FTRL-proximal keeps a weight at zero until its summed gradient exceeds l1, with a rate of its own for each weight.
+inverse document frequency, counted over all labelled rows that may be learned from. FTRL-proximal keeps a weight at zero until its summed gradient exceeds l1, with a rate of its own for each weight.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import bounded_sample, fold_of, map_batches, table
+from auditlake.llm.common import Scratch, fold_of, map_batches, table
+from auditlake.session import ship
 
 BITS = 16
 ORDERS = 3
-#: Labelled rows that a model is learned from, at most.
+#: Labelled rows that a model is learned from: small languages whole, the others in equal parts, and LEAST of each at least.
 SAMPLE = 4_000
+LEAST = 50
 UNKNOWN = "und"
 SCALE = 20.0
 
@@ -111,29 +114,96 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return best[1]
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) -> Model | None:
-    """rows: (n-gram hashes, counts) of each text. A fifth calibrates."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], df: np.ndarray, total: int) -> Model | None:
+    """rows: (n-gram hashes, counts) of each text; df: in how many of `total` texts each n-gram stands. Every fifth row of a language calibrates."""
     if not rows:
         return None
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
-    df = np.zeros(1 << BITS)
-    for at, _ in rows:
-        df[at] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 0.1
+    idf = np.log((1 + total) / (1 + df)) + 0.1
     x = [(np.append(at, 1 << BITS), np.append(n * (SCALE / max(1, n.sum())) * idf[at], 1.0)) for at, n in rows]
-    hold = np.arange(len(rows)) % 5 == 4
+    hold = np.zeros(len(rows), bool)
+    for k in range(len(languages)):
+        hold[np.flatnonzero(y == k)[4::5]] = True
     learn = np.flatnonzero(~hold)
     weight, bias, losses = ftrl([x[i] for i in learn], y[learn], len(languages))
     t = temperature(np.array([v[:-1] @ weight[at[:-1]] + bias for at, v in (x[i] for i in np.flatnonzero(hold))]), y[hold]) if hold.any() else 1.0
     return Model(languages, (weight * idf[:, None]).astype(np.float32), bias, t, losses)
 
 
+def shares(held: dict[str, int], sample: int, least: int = LEAST) -> int:
+    """How many rows a language may have so that all together have `sample`, `least` at least."""
+    rest, left = sample, len(held)
+    for n in sorted(held.values()):
+        if n * left > rest:
+            break
+        rest, left = rest - n, left - 1
+    return max(least, rest // left if left else sample)
+
+
+def learnable(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, lang) -> one pass over all texts: (doc_id, lang) of each row with a letter, and rows (at, n) whose sum by `at` is the document frequency."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1 << BITS, np.int64)
+
+        def out(n: int, *columns: pa.Array | None) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else c for c, k in zip(columns, kinds, strict=True)], ["doc_id", "lang", "at", "n"])
+
+        for batch in batches:
+            keep = []
+            for i, x in enumerate(batch.column(1)):
+                text = x.as_py()
+                if has_letter(text):
+                    keep.append(i)
+                    df[np.unique(grams(text))] += 1
+            own = batch.select([0, 2]).take(pa.array(keep, pa.int64()))
+            yield out(len(keep), *own.columns, None, None)
+        at = np.flatnonzero(df)
+        yield out(len(at), None, None, pa.array(at.astype(np.int32)), pa.array(df[at]))
+
+    return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, at int, n long")
+
+
+def sampled(ids: DataFrame, sample: int) -> DataFrame:
+    """ids(label_id, label) -> of each language the first rows by a hash of the id, as many as `shares` gives. Executors leave out most rows by the hash alone."""
+    held = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
+    most = shares(held, sample)
+    span = 1 << 30
+    # a hash below `upto` has some more of a language than are wanted: six standard deviations and a few
+    upto = {x: min(span, int(span * (most + 6 * most**0.5 + 20) / n) + 1) for x, n in held.items()}
+    spark, order = ids.sparkSession, F.xxhash64("label_id")
+    limit = F.broadcast(spark.createDataFrame(list(upto.items()), "of string, upto long"))
+    rows = ids.withColumn("h", order).join(limit, F.col("label") == F.col("of")).where(F.pmod("h", F.lit(span)) < F.col("upto")).select("label_id", "label", "h").collect()
+    taken: dict[str, int] = {}
+    first = []
+    for r in sorted(rows, key=lambda r: (r.h % span, r.label_id)):
+        taken[r.label] = taken.get(r.label, 0) + 1
+        if taken[r.label] <= most:
+            first.append((r.label_id, r.label))
+    return F.broadcast(spark.createDataFrame(first, "label_id long, label string"))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, folds: int = 5) -> Model | None:
-    """From rows with a language and a letter whose fold is not 0: at most `sample` of them, the first by a hash of the id, whole texts. Executors count the
-    n-grams; the driver gets at most 2^BITS counts for each row. None without such rows."""
-    some = bounded_sample(docs.where(F.col(lang_col).isNotNull() & (fold_of(id_col, folds) != 0)).select(F.col(id_col).cast("long").alias("label_id")).distinct(), sample, "label_id")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null").join(some, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "lang")
+    """From rows with a language and a letter whose fold is not 0: about `sample` of them, whole texts; of each language the first by a hash of the id, all of a
+    small language and equal parts of the others, LEAST at least (so more than `sample` in all if there are very many languages). Probabilities are those of
+    languages in these parts. Document frequencies are of all such rows. Executors count the n-grams; the driver gets the frequencies and at most 2^BITS counts
+    for each sampled row. None without such rows."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "language-id")
+    usable = docs.where(F.col(lang_col).isNotNull() & (fold_of(id_col, folds) != 0)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null")
+    seen = scratch.keep(learnable(usable), "seen")
+    total = seen.where("at is null").count()
+    if not total:
+        scratch.drop()
+        return None
+    df = np.zeros(1 << BITS)
+    for at, n in seen.where("at is not null").groupBy("at").agg(F.sum("n")).collect():
+        df[at] = n
+    some = sampled(seen.where("at is null").select(F.col("doc_id").alias("label_id"), F.col("lang").alias("label")).distinct(), sample)
+    own = usable.join(some, (F.col("doc_id") == F.col("label_id")) & (F.col("lang") == F.col("label"))).select("doc_id", "text", "lang")
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
@@ -143,7 +213,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return pa.RecordBatch.from_arrays([*rows.columns, pa.array([a.astype(np.int32).tobytes() for a, _ in counted], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in counted], pa.binary())], ["doc_id", "lang", "at", "n"])
 
     got = map_batches(own, f, "doc_id long, lang string, at binary, n binary").toPandas().sort_values(["doc_id", "lang", "n"], kind="stable")
-    return fit([(np.frombuffer(a, np.int32), np.frombuffer(n, np.int32)) for a, n in zip(got["at"], got["n"], strict=True)], got["lang"].tolist())
+    scratch.drop()
+    return fit([(np.frombuffer(a, np.int32), np.frombuffer(n, np.int32)) for a, n in zip(got["at"], got["n"], strict=True)], got["lang"].tolist(), df, total)
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 import re
 from collections import Counter
 
@@ -142,6 +143,34 @@ def test_temperature_fits_the_odds():
 # WARC
 
 
+def test_rare_languages_are_learned_and_frequencies_cover_all(spark, monkeypatch):
+    rng = random.Random(8)
+    words = {"aa": ["alba", "lama", "bala"], "zz": ["zyx", "xyz", "yzzy"]}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(12))
+    rows = [(i, text("aa"), "aa") for i in range(600)] + [(i, None if i % 2 else "12 34", "aa") for i in range(600, 1500)] + [(i, text("zz"), "zz") for i in range(1500, 1506)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, real = [], language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda *a: seen.append(a) or real(*a))
+    m = language_id.train(docs, sample=5)
+    assert m.languages == ["aa", "zz"]
+    learned = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5 and x[1] and x[1][0].isalpha()]
+    rare = sum(x[2] == "zz" for x in learned)
+    labels, df, total = seen[0][1:]
+    assert 0 < rare < 20 and labels.count("zz") == rare and labels.count("aa") == language_id.LEAST
+    want = np.zeros(1 << language_id.BITS)
+    for x in learned:
+        want[np.unique(language_id.grams(x[1]))] += 1
+    assert total == len(learned) and (df == want).all()
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, m).collect()}
+    assert all(got[i] == lang for i, x, lang in rows if x and x[0].isalpha())
+
+
+def test_equal_parts_of_languages():
+    assert language_id.shares({"a": 10, "b": 5000, "c": 9000}, 4000) == 1995
+    assert language_id.shares({"a": 10, "b": 20}, 4000) >= 20
+    assert language_id.shares({str(i): 1000 for i in range(200)}, 4000) == language_id.LEAST
+
+
 def test_warc_round_trip_in_chunks(spark):
     rng = random.Random(3)
     big = "".join(rng.choice("ab é\r\n") for _ in range(5000))
