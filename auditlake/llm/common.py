@@ -34,7 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one, which then becomes the setting."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset under a local master (tests) a temporary one, which then becomes the setting. On a
+    cluster an unset folder is an error: each machine would write to a disk of its own."""
     try:
         found = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # unset
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = context.get() if context.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         made = tempfile.mkdtemp(prefix="auditlake-shared-")
         atexit.register(shutil.rmtree, made, True)
@@ -61,12 +64,20 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def partitions(self, name: str, size: int = 32 << 20) -> int:
+        """How many partitions a kept table makes at about so many written bytes each; as many as there are cores at least."""
+        fs, p = self._at(f"{self.path}/{name}")
+        return max(self.spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(p).getLength() // size))
+
     def drop(self, *names: str) -> None:
         """Removes tables of this call (all of it without names) by Spark's own file system."""
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in [f"{self.path}/{x}" for x in names] or [self.path]:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            fs, p = self._at(path)
+            fs.delete(p, True)
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
