@@ -2,8 +2,8 @@
 
 A row per document and distinct key (128-bit hash, doc_id, places of its lines) is range-partitioned by hash and doc_id and sorted by hash, then doc_id
 from the largest. So the rows of a hash stand in a run whose first document is the one that keeps its lines, and a task streams its run with a constant
-state. A very frequent hash is cut by its doc_ids into several partitions like anything else; what such a partition must know of its neighbours is the
-first document and the number of documents (3 are enough) of the hashes at its two edges: at most two rows per partition, which the driver joins.
+state. A very frequent hash is cut by its doc_ids into several partitions like anything else: what a partition cannot settle alone are the runs at its two edges, which
+come out as they are and are joined with the first document and the number of documents (3 are enough) of those hashes, two rows per partition.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,62 +56,68 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return column.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
-def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the first and the last hash of a partition: its largest document and its number of documents in it (up to MIN_DOCS)."""
-    first, last = None, None  # [h1, h2, largest, documents, last document]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h1, h2, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy(), ids_of(batch.column(2))
-        cut = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1
-        for a, b in dict.fromkeys(((0, int(cut[0]) if len(cut) else len(h1)), (int(cut[-1]) if len(cut) else 0, len(h1)))):
-            if last and (last[0], last[1]) == (h1[a], h2[a]):
-                last[3] = min(MIN_DOCS, last[3] + int((np.diff(np.concatenate(([last[4]], doc[a:b]))) != 0).sum()))
-                last[4] = doc[b - 1]
-            else:
-                first = first or last
-                last = [h1[a], h2[a], doc[a], min(MIN_DOCS, 1 + int((np.diff(doc[a:b]) != 0).sum())), doc[b - 1]]
-    for x in {id(x): x for x in (first, last) if x}.values():
-        yield pa.RecordBatch.from_pydict({"h1": pa.array([x[0]], pa.int64()), "h2": pa.array([x[1]], pa.int64()), "largest": pa.array([x[2]], pa.int64()), "documents": pa.array([x[3]], pa.int32())})
-
-
-def dropped(known: dict[tuple[int, int], tuple[int, int]], min_docs: int):
-    """Streams the sorted rows and lets through those whose lines go. known: hash -> (largest document, documents) of the hashes in several partitions."""
+GONE = f"{LINES}, documents int"
+
+
+def judged(min_docs: int):
+    """Streams the sorted rows of a partition (LINES) -> GONE, in one pass and with constant state.
+
+    A run that begins in the partition has its largest document first, so its rows are settled as they come once min_docs documents were seen: those whose lines go come
+    out without a hash. The first run of a partition may have begun in an earlier one and the last run may go on: their rows come out with their hash wherever they are
+    not settled, as does a row for each of the two (no places) with the largest document and the number of documents here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the run at the end of what was read, while it has too few documents to decide
-        settled: tuple[int, int, int] | None = None  # or its hash and largest document, once decided
+        held: pa.RecordBatch | None = None  # the rows of the open run, while it has too few documents to be settled
+        first: tuple[int, int] | None = None  # hash of the partition's first run
+        now: list | None = None  # the open run: hash, hash, largest, documents, last document
+
+        def out(batch: pa.RecordBatch, at: np.ndarray, named: bool) -> pa.RecordBatch:
+            rows = batch.take(pa.array(at))
+            none = pa.nulls(len(at), pa.int64())
+            return pa.RecordBatch.from_arrays([*(rows.columns[:2] if named else (none, none)), *rows.columns[2:], pa.nulls(len(at), pa.int32())], [*batch.schema.names, "documents"])
+
+        def summary(x: list) -> pa.RecordBatch:
+            largest = None if x[2] == np.iinfo(np.int64).min else int(x[2])
+            return pa.RecordBatch.from_pydict({"h1": pa.array([x[0]], pa.int64()), "h2": pa.array([x[1]], pa.int64()), "doc_id": pa.array([largest], pa.int64()), "row": pa.nulls(1, pa.int64()), "places": pa.nulls(1, pa.list_(pa.int32())), "documents": pa.array([x[3]], pa.int32())})
+
         for batch in batches:
             if held is not None:
-                batch = pa.concat_batches([held, batch])
-                held = None
+                batch, now, held = pa.concat_batches([held, batch]), None, None
             if not batch.num_rows:
                 continue
             h1, h2, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy(), ids_of(batch.column(2))
-            cut = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1
-            start = np.concatenate(([0], cut))
+            start = np.concatenate(([0], np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1))
             run_of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h1))))
-            new_doc = np.concatenate(([True], (doc[1:] != doc[:-1]) | (run_of[1:] != run_of[:-1])))
+            goes_on = now is not None and (now[0], now[1]) == (h1[0], h2[0])
+            new_doc = np.concatenate(([not goes_on or now[4] != doc[0]], (doc[1:] != doc[:-1]) | (run_of[1:] != run_of[:-1])))
             n = np.add.reduceat(new_doc.astype(np.int64), start)
             largest = doc[start].copy()
-            for i in {0, len(start) - 1}:  # only the runs at the edges of a partition go on in another
-                key = (int(h1[start[i]]), int(h2[start[i]]))
-                if settled and settled[:2] == key:
-                    largest[i], n[i] = settled[2], min_docs
-                elif key in known:
-                    largest[i], n[i] = known[key]
+            if goes_on:
+                largest[0], n[0] = now[2], now[3] + n[0]
+            if first is None:
+                first = (int(h1[0]), int(h2[0]))
+            leading = (h1 == first[0]) & (h2 == first[1])
+            if now is not None and not goes_on and tuple(now[:2]) == first:
+                yield summary(now)
+            if leading[0] and len(start) > 1:
+                yield summary([*first, largest[0], min(min_docs, int(n[0]))])
             end = len(start) - 1
-            key = (int(h1[-1]), int(h2[-1]))
-            if n[end] >= min_docs or key in known:
-                settled = (*key, int(largest[end])) if n[end] >= min_docs else None
-                stop = len(h1)
-            else:
-                settled, stop = None, int(start[end])
+            now = [int(h1[-1]), int(h2[-1]), largest[end], min(min_docs, int(n[end])), doc[-1]]
+            stop = len(h1)
+            if n[end] < min_docs and not leading[-1]:
+                stop = int(start[end])
                 held = batch.slice(stop)
-            go = np.flatnonzero((n[run_of] >= min_docs) & (doc != largest[run_of]))
+            if leading.any():
+                yield out(batch, np.flatnonzero(leading), True)
+            go = np.flatnonzero((n[run_of] >= min_docs) & (doc != largest[run_of]) & ~leading)
             go = go[go < stop]
             if len(go):
-                yield batch.select([2, 3, 4]).take(pa.array(go))
+                yield out(batch, go, False)
+        if now is not None:
+            yield summary(now)
+            if held is not None:
+                yield out(held, np.arange(held.num_rows), True)
 
     return run
 
@@ -130,13 +135,12 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # written first: a range partitioner samples its input, which would else hash every text twice
     lines = scratch.keep(keyed_lines(text.select("doc_id", F.xxhash64("text").alias("row"), "text"), min_chars), "lines")
     order = ["h1", "h2", F.col("doc_id").desc_nulls_last()]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = lines.repartitionByRange(n, *order).sortWithinPartitions(*order, "row").persist(StorageLevel.DISK_ONLY)
-    at_edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x in ordered.select("h1", "h2", "doc_id").mapInArrow(edges, "h1 long, h2 long, largest long, documents int").toLocalIterator():
-        at_edges.setdefault((x.h1, x.h2), []).append((x.largest, x.documents))
-    known = {k: (max(m for m, _ in v), min(min_docs, sum(d for _, d in v))) for k, v in at_edges.items() if len(v) > 1}
-    gone = ordered.mapInArrow(dropped(known, min_docs), "doc_id long, row long, places array<int>")
+    ordered = lines.repartitionByRange(scratch.partitions("lines"), *order).sortWithinPartitions(*order, "row")
+    found = scratch.keep(ordered.mapInArrow(judged(min_docs), GONE), "judged")
+    # two hashes of a partition at most, so a table as short as the list of partitions
+    edges = found.where("documents IS NOT NULL").groupBy("h1", "h2").agg(F.max("doc_id").alias("largest"), F.sum("documents").alias("n")).where(F.col("n") >= min_docs)
+    open_ = found.where("h1 IS NOT NULL AND documents IS NULL").join(F.broadcast(edges), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("largest")))
+    gone = found.where("h1 IS NULL").select("doc_id", "row", "places").union(open_.select("doc_id", "row", "places"))
     gone = gone.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -149,8 +153,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], ["doc_id", "row", "n_dropped", "keep"])
 
     out = scratch.keep(map_batches(gone, pack, "doc_id long, row long, n_dropped long, keep binary"), "bitmaps")
-    ordered.unpersist()
-    scratch.drop("lines")
+    scratch.drop("lines", "judged")
     return out
 
 
