@@ -2,11 +2,17 @@
 
 The page is cut into blocks of text. A classifier gives each block a score (log odds of being content): its capacity from the source (content) or to the sink. Blocks
 that follow each other, or that are neighbouring children of one element, are tied by a capacity that is larger the nearer they are in the tree. The minimum cut
-labels all blocks of the page at once. Blocks whose own capacity exceeds all their ties are settled first, which nearly always is every block; max-flow
-(shortest augmenting paths) decides the rest.
+labels all blocks of the page at once: a block that scores a little below zero amid the article stays, one that scores a little above amid a menu goes. Blocks whose own
+capacity exceeds all their ties are settled first; max-flow (shortest augmenting paths) decides the rest.
 
-The classifier has two parts. Where a block stands (elements, roles, words of class and id) counts by fixed log odds. What it looks like (length, links,
-punctuation, heading, list) counts by a logistic regression, fitted on the blocks of a bounded sample of pages whose place leaves no doubt.
+The classifier is one logistic regression over what a block looks like (length, links, punctuation, heading, list, position) and over the evidence of the elements around
+it: article or main, navigation, aside, header or footer, form, readers' remarks, words of class and id for and against. The nearest element with evidence counts in full, each further
+one half as much as the one before. Evidence against is void for an element around the article: for anything (but remarks) that holds a main element, and for a form or a word of class and id
+that holds an article or more than four fifths of the page's text. The weights start from PRIOR and are fitted on the blocks of a bounded sample of
+pages whose nearest evidence is one-sided; each of them is seen twice, once without its evidence, so that looks alone must do where a page has none.
+
+Null or empty html, or a page without content: empty text. Unclosed, crossed and cut-off markup is read roughly as browsers do; time and memory are linear in the page. Rows that repeat a
+page_id, or have none, are rows of their own, in the fit as in the result; equal pages give equal texts. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ import html
 import re
 import zlib
 from collections import Counter, deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +32,14 @@ from auditlake.llm.common import bounded_sample, map_batches, table
 
 #: Pages that the classifier is fitted on, at most; blocks of each that the driver gets, at most.
 SAMPLE, SAMPLE_BLOCKS = 400, 60
-PLACE = 6.0  # log odds of a place without doubt
-TIE = 1.0
-NEAR = 24  # ancestors that a block remembers; further ones add less than 2^-24 to a tie
+#: Capacity between neighbours of one parent; so much of it for each step between their parents in the tree.
+TIE, STEP = 1.0, 0.7
 
 # fixed values: elements by what they do to text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math head title textarea select option button iframe object canvas audio video datalist dialog".split())
+SILENT = frozenset("script style noscript template svg head title textarea select option iframe object canvas audio video datalist dialog".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("nav aside form menu fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # fixed values: roles and words of class and id
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tablist".split())
@@ -50,72 +54,114 @@ _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*
 _SENTENCE = re.compile(r"[.!?;:。！？]")
 
 
+#: What an element says of the blocks in it.
+NONE, ARTICLE, NAV, ASIDE, EDGE, FORM, REMARK, AGAINST, FOR = range(9)
+TAGS = {"article": ARTICLE, "main": ARTICLE, "nav": NAV, "menu": NAV, "aside": ASIDE, "header": EDGE, "footer": EDGE, "form": FORM, "fieldset": FORM}
+ROLES = {"main": ARTICLE, "article": ARTICLE, "navigation": NAV, "complementary": ASIDE, "banner": EDGE, "contentinfo": EDGE, "search": FORM, "form": FORM}
+
+
 @dataclass
 class Block:
     text: str
     tag: str
-    parent: int
-    depth: int
-    path: tuple[int, ...]  # the nearest ancestors, outer ones first
-    place: float
+    element: int
     linked: int = 0
 
 
+class Page:
+    """Elements of a page in order of their start tags (0: the page) with what they say, and its blocks of text."""
+
+    def __init__(self):
+        self.parent, self.depth, self.kind, self.tag = [0], [0], [NONE], [""]
+        self.blocks: list[Block] = []
+
+    def add(self, tag: str, kind: int, parent: int) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.kind.append(kind)
+        self.tag.append(tag)
+        return len(self.parent) - 1
+
+    def evidence(self) -> list[tuple[float, ...]]:
+        """For each element how much each kind of evidence weighs in it."""
+        n = len(self.parent)
+        size, article, main = [0] * n, [False] * n, [False] * n
+        for b in self.blocks:
+            size[b.element] += len(b.text)
+        for i in range(n - 1, 0, -1):
+            up, kind = self.parent[i], self.kind[i]
+            size[up] += size[i]
+            main[up] = main[up] or main[i] or (kind == ARTICLE and self.tag[i] != "article")
+            # an article in an aside or among remarks is a teaser or a remark
+            article[up] = article[up] or kind == ARTICLE or (article[i] and kind in (NONE, FORM, AGAINST, FOR))
+        none = (0.0,) * 9
+        out = [none] * n
+        for i in range(1, n):
+            kind, before = self.kind[i], out[self.parent[i]]
+            if kind == NONE:
+                void = True
+            elif kind in (ARTICLE, FOR):
+                void = before[REMARK] + before[ASIDE] + before[NAV] > 0
+            elif kind in (FORM, AGAINST):
+                void = main[i] or article[i] or 5 * size[i] > 4 * size[0]
+            else:
+                void = kind != REMARK and (main[i] or (self.tag[i] == "header" and before[ARTICLE] > 0))
+            out[i] = before if void else tuple(0.5 * x + (k == kind) for k, x in enumerate(before))
+        return out
+
+
+def words_say(value: str) -> int:
+    """REMARK, AGAINST or FOR by the last known word of each name in a class or an id; NONE if names disagree."""
+    said = set()
+    for name in value.split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+        if REMARKS.intersection(words):
+            return REMARK
+        said.add(next((AGAINST if w in BAD_WORDS else FOR for w in reversed(words) if w in BAD_WORDS or w in GOOD_WORDS), NONE))
+    said.discard(NONE)
+    return said.pop() if len(said) == 1 else NONE
+
+
+def element_says(tag: str, attributes: str) -> tuple[int, bool]:
+    """(kind of evidence, hidden)"""
+    kind, gone = TAGS.get(tag, NONE), False
+    if attributes and not attributes.isspace() and tag not in ("html", "body"):
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), "".join(values)
+            if name in ("class", "id"):
+                said = words_say(value)
+                if said == REMARK or kind == NONE or (kind == FOR and said == AGAINST):
+                    kind = said
+            elif name == "role":
+                role = value.strip().lower()
+                if role in ROLES or role in BAD_ROLES:
+                    kind = REMARK if kind == REMARK else ROLES.get(role, AGAINST)
+            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value)):
+                gone = True
+    return kind, gone
+
+
 @dataclass
 class _Open:
     tag: str
     key: int
-    place: float
-    fixed: bool
     silent: bool
-    remark: bool
 
 
-def _place(tag: str, attributes: str, up: _Open) -> tuple[float, bool, bool, bool]:
-    """Log odds of a place from its elements: (place, fixed for all below, silent, inside remarks of readers)."""
-    words: set[str] = set()
-    role, gone = "", False
-    if attributes and not attributes.isspace():
-        for name, *values in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), "".join(values).lower()
-            if name in ("class", "id"):
-                words.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", "".join(values)).lower()))
-            elif name == "role":
-                role = value
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                gone = True
-    silent = up.silent or tag in SILENT or gone
-    remark = up.remark or bool(words & REMARKS)
-    if up.fixed or remark:
-        return -PLACE, True, silent, remark
-    inside = up.place > 0
-    if tag in NEVER or role in BAD_ROLES or (tag in ("header", "footer") and not (inside and tag == "header")):
-        return -PLACE, True, silent, remark
-    if tag in ("article", "main") or role in ("main", "article"):
-        return PLACE, False, silent, remark
-    if words & BAD_WORDS and tag not in ("html", "body"):
-        good = bool(words & GOOD_WORDS)
-        return (up.place if good else -PLACE), False, silent, remark
-    if words & GOOD_WORDS and up.place >= 0 and tag not in ("html", "body"):
-        return max(up.place, PLACE / 2), False, silent, remark
-    return up.place, False, silent, remark
-
-
-def blocks_of(page: str) -> list[Block]:
+def read_page(page: str) -> Page:
     """Blocks of text in page order, entities decoded, white space made single. Unclosed and crossed elements are closed as browsers would roughly do."""
-    out: list[Block] = []
-    stack = [_Open("", 0, 0.0, False, False, False)]
+    out = Page()
+    stack = [_Open("", 0, False)]
     opened: Counter[str] = Counter()
-    seen, parts, linked = 0, [], 0
-    owner: tuple | None = None
+    parts, linked = [], 0
+    owner: tuple[str, int] | None = None
 
     def end() -> None:
         nonlocal parts, linked, owner
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tag, parent, depth, path, place = owner
-                out.append(Block(text, tag, parent, depth, path, place, min(linked, len(text))))
+                out.blocks.append(Block(text, *owner, min(linked, len(text))))
         parts, linked, owner = [], 0, None
 
     def close(k: int) -> None:
@@ -131,10 +177,10 @@ def blocks_of(page: str) -> list[Block]:
         if "&" in raw:
             raw = html.unescape(raw)
         if owner is None and not raw.isspace():
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCKS), 0)
-            owner = (stack[k].tag, stack[max(0, k - 1)].key, k, tuple(x.key for x in stack[max(0, k - NEAR) : k]), top.place)
+            x = next((x for x in reversed(stack) if x.tag in BLOCKS), stack[0])
+            owner = (x.tag, x.key)
         parts.append(raw)
-        if opened["a"]:
+        if opened["a"] or opened["button"]:
             linked += len(raw.strip())
 
     at, n = 0, len(page)
@@ -174,8 +220,8 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[i].tag in BLOCKS:
                     break
-        seen += 1
-        stack.append(_Open(tag, seen, *_place(tag, attributes, stack[-1])))
+        kind, gone = element_says(tag, attributes)
+        stack.append(_Open(tag, out.add(tag, kind, stack[-1].key), stack[-1].silent or gone or tag in SILENT))
         opened[tag] += 1
         if attributes.rstrip().endswith("/") and tag in ("svg", "path", "script"):
             close(len(stack) - 1)
@@ -187,51 +233,62 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ["bias", "log_words", "link_share", "marks", "heading", "item", "short", "position"]
+LOOKS = ["bias", "log_words", "link_share", "marks", "heading", "item", "short", "position"]
+EVIDENCE = ["article", "nav", "aside", "edge", "form", "remark", "against", "for"]
+FEATURES = [*LOOKS, *EVIDENCE]
+#: What the weights are before any page was seen: long, unlinked, punctuated text is content, and so is what stands in an article.
+PRIOR = np.array([-2.0, 1.0, -4.0, 1.0, 1.0, -1.0, -0.5, 0.0, 3.0, -4.0, -4.0, -4.0, -3.0, -6.0, -3.0, 1.5])
 
 
-def looks(blocks: list[Block]) -> np.ndarray:
+def features(page: Page) -> np.ndarray:
     """(blocks, FEATURES)"""
+    blocks, says = page.blocks, page.evidence()
     out = np.empty((len(blocks), len(FEATURES)))
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
-        out[i] = (1.0, np.log1p(words), b.linked / len(b.text), min(1.0, 10 * len(_SENTENCE.findall(b.text)) / len(b.text)), b.tag in HEADINGS, b.tag in ("li", "td", "th", "dd", "dt"), words < 5, (i + 0.5) / len(blocks))
+        out[i] = (1.0, np.log1p(words), b.linked / len(b.text), min(1.0, 10 * len(_SENTENCE.findall(b.text)) / len(b.text)), b.tag in HEADINGS, b.tag in ("li", "td", "th", "dd", "dt"), words < 5, (i + 0.5) / len(blocks), *says[b.element][1:])
     return out
 
 
-#: Where no sample can be fitted: long, unlinked, punctuated text is content.
-UNFITTED = np.array([-2.0, 1.0, -4.0, 1.0, 1.0, -1.0, -0.5, 0.0])
-
-
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton's method; both labels count alike. UNFITTED without both."""
+    """Logistic regression by Newton's method with a normal prior around PRIOR; both labels count alike. PRIOR itself without both."""
     if not len(y) or y.min() == y.max():
-        return UNFITTED
+        return PRIOR
+    bare = x.copy()
+    bare[:, len(LOOKS) :] = 0.0
+    x, y = np.concatenate((x, bare)), np.concatenate((y, y))
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    w = np.zeros(x.shape[1])
-    for _ in range(25):
+    w = PRIOR.copy()
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (share * (y - p)) - ridge * w
+        g = x.T @ (share * (y - p)) - ridge * (w - PRIOR)
         h = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
-        w += step
+        w = w + step * min(1.0, 2.0 / np.abs(step).max(initial=1e-9))
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def ties(blocks: list[Block]) -> dict[tuple[int, int], float]:
-    """Capacities between blocks: next in the page, and next child of the same parent; half as much for each step away in the tree."""
+def ties(page: Page) -> dict[tuple[int, int], float]:
+    """Capacities between blocks: next in the page, and next child of the same parent; STEP as much for each step between their parents in the tree (nothing
+    once that is below the precision of a capacity)."""
     out: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
-    for j, b in enumerate(blocks):
-        for i in {j - 1, last.get(b.parent, -1)} - {-1}:
-            a = blocks[i]
-            at = {x: k for k, x in enumerate(a.path)}
-            up = next((k for k, x in enumerate(reversed(b.path)) if x in at), None)
-            if up is not None:  # steps up from b, and down to a
-                out[i, j] = TIE * 0.5 ** (up + len(a.path) - 1 - at[b.path[-1 - up]])
-        last[b.parent] = j
+    parent, depth = page.parent, page.depth
+    ups = [parent[b.element] for b in page.blocks]
+    for j, up in enumerate(ups):
+        for i in {j - 1, last.get(up, -1)} - {-1}:
+            a, b, c = ups[i], up, TIE
+            while a != b and c > 1e-15:
+                if depth[a] >= depth[b]:
+                    a = parent[a]
+                else:
+                    b = parent[b]
+                c *= STEP
+            if a == b:
+                out[i, j] = c
+        last[up] = j
     return out
 
 
@@ -285,13 +342,24 @@ def min_cut(score: list[float], tie: dict[tuple[int, int], float]) -> list[bool]
     return [bool(label[i]) if label[i] is not None else i in before for i in range(n)]
 
 
+def labelled(page: str | None, weight: np.ndarray) -> list[tuple[str, float, bool]]:
+    """(text, score, whether the cut leaves it with the content) for each block."""
+    read = read_page(page) if page else Page()
+    if not read.blocks:
+        return []
+    score = (features(read) @ weight).tolist()
+    return [(b.text, v, k) for b, v, k in zip(read.blocks, score, min_cut(score, ties(read)), strict=True)]
+
+
 def main_text(page: str | None, weight: np.ndarray) -> str:
-    blocks = blocks_of(page) if page else []
-    if not blocks:
-        return ""
-    look = np.clip(looks(blocks) @ weight, -3, 3)
-    keep = min_cut([b.place + v for b, v in zip(blocks, look.tolist(), strict=True)], ties(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return "\n".join(text for text, _, kept in labelled(page, weight) if kept)
+
+
+def seeds(x: np.ndarray) -> np.ndarray:
+    """Labels of the blocks that the fit may see: 1 where the nearest evidence is an article, 0 where it is any against, -1 elsewhere."""
+    said = x[:, len(LOOKS) :]
+    near = said.argmax(axis=1)
+    return np.where(said.max(axis=1, initial=0) < 1, -1, np.where(near == 0, 1, np.where(near == EVIDENCE.index("for"), -1, 0)))
 
 
 def sampled_blocks(sure: list[int], page_id: int) -> list[int]:
@@ -300,25 +368,29 @@ def sampled_blocks(sure: list[int], page_id: int) -> list[int]:
 
 
 def fitted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> np.ndarray:
-    """Weights from at most `sample` pages (the first by a hash of the id), from blocks whose place leaves no doubt, SAMPLE_BLOCKS of a page."""
+    """Weights from at most `sample` pages (the first by a hash of the id), from blocks whose nearest evidence is one-sided, SAMPLE_BLOCKS of a page. A repeated id
+    stands for one of its pages (that of the least hash), so rows are bounded as ids are."""
     some = bounded_sample(pages.select(F.col(id_col).cast("long").alias("sample_id")).dropna().distinct(), sample, "sample_id")
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).where("html is not null").join(some, F.col("page_id") == F.col("sample_id")).select("page_id", "html")
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).where("html is not null").join(some, F.col("page_id") == F.col("sample_id"))
+    own = own.groupBy("page_id").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, xs, ys = [], [], []
         for page_id, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            blocks = blocks_of(page)
-            sure = sampled_blocks([i for i, b in enumerate(blocks) if abs(b.place) >= PLACE], page_id)
-            x = looks(blocks) if blocks else None
-            for i in sure:
+            read = read_page(page)
+            if not read.blocks:
+                continue
+            x = features(read)
+            y = seeds(x)
+            for i in sampled_blocks(np.flatnonzero(y >= 0).tolist(), page_id):
                 ids.append(page_id)
                 xs.append(x[i].tolist())
-                ys.append(int(blocks[i].place > 0))
+                ys.append(int(y[i]))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32())], ["page_id", "x", "y"])
 
     got = map_batches(own, f, "page_id long, x array<double>, y int").toPandas()
     if not len(got):
-        return UNFITTED
+        return PRIOR
     got["key"] = got["x"].map(tuple)
     got = got.sort_values(["page_id", "key", "y"], kind="stable")
     return fit(np.array(got["x"].tolist()), got["y"].to_numpy())
