@@ -7,6 +7,8 @@ the SHA-1 of the payload up to and including it, carried on from chunk to chunk.
 
 Of records with equal payloads, that with the smallest id is the response; the others are revisits: their HTTP headers with the length, the payload's digest and the
 id of the response, without the payload.
+
+A record's id is a UUID of its own, whatever page ids repeat or lack, so (record id, chunk number) is a key of the chunk table; the page's id is an extension field of the header.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import Scratch, table
@@ -32,8 +34,8 @@ SPLIT = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, begin long, end long, records long"
-CHUNKS = "record_id string, target_uri string, record_type string, refers_to string, declared_digest string, payload_bytes long, chunk_no int, offset long, data binary, digest string, last boolean"
-_URN = "urn:x-page:"
+CHUNKS = "record_id string, page_id long, target_uri string, record_type string, refers_to string, refers_to_page long, declared_digest string, payload_bytes long, chunk_no int, offset long, data binary, digest string, last boolean"
+PAGE_ID, REFERS_TO_PAGE = "X-Page-ID", "X-Refers-To-Page-ID"
 
 
 def base32_sha1(digest: bytes) -> str:
@@ -41,12 +43,21 @@ def base32_sha1(digest: bytes) -> str:
 
 
 def planned(pages: DataFrame, id_col: str, html_col: str, url_col: str, min_bytes: int) -> DataFrame:
-    """page_id, url, html, sha1 (hex), first (the response's id, null if the record is a response itself)."""
+    """page_id, url, html, sha1 (hex), record (UUID of a response that revisits refer to; null: any), revisit, first_page and first (page and UUID of a revisit's response).
+
+    The UUID of a response follows from its payload and page, so what refers to it need not see it. Rows that repeat a response's page and payload are responses
+    too: none of them can be told from the others, so their revisits name the page and the digest but no record (which the format leaves open).
+    """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("sha1", F.sha1("html"))
     size = F.octet_length("html")
-    firsts = own.where(size >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    both = own.join(firsts, "sha1", "left")
-    return both.select("page_id", "url", "html", "sha1", F.when((size >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")).alias("first"))
+    each = own.where(size >= min_bytes).groupBy("sha1", "page_id").agg(F.count("*").alias("n"))
+    firsts = each.groupBy("sha1").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")).alias("least"), F.sum("n").alias("n")).where("n > 1")
+    both = own.join(firsts.select("sha1", F.col("least.page_id").alias("least"), F.col("least.n").alias("times"), F.lit(True).alias("often")), "sha1", "left")
+    again = F.col("often").isNotNull() & (size >= min_bytes)
+    revisit = again & ~F.col("page_id").eqNullSafe(F.col("least"))
+    uuid_ = F.regexp_replace(F.md5(F.concat_ws(" ", "sha1", "least")), "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-5$3-8$4-$5")
+    named = F.when(again & (F.col("times") == 1), uuid_)
+    return both.select("page_id", "url", "html", "sha1", F.when(~revisit, named).alias("record"), revisit.alias("revisit"), F.when(revisit, F.col("least")).alias("first_page"), F.when(revisit, named).alias("first"))
 
 
 def header_value(x: str) -> str:
@@ -54,15 +65,17 @@ def header_value(x: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", x)
 
 
-def record_head(page_id: int | None, url: str | None, first: int | None, sha1: str, size: int, date: str) -> bytes:
+def record_head(record: str, page_id: int | None, url: str | None, revisit: bool, first_page: int | None, first: str | None, sha1: str, size: int, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <{_URN}{page_id}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{record}>", f"WARC-Date: {date}"]
+    if page_id is not None:
+        lines.append(f"{PAGE_ID}: {page_id}")
     if url is not None:
         lines.append(f"WARC-Target-URI: {header_value(url)}")
     lines.append(f"WARC-Payload-Digest: sha1:{base32_sha1(bytes.fromhex(sha1))}")
-    if first is not None:
-        lines += [f"WARC-Refers-To: <{_URN}{first}>", f"WARC-Profile: {PROFILE}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (size if first is None else 0)}"]
+    if revisit:
+        lines += [*([] if first is None else [f"WARC-Refers-To: <urn:uuid:{first}>"]), *([] if first_page is None else [f"{REFERS_TO_PAGE}: {first_page}"]), f"WARC-Profile: {PROFILE}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (0 if revisit else size)}"]
     return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + http
 
 
@@ -84,12 +97,12 @@ def write_archives(records: DataFrame, folder: str, date: str = DATE, level: int
                     fs.create_dir(base, recursive=True)
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     out = fs.open_output_stream(f"{base}/{path.rpartition('/')[2]}", compression=None)
-                page_id, url, sha1, first = (batch.column(c)[i].as_py() for c in (0, 1, 3, 4))
+                page_id, url, sha1, record, revisit, first_page, first = (batch.column(c)[i].as_py() for c in (0, 1, 3, 4, 5, 6, 7))
                 body = batch.column(2)[i].as_buffer()
                 body = memoryview(body) if body is not None else memoryview(b"")
                 z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                parts = [z.compress(record_head(page_id, url, first, sha1, len(body), date))]
-                if first is None:
+                parts = [z.compress(record_head(record or str(uuid.uuid4()), page_id, url, revisit, first_page, first, sha1, len(body), date))]
+                if not revisit:
                     for k in range(0, len(body), SLICE):
                         parts.append(z.compress(body[k : k + SLICE]))
                         if sum(map(len, parts)) > SLICE:
@@ -185,7 +198,8 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK, payload: bool = T
                 http = m.head()
                 size = http_bytes - sum(len(x.encode()) + 2 for x in http) - 2
                 declared = warc.get("warc-payload-digest", "").removeprefix("sha1:")
-                row = {"record_id": warc["warc-record-id"].strip("<>"), "target_uri": warc.get("warc-target-uri"), "record_type": warc["warc-type"], "refers_to": warc.get("warc-refers-to", "").strip("<>") or None, "declared_digest": declared, "payload_bytes": int(fields(http[1:])["content-length"])}
+                page, of = (int(x) if (x := warc.get(name.lower())) else None for name in (PAGE_ID, REFERS_TO_PAGE))
+                row = {"record_id": warc["warc-record-id"].strip("<>"), "page_id": page, "refers_to_page": of, "target_uri": warc.get("warc-target-uri"), "record_type": warc["warc-type"], "refers_to": warc.get("warc-refers-to", "").strip("<>") or None, "declared_digest": declared, "payload_bytes": int(fields(http[1:])["content-length"])}
                 sha, at, k = hashlib.sha1(), 0, 0
                 for data in m.body(size, chunk_bytes) if size else [b""]:
                     sha.update(data)
@@ -196,7 +210,7 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK, payload: bool = T
                     yield row | {"chunk_no": k, "offset": at, "data": data if payload else None, "digest": digest, "last": last}
                     at, k = at + len(data), k + 1
 
-    kinds = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("declared_digest", pa.string()), ("payload_bytes", pa.int64()), ("chunk_no", pa.int32()), ("offset", pa.int64()), ("data", pa.binary()), ("digest", pa.string()), ("last", pa.bool_())])
+    kinds = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("refers_to_page", pa.int64()), ("declared_digest", pa.string()), ("payload_bytes", pa.int64()), ("chunk_no", pa.int32()), ("offset", pa.int64()), ("data", pa.binary()), ("digest", pa.string()), ("last", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -224,15 +238,11 @@ def archive(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
     return scratch.keep(write_archives(planned(pages, id_col, html_col, url_col, min_bytes), folder or f"{scratch.path}/archives"), "manifest")
 
 
-def page_of(urn: Column) -> Column:
-    return F.substring_index(urn, ":", -1).try_cast("long")
-
-
 def op1_warc_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = archive(table(spark, sf_dir, "pages"))
     n = manifest.count()
     chunks = read_chunks(manifest.repartition(max(1, n)), payload=False).where("last")
-    return chunks.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+    return chunks.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to_page").alias("refers_to"))
 
 
 OP1_SQL = """
