@@ -181,29 +181,44 @@ def test_warc_round_trip_in_chunks(spark):
     for r in warc.read_chunks(manifest, chunk_bytes=512).collect():
         got.setdefault(r.record_id, []).append(r)
     assert sum(r.records for r in manifest.collect()) == 7 == len(got)
-    html = {f"urn:x-page:{i}": (x or "").encode() for i, _, x in rows}
-    for k, chunks in got.items():
+    html = {i: (x or "").encode() for i, _, x in rows}
+    for chunks in got.values():
         chunks.sort(key=lambda r: r.chunk_no)
+        own = html[chunks[0].page_id]
         if chunks[0].record_type == "response":
-            assert b"".join(r.data for r in chunks) == html[k] and all(len(r.data) <= 512 for r in chunks)
+            assert b"".join(r.data for r in chunks) == own and all(len(r.data) <= 512 for r in chunks)
             sha = hashlib.sha1()
             for r in chunks:
                 assert r.offset == sum(len(c.data) for c in chunks[: r.chunk_no])
                 sha.update(r.data)
                 assert r.digest == base64.b32encode(sha.digest()).decode()
-        assert [r.last for r in chunks] == [False] * (len(chunks) - 1) + [True] and chunks[0].payload_bytes == len(html[k])
-    kinds = {k: (c[0].record_type, c[0].refers_to) for k, c in got.items()}
-    assert kinds["urn:x-page:1"] == ("response", None) and kinds["urn:x-page:2"] == ("revisit", "urn:x-page:1") == kinds["urn:x-page:None"]
-    assert kinds["urn:x-page:5"] == ("revisit", "urn:x-page:4") and kinds["urn:x-page:3"][0] == "response"
+        assert [r.last for r in chunks] == [False] * (len(chunks) - 1) + [True] and chunks[0].payload_bytes == len(own)
+    kinds = {c[0].page_id: (c[0].record_type, c[0].refers_to_page) for c in got.values()}
+    assert kinds[1] == ("response", None) and kinds[2] == ("revisit", 1) == kinds[None]
+    assert kinds[5] == ("revisit", 4) and kinds[3][0] == "response"
+    assert all(got[c[0].refers_to][0].page_id == c[0].refers_to_page for c in got.values() if c[0].refers_to)
     assert warc.read_chunks(warc.archive(pages.limit(0))).count() == 0
     whole = warc.read_chunks(warc.archive(pages, min_bytes=5)).where("last").groupBy("record_type").count().collect()
     assert {r.record_type: r["count"] for r in whole} == {"response": 7}
 
 
+def test_records_of_repeated_and_missing_page_ids(spark):
+    rows = [(1, "u", "same", 0, "a"), (1, "u", "same", 0, "a"), (1, "v", "other", 1, None), (2, "u", "same", 0, "a"), (8, "u", "twice", 0, "a"), (9, "u", "twice", 0, "a"), (None, "u", "alone", 2, "b"), (None, "u", "alone", 2, "b"), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, chunk_no int, RECORD string").repartition(3)
+    got = warc.read_chunks(warc.archive(pages), chunk_bytes=2).collect()
+    assert len({(r.record_id, r.chunk_no) for r in got}) == len(got)
+    texts = {}
+    for r in sorted(got, key=lambda r: r.chunk_no):
+        texts.setdefault(r.record_id, []).append(r)
+    whole = sorted((str(c[0].page_id), c[0].record_type, str(c[0].refers_to_page), b"".join(r.data for r in c)) for c in texts.values())
+    assert whole == sorted([("1", "response", "None", b"same")] * 2 + [("1", "response", "None", b"other"), ("2", "revisit", "1", b""), ("8", "response", "None", b"twice"), ("9", "revisit", "8", b"")] + [("None", "response", "None", b"alone")] * 2 + [("None", "response", "None", b"")])
+    assert [texts[c[0].refers_to][0].page_id for c in texts.values() if c[0].refers_to] == [8]  # 1 stands twice, so no record of it is named
+
+
 def test_a_changed_archive_is_an_error(spark, tmp_path):
     import gzip
 
-    head = warc.record_head(1, "u", None, hashlib.sha1(b"abc").hexdigest(), 3, warc.DATE)
+    head = warc.record_head("x", 1, "u", False, None, None, hashlib.sha1(b"abc").hexdigest(), 3, warc.DATE)
     (tmp_path / "x.warc.gz").write_bytes(gzip.compress(head + b"abd\r\n\r\n"))
     size = (tmp_path / "x.warc.gz").stat().st_size
     m = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", 0, size, 1)], warc.MANIFEST)
@@ -252,9 +267,69 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text():
-    assert html_text.main_text(PAGE, html_text.UNFITTED) == "One & two\nFirst line.\nSecond <line> é."
+    assert html_text.main_text(PAGE, html_text.PRIOR) == "One & two\nFirst line.\nSecond <line> é."
     for odd in (None, "", "plain", "<", "<p", "<<<>>>", "<a href='", "<script>x", "</p></div>", "<!-- x", "&amp", "\x00<p>퟿"):
-        assert isinstance(html_text.main_text(odd, html_text.UNFITTED), str)
+        assert isinstance(html_text.main_text(odd, html_text.PRIOR), str)
+
+
+LONG = "A sentence of the article, long enough to be read, which says one thing and then another."
+NAVIGATION = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Contact</a></li></ul>'
+WANT = f"Title of it\n{LONG}\nYes.\n{LONG}"
+BODY = f"<h1>Title of it</h1><p>{LONG}</p><p>Yes.</p><p>{LONG}</p>"
+COMMENTS = f'<div id="comments"><article class="x"><p>I read it twice. {LONG}</p></article><p>{LONG} Me too.</p></div>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><nav>{NAVIGATION}</nav><article>{BODY}</article><footer>(c) 2020</footer></body>",
+        f'<form action="x" id="aspnetForm"><div class="menu">{NAVIGATION}</div><article>{BODY}</article><div class="footer">(c) 2020</div></form>',  # a form around all of it
+        f'<form><div id="nav">{NAVIGATION}</div><div>{BODY * 3}</div></form>',
+        f'<div class="legal"><article>{BODY}</article></div>',  # a wrapper with a word against
+        f'<nav>{NAVIGATION}</nav><div class="legal">{BODY * 3}</div>',
+        f'<article><h1>Title of it</h1><p>{LONG}</p><p>Yes.</p><div class="read-more-block"><p>{LONG}</p></div></article>',
+        f'<main><div class="ad">Buy now, buy it cheap.</div><article>{BODY}{COMMENTS}</article></main><aside><article><p>{LONG} Teaser.</p></article></aside>',
+        f"<nav>{NAVIGATION}</nav><div><div>{BODY * 2}</div></div><div>{NAVIGATION}</div>",  # no evidence around the text
+        f'<header><h2>The site</h2>{NAVIGATION}</header><div role="main"><header>Title of it</header><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div><div role="contentinfo">{LONG}</div>',
+        f'<div class="cookie-notice">We use cookies on this site. {LONG}</div><div class="post">{BODY * 2}</div><div class="share-buttons"><button>Share</button></div>',
+    ],
+)
+def test_main_text_of_many_layouts(page):
+    times = next(n for n in (3, 2, 1) if page.count("Yes.") == n)
+    assert html_text.main_text(page, html_text.PRIOR) == "\n".join([WANT] * times)
+
+
+def test_inline_elements_keep_their_text():
+    page = "<article><p>Let <math><mi>x</mi> = 1</math> and press <button>OK</button> to see <select><option>none</option></select>what it is, at once.</p></article>"
+    assert html_text.main_text(page, html_text.PRIOR) == "Let x = 1 and press OK to see what it is, at once."
+
+
+def test_the_cut_overrules_the_classifier():
+    """Blocks whose own score says one thing and whose neighbours another."""
+    page = f"<div><p>{LONG}</p><p>{LONG}</p><p>So it is.</p><p>{LONG}</p><p>{LONG}</p></div><div>{NAVIGATION}</div>"
+    got = html_text.labelled(page, html_text.PRIOR)
+    short = next(x for x in got if x[0] == "So it is.")
+    assert short[1] < 0 and short[2]
+    assert [x[2] for x in got] == [True] * 5 + [False] * 3
+
+
+def test_words_of_class_and_id():
+    said = {"main-nav": html_text.AGAINST, "content-sidebar": html_text.AGAINST, "post content": html_text.FOR, "article-comments": html_text.REMARK, "post footer": html_text.NONE, "x y": html_text.NONE, "mainContent": html_text.FOR}
+    assert {k: html_text.words_say(k) for k in said} == said
+
+
+def test_pages_that_repeat_and_clash(spark):
+    page = f"<nav>{NAVIGATION}</nav><article>{BODY}</article>"
+    rows = [(1, "u", page, "a", 1), (1, "u", page, "a", 1), (1, "v", "<article><p>Other.</p></article>", "b", 2), (None, None, page, None, None), (2, "u", None, "c", 3), (3, "u", "", "c", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, N_CHARS int")
+    got = sorted((str(r.page_id), r.url or "", r.text) for r in html_text.extracted(pages, html_text.fitted(pages)).collect())
+    assert got == sorted([("1", "u", WANT), ("1", "u", WANT), ("1", "v", "Other."), ("None", "", WANT), ("2", "u", ""), ("3", "u", "")])
+    assert html_text.extracted(pages.limit(0), html_text.fitted(pages.limit(0))).count() == 0
+
+
+def test_long_pages_stay_whole():
+    page = f"<nav>{NAVIGATION}</nav><article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    assert html_text.main_text(page, html_text.PRIOR) == "\n".join([LONG] * 20_000)
 
 
 def test_pages_of_the_data(spark):
@@ -281,23 +356,66 @@ def test_rates_reach_the_targets(spark):
     assert (got.rate >= 0).all() and len(got) == 1000 and words.sum() == pytest.approx(got.n_words.sum(), rel=1e-3)
 
 
-def test_projected_gradient_equals_a_plain_solver(spark):
+def plain_gap(n, p, target, tries=3000):
+    """Least whitened square distance of the totals from the target over r >= 0, by coordinate descent."""
+    a = p.T * n
+    white = np.linalg.pinv((p * n[:, None]).T @ p, rcond=1e-10)
+    r, off = np.ones(len(n)), a.sum(axis=1) - target
+    for _ in range(tries):
+        for i in range(len(n)):
+            new = max(0.0, r[i] - (a[:, i] @ white @ off) / (a[:, i] @ white @ a[:, i]))
+            off += a[:, i] * (new - r[i])
+            r[i] = new
+    return off @ white @ off, white
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.85, "b": 0.1, "c": 0.05}, {"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 0.6, "b": 0.3, "c": 0.1}])
+def test_projected_gradient_equals_a_plain_solver(spark, targets):
     rng = np.random.default_rng(3)
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
     n = rng.integers(1, 100, 200)
-    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n long, p array<double>")
-    steps, now, target = mixing.fit_rates(df, ["a", "b", "c"], {"a": 0.85, "b": 0.1, "c": 0.05}, "n", "p")
-    r = mixing.rates(p, steps)
-    assert (r == 0).any() and np.allclose((n * r) @ p, target, rtol=1e-4) and np.allclose(now, target, rtol=1e-4)
-    # a domain that nothing belongs to has no rates that reach it
-    steps, now, target = mixing.fit_rates(df, ["a", "b", "c"], {}, "n", "p")
-    assert len(steps) == 0
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n long, p array<double>").repartition(3)
+    fit = mixing.fit_rates(df, ["a", "b", "c"], targets, "n", "p")
+    r = mixing.rates(p, fit.steps)
+    weight = np.array([targets.get(d, 0.0) for d in "abc"])
+    target = n.sum() * weight / weight.sum()
+    assert np.allclose(fit.target, target) and np.allclose((n * r) @ p, fit.reached) and (r >= 0).all()
+    least, white = plain_gap(n, p, target, 300)
+    off = (n * r) @ p - target
+    assert off @ white @ off <= 1.02 * least + 1e-6 * n.sum() and fit.close == (np.abs(off).max() <= mixing.CLOSE * n.sum())
+
+
+def test_mixing_without_targets_or_with_targets_out_of_reach(spark):
+    df = spark.createDataFrame([(10, [0.9, 0.1]), (5, [0.8, 0.2])], "n long, p array<double>")
+    fit = mixing.fit_rates(df, ["a", "b"], {}, "n", "p")
+    assert len(fit.steps) == 0 and fit.close
+    fit = mixing.fit_rates(df, ["a", "b"], {"b": 1.0}, "n", "p")
+    p, n = np.array([[0.9, 0.1], [0.8, 0.2]]), np.array([10, 5])
+    white = np.linalg.inv((p * n[:, None]).T @ p)
+    gap = lambda r: ((n * r) @ p - [0, 15]) @ white @ ((n * r) @ p - [0, 15])
+    least = min(gap(np.array([x, y])) for x in np.linspace(0, 3, 61) for y in np.linspace(0, 6, 601))
+    r = mixing.rates(p, fit.steps)
+    assert not fit.close and (r >= 0).all() and gap(r) <= 1.1 * least
+    assert mixing.fit_rates(df.limit(0), ["a", "b"], {"a": 1.0}, "n", "p").close
 
 
 def test_mixing_without_labels_or_rows(spark):
     own = docs(spark, [(1, "a b"), (None, None)], "")
-    out, domains = mixing.mixed(own, spark.createDataFrame([], "doc_id long, domain string"))
-    assert domains == [] and sorted(r.n_words for r in out.collect()) == [0, 2] and {r.rate for r in out.collect()} == {1.0}
+    out, fit = mixing.mixed(own, spark.createDataFrame([], "doc_id long, domain string"))
+    assert fit.domains == [] and sorted(r.n_words for r in out.collect()) == [0, 2] and {r.rate for r in out.collect()} == {1.0}
+
+
+def test_mixing_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(i, "the clean text of a document " * 9 if i % 2 else "you idiot you moron " * 9, 5, None, None) for i in range(40)]
+    rows += [(1, rows[1][1], 6, "x", 2.0), (1, rows[1][1], 6, "x", 2.0), (None, None, None, None, None), (50, "", 1, None, None)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, N_WORDS int, posterior string, rate double")
+    labelled = spark.createDataFrame([(i, "clean" if i % 2 else "toxic") for i in range(40)], "doc_id long, domain string")
+    out, fit = mixing.mixed(own, labelled, {"clean": 0.5, "toxic": 0.5})
+    assert out.columns == ["doc_id", "text", "N_WORDS", "posterior", "rate", "_n_words", "_posterior", "_rate"]
+    got = out.collect()
+    assert len(got) == len(rows) and len({r._rate for r in got if r.doc_id == 1}) == 1
+    assert [r._n_words for r in got if r.text in (None, "")] == [0, 0] and fit.domains == ["clean", "toxic"]
+    assert mixing.mixed(own.limit(0), labelled)[0].count() == 0
 
 
 # the pipeline
@@ -326,9 +444,9 @@ def test_odd_markup_takes_linear_time():
 
     began = time.time()
     for page in ("<a " * 100_000, "< " * 100_000, "<p>x" * 20_000, "<div>" * 20_000 + "x", "&amp;" * 50_000, "<b>" * 30_000 + "y</i>" * 30_000, "<div>x" * 20_000, "<div><p>x</div>" * 20_000):
-        html_text.main_text(page, html_text.UNFITTED)
+        html_text.main_text(page, html_text.PRIOR)
     assert time.time() - began < 60
-    assert [b.text for b in html_text.blocks_of("<p>a < b</p><p>c<a hr")] == ["a < b", "c"]
+    assert [b.text for b in html_text.read_page("<p>a < b</p><p>c<a hr").blocks] == ["a < b", "c"]
 
 
 def test_blocks_of_the_fit_come_from_the_whole_page(spark, monkeypatch):
