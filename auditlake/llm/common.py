@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
 import numpy as np
@@ -53,11 +54,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[Scratch] = []
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Whatever operators keep inside the block goes at its end: for steps whose result is written inside it."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for scratch in _made[first:]:
+            scratch.drop()
+        del _made[first:]
+
+
 class Scratch:
     """Tables of one call in the shared folder. A written table cuts the lineage: what is read back survives lost executors and is never computed again."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/auditlake/{what}-{uuid.uuid4().hex}"
+        _made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import LOWER, SPACE, Scratch, Tokens, binary_array, map_batches, mix, utf8, windows
+from auditlake.llm.common import LOWER, SPACE, Scratch, Tokens, binary_array, free_name, map_batches, mix, utf8, windows
 from auditlake.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -168,7 +168,7 @@ def rest_links(scratch: Scratch, members: DataFrame, texts: DataFrame, roots: Da
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept, class_size.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, class_size, and text_key (SHA-256 of the text) and root (a key of the component), which deduplicated() reads.
 
     Rows of equal sets are one class (class_size rows). component_id: the smallest doc_id among the rows reachable by links; kept: doc_id = component_id.
     Null or empty text, or text without words: n_shingles 0, linked with nothing, component_id = doc_id, kept. Rows that repeat a doc_id stay separate rows,
@@ -200,15 +200,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     whole = classes.select("node", "class_size", F.col("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = whole.join(smallest, "root").select("node", "class_size", "component_id")
-    out = every.drop("bands", "text_key").join(labels, "node", "left")
+    labels = whole.join(smallest, "root").select("node", "class_size", "component_id", "root")
+    out = every.drop("bands").join(labels, "node", "left")
     # with n_shingles 0 there is no class
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    out = scratch.keep(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size")), "out")
+    out = scratch.keep(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_key", "root"), "out")
     scratch.drop("rows", "classes", "members", "texts", "links", "roots", "labelled", "more")
     return out
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (null ids are above all others) and, of several texts of that id, with the smallest SHA-256.
+
+    Of rows that repeat id and text one stays, whichever. Rows without words are linked with nothing, so all of them stay. Columns stay as they are; an empty table stays empty.
+    """
+    id_, key = free_name(docs, "_dedup_id", "_dedup_key")
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    found = near_duplicates(docs, id_col, text_col, k, percent).where("root IS NOT NULL")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    first = first.select(name(F.col("first.doc_id")).alias(id_), F.col("first.text_key").alias(key))
+    text = F.col(text_col).cast("string")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.where(worded).withColumn(id_, name(F.col(id_col).cast("long"))).withColumn(key, F.unhex(F.sha2(text, 256)))
+    return own.join(first, [id_, key], "left_semi").dropDuplicates([id_, key]).select(docs.columns).union(docs.where(~worded))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, k=4).select("doc_id", "n_shingles", "component_id", "kept")

@@ -100,6 +100,18 @@ def test_near_duplicates_among_repeated_and_null_ids(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(12)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+    whole, near, other = " ".join(text), " ".join([*text[:-1], "x"]), " ".join(f"v{rng.randrange(10**6)}" for _ in range(50))
+    rows = [(1, whole, 1), (1, whole, 2), (1, near, 3), (2, near, 4), (1, other, 5), (None, other, 6), (None, whole, 7), (None, "alone in the world of texts", 8), (None, "alone in the world of texts", 9), (3, "", 1), (3, "", 1), (None, None, 1), (4, " \t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ROOT int")
+    got = sorted(((r.doc_id, r.text) for r in near_dedup.deduplicated(docs).collect()), key=repr)
+    first = min(whole, near, key=lambda x: hashlib.sha256(x.encode()).digest())
+    assert got == sorted([(1, first), (1, other), (None, "alone in the world of texts"), (3, ""), (3, ""), (None, None), (4, " \t")], key=repr)
+    assert near_dedup.deduplicated(docs).columns == ["doc_id", "text", "ROOT"] and near_dedup.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_sketch_fills_every_bin_and_estimates(spark):
     rng = np.random.default_rng(0)
     a = np.unique(common.mix(rng.integers(0, 2**62, 400).astype(np.uint64)))
