@@ -197,14 +197,14 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, spans (runs of hit words, [start, end) by number of word), items (sorted ids of the items with windows in it).
+    """One row per row of docs: doc_id, row (xxhash64 of the text, empty for null), n_words, spans (runs of hit words, [start, end) by number of word), items (sorted ids of the items with windows in it).
 
     Null or empty text has no words and no hits. An item without words is nothing; a null item id marks words but is in no list; a repeated one counts once.
     Rows that repeat a doc_id stay rows of their own. An empty benchmark hits nothing. Columns with other names are ignored, as are clashing ones.
     """
     spark = docs.sparkSession
     words = item_words(benchmark, item_col, item_text_col)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     if (words.agg(F.sum("n")).first()[0] or 0) > broadcast_words:
         return by_join(text, words)
     items = [(r["item"], np.array(r.word, np.int64).view(np.uint64)) for r in words.select("item", "word").collect()]
@@ -215,13 +215,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         t = Tokens(LOWER[raw], at, NOT_ALNUM)
         found = {i: (flags_to_spans(hit), sorted(own)) for i, hit, own in block.value.hits(t)} if block.value is not None else {}
         rows = range(batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(t.first)), pa.array([found.get(i, ([], []))[0] for i in rows], SPANS), pa.array([found.get(i, ([], []))[1] for i in rows], pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(t.first)), pa.array([found.get(i, ([], []))[0] for i in rows], SPANS), pa.array([found.get(i, ([], []))[1] for i in rows], pa.list_(pa.int64()))], ["doc_id", "row", "n_words", "spans", "items"])
 
-    return map_batches(text, scan, f"doc_id long, n_words long, {HITS}")
+    return map_batches(text, scan, f"doc_id long, row long, n_words long, {HITS}")
 
 
 def by_join(text: DataFrame, words: DataFrame) -> DataFrame:
-    """contamination() for a benchmark of any size. text(doc_id, text); words as item_words()."""
+    """contamination() for a benchmark of any size. text(doc_id, text, row); words as item_words()."""
     spark = text.sparkSession
     scratch = Scratch(spark, "decontamination")
     words = scratch.keep(words, "words")
@@ -257,7 +257,7 @@ def by_join(text: DataFrame, words: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32()), hits)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(t.first)), lists], ["doc_id", "row", "n_words", "hits"])
 
-    every = scratch.keep(map_batches(text.withColumn("row", F.xxhash64("text")), scan, "doc_id long, row long, n_words long, hits array<struct<w1:long,w2:long,span:int,at:int>>"), "scanned")
+    every = scratch.keep(map_batches(text, scan, "doc_id long, row long, n_words long, hits array<struct<w1:long,w2:long,span:int,at:int>>"), "scanned")
     hits = every.select("doc_id", "row", F.explode("hits").alias("h")).select("doc_id", "row", "h.*")
     key = ["w1", "w2", "span"]
     marks = hits.join(known.select(key).distinct(), key, "left_semi").groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "span")).alias("marks"))
@@ -269,16 +269,16 @@ def by_join(text: DataFrame, words: DataFrame) -> DataFrame:
 
     def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = []
-        for n, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for n, marks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             flag = np.zeros(n + 1, np.int64)
             for m in marks or []:
                 flag[m["at"]] += 1
                 flag[m["at"] + m["span"]] -= 1
             spans.append(flags_to_spans(np.cumsum(flag[:n]) > 0))
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, SPANS), batch.column(3)], ["doc_id", "n_words", "spans", "items"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, SPANS), batch.column(4)], ["doc_id", "row", "n_words", "spans", "items"])
 
-    out = out.select("doc_id", "n_words", "marks", F.coalesce("found", F.array().cast("array<long>")).alias("found"))
-    return map_batches(out, joined, f"doc_id long, n_words long, {HITS}")
+    out = out.select("doc_id", "row", "n_words", "marks", F.coalesce("found", F.array().cast("array<long>")).alias("found"))
+    return map_batches(out, joined, f"doc_id long, row long, n_words long, {HITS}")
 
 
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

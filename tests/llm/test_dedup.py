@@ -338,6 +338,11 @@ def test_winnowing_with_empty_tables(spark):
     r = decontaminate.contamination(docs, none).first()
     assert (r.n_words, r.spans, r["items"]) == (3, [], [])
     assert decontaminate.contamination(docs.limit(0), none).count() == 0
+    some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    odd = spark.createDataFrame([(1, "a b", 0, "x"), (1, "c d", 0, "x"), (None, "A, B!", 1, "y"), (None, None, 1, "y")], "doc_id long, text string, N_WORDS int, items string")
+    for most in (10, 0):
+        got = sorted(((r.doc_id, r.n_words, len(r.spans), r["items"]) for r in decontaminate.contamination(odd, some, broadcast_words=most).collect()), key=repr)
+        assert got == sorted([(1, 2, 1, [1]), (1, 2, 0, []), (None, 2, 1, [1]), (None, 0, 0, [])], key=repr)
 
 
 def test_every_shared_span_has_a_shared_fingerprint():
