@@ -75,9 +75,9 @@ def fingerprints(templates: DataFrame, group: list[str], singles: bool = True, s
     """LAB-1 / SET-1: templates(doc_id, text, *group) -> (*group, hash_id, normalized, text, frequency, length): sentences that all templates of a group have; of a
     group of one template those with template_score of 5 at least."""
     each = templates.select("doc_id", *group, F.posexplode(split("text")).alias("_at", "sentence")).withColumn("normalized", normalized("sentence"))
-    docs = templates.groupBy(*group).agg(F.countDistinct("doc_id").alias("_docs"))
+    docs = templates.groupBy(*group).agg(F.countDistinct("doc_id").alias("_docs"))  # grows with the groups: the planner chooses the join
     own = each.groupBy(*group, "normalized").agg(F.countDistinct("doc_id").alias("_in"), F.count("*").alias("frequency"), F.min(F.struct("doc_id", "_at", "sentence")).alias("_first"), F.max(template_score("sentence")).alias("_score"))
-    kept = own.join(F.broadcast(docs), group).where(((F.col("_docs") > 1) & (F.col("_in") == F.col("_docs"))) | ((F.col("_docs") == 1) & (F.col("_score") >= 5) & F.lit(singles)))
+    kept = own.join(docs, group).where(((F.col("_docs") > 1) & (F.col("_in") == F.col("_docs"))) | ((F.col("_docs") == 1) & (F.col("_score") >= 5) & F.lit(singles)))
     return kept.select(*group, text_hash("normalized").alias("hash_id"), "normalized", F.col("_first.sentence").alias("text"), "frequency", F.length("normalized").alias("length"))
 
 
@@ -101,20 +101,35 @@ def fuzzy(sentences_: DataFrame, prints: DataFrame, least: float = FUZZY, key: s
     """LAB-5: sentences_(sid, text) -> (sid, hash_id, score): the best fingerprint by 3-gram overlap of the smaller set, `least` at least, of a length that differs by
     no more than the larger of 30 % and 10; the first in order of text on ties.
 
-    Common grams are counted by a join on grams and a partial aggregate, inside the band of lengths, so no pair's sets are ever compared as arrays.
+    Of a pair, the smaller set has at least ceil(least * its size) grams in common with the other, so one of any size - ceil(least * size) + 1 of its grams is among the other's. Each side is looked up by
+    so many of its grams, those that are rarest on the other side, against all grams of larger sets there: a gram that most texts have joins next to nothing. Pairs found are compared in full.
     """
     n = lambda df, c: df.withColumn("_norm", normalized(c)).select("*", F.length("_norm").alias("_len"), grams("_norm", 3).alias("_g"))
-    a = n(sentences_.select("sid", F.col(key).alias("_text")), "_text").select("sid", "_len", F.size("_g").alias("_n"), F.explode("_g").alias("g"))
-    b = n(prints.select("hash_id", "text"), "text").groupBy("hash_id").agg(F.min(F.struct("_norm", "_len", "_g")).alias("p")).select("hash_id", F.crc32("p._norm").alias("_tie"), F.col("p._len").alias("_plen"), F.size("p._g").alias("_pn"), F.explode("p._g").alias("g"))
+    a = n(sentences_.select("sid", F.col(key).alias("_text")), "_text").select("sid", "_len", "_g").where(F.size("_g") > 0)
+    b = n(prints.select("hash_id", "text"), "text").groupBy("hash_id").agg(F.min(F.struct("_norm", "_len", "_g")).alias("p")).select("hash_id", F.crc32("p._norm").alias("_tie"), F.col("p._len").alias("_plen"), F.col("p._g").alias("_pg")).where(F.size("_pg") > 0)
+    each_a = a.select("sid", F.size("_g").alias("_as"), F.explode("_g").alias("g"))
+    each_b = b.select("hash_id", F.size("_pg").alias("_bs"), F.explode("_pg").alias("g"))
+
+    def rarest(own: DataFrame, ident: str, size: str, other: DataFrame) -> DataFrame:
+        often = other.groupBy("g").agg(F.count("*").alias("_n"))
+        place = F.row_number().over(Window.partitionBy(ident).orderBy(F.coalesce("_n", F.lit(0)), "g"))
+        return own.join(often, "g", "left").withColumn("_k", place).where((F.col("_k") <= F.col(size) - F.ceil(F.col(size) * least - 1e-9) + 1) & F.col("_n").isNotNull()).drop("_k", "_n")
+
+    small_a = rarest(each_a, "sid", "_as", each_b).join(each_b, "g").where("_as <= _bs")
+    small_b = rarest(each_b, "hash_id", "_bs", each_a).join(each_a, "g").where("_bs <= _as")
+    pairs = small_a.select("sid", "hash_id").union(small_b.select("sid", "hash_id")).distinct()
     band = F.abs(F.col("_len") - F.col("_plen")) <= F.greatest(F.col("_len") * 0.3, F.lit(10.0))
-    both = a.join(b, "g").where(band).groupBy("sid", "hash_id").agg(F.count("*").alias("_both"), F.min(F.least("_n", "_pn")).alias("_least"), F.min("_tie").alias("_tie"))
-    score = F.col("_both") / F.col("_least")
-    return both.withColumn("score", score).where(F.col("score") >= least).groupBy("sid").agg(F.max_by(F.struct("hash_id", "score"), F.struct(F.col("score"), -F.col("_tie"))).alias("b")).select("sid", "b.*")
+    full = pairs.join(a, "sid").join(b, "hash_id").where(band).withColumn("score", overlap(F.col("_g"), F.col("_pg"), "min")).where(F.col("score") >= least)
+    return full.groupBy("sid").agg(F.max_by(F.struct("hash_id", "score"), F.struct(F.col("score"), -F.col("_tie"))).alias("b")).select("sid", "b.*")
 
 
 def marked_by_fingerprint(sections: DataFrame, prints: DataFrame, with_fuzzy: bool = True) -> DataFrame:
     """LAB-11: placeholder -> VARIABLE .90; equal hash -> FIXED .95; fuzzy -> FIXED .80; else LAB-8; then LAB-9."""
-    own = exact(spans_of(sections), prints).withColumn("_p", is_placeholder("text")).withColumn("_c", classified("text"))
+    return smoothed(_by_fingerprint(spans_of(sections), prints, with_fuzzy))
+
+
+def _by_fingerprint(spans: DataFrame, prints: DataFrame, with_fuzzy: bool) -> DataFrame:
+    own = exact(spans, prints).withColumn("_p", is_placeholder("text")).withColumn("_c", classified("text"))
     if with_fuzzy:
         texts = own.where("NOT _p AND fingerprint_id IS NULL").select("text").distinct().withColumn("sid", F.col("text"))
         near = fuzzy(texts, prints).select(F.col("sid").alias("text"), F.col("hash_id").alias("_near"))
@@ -125,7 +140,15 @@ def marked_by_fingerprint(sections: DataFrame, prints: DataFrame, with_fuzzy: bo
     conf = F.when(F.col("_p"), 0.9).when(F.col("fingerprint_id").isNotNull(), 0.95).when(F.col("_near").isNotNull(), 0.8).otherwise(F.col("_c.confidence"))
     fid = F.when(~F.col("_p"), F.coalesce("fingerprint_id", "_near"))
     out = own.withColumn("label", label).withColumn("confidence", conf).withColumn("fingerprint_id", fid)
-    return smoothed(out.select("doc_id", "section_type", "ord", "span_no", "text", "label", "confidence", "fingerprint_id"))
+    return out.select("doc_id", "section_type", "ord", "span_no", "text", "label", "confidence", "fingerprint_id")
+
+
+def is_known_fixed(texts_: DataFrame, prints: DataFrame) -> DataFrame:
+    """LAB-6: texts_(sid, text) -> (sid, is_fixed, confidence, fingerprint_id): 0.95 by an equal fingerprint, 0.80 by a near one, 0 by none."""
+    own = exact(texts_.select("sid", "text"), prints)
+    near = fuzzy(own.where("fingerprint_id IS NULL").select("sid", "text"), prints).select("sid", F.col("hash_id").alias("_near"))
+    both = own.join(near, "sid", "left")
+    return both.select("sid", F.coalesce("fingerprint_id", "_near").isNotNull().alias("is_fixed"), F.when(F.col("fingerprint_id").isNotNull(), 0.95).when(F.col("_near").isNotNull(), 0.8).otherwise(0.0).alias("confidence"), F.coalesce("fingerprint_id", "_near").alias("fingerprint_id"))
 
 
 def ratios(spans: DataFrame) -> DataFrame:
@@ -157,15 +180,12 @@ def tagged_text(spans: DataFrame) -> DataFrame:
     return one.groupBy("doc_id", "section_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_run", "_t"))), lambda x: x["_t"]), "\n").alias("text"))
 
 
-def quick_checked(texts_: DataFrame, prints: DataFrame | None = None) -> DataFrame:
-    """LAB-14: texts_(sid, text) with label and confidence of each text by itself, by fingerprint where there are any."""
-    one = texts_.select(F.col("sid").alias("doc_id"), F.lit("").alias("section_type"), F.lit(0).alias("ord"), F.lit(0).alias("span_no"), "text")
+def quick_checked(texts_: DataFrame, prints: DataFrame | None = None, with_fuzzy: bool = True) -> DataFrame:
+    """LAB-14: texts_(sid, text) with label and confidence of each text by itself: by placeholder, equal or near fingerprint (LAB-11, without smoothing) where there are any."""
     if prints is None:
-        return one.withColumn("_c", classified("text")).select(F.col("doc_id").alias("sid"), "text", "_c.*")
-    own = exact(one, prints).withColumn("_p", is_placeholder("text")).withColumn("_c", classified("text"))
-    label = F.when(F.col("_p"), "VARIABLE").when(F.col("fingerprint_id").isNotNull(), "FIXED").otherwise(F.col("_c.label"))
-    conf = F.when(F.col("_p"), 0.9).when(F.col("fingerprint_id").isNotNull(), 0.95).otherwise(F.col("_c.confidence"))
-    return own.select(F.col("doc_id").alias("sid"), "text", label.alias("label"), conf.alias("confidence"))
+        return texts_.select("sid", "text").withColumn("_c", classified("text")).select("sid", "text", "_c.*")
+    one = texts_.select(F.col("sid").alias("doc_id"), F.lit("").alias("section_type"), F.lit(0).alias("ord"), F.lit(0).alias("span_no"), "text")
+    return _by_fingerprint(one, prints, with_fuzzy).select(F.col("doc_id").alias("sid"), "text", "label", "confidence")
 
 
 def texts_for_review(spans: DataFrame) -> DataFrame:

@@ -14,21 +14,62 @@ from auditlake.sources.packs import quoted
 
 # fixed values: names that stand for a canonical section
 TARGETS = {
-    "招标公告": ["招标公告", "投标邀请", "采购公告", "招标邀请", "投标邀请书", "竞争性谈判公告"],
-    "招标范围": ["招标范围", "采购范围", "项目概况", "项目背景", "项目概述", "采购内容", "项目概述与招标范围", "招标项目需求", "技术规格"],
-    "资格要求": ["资格要求", "投标人资格", "供应商资格", "资质要求", "合格投标人", "投标人资格要求", "申请人资格要求", "投标人"],
-    "评审办法": ["评审办法", "评标办法", "评审方法", "评分标准", "评分细则", "评审标准", "评标标准", "综合评分法"],
-    "投标须知": ["投标须知", "投标人须知", "投标说明", "投标要求", "投标人须知前附表", "投标人须知及前附表"],
-    "合同条款": ["合同条款", "合同草案", "合同主要条款", "采购合同", "合同文本"],
-    "投标文件格式": ["投标文件格式", "投标文件组成", "投标文件编制", "投标文件的编制"],
-    "投标保证金": ["投标保证金"],
-    "预算金额": ["预算金额", "预算控制价", "最高限价"],
-    "报价要求": ["报价要求"],
-    "履约要求": ["履约要求"],
-    "保密条款": ["保密条款"],
-    "知识产权": ["知识产权"],
-    "验收标准": ["验收标准"],
-    "耗材与配件": ["耗材与配件"],
+    "招标公告": "招标公告",
+    "投标邀请": "招标公告",
+    "采购公告": "招标公告",
+    "招标邀请": "招标公告",
+    "投标邀请书": "招标公告",
+    "竞争性谈判公告": "招标公告",
+    "招标范围": "招标范围",
+    "采购范围": "招标范围",
+    "项目概况": "招标范围",
+    "项目背景": "招标范围",
+    "项目概述": "招标范围",
+    "采购内容": "招标范围",
+    "项目概述与招标范围": "招标范围",
+    "资格要求": "资格要求",
+    "投标人资格": "资格要求",
+    "供应商资格": "资格要求",
+    "资质要求": "资格要求",
+    "合格投标人": "资格要求",
+    "投标人资格要求": "资格要求",
+    "申请人资格要求": "资格要求",
+    "评审办法": "评审办法",
+    "评标办法": "评审办法",
+    "评审方法": "评审办法",
+    "评分标准": "评审办法",
+    "评分细则": "评审办法",
+    "评审标准": "评审办法",
+    "评标标准": "评审办法",
+    "综合评分法": "评审办法",
+    "投标须知": "投标须知",
+    "投标人须知": "投标须知",
+    "投标说明": "投标须知",
+    "投标要求": "投标须知",
+    "投标人须知前附表": "投标须知",
+    "投标人须知及前附表": "投标须知",
+    "合同条款": "合同条款",
+    "合同草案": "合同条款",
+    "合同主要条款": "合同条款",
+    "采购合同": "合同条款",
+    "合同文本": "合同条款",
+    "投标文件格式": "投标文件格式",
+    "投标文件组成": "投标文件格式",
+    "投标文件编制": "投标文件格式",
+    "投标文件的编制": "投标文件格式",
+    "投标保证金": "投标保证金",
+    "预算金额": "预算金额",
+    "预算控制价": "预算金额",
+    "最高限价": "预算金额",
+    "报价要求": "报价要求",
+    "履约要求": "履约要求",
+    "保密条款": "保密条款",
+    "知识产权": "知识产权",
+    "招标项目需求": "招标范围",
+    "投标人": "资格要求",
+    "技术规格": "招标范围",
+    "验收标准": "验收标准",
+    "耗材与配件": "耗材与配件",
 }
 FORMAT_WORDS = {"页码": "页码", "密封要求": "密封", "签章要求": "签章", "电子投标": "电子投标", "装订要求": "装订", "目录编排": "目录", "光盘/U盘": "光盘"}
 # end of the fixed values
@@ -37,8 +78,10 @@ COLUMNS = ["doc_id", "rule_seq", "rule_id", "rule_type", "description", "locatio
 
 
 def canonical(name: Column | str, synonyms: dict[str, list[str]] | None = None) -> Column:
+    """The canonical section of a name; the name itself if none is known. synonyms: canonical section -> names, instead of TARGETS."""
     c = F.col(name) if isinstance(name, str) else name
-    entries = [x for kind, names in (TARGETS if synonyms is None else synonyms).items() for n in names for x in (F.lit(n), F.lit(kind))]
+    pairs = TARGETS if synonyms is None else {n: kind for kind, names in synonyms.items() for n in names}
+    entries = [F.lit(x) for pair in pairs.items() for x in pair]
     return F.coalesce(F.create_map(*entries)[c], c) if entries else c
 
 
