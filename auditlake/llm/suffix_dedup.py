@@ -4,11 +4,11 @@
    its hash; consecutive windows with one anchor are a segment (about 60 windows), so all windows are in segments, each once.
 2. Segments are range-partitioned and sorted by (anchor hash, 128-bit hash of the bytes). A segment equal to a neighbour is repeated whole: its bytes go and need not
    be fetched. A segment with another one under its anchor may share some windows only: its bytes are fetched. Each decision needs the two neighbours only, so
-   partitions stream, a very frequent anchor is cut like anything else, and partitions exchange their first and last row through the driver.
-3. The fetched segments are dealt out by anchor into shards whose suffix array is made by induced sorting over disk-backed queues (suffix_sort.py). A shard is
-   sorted in memory (about 70 bytes for each byte of text; the queues alone may go to disk), so its bytes are bounded. Neighbours in it that agree in SPAN bytes are repeated. (The common prefix is compared there, capped at SPAN, and is
-   not carried through the induction.) An anchor with more than MAX_GROUP different segments or MAX_BYTES of text has its windows counted by 128-bit hash instead: that is
-   exact too and no task holds the group.
+   partitions stream, a very frequent anchor is cut like anything else, and what the first and the last row of a partition lack comes from a join of these rows.
+3. The fetched segments are dealt out by anchor into shards. A shard's text goes to a file as it comes, and its suffix array is made by induced sorting over disk-backed queues that carry
+   common prefixes (suffix_sort.py): neighbours in it that share SPAN symbols are repeated. What a task keeps in memory is the queues' share, a few blocks, and ids and sizes of the
+   pieces (about a tenth of the text). An anchor with more than MAX_BYTES of different segments would still be one task's work, so its windows are counted by 128-bit hash
+   on all executors instead, which gives the same windows.
 4. The intervals of a document are applied to its text.
 """
 
@@ -16,27 +16,26 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import Scratch, map_batches, mix, table, utf8
-from auditlake.llm.suffix_sort import suffix_array
+from auditlake.llm.suffix_sort import suffixes
 from auditlake.session import ship
 
 SPAN = 200
 GRAM = 51
 REACH = SPAN - GRAM + 1  # grams of a window
 STEP = 1 << 20
-#: Different segments of an anchor, and their bytes, that a shard takes; beyond either, windows are counted.
-MAX_GROUP = 200_000
-MAX_BYTES = 4 << 20
+#: Bytes of different segments under one anchor that one task sorts; an anchor with more has its windows counted instead, on all executors.
+MAX_BYTES = 64 << 20
 #: Bytes of text a shard gathers before it is sorted.
-SHARD = 8 << 20
+SHARD = 16 << 20
 SEGMENT = "a long, d1 long, d2 long, doc_id long, row long, lo int, hi int"
 FOUND = "doc_id long, row long, lo int, hi int"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -104,53 +103,57 @@ def all_segments(text: DataFrame) -> DataFrame:
     return map_batches(text, f, SEGMENT, size=STEP)
 
 
-def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last row of a partition, by its number."""
-    first = last = None
+JUDGED = f"{SEGMENT}, whole boolean, part boolean, edge boolean"
+
+
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams the sorted segments of a partition (SEGMENT) -> JUDGED: whole (equal to a neighbour), part (beside another one of its anchor); others go. The first and the last row come
+    out anyhow, as edges: what they lack is their neighbour in another partition."""
+    held: pa.RecordBatch | None = None
+    before: list[int] | None = None
+
+    def judge(batch: pa.RecordBatch, nxt: list[int] | None) -> pa.RecordBatch:
+        nonlocal before
+        k = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        none = np.zeros((1, 3), np.int64)
+        up = np.concatenate((none if before is None else np.array([before]), k[:-1]))
+        down = np.concatenate((k[1:], none if nxt is None else np.array([nxt])))
+        whole, part, edge = (np.zeros(len(k), bool) for _ in range(3))
+        for other, missing in ((up, 0 if before is None else None), (down, len(k) - 1 if nxt is None else None)):
+            anchor = other[:, 0] == k[:, 0]
+            if missing is not None:
+                anchor[missing], edge[missing] = False, True
+            same = anchor & (other[:, 1:] == k[:, 1:]).all(axis=1)
+            whole |= same
+            part |= anchor & ~same
+        before = k[-1].tolist()
+        go = pa.array(np.flatnonzero(whole | part | edge))
+        out = batch.take(go)
+        return pa.RecordBatch.from_arrays([*out.columns, *(pa.array(x).take(go) for x in (whole, part, edge))], [*batch.schema.names, "whole", "part", "edge"])
+
     for batch in batches:
-        if batch.num_rows:
-            row = lambda i, b=batch: [b.column(c)[i].as_py() for c in range(3)]
-            first, last = first or row(0), row(batch.num_rows - 1)
-    if first:
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "first": pa.array([first], pa.list_(pa.int64())), "last": pa.array([last], pa.list_(pa.int64()))})
-
-
-def neighbours(around: dict[int, tuple[list[int] | None, list[int] | None]]):
-    """Streams the sorted segments: whole (equal to a neighbour) and part (beside another one of its anchor); others go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after = around.get(TaskContext.get().partitionId(), (None, None))
-        held = None
-
-        def judge(batch: pa.RecordBatch, nxt: list[int] | None) -> pa.RecordBatch:
-            nonlocal before
-            k = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-            none = np.zeros((1, 3), np.int64)
-            up = np.concatenate((none if before is None else np.array([before]), k[:-1]))
-            down = np.concatenate((k[1:], none if nxt is None else np.array([nxt])))
-            whole, part = np.zeros(len(k), bool), np.zeros(len(k), bool)
-            for other, missing in ((up, 0 if before is None else None), (down, len(k) - 1 if nxt is None else None)):
-                anchor = other[:, 0] == k[:, 0]
-                if missing is not None:
-                    anchor[missing] = False
-                same = anchor & (other[:, 1:] == k[:, 1:]).all(axis=1)
-                whole |= same
-                part |= anchor & ~same
-            before = k[-1].tolist()
-            go = pa.array(np.flatnonzero(whole | part))
-            out = batch.take(go)
-            return pa.RecordBatch.from_arrays([*out.columns, pa.array(whole).take(go), pa.array(part).take(go)], [*batch.schema.names, "whole", "part"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                yield judge(held, [batch.column(c)[0].as_py() for c in range(3)])
-            held = batch
+        if not batch.num_rows:
+            continue
         if held is not None:
-            yield judge(held, after)
-
-    return run
+            yield judge(held, [batch.column(c)[0].as_py() for c in range(3)])
+        held = batch
+    if held is not None:
+        yield judge(held, None)
+
+
+def with_edges(found: DataFrame) -> DataFrame:
+    """JUDGED with the neighbours of the edges in other partitions: two rows a partition, so a table as short as the list of partitions."""
+    key = ["a", "d1", "d2", "doc_id", "row", "lo"]
+    order = Window.orderBy(*key)
+    near = lambda f: f(F.struct("a", "d1", "d2")).over(order)
+    edge = found.where("edge").select(*key, near(F.lag).alias("up"), near(F.lead).alias("down"))
+    beside = lambda x: F.coalesce(F.col(x)["a"] == F.col("a"), F.lit(False))
+    same = lambda x: beside(x) & (F.col(x)["d1"] == F.col("d1")) & (F.col(x)["d2"] == F.col("d2"))
+    names = {k: f"_{k}" for k in key}
+    edge = edge.groupBy(*key).agg(F.bool_or(same("up") | same("down")).alias("_whole"), F.bool_or((beside("up") & ~same("up")) | (beside("down") & ~same("down"))).alias("_part")).withColumnsRenamed(names)
+    both = found.join(F.broadcast(edge), F.col("edge") & reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]), "left")
+    both = both.withColumns({x: F.col(x) | F.coalesce(f"_{x}", F.lit(False)) for x in ("whole", "part")})
+    return both.where(F.col("whole") | F.col("part")).drop("_whole", "_part", "edge", *names.values())
 
 
 def fetched(docs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -173,73 +176,92 @@ def fetched(docs: DataFrame, parts: DataFrame) -> DataFrame:
     return map_batches(both, f, "a long, doc_id long, row long, lo int, piece binary")
 
 
-def repeated_windows(pieces: pa.Array, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, first, last): runs of windows that stand at another place too, by the suffix array of all pieces."""
-    raw, at = utf8(pieces)
-    size = np.diff(at)
-    n = len(raw) + len(size)
-    t = np.zeros(n, np.uint16)  # 0 ends a piece
-    where = np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)
-    t[where] = raw.astype(np.uint16) + 1
-    begin = at[:-1] + np.arange(len(size))
-    starts = np.zeros(n, bool)
-    for k in range(0, len(size), 1 << 16):
-        own = np.maximum(size[k : k + (1 << 16)] - SPAN + 1, 0)
-        starts[np.repeat(begin[k : k + (1 << 16)], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)] = True
-    order = suffix_array(t, SPAN, folder=folder)
-    order = order[starts[order]]
-    again = np.zeros(n, bool)
-    view = np.lib.stride_tricks.sliding_window_view(t, SPAN) if n >= SPAN else None
-    left, right = order[:-1], order[1:]
-    probe = np.flatnonzero((t[left] == t[right]) & (t[left + SPAN - 1] == t[right + SPAN - 1]) & (t[left + SPAN // 2] == t[right + SPAN // 2]))
-    for k in range(0, len(probe), 1 << 15):
-        i = probe[k : k + (1 << 15)]
-        same = i[(view[left[i]] == view[right[i]]).all(axis=1)]
-        again[left[same]] = again[right[same]] = True
-    hit = np.flatnonzero(again)
-    piece = np.searchsorted(begin, hit, "right") - 1
-    new = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (piece[1:] != piece[:-1])))) if len(hit) else hit
-    last = np.append(new[1:], len(hit)) - 1 if len(hit) else hit
-    return piece[new], hit[new] - begin[piece[new]], hit[last] - begin[piece[new]]
+class Shard:
+    """Pieces of text on disk, one after another with an end mark (0) each; in memory are their sizes and ids only."""
+
+    def __init__(self):
+        self.folder = tempfile.TemporaryDirectory()
+        self.path = f"{self.folder.name}/text"
+        self.file = open(self.path, "wb")  # noqa: SIM115
+        self.rows: list[pa.RecordBatch] = []
+        self.sizes: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """batch: (a, doc_id, row, lo, piece)."""
+        for k in range(0, batch.num_rows, 4096):
+            own = batch.slice(k, 4096)
+            raw, at = utf8(own.column(4))
+            size = np.diff(at)
+            t = np.zeros(len(raw) + len(size), np.uint16)
+            t[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw.astype(np.uint16) + 1
+            t.tofile(self.file)
+            self.sizes.append(size)
+            self.bytes += len(raw)
+        self.rows.append(batch.select([1, 2, 3]))
+
+    def repeated(self) -> Iterator[pa.RecordBatch]:
+        """FOUND: the runs of windows that stand at another place too: suffixes that share SPAN symbols with a neighbour in the suffix array."""
+        self.file.close()
+        size = np.concatenate(self.sizes)
+        n = int(size.sum()) + len(size)
+        with self.folder:
+            t = np.memmap(self.path, np.uint16, "r", shape=(n,))
+            again = np.memmap(f"{self.folder.name}/again", bool, "w+", shape=(n,))
+            before = None
+            for p, shared in suffixes(t, SPAN, self.folder.name):
+                hit = np.flatnonzero(shared >= SPAN)
+                again[p[hit]] = True
+                again[p[hit[hit > 0] - 1]] = True
+                if len(hit) and hit[0] == 0:
+                    again[before] = True
+                before = p[-1]
+            rows = pa.Table.from_batches(self.rows)
+            begin = np.cumsum(size + 1) - size - 1
+            for k in range(0, len(size), 4096):
+                first, own = begin[k], size[k : k + 4096]
+                part = np.asarray(again[first : first + own.sum() + len(own)])
+                hit = np.flatnonzero(part)
+                piece = np.searchsorted(begin[k : k + 4096] - first, hit, "right") - 1
+                at = hit - (begin[k : k + 4096] - first)[piece]
+                inside = at <= own[piece] - SPAN  # what shares an end mark, too, is no window
+                piece, at = piece[inside], at[inside]
+                if not len(at):
+                    continue
+                new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (piece[1:] != piece[:-1]))))
+                last = np.append(new[1:], len(at)) - 1
+                out = rows.take(pa.array(piece[new] + k)).combine_chunks().to_batches()[0]
+                lo = out.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array((lo + at[new]).astype(np.int32)), pa.array((lo + at[last] + SPAN).astype(np.int32))], ["doc_id", "row", "lo", "hi"])
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, doc_id, row, lo, piece) sorted by a -> FOUND. An anchor is in one shard."""
-
-    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        with tempfile.TemporaryDirectory() as folder:
-            piece, first, last = repeated_windows(whole.column(4), folder)
-        own = whole.select([1, 2, 3]).take(pa.array(piece))
-        lo = own.column(2).to_numpy()
-        return pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array((lo + first).astype(np.int32)), pa.array((lo + last + SPAN).astype(np.int32))], ["doc_id", "row", "lo", "hi"])
-
-    held: list[pa.RecordBatch] = []
-    size = 0
+    """Rows (a, doc_id, row, lo, piece) sorted by a -> FOUND. An anchor is in one shard; a shard ends with the anchor that fills it."""
+    shard: Shard | None = None
+    last = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        if size + batch.nbytes > SHARD:
-            a = batch.column(0).to_numpy()
-            if held:  # up to the end of the anchor that is being read
-                a = np.concatenate(([held[-1].column(0)[-1].as_py()], a))
-                cut = np.flatnonzero(a[1:] != a[:-1])
-            else:
-                cut = np.flatnonzero(a[1:] != a[:-1]) + 1
-            step = batch.nbytes / batch.num_rows
-            for c in cut.tolist():
-                if size + c * step < SHARD and c != cut[-1]:
-                    continue
-                if batch.slice(0, c).num_rows:
-                    held.append(batch.slice(0, c))
-                if held:
-                    yield solve(held)
-                batch, held, size = batch.slice(c), [], 0
-                break
-        held.append(batch)
-        size += batch.nbytes
-    if held:
-        yield solve(held)
+        a = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), batch.num_rows] if len(a) else []
+        begin = 0
+        for k, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if shard is not None and a[k] != last and shard.bytes + sum_bytes(batch, begin, k) >= SHARD:
+                if k > begin:
+                    shard.add(batch.slice(begin, k - begin))
+                yield from shard.repeated()
+                shard, begin = None, k
+            shard = shard or Shard()
+            last = a[k]
+        if len(a) and begin < len(a):
+            shard.add(batch.slice(begin))
+    if shard is not None:
+        yield from shard.repeated()
+
+
+def sum_bytes(batch: pa.RecordBatch, begin: int, end: int) -> int:
+    """Bytes of the pieces [begin, end)."""
+    _, offsets, _ = batch.column(4).buffers()
+    at = np.frombuffer(offsets, np.int32)[batch.column(4).offset :]
+    return int(at[end]) - int(at[begin])
 
 
 def counted(pieces: DataFrame) -> DataFrame:
@@ -260,7 +282,7 @@ def counted(pieces: DataFrame) -> DataFrame:
     return each.join(often, ["d1", "d2"], "left_semi").select("doc_id", "row", "lo", "hi")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP, max_bytes: int = MAX_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs -> doc_id, text (binary: the remaining bytes), n_bytes, spans (maximal removed runs, [start, end) in bytes), for each row.
 
     Null text is empty. A text shorter than SPAN keeps all. Rows that repeat a doc_id are separate texts, so a repeated row loses all that is in a window. The
@@ -270,24 +292,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(spark)
     scratch = Scratch(spark, "suffix-dedup")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["a", "d1", "d2", "doc_id"]
     # written first: a range partitioner samples its input, which would else look at every byte twice
     every = scratch.keep(all_segments(text), "segments")
-    ordered = every.repartitionByRange(n, *order).sortWithinPartitions(*order).persist(StorageLevel.DISK_ONLY)
-    edge = sorted((x.part, list(x.first), list(x.last)) for x in ordered.select("a", "d1", "d2").mapInArrow(ends, "part int, first array<long>, last array<long>").toLocalIterator())
-    around = {p: (edge[i - 1][2] if i else None, edge[i + 1][1] if i + 1 < len(edge) else None) for i, (p, _, _) in enumerate(edge)}
-    judged = scratch.keep(ordered.mapInArrow(neighbours(around), f"{SEGMENT}, whole boolean, part boolean"), "judged")
-    ordered.unpersist()
+    ordered = every.repartitionByRange(scratch.partitions("segments"), *order).sortWithinPartitions(*order)
+    first = scratch.keep(ordered.mapInArrow(neighbours, JUDGED), "first")
     scratch.drop("segments")
+    judged = scratch.keep(with_edges(first), "judged")
+    scratch.drop("first")
 
     pieces = scratch.keep(fetched(text, judged.where("part")), "pieces")
-    hot = scratch.keep(pieces.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.length("piece")).alias("size")).where((F.col("n") > max_group) | (F.col("size") > max_bytes)).select("a"), "hot")
-    if hot.isEmpty():
-        some = pieces.repartition(n, "a").sortWithinPartitions("a").mapInArrow(shards, FOUND)
-    else:
-        rest = pieces.join(hot, "a", "left_anti")
-        some = rest.repartition(n, "a").sortWithinPartitions("a").mapInArrow(shards, FOUND).union(counted(pieces.join(hot, "a", "left_semi")))
+    n = scratch.partitions("pieces", SHARD)
+    hot = scratch.keep(pieces.groupBy("a").agg(F.sum(F.length("piece")).alias("size")).where(F.col("size") > max_bytes).select("a"), "hot")
+    rest = pieces.join(hot, "a", "left_anti").repartition(n, "a").sortWithinPartitions("a").mapInArrow(shards, FOUND)
+    some = scratch.keep(rest.union(counted(pieces.join(hot, "a", "left_semi"))), "some")
+    scratch.drop("pieces", "hot")
     found = judged.where("whole").select("doc_id", "row", "lo", "hi").union(some)
     found = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("found")).withColumnsRenamed({"doc_id": "_id", "row": "_of"})
     both = text.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_of")), "left").select("doc_id", "text", "found")

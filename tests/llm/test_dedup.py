@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tempfile
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -225,8 +226,10 @@ def brute_suffix(texts, span=200):
     return out
 
 
-@pytest.mark.parametrize("most", [200_000, 3])
-def test_suffix_dedup_equals_brute_force(spark, most):
+@pytest.mark.parametrize("most", [suffix_dedup.MAX_BYTES, 900])
+def test_suffix_dedup_equals_brute_force(spark, most, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD", 5000)
+    monkeypatch.setattr(Scratch, "partitions", lambda *a: 7)  # edges of partitions
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 8)))
     passages = [" ".join(word() for _ in range(60)) for _ in range(4)]
@@ -240,7 +243,7 @@ def test_suffix_dedup_equals_brute_force(spark, most):
         texts.append(" ".join(own))
     texts += ["ab" * 300, "x" * 199, "y" * 200, "y" * 200, "z" * 450, None, "", texts[0]]
     got = {}
-    for r in suffix_dedup.repeated_spans(frame(spark, texts, True), max_group=most).collect():
+    for r in suffix_dedup.repeated_spans(frame(spark, texts, True), max_bytes=most).collect():
         got[r.doc_id] = (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.text).hexdigest())
     assert got == brute_suffix(texts)
 
@@ -264,16 +267,49 @@ def test_suffix_dedup_of_edge_tables(spark):
     assert got == [0, 0, 5]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.booleans(), st.booleans())
-def test_suffix_array_is_sorted(values, spill, named):
-    t = np.array(values, np.uint16)
-    before, suffix_sort.SMALL = suffix_sort.SMALL, 2 if named else 1024
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=60), st.integers(1, 4), st.sampled_from([1, 3, 20, 200]), st.sampled_from([1, 300, 1 << 20]), st.sampled_from([1, 3, 1 << 19]))
+def test_suffixes_are_sorted_with_their_common_prefixes(values, times, depth, memory, batch):
+    values = (values * times)[:150]
+    before, suffix_sort.BATCH = suffix_sort.BATCH, batch
     try:
-        got = suffix_sort.suffix_array(t, 10**6, memory=1 if spill else suffix_sort.MEMORY).tolist()
+        with tempfile.TemporaryDirectory() as folder:
+            got = [(p, s) for x in suffix_sort.suffixes(np.array(values, np.uint16), depth, folder, memory) for p, s in zip(*(y.tolist() for y in x), strict=True)]
     finally:
-        suffix_sort.SMALL = before
-    assert got == sorted(range(len(values)), key=lambda i: values[i:])
+        suffix_sort.BATCH = before
+    assert sorted(p for p, _ in got) == list(range(len(values)))
+    keys = [values[p : p + depth] for p, _ in got]
+    assert keys == sorted(keys, reverse=True)
+    for a, b, (_, shared) in zip(keys, keys[1:], got[1:], strict=False):
+        assert shared == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_keys_are_ordered_in_ranges(tmp_path):
+    rng = np.random.default_rng(5)
+    key = np.concatenate((rng.integers(0, 50, 4000), np.full(3000, 7), rng.integers(0, 2**62, 2000))).astype(np.uint64)
+    got = suffix_sort.ordered(key, suffix_sort.Files(str(tmp_path)), 1)
+    assert (key[got] == np.sort(key)).all() and len(set(got.tolist())) == len(key)
+
+
+def test_a_shard_larger_than_memory(tmp_path):
+    """What a sort allocates does not follow the text: it stays in files."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    peaks, before, suffix_sort.BATCH = [], suffix_sort.BATCH, 1 << 14
+    try:
+        for n in (1 << 18, 1 << 21):
+            t = np.memmap(tmp_path / f"t{n}", np.uint16, "w+", shape=(n,))
+            t[:] = rng.integers(1, 27, n)
+            folder = tmp_path / f"f{n}"
+            folder.mkdir()
+            tracemalloc.start()
+            assert sum(len(p) for p, _ in suffix_sort.suffixes(t, 200, str(folder), 1 << 20)) == n
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+    finally:
+        suffix_sort.BATCH = before
+    assert peaks[1] < 12 << 20 and peaks[1] < 2 * peaks[0]
 
 
 def test_windows_belong_to_one_segment():
