@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as fn
@@ -469,3 +469,213 @@ def dimension_scores(spark: SparkSession, d: str) -> DataFrame:
 def model_scores(spark: SparkSession, d: str) -> DataFrame:
     """SCO-3"""
     return scores.model_scores(demo.docs(spark, d), demo.modelled(spark, d))
+
+
+# AGG and SRT: statistics and lists
+
+
+@query(
+    f"""WITH {demo._FOUND}, a AS (SELECT doc_id, string_agg(section_type || ':' || length(content), ',' ORDER BY section_type) AS section_lengths FROM sections GROUP BY doc_id),
+b AS (SELECT doc_id, string_agg(rule_type || ':' || n, ',' ORDER BY rule_type) AS findings FROM (SELECT doc_id, rule_type, count(*) AS n FROM found GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, section_lengths, findings FROM a FULL JOIN b USING (doc_id)"""
+)
+def diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-17"""
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias(c)
+    return stats.diagnostics(demo.sections(spark, d), demo.found(spark, d)).select("doc_id", flat("section_lengths"), flat("findings_by_type").alias("findings"))
+
+
+@query(f"SELECT user_id, false_positive_count FROM ({demo.SQL['feedback_fold']}) WHERE needs_review")
+def rules_to_review(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-10"""
+    kind = F.when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type").isin("error", "click"), "false_positive").otherwise("missed")
+    own = state.feedback_state(t(spark, d, "events").select("user_id", "ts", "event_id", kind.alias("feedback_type")), "user_id")
+    return state.rules_to_review(own).select("user_id", "false_positive_count")
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#11' AND p_size < 25 ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 20 OFFSET 5")
+def cases_listed(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-2"""
+    own = t(spark, d, "part").select(F.col("p_partkey").alias("case_id"), F.col("p_brand").alias("province"), F.when(F.col("p_size") < 25, "upheld").otherwise("rejected").alias("decision_type"), F.col("p_retailprice").alias("decision_date"))
+    return mine.listed(own, "Brand#11", "upheld", 5).select(F.col("case_id").alias("p_partkey"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_totalprice DESC, o_orderkey DESC LIMIT 30")
+def announcements(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-3"""
+    return stats.newest(t(spark, d, "orders"), 30, "o_orderdate", "o_totalprice", "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 50")
+def users_newest(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-6"""
+    return stats.newest(t(spark, d, "customer"), 50, "c_acctbal", "c_custkey").select("c_custkey")
+
+
+# CHK: packing
+
+AFFINITY = [("notice", "scope", 0.9), ("evaluation", "qualification", 0.85), ("scope", "instructions", 0.3)]
+_AFFINITY = values(AFFINITY, "a, b, w")
+_WEIGHTS = f"""pairs AS (SELECT DISTINCT x.section_type AS a, y.section_type AS b, length(y.section_type) AS pos FROM sections x JOIN sections y ON x.doc_id = y.doc_id AND x.section_type <> y.section_type),
+weighed AS (SELECT p.a, p.b, pos, coalesce(f.w, g.w, 0.0)::DOUBLE AS w FROM pairs p LEFT JOIN {_AFFINITY} f ON f.a = p.a AND f.b = p.b LEFT JOIN {_AFFINITY} g ON g.a = p.b AND g.b = p.a)"""
+
+
+@query(f"WITH {demo._SECTIONS}, {_WEIGHTS} SELECT a, b, w, CAST(row_number() OVER (PARTITION BY a ORDER BY w DESC, pos, b) AS INTEGER) AS rank FROM weighed")
+def ranked_sections(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-4, CHK-6"""
+    own = demo.sections(spark, d).select("doc_id", "section_type")
+    pairs = own.select("doc_id", F.col("section_type").alias("a")).join(own.select("doc_id", F.col("section_type").alias("b")), "doc_id").where("a <> b").select("a", "b").distinct()
+    pairs = pairs.withColumn("pos", F.struct(F.length("b"), "b"))
+    return chunk.ranked_candidates(pairs, spark.createDataFrame(AFFINITY, "a string, b string, w double")).select("a", "b", "w", "rank")
+
+
+_SAMPLED = "CAST('0x' || md5(section_type)[1:8] AS BIGINT) % 1000 / 1000 <= 0.3"
+
+
+@query(
+    f"""WITH {demo._HITS}, named AS (SELECT DISTINCT doc_id, section_type FROM forb) SELECT s.doc_id, s.section_type, n.doc_id IS NOT NULL AS is_violated FROM sections s LEFT JOIN named n USING (doc_id, section_type) WHERE n.doc_id IS NOT NULL OR {_SAMPLED}"""
+)
+def sections_selected(spark: SparkSession, d: str) -> DataFrame:
+    """CHK-2, CHK-3"""
+    own = demo.sections(spark, d)
+    violated = chunk.violated_sections(rules.forbidden(own, demo.pack(spark)), own)
+    return chunk.selected(own, violated).select("doc_id", "section_type", "is_violated")
+
+
+#: CHK-7: (ord, id, high, medium, low, limit of tokens).
+GROUPS = [(0, "entry", ["notice"], ["scope"], ["qualification"], 3000), (1, "price", ["evaluation"], ["qualification"], ["notice"], None), (2, "terms", ["instructions"], ["scope", "evaluation"], [], 1000)]
+_POINTS = values([(o, i, x, w, m) for o, i, *by, m in GROUPS for xs, w in zip(by, (3, 2, 1), strict=True) for x in xs], "ord, id, section, points, most")
+_CLUSTERS = """clusters AS (SELECT doc_id, section_type, content, ord, CAST(ord // 3 % 2 AS INTEGER) AS chunk_no FROM sections)"""
+_BEST = f"""best AS (SELECT doc_id, chunk_no, id, greatest(2000, coalesce(most, 0)) AS budget FROM (SELECT doc_id, chunk_no, ord, id, most, sum(points) AS score FROM (SELECT c.doc_id, c.chunk_no, p.* FROM clusters c JOIN {_POINTS} p ON p.section = c.section_type) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY score DESC, ord) = 1)"""
+
+
+def groups(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(GROUPS, "ord int, id string, sections_high array<string>, sections_medium array<string>, sections_low array<string>, token_limit_override int")
+
+
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of even and of odd blocks as two clusters of a document."""
+    own = demo.sections(spark, d).select("doc_id", "section_type", "ord", (F.floor(F.col("ord") / 3) % 2).cast("int").alias("chunk_no"))
+    return own.groupBy("doc_id", "chunk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "section_type"))), lambda x: x["section_type"]).alias("sections"))
+
+
+@query(f"WITH {demo._SECTIONS}, {_CLUSTERS}, {_BEST} SELECT doc_id, chunk_no, coalesce(id, 'general') AS dimension, CAST(coalesce(budget, 2000) AS INTEGER) AS token_limit FROM (SELECT DISTINCT doc_id, chunk_no FROM clusters) LEFT JOIN best USING (doc_id, chunk_no)")
+def best_groups(spark: SparkSession, d: str) -> DataFrame:
+    """CHK-7"""
+    own = clusters(spark, d).select(F.struct("doc_id", "chunk_no").alias("key"), F.explode("sections").alias("section"))
+    return chunk.best_group(own, groups(spark), 2000).select("key.doc_id", "key.chunk_no", "dimension", "token_limit")
+
+
+def _tail(n: str, p: str) -> str:
+    at = f"instr(right({p}, {n}), chr(10)) - 1"
+    return f"CASE WHEN length({p}) <= {n} THEN {p} WHEN {at} > 0 AND {at} < {n} // 2 THEN right({p}, {n})[{at} + 2:] ELSE right({p}, {n}) END"
+
+
+@query(
+    f"""WITH {demo._SECTIONS}, {_CLUSTERS}, {_BEST},
+texts AS (SELECT doc_id, chunk_no, string_agg(section_type, ' + ' ORDER BY ord) AS section_names, string_agg('=== ' || section_type || ' ===' || chr(10) || content || chr(10) || chr(10), '' ORDER BY ord) AS text FROM clusters GROUP BY ALL),
+budgets AS (SELECT *, coalesce(id, 'general') AS dimension, coalesce(budget, 2000) AS token_budget, CAST(ceil(least(greatest(200, coalesce(budget, 2000) * 0.15), 800) / 2) AS BIGINT) AS n, coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_no), '') AS prev FROM texts LEFT JOIN best USING (doc_id, chunk_no)),
+tails AS (SELECT *, {_tail("n", "prev")} AS tail FROM budgets)
+SELECT doc_id, chunk_no, section_names, dimension, CAST(token_budget AS INTEGER) AS token_budget, sha256('<' || CASE WHEN tail <> '' THEN '【上文重叠】' || chr(10) || tail || chr(10) || chr(10) || text ELSE text END || '>') AS prompt_sha256, CAST(length(tail) * 2 AS BIGINT) AS overlap_tokens FROM tails"""
+)
+def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """CHK-8, CHK-5, CHK-7"""
+    got = chunk.semantic_chunks(demo.sections(spark, d), clusters(spark, d), groups(spark), 2000, "<{text}>")
+    return got.select("doc_id", "chunk_no", "section_names", "dimension", "token_budget", F.sha2("prompt", 256).alias("prompt_sha256"), "overlap_tokens")
+
+
+_ROUTES = [("R", "model-a"), ("N", "model-b")]
+
+
+@query(f"SELECT l_orderkey, l_linenumber, coalesce(model, 'model-0') AS model FROM lineitem LEFT JOIN {values(_ROUTES, 'flag, model')} ON flag = l_returnflag")
+def models_routed(spark: SparkSession, d: str) -> DataFrame:
+    """CHK-9"""
+    own = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("dimension"))
+    return chunk.routed_models(own, spark.createDataFrame(_ROUTES, "dimension string, model string"), "model-0").select("l_orderkey", "l_linenumber", "model")
+
+
+@query("SELECT DISTINCT p_brand AS model FROM part UNION SELECT 'Brand#0'")
+def models_used(spark: SparkSession, d: str) -> DataFrame:
+    """CHK-9"""
+    return chunk.models_used(t(spark, d, "part").select(F.col("p_brand").alias("model")), "Brand#0")
+
+
+# MIN, SYN, GRA, CLS: mining, sync, graph, clauses
+
+_DECIDED = ["src1", "src2", "src3"]
+_TODO = f"(SELECT * FROM documents WHERE source IN ({', '.join(map(literal, _DECIDED))}) AND doc_id % 3 <> 0)"
+
+
+def todo_cases(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the cases was analysed before."""
+    return demo._cases(spark, d).withColumn("is_analyzed", (F.col("case_id") % 3 == 0).cast("int"))
+
+
+@query(f"SELECT k.rule_id, count(*) AS hits FROM {_TODO} d JOIN {demo._K} k ON contains(d.text, k.keyword) GROUP BY 1")
+def mined_rules(spark: SparkSession, d: str) -> DataFrame:
+    """MIN-2, known patterns"""
+    return mine.mined(todo_cases(spark, d), demo.KNOWN, demo.CANDIDATES, ["R-1"], _DECIDED)[0]
+
+
+_NEW = f"SELECT name, rule_id NOT IN ('R-1') AS is_new, risk, count(*) AS hits FROM {_TODO}, {values(demo.CANDIDATES, 'name, rule_id, rx, risk')} WHERE regexp_matches(text, rx) GROUP BY ALL"
+
+
+@query(_NEW)
+def mined_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """MIN-2, new patterns"""
+    return mine.mined(todo_cases(spark, d), demo.KNOWN, demo.CANDIDATES, ["R-1"], _DECIDED)[1].select("name", "is_new", "risk", "hits")
+
+
+@query(f"SELECT name, hits FROM ({_NEW}) WHERE is_new ORDER BY hits DESC, name LIMIT 5")
+def mined_top(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-5"""
+    return mine.top_patterns(mine.mined(todo_cases(spark, d), demo.KNOWN, demo.CANDIDATES, ["R-1"], _DECIDED)[1]).select("name", "hits")
+
+
+@query(
+    """WITH f AS (SELECT p_brand AS platform, 'C' || p_size AS platform_code, min(p_name) AS description FROM part GROUP BY ALL), r AS (SELECT DISTINCT p_brand AS platform, 'C' || p_size AS platform_code FROM part WHERE p_partkey % 2 = 0)
+SELECT platform, platform_code, description, 'UFB-' || upper(md5(platform || '|' || platform_code)[1:8]) AS rule_id, false AS enabled FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.platform = f.platform AND r.platform_code = f.platform_code)"""
+)
+def rules_drafted(spark: SparkSession, d: str) -> DataFrame:
+    """SYN-4, FN-18"""
+    own = t(spark, d, "part").select(F.col("p_brand").alias("platform"), F.concat(F.lit("C"), F.col("p_size").cast("string")).alias("platform_code"), F.col("p_name").alias("description"), "p_partkey")
+    return sync.drafted(own.drop("p_partkey"), own.where("p_partkey % 2 = 0")).select("platform", "platform_code", "description", "rule_id", "enabled")
+
+
+@query(
+    """WITH l AS (SELECT * FROM part WHERE p_partkey % 3 <> 0), r AS (SELECT * FROM part WHERE p_brand = 'Brand#11' AND p_partkey % 2 = 0), m AS (SELECT * FROM l WHERE p_brand = 'Brand#11')
+SELECT CAST(p_partkey AS VARCHAR) AS rule_id, p_brand AS platform, p_name AS description, p_size % 2 = 0 AS enabled FROM l WHERE p_brand <> 'Brand#11'
+UNION ALL SELECT CAST(coalesce(r.p_partkey, m.p_partkey) AS VARCHAR), 'Brand#11', coalesce('remote ' || r.p_name, m.p_name), r.p_partkey IS NOT NULL FROM m FULL JOIN r ON r.p_partkey = m.p_partkey"""
+)
+def platform_synced(spark: SparkSession, d: str) -> DataFrame:
+    """SYN-1: the rules after a sync, where platform_sync has the counts"""
+    p = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("rule_id"), F.col("p_brand").alias("platform"), F.col("p_name").alias("description"), (F.col("p_size") % 2 == 0).alias("enabled"), "p_partkey")
+    remote = p.where("platform = 'Brand#11' AND p_partkey % 2 = 0").select("rule_id", F.concat(F.lit("remote "), "description").alias("description"))
+    return sync.synced(p.where("p_partkey % 3 <> 0").drop("p_partkey"), remote, "Brand#11")[0].select("rule_id", "platform", "description", "enabled")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS start_id, r_name AS title, 'references' AS relation FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE contains(lower(n_name), 'na')) AND n_nationkey % 2 = 0 UNION ALL SELECT CAST(n_nationkey AS BIGINT), r_name, 'satisfies' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE contains(lower(n_name), 'na')) AND n_nationkey % 2 = 1")
+def graph_of_rule(spark: SparkSession, d: str) -> DataFrame:
+    """GRA-3"""
+    nodes, edges = demo._graph(spark, d)
+    own = graph.of_rule(nodes, edges, "NA", "references").unionByName(graph.of_rule(nodes, edges, "NA", "satisfies"))
+    return own.select("start_id", "title", "relation")
+
+
+@query(f"WITH {demo._HITS} SELECT doc_id, rule_seq, sha256(rule_id || ': ' || trim(around)) AS prompt_sha256 FROM forb")
+def clause_prompts_of_findings(spark: SparkSession, d: str) -> DataFrame:
+    """CLS-1 up to the model, SRC-15"""
+    own = rules.forbidden(demo.sections(spark, d), demo.pack(spark))
+    return clause_prompts(own, "{rule_id}: {text}").select("doc_id", "rule_seq", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query(
+    """WITH u AS (SELECT event_id, CASE WHEN event_type IN ('purchase', 'error') THEN '/api/check/' || event_type ELSE '/api/' || event_type END AS path FROM events)
+SELECT event_id, path, CASE WHEN starts_with(path, '/api/check') THEN 10 WHEN starts_with(path, '/api') THEN 60 END AS most, CASE WHEN starts_with(path, '/api/check') THEN 60 ELSE 30 END AS seconds FROM u"""
+)
+def limits_of_paths(spark: SparkSession, d: str) -> DataFrame:
+    """STR-2: the limit of a path"""
+    path = F.when(F.col("event_type").isin("purchase", "error"), F.concat(F.lit("/api/check/"), "event_type")).otherwise(F.concat(F.lit("/api/"), "event_type"))
+    limits = spark.createDataFrame([(0, "/api/check", 10, 60), (1, "/api", 60, 30)], "ord int, prefix string, most int, seconds int")
+    return state.longest_prefix_limits(t(spark, d, "events").select("event_id", path.alias("path")), limits)
