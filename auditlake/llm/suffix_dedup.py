@@ -35,7 +35,7 @@ STEP = 1 << 20
 #: Bytes of different segments under one anchor that one task sorts; an anchor with more has its windows counted instead, on all executors.
 MAX_BYTES = 64 << 20
 #: Bytes of text a shard gathers before it is sorted.
-SHARD = 16 << 20
+SHARD = 4 << 20
 SEGMENT = "a long, d1 long, d2 long, doc_id long, row long, lo int, hi int"
 FOUND = "doc_id long, row long, lo int, hi int"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

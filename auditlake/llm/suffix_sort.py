@@ -11,8 +11,9 @@ First the LMS pieces are sorted in that way (from LMS suffixes in any order, whi
 names are a text a third as long at most. Its suffixes are sorted by doubling the number of names that are compared, since a large alphabet would leave each queue a handful of
 entries; the ranks of all rounds say how many names two neighbours share, hence how many symbols. Then the whole text is induced from the LMS suffixes and their common prefixes.
 
-Text, positions, names, ranks and orders are files mapped into memory, read and written in blocks; what a sort keeps in memory is `memory` bytes of queue and a few blocks
-(BATCH entries), whatever the length of the text. Sorting stops at `depth` symbols: suffixes that agree so far come in any order.
+Positions, names, ranks and orders are arrays that are read and written in blocks. They and the queues may take `memory` bytes in memory; what does not fit, and the text, is in files (mapped, so that only
+blocks in use are in memory). So a sort keeps that and a few blocks (BATCH entries) in memory, whatever the length of the text; all together it takes about 21 bytes for each symbol. Sorting stops at
+`depth` symbols: suffixes that agree so far come in any order.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Bytes that the queues of one sort keep in memory, all together.
-MEMORY = 32 << 20
+#: Bytes that one sort keeps in memory: half for arrays, half for queues.
+MEMORY = 64 << 20
 #: Entries taken at once.
 BATCH = 1 << 19
 #: Symbols that a common prefix can count, at most.
@@ -33,29 +34,49 @@ Batch = tuple[np.ndarray, np.ndarray]  # positions, common prefixes
 
 
 class Files:
-    """Arrays in files of one folder."""
+    """Arrays of one sort: in memory while they fit, else in files of one folder."""
 
-    def __init__(self, folder: str):
-        self.folder, self.made = folder, 0
+    def __init__(self, folder: str, memory: int):
+        self.folder, self.memory, self.made = folder, memory, 0
+        self.where: dict[int, tuple[np.ndarray, str]] = {}
 
     def path(self) -> str:
         self.made += 1
         return f"{self.folder}/{self.made}"
 
     def array(self, size: int, dtype: type) -> np.ndarray:
-        return np.asarray(np.memmap(self.path(), dtype, "w+", shape=(size,))) if size else np.zeros(0, dtype)
+        n = size * np.dtype(dtype).itemsize
+        if n <= self.memory:
+            out, path = np.zeros(size, dtype), ""
+            self.memory -= n
+        else:
+            path = self.path()
+            out = np.asarray(np.memmap(path, dtype, "w+", shape=(size,)))  # a plain view: indexing it is faster
+        self.where[id(out)] = (out, path)
+        return out
+
+    def free(self, *arrays: np.ndarray) -> None:
+        for x in arrays:
+            _, path = self.where.pop(id(x))
+            if path:
+                os.unlink(path)
+            else:
+                self.memory += x.nbytes
 
 
 class Queues:
     """First-in-first-out runs of entries (position << 8 | common prefix), one per symbol. The longest ones move to files when all together exceed the memory allowed."""
 
-    def __init__(self, files: Files, memory: int):
-        self.files, self.memory = files, memory
+    def __init__(self, files: Files, memory: int, entry: type):
+        self.files, self.memory, self.entry = files, memory, entry
         self.held: dict[int, list[np.ndarray]] = {}
         self.size: dict[int, int] = {}
         self.total = 0
         self.paths: dict[int, str] = {}
 
+    def put(self, c: int, positions: np.ndarray, shared: np.ndarray | int) -> None:
+        self.append(c, positions.astype(self.entry) << 8 | np.asarray(shared, self.entry))
+
     def append(self, c: int, part: np.ndarray) -> None:
         self.held.setdefault(c, []).append(part)
         self.size[c] = self.size.get(c, 0) + part.nbytes
@@ -75,7 +96,7 @@ class Queues:
             self.total -= self.size.pop(c, 0)
             if path:
                 with open(path, "rb") as f:
-                    while len(x := np.fromfile(f, np.int64, BATCH)):
+                    while len(x := np.fromfile(f, self.entry, BATCH)):
                         yield x
                 os.unlink(path)
             if rest:
@@ -87,11 +108,11 @@ class Queues:
         yield from reversed(self.held.pop(c, []))
         self.total -= self.size.pop(c, 0)
         if path:
-            n = os.path.getsize(path) // 8
+            size = np.dtype(self.entry).itemsize
             with open(path, "rb") as f:
-                for end in range(n, 0, -BATCH):
-                    f.seek(8 * max(0, end - BATCH))
-                    yield np.fromfile(f, np.int64, min(BATCH, end))
+                for end in range(os.path.getsize(path) // size, 0, -BATCH):
+                    f.seek(size * max(0, end - BATCH))
+                    yield np.fromfile(f, self.entry, min(BATCH, end))
             os.unlink(path)
 
 
@@ -125,11 +146,16 @@ class Carrier:
         np.minimum(self.since, least[-1], out=self.since)
         tail = np.append(np.minimum.accumulate(shared[::-1])[::-1], np.uint8(self.depth))
         self.since[own] = tail[k[np.append(at[1:], len(c)) - 1] + 1]
-        entry = p << 8 | lcp
+        entry = p.astype(self.to.entry) << 8 | lcp
         for x, a, b in zip(own.tolist(), at.tolist(), np.append(at[1:], len(c)).tolist(), strict=True):
             self.to.append(x, entry[a:b])
 
 
+def opened(batch: np.ndarray) -> Batch:
+    """Positions and common prefixes of entries."""
+    return (batch >> 8).astype(np.int64), (batch & 255).astype(np.uint8)
+
+
 def range_minimum(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(x[lo[i] : hi[i] + 1]) for each i, lo <= hi."""
     level = np.frexp(hi - lo + 1)[1] - 1
@@ -149,10 +175,10 @@ def run_of(t: np.ndarray, at: int, depth: int) -> int:
     return int(other[0]) if len(other) else len(part)
 
 
-def induce(t: np.ndarray, symbols: int, seeds: Callable[[int], Iterator[Batch]], depth: int, files: Files, memory: int, pieces: bool) -> Iterator[Batch]:
+def induce(t: np.ndarray, symbols: int, seeds: Callable[[int], Iterator[Batch]], depth: int, files: Files, memory: int, entry: type, pieces: bool) -> Iterator[Batch]:
     """The suffixes from the largest down, each with what it shares with the one before; with `pieces` LMS ones only. seeds(c): the LMS suffixes that begin with c, in order, each with
     what it shares with the one before it."""
-    large, done, small = (Queues(files, memory // 3) for _ in range(3))
+    large, done, small = (Queues(files, memory // 3, entry) for _ in range(3))
     to_large, to_small = Carrier(symbols, depth, large), Carrier(symbols, depth, small)
 
     def neighbours(p: np.ndarray, shared: np.ndarray, to: Carrier, good: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -163,13 +189,13 @@ def induce(t: np.ndarray, symbols: int, seeds: Callable[[int], Iterator[Batch]],
         return before
 
     n = len(t)
-    large.append(int(t[n - 1]), np.array([(n - 1) << 8]))
+    large.put(int(t[n - 1]), np.array([n - 1]), 0)
     to_large.fresh[int(t[n - 1])] = False
     for c in range(symbols):
         last = -1
         for batch in large.take(c):
             done.append(c, batch)
-            p, shared = batch >> 8, (batch & 255).astype(np.uint8)
+            p, shared = opened(batch)
             neighbours(p, shared, to_large, lambda x, c=c: x >= c)
             last = int(p[-1])
         for p, shared in seeds(c):
@@ -196,14 +222,14 @@ def induce(t: np.ndarray, symbols: int, seeds: Callable[[int], Iterator[Batch]],
     for c in range(symbols - 1, -1, -1):
         last = -1
         for batch in small.take(c):
-            p, shared = batch >> 8, (batch & 255).astype(np.uint8)
+            p, shared = opened(batch)
             before = neighbours(p, shared, to_small, lambda x, c=c: x <= c)
             last = int(p[-1])
             if (got := out(p, shared, before > c)) is not None:
                 yield got
         carry = None
         for batch in done.take_back(c):
-            p, up = batch[::-1] >> 8, (batch[::-1] & 255).astype(np.uint8)
+            p, up = opened(batch[::-1])
             if carry is None:
                 carry = 0 if last < 0 else min(run_of(t, last, depth), run_of(t, int(p[0]), depth))
             shared = np.concatenate((np.array([carry], np.uint8), up[:-1]))
@@ -213,26 +239,33 @@ def induce(t: np.ndarray, symbols: int, seeds: Callable[[int], Iterator[Batch]],
                 yield got
 
 
-def lms_positions(t: np.ndarray, files: Files) -> np.ndarray:
-    """Positions of the LMS suffixes, by blocks from the end of the text (the empty suffix after it is the smallest, so the last one is L)."""
-    path, n = files.path(), len(t)
+def lms_blocks(t: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of the LMS suffixes, each block in order, the blocks from the end of the text (the empty suffix after it is the smallest, so the last one is L)."""
+    n = len(t)
     after, follows = False, -1  # type of the suffix at b, and b itself if it is an S that may be an LMS
-    with open(path, "wb") as f:
-        for b in range(n, 0, -BATCH):
-            a = max(0, b - BATCH)
-            part = np.asarray(t[a : min(n, b + 1)]).astype(np.int32)
-            if b == n:
-                part = np.append(part, -1)
-            differs = np.flatnonzero(part[1:] != part[:-1])
-            is_s = np.full(b - a, after, bool)
-            if len(differs):
-                is_s[: differs[-1] + 1] = np.repeat(part[differs] < part[differs + 1], np.diff(np.concatenate(([-1], differs))))
-            found = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1 + a
-            if follows >= 0 and not is_s[-1]:
-                found = np.append(found, follows)
-            found[::-1].astype(np.int64).tofile(f)
-            after, follows = bool(is_s[0]), a if is_s[0] else -1
-    return np.asarray(np.memmap(path, np.int64, "r"))[::-1] if os.path.getsize(path) else np.zeros(0, np.int64)
+    for b in range(n, 0, -BATCH):
+        a = max(0, b - BATCH)
+        part = t[a : min(n, b + 1)].astype(np.int32)
+        if b == n:
+            part = np.append(part, -1)
+        differs = np.flatnonzero(part[1:] != part[:-1])
+        is_s = np.full(b - a, after, bool)
+        if len(differs):
+            is_s[: differs[-1] + 1] = np.repeat(part[differs] < part[differs + 1], np.diff(np.concatenate(([-1], differs))))
+        found = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1 + a
+        if follows >= 0 and not is_s[-1]:
+            found = np.append(found, follows)
+        yield found
+        after, follows = bool(is_s[0]), a if is_s[0] else -1
+
+
+def lms_positions(t: np.ndarray, files: Files) -> np.ndarray:
+    m = sum(map(len, lms_blocks(t)))
+    out = files.array(m, np.int32 if len(t) < 1 << 31 else np.int64)
+    for x in lms_blocks(t):
+        out[m - len(x) : m] = x
+        m -= len(x)
+    return out
 
 
 def blocks(n: int) -> Iterator[slice]:
@@ -243,7 +276,7 @@ def blocks(n: int) -> Iterator[slice]:
 def ordered(key: np.ndarray, files: Files, memory: int) -> np.ndarray:
     """Indices of the keys in their order, equal ones in any: ranges of keys that fit into the memory, one after another; a key that fills a range by itself needs no sorting."""
     n = len(key)
-    out, at = files.array(n, np.int64), 0
+    out, at = files.array(n, np.int32 if n < 1 << 31 else np.int64), 0
     most = max(1024, memory // 32)
     parts = -(-n // most)
     if parts <= 1:
@@ -272,17 +305,20 @@ def ordered(key: np.ndarray, files: Files, memory: int) -> np.ndarray:
 
 def doubled(names: np.ndarray, depth: int, files: Files, memory: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Order of the suffixes of the names by as many as `depth` symbols may take (a name stands for two at least), and the ranks by 1, 2, 4, ... names."""
-    n, h, ranks = len(names), 1, [names]
+    n, h, ranks, order = len(names), 1, [names], None
+    key = files.array(n, np.uint64)
     while True:
-        rank, key = ranks[-1], files.array(n, np.uint64)
+        rank = ranks[-1]
         for s in blocks(n):
-            x = np.asarray(rank[s]).astype(np.uint64) << np.uint64(32)
-            y = np.asarray(rank[s.start + h : s.stop + h])
+            x = rank[s].astype(np.uint64) << np.uint64(32)
+            y = rank[s.start + h : s.stop + h]
             x[: len(y)] |= y.astype(np.uint64)
             key[s] = x
+        if order is not None:
+            files.free(order)
         order, new, last, top = ordered(key, files, memory), files.array(n, np.int32), None, 0
         for s in blocks(n):
-            at = np.asarray(order[s])
+            at = order[s]
             k = key[at]
             step = np.concatenate(([last is None or k[0] != last], k[1:] != k[:-1]))
             new[at] = top + np.cumsum(step)
@@ -290,6 +326,7 @@ def doubled(names: np.ndarray, depth: int, files: Files, memory: int) -> tuple[n
         ranks.append(new)
         h *= 2
         if top == n or 2 * h >= depth:
+            files.free(key)
             return order, ranks
 
 
@@ -301,8 +338,8 @@ def shared_by(t: np.ndarray, lms: np.ndarray, a: np.ndarray, b: np.ndarray, rank
         same = inside[ranks[j][a[inside] + k[inside]] == ranks[j][b[inside] + k[inside]]]
         k[same] += 1 << j
     k -= np.maximum(a, b) + k >= n  # after the last piece of the text: that piece is compared as any that differs
-    out = np.minimum(lms[a + k] - lms[a], depth)
-    x, y = lms[a + k], lms[b + k]
+    x, y = lms[a + k].astype(np.int64), lms[b + k].astype(np.int64)
+    out = np.minimum(x - lms[a], depth)
     open_ = np.flatnonzero(out < depth)
     j = 0
     while len(open_):
@@ -325,15 +362,17 @@ def suffixes(t: np.ndarray, depth: int, folder: str, memory: int = MEMORY) -> It
     n = len(t)
     if not n:
         return
-    files = Files(folder)
+    memory //= 2
+    files = Files(folder, memory)
+    entry = np.uint32 if n < 1 << 24 else np.int64
     symbols = 1 + max(int(np.max(t[s])) for s in blocks(n))
     lms = lms_positions(t, files)
     m = len(lms)
     counts = np.zeros(symbols + 1, np.int64)
-    unsorted = Queues(files, memory // 4)
+    unsorted = Queues(files, memory // 4, entry)
     size = files.array(n // 2 + 1, np.uint8)  # symbols of the piece at a position, its last one is the next piece's first; LMS positions are two apart at least
     for s in blocks(m):
-        own = np.asarray(lms[s])
+        own = lms[s]
         follow = np.append(own[1:], lms[s.stop] if s.stop < m else n)
         size[own >> 1] = np.minimum(follow - own + 1, 255)
         c = t[own]
@@ -342,48 +381,49 @@ def suffixes(t: np.ndarray, depth: int, folder: str, memory: int = MEMORY) -> It
         c, own = c[order], own[order]
         cut = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
         for x, part in zip(c[cut].tolist(), np.split(own, cut[1:]), strict=True):
-            unsorted.append(x, part << 8 | 1)
+            unsorted.put(x, part, 1)
     begin = np.cumsum(counts)
 
     def in_any_order(c: int) -> Iterator[Batch]:
-        for batch in unsorted.take(c):
-            yield batch >> 8, (batch & 255).astype(np.uint8)
+        yield from map(opened, unsorted.take(c))
 
     if not m:
-        yield from induce(t, symbols, in_any_order, depth, files, memory, False)
+        yield from induce(t, symbols, in_any_order, depth, files, memory, entry, False)
         return
-    path = files.path()
-    with open(path, "wb") as f:
-        for p, shared in induce(t, symbols, in_any_order, depth, files, memory, True):
-            (p << 8 | shared).astype(np.int64).tofile(f)
-    pieces = np.asarray(np.memmap(path, np.int64, "r"))[::-1]
+    pieces, at = files.array(m, entry), m  # in order, each with what it shares with the next one
+    for p, shared in induce(t, symbols, in_any_order, depth, files, memory, entry, True):
+        pieces[at - len(p) : at] = (p.astype(entry) << 8 | shared)[::-1]
+        at -= len(p)
     name, top, before = files.array(n // 2 + 1, np.int32), 1, None
     for s in blocks(m):
-        x = np.asarray(pieces[s])
-        p, shared = x >> 8, x & 255  # shared with the next one
-        own = np.minimum(np.asarray(size[p >> 1]).astype(np.int64), depth)
-        equal = (shared >= own) & (own == np.append(own[1:], np.minimum(size[(pieces[s.stop] >> 8) >> 1], depth) if s.stop < m else 0))
+        p, shared = opened(pieces[s])
+        own = np.minimum(size[p >> 1].astype(np.int64), depth)
+        after = min(int(size[int(pieces[s.stop] >> 8) >> 1]), depth) if s.stop < m else 0
+        equal = (shared >= own) & (own == np.append(own[1:], after))
         step = np.concatenate(([before is not None and not before], ~equal[:-1]))
         number = top + np.cumsum(step)
         name[p >> 1] = number
         top, before = int(number[-1]), bool(equal[-1])
+    files.free(pieces, size)
     names = files.array(m, np.int32)
     for s in blocks(m):
-        names[s] = name[np.asarray(lms[s]) >> 1]
+        names[s] = name[lms[s] >> 1]
+    files.free(name)
     order, ranks = doubled(names, depth, files, memory)
-    seeds, last = files.array(m, np.int64), None
+    seeds, last = files.array(m, entry), None
     for s in blocks(m):
-        own = np.asarray(order[s])
+        own = order[s].astype(np.int64)
         row = own if last is None else np.append(last, own)
         shared = shared_by(t, lms, row[:-1], row[1:], ranks, depth)
         if last is None:
             shared = np.append(np.uint8(0), shared)
-        seeds[s] = lms[own] << 8 | shared
+        seeds[s] = lms[own].astype(entry) << 8 | shared
         last = int(own[-1])
+    files.free(order, lms, *ranks)
+    del order, lms, ranks, names, name, pieces, size
 
     def in_order(c: int) -> Iterator[Batch]:
         for k in range(int(begin[c]), int(begin[c + 1]), BATCH):
-            x = np.asarray(seeds[k : min(k + BATCH, int(begin[c + 1]))])
-            yield x >> 8, (x & 255).astype(np.uint8)
+            yield opened(seeds[k : min(k + BATCH, int(begin[c + 1]))])
 
-    yield from induce(t, symbols, in_order, depth, files, memory, False)
+    yield from induce(t, symbols, in_order, depth, files, memory, entry, False)

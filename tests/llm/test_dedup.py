@@ -287,7 +287,7 @@ def test_suffixes_are_sorted_with_their_common_prefixes(values, times, depth, me
 def test_keys_are_ordered_in_ranges(tmp_path):
     rng = np.random.default_rng(5)
     key = np.concatenate((rng.integers(0, 50, 4000), np.full(3000, 7), rng.integers(0, 2**62, 2000))).astype(np.uint64)
-    got = suffix_sort.ordered(key, suffix_sort.Files(str(tmp_path)), 1)
+    got = suffix_sort.ordered(key, suffix_sort.Files(str(tmp_path), 0), 1)
     assert (key[got] == np.sort(key)).all() and len(set(got.tolist())) == len(key)
 
 
