@@ -266,6 +266,13 @@ def bounded_sample(labelled: DataFrame, n: int, *keys: str) -> DataFrame:
     return F.broadcast(labelled.sparkSession.createDataFrame(first, labelled.schema))
 
 
+def one_each(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """Of rows that repeat the keys one: that with the least hash of its text. So a sample bounded by ids is bounded in rows."""
+    others = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.xxhash64(text)).alias("_one"))
+    return one.select(*(F.col(c) if c in keys else F.col(f"_one.{c}") for c in rows.columns))
+
+
 def fold_of(column: str | Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % folds

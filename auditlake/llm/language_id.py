@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Scratch, fold_of, map_batches, table
+from auditlake.llm.common import Scratch, fold_of, map_batches, one_each, table
 from auditlake.session import ship
 
 BITS = 16
@@ -25,6 +25,8 @@ SAMPLE = 4_000
 LEAST = 50
 UNKNOWN = "und"
 SCALE = 20.0
+#: Characters looked at in one step; temporaries take about 40 bytes for each.
+PIECE = 1 << 20
 
 
 def _letters() -> np.ndarray:
@@ -37,21 +39,48 @@ def _letters() -> np.ndarray:
 _known: np.ndarray | None = None
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashes (BITS wide) of all n-grams, with repeats."""
+def codes(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, 0 for what is no letter."""
     global _known
     if _known is None:
         _known = _letters()
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where((c >= 1 << 16) | _known[np.minimum(c, 65535)], c, 0)
-    c = np.concatenate(([0], c, [0])).astype(np.uint32)
-    c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]  # one edge between words
-    parts, h = [], np.zeros(len(c), np.uint32)
-    for k in range(ORDERS):
-        h = (h[: len(c) - k] if not k else h[:-1]) * np.uint32(0x01000193) + c[k:] * np.uint32(0x9E3779B1)
-        parts.append((h if k else h[c != 0]) + np.uint32(k))
-    out = np.concatenate(parts)
-    return ((out ^ (out >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
+    return np.where((c >= 1 << 16) | _known[np.minimum(c, 65535)], c, 0).astype(np.uint32)
+
+
+def gram_pieces(text: str) -> Iterator[np.ndarray]:
+    """Hashes (BITS wide) of all n-grams, with repeats, PIECE characters at a time: what stands across two pieces is carried over."""
+    held = np.zeros(1, np.uint32)  # the last codes before the piece
+    for a in range(0, max(1, len(text)), PIECE):
+        c = np.concatenate((held, codes(text[a : a + PIECE]), np.zeros(int(a + PIECE >= len(text)), np.uint32)))
+        c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]  # one edge between words
+        parts = []
+        for k in range(ORDERS):
+            own = c[max(0, len(held) - k) :]  # n-grams that end in this piece
+            if len(own) <= k:
+                continue
+            h = np.zeros(len(own) - k, np.uint32)
+            for j in range(k + 1):
+                h = h * np.uint32(0x01000193) + own[j : len(own) - k + j] * np.uint32(0x9E3779B1)
+            parts.append((h if k else h[own != 0]) + np.uint32(k))
+        held = c[-(ORDERS - 1) :]
+        out = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        yield ((out ^ (out >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
+
+
+def grams(text: str) -> np.ndarray:
+    return np.concatenate(list(gram_pieces(text)))
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, how often each stands)"""
+    n = np.zeros(0, np.int64)
+    for g in gram_pieces(text):
+        own = np.bincount(g, minlength=len(n))
+        own[: len(n)] += n
+        n = own
+    at = np.flatnonzero(n)
+    return at, n[at]
 
 
 def has_letter(text: str | None) -> bool:
@@ -67,12 +96,10 @@ class Model:
     loss: list[float] = field(default_factory=list)
 
     def logits(self, text: str) -> np.ndarray:
-        g = grams(text)
-        if not len(g):
+        at, n = gram_counts(text)
+        if not len(at):
             return self.bias
-        n = np.bincount(g, minlength=0)
-        at = np.flatnonzero(n)
-        return (n[at] * (SCALE / len(g))) @ self.weight[at] + self.bias
+        return (n * (SCALE / n.sum())) @ self.weight[at] + self.bias
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -158,7 +185,7 @@ def learnable(docs: DataFrame) -> DataFrame:
                 text = x.as_py()
                 if has_letter(text):
                     keep.append(i)
-                    df[np.unique(grams(text))] += 1
+                    df[gram_counts(text)[0]] += 1
             own = batch.select([0, 2]).take(pa.array(keep, pa.int64()))
             yield out(len(keep), *own.columns, None, None)
         at = np.flatnonzero(df)
@@ -204,11 +231,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         df[at] = n
     some = sampled(seen.where("at is null").select(F.col("doc_id").alias("label_id"), F.col("lang").alias("label")).distinct(), sample)
     own = usable.join(some, (F.col("doc_id") == F.col("label_id")) & (F.col("lang") == F.col("label"))).select("doc_id", "text", "lang")
+    own = one_each(own, "doc_id", "lang")
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
         keep = [i for i, x in enumerate(texts) if has_letter(x)]
-        counted = [np.unique(grams(texts[i]), return_counts=True) for i in keep]
+        counted = [gram_counts(texts[i]) for i in keep]
         rows = batch.select([0, 2]).take(pa.array(keep, pa.int64()))
         return pa.RecordBatch.from_arrays([*rows.columns, pa.array([a.astype(np.int32).tobytes() for a, _ in counted], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in counted], pa.binary())], ["doc_id", "lang", "at", "n"])
 
@@ -218,7 +246,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the language and its calibrated probability added. Null, empty or letterless text, or no model: `und` and 0."""
+    """docs with the language and its calibrated probability added (lang and score must be names that docs has not). Null, empty or letterless text, or no model: `und` and 0.
+
+    Rows that repeat a doc_id, or have none, are rows of their own; equal texts get equal answers, and of equally likely languages the first by name. A very long text is read whole, PIECE characters at
+    a time. An empty table gives no rows. Other columns stay as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

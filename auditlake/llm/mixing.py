@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import quality_rules, toxicity
-from auditlake.llm.common import Scratch, Texts, bounded_sample, free_name, map_batches, table
+from auditlake.llm.common import Scratch, Texts, bounded_sample, free_name, map_batches, one_each, table
 
 #: Labelled rows of each domain that the classifier is learned from, at most.
 SAMPLE = 3_000
@@ -88,6 +88,7 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
         own = bounded_sample(known.where(F.col("domain") == d), sample, "label_id")
         some = own if some is None else some.union(own)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).drop("label_id")
+    text = one_each(text, "doc_id", "domain")
     half = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(2))
     lexicon = toxicity.learned_lexicon(text.where(half == 0).withColumn("label", (F.col("domain") == "toxic").cast("int")))
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)

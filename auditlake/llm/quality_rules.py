@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import LINE_FEED, SPACE, Texts, Tokens, bounded_sample, first_of_equal, map_batches, mix, table, windows
+from auditlake.llm.common import LINE_FEED, SPACE, Texts, Tokens, bounded_sample, first_of_equal, map_batches, mix, one_each, table, windows
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATIOS = ["mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "capitals", "punctuation", "digits", "distinct_words", "words_per_line", "lone_marks", "exclamations", "longest_run"]
@@ -181,10 +181,10 @@ def as_column(rules: list[Rule], none: object = None) -> Column:
 
 
 def learned_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> list[Rule]:
-    """Rules for label 0, from at most `sample` rows with a label and an id (the first by a hash of the id); repeated and conflicting labels all count."""
+    """Rules for label 0, from at most `sample` rows with a label and an id (the first by a hash of the id); repeated and conflicting labels all count. Of texts that repeat an id one is seen."""
     some = bounded_sample(labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).dropna().distinct(), sample, "label_id", "label")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(some, F.col("doc_id") == F.col("label_id"))
-    own = text_statistics(chosen.select("doc_id", "text").distinct()).join(some, F.col("doc_id") == F.col("label_id")).drop("label_id").toPandas().sort_values(["doc_id", "label", "word_chars"], kind="stable")
+    own = text_statistics(one_each(chosen.select("doc_id", "text"), "doc_id")).join(some, F.col("doc_id") == F.col("label_id")).drop("label_id").toPandas().sort_values(["doc_id", "label", "word_chars"], kind="stable")
     return learn({c: own[c].to_numpy() for c in FEATURES}, (own["label"] == 0).to_numpy()) if len(own) else []
 
 

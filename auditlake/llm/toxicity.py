@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.boosting import Boosted, boost
-from auditlake.llm.common import LOWER, NOT_ALNUM, SPACE, Texts, Tokens, bounded_sample, fold_of, map_batches, mix, table, utf8
+from auditlake.llm.common import LOWER, NOT_ALNUM, SPACE, Texts, Tokens, bounded_sample, fold_of, map_batches, mix, one_each, table, utf8
 
 #: Labelled rows of either label that a model is learned from, at most.
 SAMPLE = 6_000
@@ -182,7 +182,7 @@ def learned_lexicon(texts: DataFrame) -> Lexicon:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, folds: int = 5) -> Model | None:
     """From labelled rows whose fold is not 0: at most `sample` of each label, the first by a hash of the id, whole texts; weighted by how many of the label there
-    are in all. None without rows of both labels."""
+    are in all. Of texts that repeat an id one is seen. None without rows of both labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & (fold_of("label_id", folds) != 0)).distinct()
     n = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
@@ -190,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = [bounded_sample(known.where(F.col("label") == c), sample, "label_id") for c in (0, 1)]
     some = F.broadcast(some[0].union(some[1]))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(some, F.col("doc_id") == F.col("label_id")).drop("label_id")
+    own = one_each(own, "doc_id", "label")
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     lexicon = learned_lexicon(own.where(half == 0))
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -210,7 +211,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, and FEATURES for each row of docs. Null text counts as empty; an empty text is scored like any other. Without a model every score is 0."""
+    """doc_id, score, and FEATURES for each row of docs. Null text counts as empty; an empty text is scored like any other. Without a model every score is 0. Rows that repeat a
+    doc_id, or have none, are rows of their own; equal texts score alike, and equal scores are one knot of the calibration. An empty table gives no rows; other columns are ignored.
+
+    A text is looked at whole: a task holds its words and what is counted of them, about 30 bytes for each byte of the longest text (or of a batch of 1 MB of short ones)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:

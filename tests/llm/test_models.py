@@ -73,8 +73,10 @@ def test_quality_query(spark):
     assert clean.kept[labels[clean.index] == 1].mean() > 0.95
     assert not (got.base_failed & got.kept).any()
     assert clean.kept[labels[clean.index] == 0].mean() < 0.5
-    some = quality_rules.judged(docs(spark, [(None, None), (1, "x " * 60)], ", kept string").drop("kept") if False else docs(spark, [(None, None), (1, "x y z " * 30)]), spark.createDataFrame([], "doc_id long, quality int")).collect()
-    assert all(r.base_failed and not r.kept for r in some)
+    odd = docs(spark, [(None, None, "a", 3), (1, "x y z " * 30, "b", 4), (1, "x y z " * 30, "b", 4)], ", kept string, N_WORDS int")
+    some = quality_rules.judged(odd, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert len(some) == 3 and all(r.base_failed and not r.kept for r in some)
+    assert quality_rules.judged(odd.limit(0), spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id long, quality int")).count() == 0
 
 
 # toxicity
@@ -133,6 +135,53 @@ def test_language_of_edge_cases(spark):
     assert language_id.train(own.limit(0)) is None
 
 
+def plain_grams(text):
+    import unicodedata
+
+    words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split()
+    line = " " + "".join(w + " " for w in words)
+    return Counter(g for k in (1, 2, 3) for i in range(len(line) - k + 1) if (g := line[i : i + k]) != " ")
+
+
+@pytest.mark.parametrize("piece", [1, 2, 5, 1 << 20])
+def test_grams_of_any_piece_size(piece, monkeypatch):
+    for text in ("", "a", " a", "ab", "a b", "The cat, the  CAT! été 漢字 x2y", "..", "ß\u0301 é\n\nz"):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        at, n = language_id.gram_counts(text)
+        monkeypatch.setattr(language_id, "PIECE", 1 << 20)
+        whole = np.unique(language_id.grams(text), return_counts=True)
+        want = plain_grams(text)
+        assert at.tolist() == whole[0].tolist() and n.tolist() == whole[1].tolist(), text
+        assert n.sum() == sum(want.values()) and len(want) - 2 <= len(n) <= len(want), text  # hashes may fall together
+
+
+def test_logits_are_those_of_tf_idf(spark):
+    rows = [(i, x, lang) for i, (x, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 30)]
+    m = language_id.train(docs(spark, rows, ", lang string"))
+
+    def place(g):
+        h = 0
+        for c in g:
+            h = (h * 0x01000193 + (0 if c == " " else ord(c)) * 0x9E3779B1) % 2**32
+        h = (h + len(g) - 1) % 2**32
+        return ((h ^ (h >> 15)) * 0x2C1B3C6D) % 2**32 >> (32 - language_id.BITS)
+
+    text = "the cat le chien"
+    n = plain_grams(text)
+    z = sum(k / sum(n.values()) * language_id.SCALE * m.weight[place(g)].astype(float) for g, k in n.items()) + m.bias
+    assert np.allclose(m.logits(text), z, atol=1e-5) and np.abs(z - m.bias).max() > 0.1
+
+
+def test_languages_with_clashing_columns_repeats_and_ties(spark):
+    rows = [(i, x, lang, 0.5, "x") for i, (x, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 30)]
+    rows += [(1, rows[1][1], "fr", 0.5, "x"), (1, rows[1][1], "fr", 0.5, "x"), (7, "zzz", "zz", None, None)]
+    own = docs(spark, rows, ", lang string, SCORE double, _lang string")
+    got = language_id.predict(own, language_id.train(own), "text", "found", "p").collect()
+    assert len(got) == len(rows) and {r.SCORE for r in got} == {0.5, None}
+    assert len({(r.found, r.p) for r in got if r.text == rows[1][1]}) == 1
+    assert language_id.predict(own.limit(0), None, "text", "found", "p").count() == 0
+
+
 def test_temperature_fits_the_odds():
     rng = np.random.default_rng(0)
     z = rng.normal(size=(4000, 2)) * 3
