@@ -190,8 +190,115 @@ def platform_codes(found: DataFrame, mappings: DataFrame) -> DataFrame:
     return found.join(F.broadcast(own), "rule_id", "left").withColumn("platform_codes", F.coalesce("platform_codes", F.array().cast("array<struct<platform:string,code:string,description:string>>")))
 
 
+HIT = "struct<rule_seq:int,section_type:string,start:int,matched:string,line_no:int,text:string,label:string>"
+
+
 def run(docs: DataFrame, sections: DataFrame, rules: DataFrame, spans: DataFrame | None = None, fingerprint_mode: bool = False, synonyms: dict[str, list[str]] | None = None, format_words: dict[str, str] | None = None) -> DataFrame:
-    """RUL-12: findings of all four checks. docs(doc_id[, text]); a text is needed for documents without sections."""
+    """RUL-12: findings of all four checks. docs(doc_id[, text]); a text is needed for documents without sections.
+
+    All rules are evaluated in one pass over the sections, as literals of one expression (packs are a few hundred rows, and literal patterns are compiled once): which keywords and words of formats a
+    section has, and its matches of forbidden patterns. One aggregate by document then says what is there, and the findings are what is not, and the matches: no anti-joins, and no text is joined to rules.
+    The results are those of missing_chapters, missing_keywords, forbidden and missing_formats.
+    """
+    words = FORMAT_WORDS if format_words is None else format_words
+    word = F.coalesce(F.create_map(*(F.lit(x) for kv in words.items() for x in kv))[F.col("target")], F.col("target")) if words else F.col("target")
+    own = rules.withColumn("_section", canonical("target", synonyms)).withColumn("_at", F.coalesce(canonical("target_section", synonyms), F.lit(""))).withColumn("_word", word)
+    own = own.withColumn("_rx", F.when(F.col("type") == "forbidden", F.concat(F.lit(FLAGS), F.coalesce("pattern", quoted("target")))))
+    pack = own.select("rule_seq", "type", "keyword", "_section", "_at", "_word", "_rx", "exclude_contexts").collect()
+    of = lambda kind: [r for r in pack if r.type == kind]
+    keyed = [r for r in of("keyword_required") if r.keyword]
+    if any("\n" in r.keyword for r in keyed if not r["_at"]):
+        return run_apart(docs, sections, rules, spans, fingerprint_mode, synonyms, format_words)
+
+    def those(rows: list, holds) -> Column:
+        """rule_seq of the rules for which it holds."""
+        each = [F.when(holds(r), F.lit(r.rule_seq)) for r in rows]
+        return F.filter(F.array(*each), lambda x: x.isNotNull()) if each else F.array().cast("array<int>")
+
+    content, kind, free = F.col("content"), F.col("section_type"), F.lit("")
+    sections = sections.select("doc_id", "section_type", "content")
+    if spans is not None:
+        placed = with_offsets(spans)
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("label") != "FIXED", F.struct("span_no", "text")))), lambda x: x["text"]), "\n")
+        placed = placed.groupBy("doc_id", "section_type").agg(F.array_sort(F.collect_list(F.struct("span_no", "label", "approx_start", "approx_end"))).alias("_spans"), joined.alias("_free"))
+        sections = sections.join(placed, ["doc_id", "section_type"], "left")
+        if fingerprint_mode:
+            free = F.coalesce("_free", F.lit(""))
+    blank = ~free.rlike(r"(?U)\S") if fingerprint_mode and spans is not None else F.lit(True)
+    look = F.when(blank, content).otherwise(free)
+
+    rx = {r.rule_seq: r["_rx"] for r in of("forbidden")}
+    excluded = {r.rule_seq: r.exclude_contexts for r in of("forbidden") if r.exclude_contexts}
+    rx_of = F.create_map(*(F.lit(x) for kv in rx.items() for x in kv)) if rx else F.create_map().cast("map<int,string>")
+
+    def hit(seq: Column, m: Column) -> Column:
+        start, n = m["start"], F.length(m["match"])
+        label = F.lit("")
+        if spans is not None:
+            label = F.coalesce(F.get(F.filter("_spans", lambda s: (start < s["approx_end"]) & (start + n > s["approx_start"])), F.lit(0))["label"], F.lit(""))
+        return F.struct(seq.alias("rule_seq"), kind.alias("section_type"), start.alias("start"), m["match"].alias("matched"), line_of("content", start).alias("line_no"), context_of("content", start, n).alias("text"), label.alias("label"))
+
+    def allowed(seq: Column, m: Column) -> Column:
+        start, n = m["start"], F.length(m["match"])
+        a = F.greatest(start - 10, F.lit(0))
+        near = F.substring(content, a + 1, start + n + 10 - a)
+        out = F.lit(True)
+        for k, contexts in excluded.items():
+            for x in contexts:
+                out = out & ~((seq == k) & near.contains(x))
+        return out
+
+    def hits_of(seq: Column) -> Column:
+        return F.transform(F.filter(matches("content", F.element_at(rx_of, seq)), lambda m: allowed(seq, m)), lambda m: hit(seq, m))
+
+    forb = F.flatten(F.transform(those(of("forbidden"), lambda r: content.rlike(r["_rx"])), hits_of)) if rx else F.array().cast(f"array<{HIT}>")
+    one = sections.select(
+        "doc_id", kind, forb.alias("hits"), (~blank).alias("free"), those([r for r in keyed if r["_at"]], lambda r: (kind == r["_at"]) & look.contains(r.keyword)).alias("local"), those([r for r in keyed if not r["_at"]], lambda r: content.contains(r.keyword)).alias("whole"),
+        those([r for r in keyed if not r["_at"]], lambda r: free.contains(r.keyword)).alias("whole_free"), those(of("format_required"), lambda r: content.contains(r["_word"])).alias("formats"),
+    )
+    each = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    there = one.groupBy("doc_id").agg(F.collect_set("section_type").alias("types"), F.flatten(F.collect_list("hits")).alias("hits"), F.max("free").alias("free"), *(each(c) for c in ("local", "whole", "whole_free", "formats")))
+    both = docs.select("doc_id").join(there, "doc_id", "left")
+    none = F.array().cast("array<int>")
+    has = lambda c, r: F.array_contains(F.coalesce(c, none), r.rule_seq)
+    whole = F.when(F.col("free"), F.col("whole_free")).otherwise(F.col("whole"))
+    gone = F.concat(
+        those(of("chapter_required"), lambda r: F.col("types").isNotNull() & ~F.array_contains("types", r["_section"])), those(keyed, lambda r: ~has(F.col("local") if r["_at"] else whole, r)),
+        those(of("format_required"), lambda r: ~has(F.col("formats"), r)),
+    )
+    gone = F.transform(gone, lambda k: F.struct(k.alias("rule_seq"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split(":") for x in HIT[7:-1].split(",")[1:])))).cast(f"array<{HIT}>")
+    found = both.select("doc_id", F.inline(F.concat(gone, F.coalesce(F.col("hits").cast(f"array<{HIT}>"), F.array().cast(f"array<{HIT}>")))))
+    if "text" in docs.columns:  # for documents without sections
+        titles = docs.join(there.select("doc_id"), "doc_id", "left_anti").select("doc_id", chapter_titles("text").alias("_titles"))
+        own_titles = [r for r in of("chapter_required")]
+        targets = {r.rule_seq: r.target for r in rules.where("type = 'chapter_required'").select("rule_seq", "target").collect()}
+        missing = those(own_titles, lambda r: ~F.exists("_titles", lambda x: x.contains(targets[r.rule_seq]) | F.lit(targets[r.rule_seq]).contains(x)))
+        more = titles.select("doc_id", F.explode(missing).alias("rule_seq"))
+        found = found.unionByName(more.withColumn("text", F.lit("title")), allowMissingColumns=True)
+    return described(found, own, fingerprint_mode)
+
+
+def described(found: DataFrame, rules: DataFrame, fingerprint_mode: bool) -> DataFrame:
+    """Findings in full: found(doc_id, and HIT: section_type is null for what is missing; text is "title" for a chapter that no title names) with their rules."""
+    own = found.withColumnsRenamed({"text": "_text", "section_type": "_kind", "label": "_label"}).join(F.broadcast(rules), "rule_seq")
+    kind, target, at, matched = F.col("type"), F.col("target"), F.col("_at"), F.col("matched")
+    by = lambda **of: F.coalesce(*(F.when(kind == k, v) for k, v in of.items()))
+    quote = lambda a, x, b: F.concat(F.lit(a), x, F.lit(b))
+    by_title = F.coalesce(F.col("_text") == "title", F.lit(False)) & (kind == "chapter_required")
+    label = F.coalesce("_label", F.lit(""))
+    if fingerprint_mode:
+        own = own.where((kind != "forbidden") | (label != "FIXED"))
+    said = by(chapter_required=F.when(by_title, quote("缺少《", target, "》相关内容")).otherwise(quote("缺少《", target, "》章节")), keyword_required=quote("缺少关键字「", F.col("keyword"), "」"), forbidden=F.concat(F.lit("发现禁用词: "), matched), format_required=F.concat(F.lit("缺少格式规范："), target))
+    advice = by(chapter_required=quote("请补充《", target, "》章节"), keyword_required=quote("请补充「", F.col("keyword"), "」相关表述"), forbidden=quote("请修改「", matched, "」相关表述"), format_required=quote("请补充关于", target, "的格式要求"))
+    return _finding(
+        own, location=by(keyword_required=F.when(at != "", quote("应在《", at, "》中")).otherwise("全文"), forbidden=F.concat("_kind", F.lit(" ~第"), F.col("line_no").cast("string"), F.lit("行"))), text=F.when(kind == "forbidden", F.col("_text")), start=F.col("start"), matched=matched, line_no=F.col("line_no"),
+        risk_level=by(chapter_required=F.lit("high"), keyword_required=F.when(F.col("weight") >= 15, "high").otherwise("medium"), forbidden=F.col("severity"), format_required=F.lit("low")), description=F.coalesce(F.nullif("description", F.lit("")), said), suggestion=F.coalesce(F.nullif("suggestion", F.lit("")), advice),
+        span_label=F.when(kind == "forbidden", label).otherwise(""), template_confidence=F.when((kind == "forbidden") & (label == "UNCERTAIN"), 0.4).when((kind == "forbidden") & (label == "FIXED"), 0.3).otherwise(0.0),
+    )
+
+
+def run_apart(docs: DataFrame, sections: DataFrame, rules: DataFrame, spans: DataFrame | None = None, fingerprint_mode: bool = False, synonyms: dict[str, list[str]] | None = None, format_words: dict[str, str] | None = None) -> DataFrame:
+    """run() as a union of its four checks: also for keywords with line feeds, which may stand across two sections."""
     free = spans if fingerprint_mode else None
     parts = [missing_chapters(docs, sections, rules, synonyms), missing_keywords(docs, sections, rules, free, synonyms), forbidden(sections, rules, spans, fingerprint_mode), missing_formats(docs, sections, rules, format_words)]
     if "text" in docs.columns:

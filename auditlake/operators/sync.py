@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import short_id, valid_rule_id
@@ -108,3 +112,29 @@ def score_deltas(reports: DataFrame, a: int, b: int, scores: list[str]) -> DataF
     last = lambda f, name: reports.where(F.col("file_id") == f).groupBy().agg(F.max_by(F.struct(*scores), F.struct("created_at", "report_id")).alias(name))
     both = last(a, "a").crossJoin(last(b, "b"))
     return both.select(*(x for c in scores for x in (F.col(f"a.{c}").alias(f"{c}_a"), F.col(f"b.{c}").alias(f"{c}_b"), (F.col(f"b.{c}") - F.col(f"a.{c}")).alias(f"{c}_delta"))))
+
+
+HISTORY = "job string, started timestamp, finished timestamp, tries int, ok boolean, error string"
+
+
+def run_job(spark: SparkSession, job: str, action: Callable[[], None], history: str, tries: int = 3, wait: Callable[[float], None] = time.sleep) -> bool:
+    """SYN-6 / SRC-17: one run of a scheduled job: a failed action is tried again after 1, 2, 4, ... seconds; the outcome is appended to the history, and told. The schedule is outside."""
+    started, error = datetime.now(), None
+    for n in range(tries):
+        try:
+            action()
+            error = None
+            break
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"[:500]
+            if n + 1 < tries:
+                wait(2.0**n)
+    spark.createDataFrame([(job, started, datetime.now(), n + 1, error is None, error)], HISTORY).write.mode("append").parquet(history)
+    return error is None
+
+
+def job_history(spark: SparkSession, history: str, job: str | None = None, n: int = 50) -> DataFrame:
+    """SYN-6: the last n runs, newest first."""
+    own = spark.read.schema(HISTORY).parquet(history)
+    own = own if job is None else own.where(F.col("job") == job)
+    return own.orderBy(F.col("finished").desc()).limit(n)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as fn
-from auditlake.operators import chunk, fuse, graph, label, mine, rules, scores, segment, state, stats, sync
+from auditlake.operators import bias, chunk, fuse, graph, label, mine, rules, scores, segment, state, stats, sync
 from auditlake.plans import demo
 from auditlake.plans.demo import literal, query, t, values
-from auditlake.plans.review import clause_prompts
+from auditlake.plans.review import clause_prompts, review
 from auditlake.sources import documents, packs
 
 #: Lines of a tender document: (line, whether it is a heading, the type of its section). Line i of document d is one of them where (7 d + 3 i) mod 24 is its number.
@@ -471,6 +471,17 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.model_scores(demo.docs(spark, d), demo.modelled(spark, d))
 
 
+# the whole review
+
+
+@query()
+def review_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The review as one plan: verdicts of all documents. Its parts have SQL of their own."""
+    own = t(spark, d, "documents").select("doc_id", "text")
+    got = review(own, demo.sections(spark, d), demo.pack(spark), bias.patterns_of(spark, demo.BIAS, demo.BIAS_DEDICATED), synonyms=demo.SYNONYMS, formats=demo.FORMATS, fields=demo.BIAS_FIELDS)
+    return got.verdicts.select("doc_id", "confirmed_count", "high_risk_count", "needs_review_count", "advisory_count", "risk_level", "review_status")
+
+
 # AGG and SRT: statistics and lists
 
 

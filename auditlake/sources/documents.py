@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import strip
-from auditlake.operators import segment
+from auditlake.operators import label, segment
 from auditlake.session import ship
 
 SUPPORTED = ["pdf", "docx"]
@@ -126,6 +126,11 @@ def write_sections(sections: DataFrame, path: str, by: str | None = None) -> Non
     (w.partitionBy(by) if by else w).parquet(path)
 
 
+def append_audit(entries: DataFrame, path: str) -> None:
+    """SNK-6: entries(log_id, ts, user_id, ...) are appended; nothing that is there is read or changed."""
+    entries.write.mode("append").parquet(path)
+
+
 def audit_log(log: DataFrame, user: str | None = None, limit: int = 100) -> DataFrame:
     """SNK-6: newest first."""
     own = log if user is None else log.where(F.col("user_id").cast("string") == user)
@@ -147,6 +152,22 @@ def template_names(raw: DataFrame) -> DataFrame:
     return raw.select("path", sector.alias("sector"), F.when(dash, procurement_method(F.trim(F.get(parts, F.lit(0))))).otherwise(method).alias("method"), F.when(dash, F.get(parts, F.lit(1))).otherwise(kind).alias("project_type"))
 
 
+def fingerprints_of_templates(templates: DataFrame) -> DataFrame:
+    """LAB-3: templates(path, text) -> fingerprints by sector, method and project type, which the folder and the name of a template say."""
+    named = templates.select("path", "text").join(template_names(templates.select("path").distinct()), "path").withColumn("doc_id", F.xxhash64("path", "text"))
+    return label.fingerprints(named, ["sector", "method", "project_type"])
+
+
+def write_fingerprints(prints: DataFrame, path: str) -> None:
+    """SNK-4: as JSON lines, one group after another, so that a group is read without the others."""
+    prints.write.mode("overwrite").partitionBy("sector").json(path)
+
+
+def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """SNK-4: (sector, method, project_type, hash_id, normalized, text, frequency, length)"""
+    return spark.read.schema("method string, project_type string, hash_id string, normalized string, text string, frequency long, length int, sector string").json(path)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The latest row of each key."""
     w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
