@@ -156,12 +156,12 @@ def audit_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {tender._TENDER}, s AS (SELECT doc_id, doc_id // 6 || '-' || doc_id % 3 AS sector, {demo._NORM.format("text")} AS norm FROM tender WHERE len(regexp_extract_all(text, '[一-鿿]')) >= 3),
+    f"""WITH {tender._TENDER}, s AS (SELECT doc_id, doc_id // 6 || '-' || doc_id % 3 AS sector, {demo._NORM.format("text")} AS norm, {demo._SCORE} AS score FROM (SELECT *, text AS line FROM tender) WHERE len(regexp_extract_all(text, '[一-鿿]')) >= 3),
 n AS (SELECT doc_id // 6 || '-' || doc_id % 3 AS sector, count(*) AS docs FROM documents GROUP BY 1)
-SELECT sector, '公开招标' AS method, '施工类' AS project_type, sha256(norm)[1:16] AS hash_id, count(*) AS frequency FROM s JOIN n USING (sector) WHERE docs > 1 GROUP BY sector, norm, docs HAVING count(DISTINCT doc_id) = docs"""
+SELECT sector, '公开招标' AS method, '施工类' AS project_type, sha256(norm)[1:16] AS hash_id, count(*) AS frequency FROM s JOIN n USING (sector) GROUP BY sector, norm, docs HAVING (docs > 1 AND count(DISTINCT doc_id) = docs) OR (docs = 1 AND max(score) >= 5)"""
 )
 def fingerprint_tree(spark: SparkSession, d: str) -> DataFrame:
-    """LAB-3, SNK-4: fingerprints of a tree of templates (two to a folder), written and read back"""
+    """LAB-3, SNK-4 (with LAB-2 for a folder of one): fingerprints of a tree of templates, two to a folder, written and read back"""
     path = F.concat(F.lit("/t/"), F.floor(F.col("doc_id") / 6).cast("string"), F.lit("-"), (F.col("doc_id") % 3).cast("string"), F.lit("/公开招标--施工类.docx"))
     folder = new_folder(spark, "fingerprints")
     texts = tender.lines(spark, d).where(F.regexp_count("text", F.lit(fn.CJK)) >= 3).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
