@@ -11,9 +11,9 @@ from auditlake.llm.html_text import op9_min_cut_html_text
 from auditlake.llm.language_id import op10_language_id
 from auditlake.llm.line_dedup import OP4_SQL, op4_line_dedup
 from auditlake.llm.mixing import op5_soft_membership_mixing
-from auditlake.llm.near_dedup import op2_minhash_near_dedup
+from auditlake.llm.near_dedup import OP2_SQL, op2_minhash_near_dedup
 from auditlake.llm.quality_rules import op3_learned_quality_rules
-from auditlake.llm.suffix_dedup import op8_suffix_array_dedup
+from auditlake.llm.suffix_dedup import OP8_SQL, op8_suffix_array_dedup
 from auditlake.llm.toxicity import op6_toxicity
 from auditlake.llm.warc import OP1_SQL, op1_warc_chunked_records
 
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_chunked_records": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_winnowing_decontamination": OP7_SQL}
+    return {"op1_warc_chunked_records": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_winnowing_decontamination": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL}

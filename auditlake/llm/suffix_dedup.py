@@ -340,3 +340,19 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+cut AS (SELECT doc_id, o, b[o + 1:o + 1223] AS piece FROM (SELECT doc_id, b, unnest(generate_series(0, greatest(n - 200, 0), 1024)) AS o FROM d)),
+w AS (SELECT doc_id, o + i AS s, md5(piece[i + 1:i + 200]) AS h FROM (SELECT doc_id, o, piece, unnest(generate_series(0, least(octet_length(piece) - 200, 1023))) AS i FROM cut)),
+often AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, s FROM w SEMI JOIN often USING (h)),
+run AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM hit),
+span AS (SELECT doc_id, min(s) AS a, max(s) + 200 AS z, row_number() OVER (PARTITION BY doc_id ORDER BY min(s)) AS k FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM run) GROUP BY doc_id, g),
+keep AS (SELECT doc_id, coalesce(lag(z) OVER w, 0) AS a, a AS z FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY k) UNION ALL SELECT doc_id, max(z), NULL FROM span GROUP BY doc_id),
+kept AS (SELECT k.doc_id, string_agg(hex(b[k.a + 1:coalesce(k.z, n)]), '' ORDER BY k.a) AS h FROM keep k JOIN d USING (doc_id) WHERE coalesce(k.z, n) > k.a GROUP BY k.doc_id),
+t AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN removed IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -275,7 +275,7 @@ def test_a_changed_archive_is_an_error(spark, tmp_path):
         warc.read_chunks(m).collect()
 
 
-@pytest.mark.parametrize("name", ["op1_warc_chunked_records", "op4_line_dedup", "op7_winnowing_decontamination"])
+@pytest.mark.parametrize("name", ["op1_warc_chunked_records", "op2_minhash_near_dedup", "op4_line_dedup", "op7_winnowing_decontamination", "op8_suffix_array_dedup"])
 def test_queries_give_their_sql(spark, name):
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
