@@ -85,7 +85,7 @@ class Scratch:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def partitions(self, name: str, size: int = 32 << 20) -> int:
+    def partitions(self, name: str, size: int = 16 << 20) -> int:
         """How many partitions a kept table makes at about so many written bytes each; as many as there are cores at least."""
         fs, p = self._at(f"{self.path}/{name}")
         return max(self.spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(p).getLength() // size))

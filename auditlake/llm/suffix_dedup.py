@@ -292,7 +292,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(spark)
     scratch = Scratch(spark, "suffix-dedup")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
-    order = ["a", "d1", "d2", "doc_id"]
+    order = ["a", "d1", "d2", "doc_id", "row", "lo"]  # down to the place, so that equal segments of one text are cut, too
     # written first: a range partitioner samples its input, which would else look at every byte twice
     every = scratch.keep(all_segments(text), "segments")
     ordered = every.repartitionByRange(scratch.partitions("segments"), *order).sortWithinPartitions(*order)
