@@ -40,20 +40,20 @@ def packed(sections: DataFrame, limit: int) -> DataFrame:
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(whole) - 1) / half).cast("int")), lambda i: F.struct(F.concat("section_type", F.lit("("), (i + 1).cast("string"), F.lit(")")).alias("name"), block(F.concat("section_type", F.lit("("), (i + 1).cast("string"), F.lit(")")), F.substring(whole, i * half + 1, F.lit(half))).alias("text")))
     parts = sections.withColumn("_b", F.when(F.length(whole) * 2 > limit, cut).otherwise(F.array(F.struct(F.col("section_type").alias("name"), whole.alias("text")))))
     blocks = parts.select("doc_id", "ord", F.posexplode("_b").alias("part", "b")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "part", F.col("b.name").alias("name"), F.col("b.text").alias("text")))).alias("blocks"))
-    kind = "array<struct<names:array<string>,texts:array<string>>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("texts"), F.lit(0).alias("size"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.length(x["text"]) * 2
-        flush = (acc["size"] + n > limit) & (F.size(acc["names"]) > 0)
-        full = F.array_append(acc["done"], F.struct(acc["names"].alias("names"), acc["texts"].alias("texts")))
-        fresh = F.struct(full.alias("done"), F.array(x["name"]).alias("names"), F.array(x["text"]).alias("texts"), n.alias("size"))
-        more = F.struct(acc["done"].alias("done"), F.array_append(acc["names"], x["name"]).alias("names"), F.array_append(acc["texts"], x["text"]).alias("texts"), (acc["size"] + n).alias("size"))
-        return F.when(flush, fresh).otherwise(more)
-
-    end = lambda acc: F.when(F.size(acc["names"]) > 0, F.array_append(acc["done"], F.struct(acc["names"].alias("names"), acc["texts"].alias("texts")))).otherwise(acc["done"])
-    out = blocks.select("doc_id", F.posexplode(F.aggregate("blocks", start, step, end)).alias("chunk_no", "c"))
-    return out.select("doc_id", "chunk_no", F.array_join("c.names", " + ").alias("section_names"), F.array_join("c.texts", "").alias("prompt"))
+    # the fold is over sizes alone: it gives each block the number of its chunk, and no text is copied on the way
+    sizes = F.transform("blocks", lambda x: F.length(x["text"]) * 2)
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("of"))
+
+    def step(acc: Column, n: Column) -> Column:
+        flush = (acc["size"] + n > limit) & (F.size(acc["of"]) > 0)
+        chunk = acc["chunk"] + flush.cast("int")
+        return F.struct(F.when(flush, n).otherwise(acc["size"] + n).alias("size"), chunk.alias("chunk"), F.array_append(acc["of"], chunk).alias("of"))
+
+    numbered = blocks.withColumn("_f", F.aggregate(sizes, start, step)).withColumn("_z", F.arrays_zip("blocks", F.col("_f.of").alias("of")))
+    own = F.transform(F.sequence(F.lit(0), F.col("_f.chunk")), lambda k: F.transform(F.filter("_z", lambda z: z["of"] == k), lambda z: z["blocks"]))
+    out = numbered.select("doc_id", F.posexplode(own).alias("chunk_no", "c"))
+    part = lambda name, sep: F.array_join(F.transform("c", lambda x: x[name]), sep)
+    return out.select("doc_id", "chunk_no", part("name", " + ").alias("section_names"), part("text", "").alias("prompt"))
 
 
 def overlap_tail(prev: Column | str, limit: Column | int) -> Column:
