@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -15,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.session import ship
+from auditlake.session import shared_dir, ship
 
 #: White space in UTF-8 bytes: words are `[^\x20\x09-\x0D]+`.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -34,26 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset under a local master (tests) a temporary one, which then becomes the setting. On a
-    cluster an unset folder is an error: each machine would write to a disk of its own."""
-    try:
-        found = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # unset
-        found = None
-    if not found:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = context.get() if context.isDefined() else None
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not found:
-        made = tempfile.mkdtemp(prefix="auditlake-shared-")
-        atexit.register(shutil.rmtree, made, True)
-        found = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 _made: list[Scratch] = []
 
 
