@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditlake.llm.ann import OP11_SQL, op11_one_bit_neighbours
 from auditlake.llm.decontaminate import OP7_SQL, op7_winnowing_decontamination
 from auditlake.llm.html_text import op9_min_cut_html_text
 from auditlake.llm.language_id import op10_language_id
@@ -20,9 +21,9 @@ from auditlake.llm.warc import OP1_SQL, op1_warc_chunked_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_chunked_records, op2_minhash_near_dedup, op3_learned_quality_rules, op4_line_dedup, op5_soft_membership_mixing, op6_toxicity, op7_winnowing_decontamination, op8_suffix_array_dedup, op9_min_cut_html_text, op10_language_id, op13_merkle_manifest]
+    found = [op1_warc_chunked_records, op2_minhash_near_dedup, op3_learned_quality_rules, op4_line_dedup, op5_soft_membership_mixing, op6_toxicity, op7_winnowing_decontamination, op8_suffix_array_dedup, op9_min_cut_html_text, op10_language_id, op11_one_bit_neighbours, op13_merkle_manifest]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_chunked_records": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_winnowing_decontamination": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op1_warc_chunked_records": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_winnowing_decontamination": OP7_SQL, "op8_suffix_array_dedup": OP8_SQL, "op11_one_bit_neighbours": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
