@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.operators.scan import scanning
+
 # fixed values: words of section names by field; patterns of the dedicated checks (pattern, confidence) in order
 FIELDS = {"qualification_requirements": ["资格", "资质"], "technical_params": ["技术", "参数", "规格", "需求"], "evaluation_criteria": ["评审", "评分", "评标"]}
 DEDICATED = {
@@ -20,12 +22,12 @@ GENERIC_CONFIDENCE = 0.7
 RX = "pattern_seq int, pattern_id string, severity string, rule_id string, fields array<string>, ord int, rx string, keyword string, confidence double, generic boolean"
 
 
-def with_fields(sections: DataFrame, fields: dict[str, list[str]] | None = None) -> DataFrame:
-    """BIA-1: a row per field of a section, by words of its name; `general` if none fits."""
+def with_fields(sections: DataFrame, fields: dict[str, list[str]] | None = None, *more: str) -> DataFrame:
+    """BIA-1: a row per field of a section, by words of its name; `general` if none fits. more: columns to keep."""
     fields = FIELDS if fields is None else fields
     name = F.col("section_type")
     found = F.filter(F.array(*(F.when(name.rlike("|".join(w)), F.lit(f)) for f, w in fields.items())), lambda x: x.isNotNull())
-    return sections.select("doc_id", "section_type", "content").where("content <> ''").withColumn("field", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))))
+    return sections.select("doc_id", "section_type", "content", *more).where("content <> ''").withColumn("field", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))))
 
 
 def patterns_of(spark: SparkSession, patterns: list[dict], dedicated: dict | None = None) -> DataFrame:
@@ -43,9 +45,16 @@ def patterns_of(spark: SparkSession, patterns: list[dict], dedicated: dict | Non
 
 
 def findings(sections: DataFrame, rx: DataFrame, fields: dict[str, list[str]] | None = None) -> DataFrame:
-    """BIA-2..8: (doc_id, section_type, field, pattern_id, severity, rule_id, matched_text, confidence): one per section, field and pattern."""
-    own = F.broadcast(rx)
-    hit = with_fields(sections, fields).join(own, (F.array_contains("fields", F.col("field")) | F.array_contains("fields", "general")) & F.expr("content rlike rx"))
+    """BIA-2..8: (doc_id, section_type, field, pattern_id, severity, rule_id, matched_text, confidence): one per section, field and pattern. A section meets the patterns of
+    which it has a literal."""
+    own = rx.collect()  # a pack
+    seen = scanning(rx.sparkSession, [], [(k, r.rx) for k, r in enumerate(own)])
+    fits = (F.array_contains("fields", F.col("field")) | F.array_contains("fields", "general")) & F.expr("content rlike rx")
+    if seen is None:
+        hit = with_fields(sections, fields).join(F.broadcast(rx), fits)
+    else:
+        numbered = rx.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(own)], f"_k int, {RX}")
+        hit = with_fields(sections.withColumn("_seen", seen(F.col("content"))["maybe"]), fields, "_seen").withColumn("_k", F.explode("_seen")).join(F.broadcast(numbered), "_k").where(fits)
     hit = hit.select("doc_id", "section_type", "field", "pattern_seq", "pattern_id", "severity", "rule_id", "ord", F.when(F.col("generic"), F.col("keyword")).otherwise(F.regexp_substr("content", F.col("rx"))).alias("matched_text"), "confidence")
     first = hit.groupBy("doc_id", "section_type", "field", "pattern_seq").agg(F.min_by(F.struct("pattern_id", "severity", "rule_id", "matched_text", "confidence"), "ord").alias("f"))
     return first.select("doc_id", "section_type", "field", "pattern_seq", "f.*")

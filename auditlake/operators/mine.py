@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import TAGS, col, decision_type, labelled_field, last_date, strip, tags
+from auditlake.operators.scan import scanning
 
 # fixed values: words of known patterns and their rules; candidates for new rules (name, rule, pattern, risk)
 KNOWN = [("参数", "R007"), ("品牌", "R107"), ("指向", "R107"), ("排他", "R107"), ("授权", "R101"), ("检测报告", "R109"), ("厂家授权", "R101"), ("指定品牌", "R107"), ("歧视", "R101"), ("业绩", "R104"), ("认证", "R104-2"), ("进口", "R201"), ("中小企业", "AI-SME"), ("评分", "AI-SCORE-VAGUE"), ("评审", "AI-SCORE-VAGUE"), ("虚假", "R303"), ("串通", "R306"), ("资质", "R001"), ("混包", "F003"), ("低价", "F002"), ("标准", "E006"), ("★", "AI-COMBINE"), ("★参数", "AI-STAR-EXCESS"), ("辐射安全许可证", "E007")]
@@ -57,20 +58,28 @@ def cases(pages: DataFrame) -> DataFrame:
     )
 
 
+def _decided(cases_: DataFrame, decided: list[str] | None) -> DataFrame:
+    text = F.concat(F.coalesce("raw_content", F.lit("")), F.coalesce("summary", F.lit("")))
+    return cases_.where(F.col("decision_type").isin(decided or DECIDED)).select("case_id", text.alias("_t"))
+
+
 def known_patterns(cases_: DataFrame, known: list[tuple[str, str]] | None = None, decided: list[str] | None = None) -> DataFrame:
     """MIN-1: (case_id, keyword, rule_id) for cases that were upheld, wholly or in part."""
-    text = F.concat(F.coalesce("raw_content", F.lit("")), F.coalesce("summary", F.lit("")))
-    own = cases_.where(F.col("decision_type").isin(decided or DECIDED)).select("case_id", text.alias("_t"))
-    words = cases_.sparkSession.createDataFrame(known or KNOWN, "keyword string, rule_id string")
-    return own.join(F.broadcast(words), F.col("_t").contains(F.col("keyword"))).select("case_id", "keyword", "rule_id")
+    words = known or KNOWN
+    seen = scanning(cases_.sparkSession, [(k, w, None) for k, (w, _) in enumerate(words)], [])
+    rows = F.broadcast(cases_.sparkSession.createDataFrame([(k, *w) for k, w in enumerate(words)], "_k int, keyword string, rule_id string"))
+    own = _decided(cases_, decided)
+    found = own.join(rows, F.col("_t").contains(F.col("keyword"))) if seen is None else own.select("case_id", F.explode(seen(F.col("_t"))["exact"]).alias("_k")).join(rows, "_k")
+    return found.select("case_id", "keyword", "rule_id")
 
 
 def new_patterns(cases_: DataFrame, candidates: list[tuple[str, str, str, str]] | None = None, existing: list[str] | None = None, decided: list[str] | None = None) -> DataFrame:
     """MIN-1: (case_id, name, rule_id, risk, is_new)"""
-    text = F.concat(F.coalesce("raw_content", F.lit("")), F.coalesce("summary", F.lit("")))
-    own = cases_.where(F.col("decision_type").isin(decided or DECIDED)).select("case_id", text.alias("_t"))
-    rows = cases_.sparkSession.createDataFrame(candidates or CANDIDATES, "name string, rule_id string, rx string, risk string")
-    found = own.join(F.broadcast(rows), F.expr("_t rlike concat('(?d)', rx)"))
+    known = [(k, name, rule, "(?d)" + rx, risk) for k, (name, rule, rx, risk) in enumerate(candidates or CANDIDATES)]
+    seen = scanning(cases_.sparkSession, [], [(k, rx) for k, _, _, rx, _ in known])
+    rows = F.broadcast(cases_.sparkSession.createDataFrame(known, "_k int, name string, rule_id string, rx string, risk string"))
+    own = _decided(cases_, decided)
+    found = own.join(rows, F.expr("_t rlike rx")) if seen is None else own.withColumn("_k", F.explode(seen(F.col("_t"))["maybe"])).join(rows, "_k").where(F.expr("_t rlike rx"))
     return found.select("case_id", "name", "rule_id", "risk", (~F.col("rule_id").isin(EXISTING if existing is None else existing)).alias("is_new"))
 
 

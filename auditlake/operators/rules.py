@@ -1,6 +1,6 @@
 """Rule checks as joins (RUL-*). docs(doc_id), sections(doc_id, section_type, content, ord), rules as sources.packs.RULES, spans as operators.label gives them.
 
-Rules are small and of bounded number (packs of a few hundred rows), so they are the broadcast side; documents are never collected.
+Rules are of bounded number (packs of hundreds or thousands of rows), so they are the broadcast side; documents are never collected. Texts meet the rules by one automaton (operators.scan), not one by one.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import FLAGS, context_of, line_of, matches
+from auditlake.operators.scan import constant, scanning
 from auditlake.operators.segment import chapter_titles
 from auditlake.sources.packs import quoted
 
@@ -135,16 +136,25 @@ def missing_formats(docs: DataFrame, sections: DataFrame, rules: DataFrame, word
     words = FORMAT_WORDS if words is None else words
     word = F.coalesce(F.create_map(*(F.lit(x) for kv in words.items() for x in kv))[F.col("target")], F.col("target")) if words else F.col("target")
     own = F.broadcast(rules.where("type = 'format_required'").withColumn("word", word))
-    there = sections.join(own.select("rule_seq", "word"), sections["content"].contains(F.col("word"))).select("doc_id", "rule_seq").distinct()
+    seen = scanning(rules.sparkSession, [(r.rule_seq, r.word, None) for r in own.where("word IS NOT NULL").select("rule_seq", "word").collect()], [])
+    if seen is None:
+        there = sections.join(own.select("rule_seq", "word"), sections["content"].contains(F.col("word"))).select("doc_id", "rule_seq").distinct()
+    else:
+        there = sections.select("doc_id", F.explode(seen(F.col("content"))["exact"]).alias("rule_seq")).distinct()
     gone = docs.select("doc_id").crossJoin(own).join(there, ["doc_id", "rule_seq"], "left_anti")
     return _finding(gone, risk_level=F.lit("low"), description=F.coalesce(F.nullif("description", F.lit("")), F.concat(F.lit("缺少格式规范："), "target")), suggestion=F.coalesce(F.nullif("suggestion", F.lit("")), F.concat(F.lit("请补充关于"), "target", F.lit("的格式要求"))))
 
 
 def forbidden_matches(sections: DataFrame, rules: DataFrame) -> DataFrame:
     """RUL-5: every match of every pattern in every section: adds start (characters from 0), matched, line_no, text (the match and 20 characters around). The text of a
-    section does not leave the join."""
+    section does not leave the join. A section meets the patterns of which it has a literal."""
     own = F.broadcast(rules.where("type = 'forbidden'").withColumn("_rx", F.concat(F.lit(FLAGS), F.coalesce("pattern", quoted("target")))))
-    hit = sections.select("doc_id", "section_type", "content").join(own, F.expr("content rlike _rx"))
+    sections = sections.select("doc_id", "section_type", "content")
+    seen = scanning(rules.sparkSession, [], [(r.rule_seq, r["_rx"]) for r in own.where("_rx IS NOT NULL").select("rule_seq", "_rx").collect()])
+    if seen is None:
+        hit = sections.join(own, F.expr("content rlike _rx"))
+    else:
+        hit = sections.withColumn("rule_seq", F.explode(seen(F.col("content"))["maybe"])).join(own, "rule_seq").where(F.expr("content rlike _rx"))
     each = hit.withColumn("_m", F.explode(matches("content", "_rx"))).withColumn("start", F.col("_m.start")).withColumn("matched", F.col("_m.match"))
     n = F.length("matched")
     near = F.substring("content", F.greatest(F.col("start") - 10, F.lit(0)) + 1, F.col("start") + n + 10 - F.greatest(F.col("start") - 10, F.lit(0)))
@@ -196,25 +206,24 @@ HIT = "struct<rule_seq:int,section_type:string,start:int,matched:string,line_no:
 def run(docs: DataFrame, sections: DataFrame, rules: DataFrame, spans: DataFrame | None = None, fingerprint_mode: bool = False, synonyms: dict[str, list[str]] | None = None, format_words: dict[str, str] | None = None) -> DataFrame:
     """RUL-12: findings of all four checks. docs(doc_id[, text]); a text is needed for documents without sections.
 
-    All rules are evaluated in one pass over the sections, as literals of one expression (packs are a few hundred rows, and literal patterns are compiled once): which keywords and words of formats a
-    section has, and its matches of forbidden patterns. One aggregate by document then says what is there, and the findings are what is not, and the matches: no anti-joins, and no text is joined to rules.
-    The results are those of missing_chapters, missing_keywords, forbidden and missing_formats.
+    One pass over the sections: an automaton tells which keywords and words of formats a section has and which forbidden patterns it may match; these are joined by number and evaluated, and no other.
+    One aggregate by document then says what is there, and the findings are what is not, and the matches: no anti-joins, and no text is joined to all rules, so time hardly follows their number.
+    The results are those of missing_chapters, missing_keywords, forbidden and missing_formats (run_apart).
     """
+    spark = rules.sparkSession
     words = FORMAT_WORDS if format_words is None else format_words
     word = F.coalesce(F.create_map(*(F.lit(x) for kv in words.items() for x in kv))[F.col("target")], F.col("target")) if words else F.col("target")
     own = rules.withColumn("_section", canonical("target", synonyms)).withColumn("_at", F.coalesce(canonical("target_section", synonyms), F.lit(""))).withColumn("_word", word)
     own = own.withColumn("_rx", F.when(F.col("type") == "forbidden", F.concat(F.lit(FLAGS), F.coalesce("pattern", quoted("target")))))
-    pack = own.select("rule_seq", "type", "keyword", "_section", "_at", "_word", "_rx", "exclude_contexts").collect()
+    pack = own.select("rule_seq", "type", "target", "keyword", "_section", "_at", "_word", "_rx").collect()
     of = lambda kind: [r for r in pack if r.type == kind]
     keyed = [r for r in of("keyword_required") if r.keyword]
-    if any("\n" in r.keyword for r in keyed if not r["_at"]):
+    exact = [(r.rule_seq, r.keyword, r["_at"] or None) for r in keyed] + [(r.rule_seq, r["_word"], None) for r in of("format_required") if r["_word"] is not None]
+    seen = scanning(spark, exact, [(r.rule_seq, r["_rx"]) for r in of("forbidden") if r["_rx"] is not None])
+    if seen is None or any("\n" in r.keyword for r in keyed if not r["_at"]):
         return run_apart(docs, sections, rules, spans, fingerprint_mode, synonyms, format_words)
 
-    def those(rows: list, holds) -> Column:
-        """rule_seq of the rules for which it holds."""
-        each = [F.when(holds(r), F.lit(r.rule_seq)) for r in rows]
-        return F.filter(F.array(*each), lambda x: x.isNotNull()) if each else F.array().cast("array<int>")
-
+    numbers = lambda rows: constant([r.rule_seq for r in rows], "array<int>")
     content, kind, free = F.col("content"), F.col("section_type"), F.lit("")
     sections = sections.select("doc_id", "section_type", "content")
     if spans is not None:
@@ -224,56 +233,61 @@ def run(docs: DataFrame, sections: DataFrame, rules: DataFrame, spans: DataFrame
         sections = sections.join(placed, ["doc_id", "section_type"], "left")
         if fingerprint_mode:
             free = F.coalesce("_free", F.lit(""))
-    blank = ~free.rlike(r"(?U)\S") if fingerprint_mode and spans is not None else F.lit(True)
-    look = F.when(blank, content).otherwise(free)
-
-    rx = {r.rule_seq: r["_rx"] for r in of("forbidden")}
-    excluded = {r.rule_seq: r.exclude_contexts for r in of("forbidden") if r.exclude_contexts}
-    rx_of = F.create_map(*(F.lit(x) for kv in rx.items() for x in kv)) if rx else F.create_map().cast("map<int,string>")
+    by_print = fingerprint_mode and spans is not None
+    blank = ~free.rlike(r"(?U)\S") if by_print else F.lit(True)
 
-    def hit(seq: Column, m: Column) -> Column:
+    def hit(m: Column) -> Column:
         start, n = m["start"], F.length(m["match"])
         label = F.lit("")
         if spans is not None:
             label = F.coalesce(F.get(F.filter("_spans", lambda s: (start < s["approx_end"]) & (start + n > s["approx_start"])), F.lit(0))["label"], F.lit(""))
-        return F.struct(seq.alias("rule_seq"), kind.alias("section_type"), start.alias("start"), m["match"].alias("matched"), line_of("content", start).alias("line_no"), context_of("content", start, n).alias("text"), label.alias("label"))
+        return F.struct(F.col("rule_seq"), kind.alias("section_type"), start.alias("start"), m["match"].alias("matched"), line_of("content", start).alias("line_no"), context_of("content", start, n).alias("text"), label.alias("label"))
 
-    def allowed(seq: Column, m: Column) -> Column:
+    def allowed(m: Column) -> Column:
         start, n = m["start"], F.length(m["match"])
         a = F.greatest(start - 10, F.lit(0))
         near = F.substring(content, a + 1, start + n + 10 - a)
-        out = F.lit(True)
-        for k, contexts in excluded.items():
-            for x in contexts:
-                out = out & ~((seq == k) & near.contains(x))
-        return out
-
-    def hits_of(seq: Column) -> Column:
-        return F.transform(F.filter(matches("content", F.element_at(rx_of, seq)), lambda m: allowed(seq, m)), lambda m: hit(seq, m))
-
-    forb = F.flatten(F.transform(those(of("forbidden"), lambda r: content.rlike(r["_rx"])), hits_of)) if rx else F.array().cast(f"array<{HIT}>")
-    one = sections.select(
-        "doc_id", kind, forb.alias("hits"), (~blank).alias("free"), those([r for r in keyed if r["_at"]], lambda r: (kind == r["_at"]) & look.contains(r.keyword)).alias("local"), those([r for r in keyed if not r["_at"]], lambda r: content.contains(r.keyword)).alias("whole"),
-        those([r for r in keyed if not r["_at"]], lambda r: free.contains(r.keyword)).alias("whole_free"), those(of("format_required"), lambda r: content.contains(r["_word"])).alias("formats"),
+        return ~F.coalesce(F.exists("exclude_contexts", lambda e: near.contains(e)), F.lit(False))
+
+    none = F.array().cast("array<int>")
+    nothing = F.array().cast(f"array<{HIT}>")
+    one = sections.withColumn("_seen", seen(content, kind))
+    one = one.withColumn("_own", F.col("_seen.exact"))
+    if by_print:  # keywords are looked for in what is not fixed, if there is any
+        in_free = scanning(spark, [(r.rule_seq, r.keyword, r["_at"] or None) for r in keyed], [])
+        one = one.withColumn("_blank", blank).withColumn("_in_free", in_free(free, kind)["exact"])
+    else:
+        one = one.withColumn("_blank", F.lit(True)).withColumn("_in_free", none)
+    local, whole, formats = numbers([r for r in keyed if r["_at"]]), numbers([r for r in keyed if not r["_at"]]), numbers(of("format_required"))
+    one = one.select(
+        "*", (~F.col("_blank")).alias("free"), F.array_intersect(F.when(F.col("_blank"), F.col("_own")).otherwise(F.col("_in_free")), local).alias("local"), F.array_intersect("_own", whole).alias("whole"), F.array_intersect("_in_free", whole).alias("whole_free"),
+        F.array_intersect("_own", formats).alias("formats"),
     )
+    lists = ("local", "whole", "whole_free", "formats")
+    if of("forbidden"):
+        one = one.select("doc_id", "section_type", "content", "free", *(("_spans",) if spans is not None else ()), *lists, F.posexplode_outer("_seen.maybe").alias("_k", "rule_seq"))
+        one = one.join(F.broadcast(own.where("type = 'forbidden'").select("rule_seq", "_rx", "exclude_contexts")), "rule_seq", "left")
+        found = F.when(F.col("_rx").isNotNull() & F.expr("content rlike _rx"), F.transform(F.filter(matches("content", "_rx"), allowed), hit))
+        first = F.coalesce(F.col("_k"), F.lit(0)) == 0  # the lists of a section once
+        one = one.select("doc_id", "section_type", "free", F.coalesce(found.cast(f"array<{HIT}>"), nothing).alias("hits"), *(F.when(first, F.col(c)).alias(c) for c in lists))
+    else:
+        one = one.withColumn("hits", nothing)
     each = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    there = one.groupBy("doc_id").agg(F.collect_set("section_type").alias("types"), F.flatten(F.collect_list("hits")).alias("hits"), F.max("free").alias("free"), *(each(c) for c in ("local", "whole", "whole_free", "formats")))
+    there = one.groupBy("doc_id").agg(F.collect_set("section_type").alias("types"), F.flatten(F.collect_list("hits")).alias("hits"), F.max("free").alias("free"), *map(each, lists))
     both = docs.select("doc_id").join(there, "doc_id", "left")
-    none = F.array().cast("array<int>")
-    has = lambda c, r: F.array_contains(F.coalesce(c, none), r.rule_seq)
-    whole = F.when(F.col("free"), F.col("whole_free")).otherwise(F.col("whole"))
+    has = lambda c: F.coalesce(c, none)
+    chapters = constant([{"k": r.rule_seq, "s": r["_section"]} for r in of("chapter_required")], "array<struct<k:int,s:string>>")
     gone = F.concat(
-        those(of("chapter_required"), lambda r: F.col("types").isNotNull() & ~F.array_contains("types", r["_section"])), those(keyed, lambda r: ~has(F.col("local") if r["_at"] else whole, r)),
-        those(of("format_required"), lambda r: ~has(F.col("formats"), r)),
+        F.when(F.col("types").isNotNull(), F.transform(F.filter(chapters, lambda r: ~F.array_contains("types", r["s"])), lambda r: r["k"])).otherwise(none), F.array_except(local, has(F.col("local"))),
+        F.array_except(whole, has(F.when(F.col("free"), F.col("whole_free")).otherwise(F.col("whole")))), F.array_except(formats, has(F.col("formats"))),
     )
     gone = F.transform(gone, lambda k: F.struct(k.alias("rule_seq"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split(":") for x in HIT[7:-1].split(",")[1:])))).cast(f"array<{HIT}>")
-    found = both.select("doc_id", F.inline(F.concat(gone, F.coalesce(F.col("hits").cast(f"array<{HIT}>"), F.array().cast(f"array<{HIT}>")))))
+    found = both.select("doc_id", F.inline(F.concat(gone, F.coalesce(F.col("hits").cast(f"array<{HIT}>"), nothing))))
     if "text" in docs.columns:  # for documents without sections
         titles = docs.join(there.select("doc_id"), "doc_id", "left_anti").select("doc_id", chapter_titles("text").alias("_titles"))
-        own_titles = [r for r in of("chapter_required")]
-        targets = {r.rule_seq: r.target for r in rules.where("type = 'chapter_required'").select("rule_seq", "target").collect()}
-        missing = those(own_titles, lambda r: ~F.exists("_titles", lambda x: x.contains(targets[r.rule_seq]) | F.lit(targets[r.rule_seq]).contains(x)))
-        more = titles.select("doc_id", F.explode(missing).alias("rule_seq"))
+        targets = constant([{"k": r.rule_seq, "t": r.target} for r in of("chapter_required")], "array<struct<k:int,t:string>>")
+        missing = F.filter(targets, lambda r: ~F.exists("_titles", lambda x: x.contains(r["t"]) | r["t"].contains(x)))
+        more = titles.select("doc_id", F.explode(F.transform(missing, lambda r: r["k"])).alias("rule_seq"))
         found = found.unionByName(more.withColumn("text", F.lit("title")), allowMissingColumns=True)
     return described(found, own, fingerprint_mode)
 
