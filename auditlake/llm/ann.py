@@ -34,9 +34,9 @@ LEAST_BITS = 256
 #: Deviations that an estimate may err by: one in 15,000 errs more.
 EPSILON = 4.0
 #: Rows of a block (and their bytes), queries of a block.
-BLOCK, BLOCK_BYTES, QUERIES = 4096, 4 << 20, 512
+BLOCK, BLOCK_BYTES, QUERIES = 16_384, 8 << 20, 256
 #: Tiles of a task, about.
-TILES = 8
+TILES = 4
 
 
 @dataclass
@@ -140,6 +140,14 @@ def products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
+def rough(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The same in any order of summing."""
+    out = np.empty(len(i))
+    for s in range(0, len(i), 1 << 14):
+        out[s : s + (1 << 14)] = np.einsum("ij,ij->i", a[i[s : s + (1 << 14)]], b[j[s : s + (1 << 14)]])
+    return out
+
+
 def best_of_tile(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, cell: int, codes: np.ndarray, scalars: np.ndarray, model: Model, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row of the block, score) of the k best of each query in a block, chosen by bounds and scored on the vectors."""
     est, err = estimates((q / model.scale).astype(np.float32), cell, codes, scalars, model)
@@ -150,15 +158,22 @@ def best_of_tile(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, ids: np.ndarr
     limit = np.full(len(q), -np.inf)
     if len(ids) > k:
         first = np.argpartition(-est, k - 1, axis=1)[:, :k]
-        i = np.repeat(np.arange(len(q)), k)
-        seen = products(q, i, x, first.ravel()).reshape(len(q), k)
+        seen = rough(q, np.repeat(np.arange(len(q)), k), x, first.ravel()).reshape(len(q), k)
         seen[np.isneginf(np.take_along_axis(est, first, axis=1))] = -np.inf
         limit = seen.min(axis=1)
+    slack = 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max())  # of sums in another order
     with np.errstate(over="ignore"):
-        bound = (limit / model.scale / model.scale).astype(np.float32)
+        bound = ((limit - slack) / model.scale / model.scale).astype(np.float32)
     out = est + err < np.nextafter(bound, -np.inf)[:, None]
     out[own, order[at[own]]] = True
     i, j = np.nonzero(~out)
+    score = rough(q, i, x, j)
+    if len(ids) > k:  # what cannot be among the k best goes before the exact sums
+        every = np.full(est.shape, -np.inf)
+        every[i, j] = score
+        least = -np.partition(-every, k - 1, axis=1)[:, k - 1]
+        near = score >= (least - slack)[i]
+        i, j = i[near], j[near]
     score = products(q, i, x, j)
     order = np.lexsort((rows[j], ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
