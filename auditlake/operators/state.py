@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.operators.fold import clamped_fold
 from auditlake.session import ship
 
 # fixed values: steps and bounds of a rule's confidence; limits of plans
@@ -43,25 +44,16 @@ def _folded(events: DataFrame, key: str, order: list[str], schema: str, start: C
     return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def feedback_state(feedback: DataFrame, key: str = "rule_id") -> DataFrame:
+def feedback_state(feedback: DataFrame, key: str = "rule_id", tasks: int | None = None) -> DataFrame:
     """AGG-9: feedback(key, ts, event_id, feedback_type): confidence from 1, +.02 for confirm (cap 1), -.05 for false_positive (floor .5), in order of (ts, event_id); counts; needs_review from three
-    false positives on; alert from a rate of .3 on. Rows without a key are left out."""
-    kind = feedback.schema[key].dataType.simpleString()
-    own = feedback.where(F.col("feedback_type").isin("confirm", "false_positive", "missed") & F.col(key).isNotNull()).select(key, "ts", "event_id", "feedback_type")
-
-    def step(s: dict, rows: pd.DataFrame) -> None:
-        for t in rows["feedback_type"].tolist():
-            s["n"] += 1
-            if t == "confirm":
-                s["yes"], s["c"] = s["yes"] + 1, min(CAP, max(FLOOR, s["c"] + BOOST))
-            elif t == "false_positive":
-                s["no"], s["c"] = s["no"] + 1, min(CAP, max(FLOOR, s["c"] - PENALTY))
-
-    def end(k: object, s: dict) -> dict:
-        return {key: k, "current_confidence": s["c"], "total_feedbacks": s["n"], "confirm_count": s["yes"], "false_positive_count": s["no"], "needs_review": s["no"] >= REVIEW_FROM, "alert": s["no"] / s["n"] >= ALERT_RATE}
-
-    schema = f"`{key}` {kind}, current_confidence double, total_feedbacks long, confirm_count long, false_positive_count long, needs_review boolean, alert boolean"
-    return _folded(own, key, ["ts", "event_id"], schema, lambda: {"c": 1.0, "n": 0, "yes": 0, "no": 0}, step, end)
+    false positives on; alert from a rate of .3 on. Rows without a key are left out. One key's events are folded by many tasks (operators.fold)."""
+    kind = F.col("feedback_type")
+    one = lambda x: F.when(kind == x, 1).otherwise(0)
+    own = feedback.where(kind.isin("confirm", "false_positive", "missed"))
+    add = F.when(kind == "confirm", F.lit(BOOST)).when(kind == "false_positive", F.lit(-PENALTY))
+    got = clamped_fold(own, key, ["ts", "event_id"], add, 1.0, FLOOR, CAP, {"total_feedbacks": F.lit(1), "confirm_count": one("confirm"), "false_positive_count": one("false_positive")}, "current_confidence", tasks)
+    n = F.col("false_positive_count")
+    return got.withColumn("needs_review", n >= REVIEW_FROM).withColumn("alert", n / F.col("total_feedbacks") >= ALERT_RATE)
 
 
 def rules_to_review(state: DataFrame) -> DataFrame:
@@ -88,10 +80,24 @@ def rate_limited(events: DataFrame, key: str = "user_id", most: int = 10, second
     return _folded(own, key, ["_t", order], f"`{key}` {kind}, `{order}` long, accepted boolean", lambda: {"last": []}, step)
 
 
+def by_prefix(rows: DataFrame, name: str, prefixes: DataFrame, prefix: str, order: Column, fields: list[str]) -> DataFrame:
+    """JOI-10: each row with the fields of the first of the prefixes, by order, that its name begins with; null without one. The lengths of prefixes that occur are few: a row is looked up once for each, by
+    equality. No rows are merged, and none vanish; a null name begins with nothing."""
+    kept = prefixes.where(F.col(prefix).isNotNull()).groupBy(F.col(prefix).alias("_p")).agg(F.min(F.struct(order.alias("o"), *fields)).alias("_f"))
+    lengths = sorted(r[0] for r in kept.select(F.length("_p")).distinct().collect())
+    own = rows
+    for k, n in enumerate(lengths):
+        some = kept.where(F.length("_p") == n).select(F.col("_p").alias(f"_p{k}"), F.col("_f").alias(f"_f{k}"))
+        # a shorter name is no candidate: left() would give it whole
+        own = own.join(some, F.when(F.length(name) >= n, F.left(F.col(name), F.lit(n))) == F.col(f"_p{k}"), "left")
+    found = [F.col(f"_f{k}") for k in range(len(lengths))]
+    first = F.array_min(F.array_compact(F.array(*found))) if found else F.lit(None).cast(kept.schema["_f"].dataType)
+    return own.withColumn("_first", first).select(*rows.columns, *(F.col(f"_first.{f}").alias(f) for f in fields))
+
+
 def longest_prefix_limits(requests: DataFrame, limits: DataFrame) -> DataFrame:
-    """STR-2: the limit of the first prefix (by ord) of a path; the path is the key."""
-    own = requests.join(F.broadcast(limits), F.col("path").startswith(F.col("prefix")))
-    return own.groupBy(*requests.columns).agg(F.min_by(F.struct("most", "seconds"), "ord").alias("l")).select(*requests.columns, "l.*")
+    """STR-2: each request with the limit (most, seconds) of the first prefix (by ord) of its path; null for a path without one."""
+    return by_prefix(requests, "path", limits, "prefix", F.col("ord"), ["most", "seconds"])
 
 
 def quota_status(usage: DataFrame, users: DataFrame, month: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import cost, risk_of_score
+from auditlake.operators.state import by_prefix
 
 # fixed values: prices per 1000 tokens by the beginning of a model's name, in order; limits of plans
 PRICES = [("qwen-turbo", 0.0008, 0.002), ("qwen-plus", 0.002, 0.006), ("qwen-max", 0.004, 0.012), ("qwen2.5", 0.0, 0.0), ("deepseek-chat", 0.001, 0.002), ("deepseek-reasoner", 0.004, 0.016), ("glm-4-plus", 0.005, 0.005), ("glm-4-air", 0.001, 0.001), ("ernie-4.0", 0.012, 0.012), ("ernie-speed", 0.0, 0.0), ("yi-lightning", 0.0, 0.0), ("mock", 0.0, 0.0)]
@@ -14,13 +15,13 @@ PRICES = [("qwen-turbo", 0.0008, 0.002), ("qwen-plus", 0.002, 0.006), ("qwen-max
 
 def priced(usage: DataFrame, prices: list[tuple[str, float, float]] | None = None) -> DataFrame:
     """FN-11 / JOI-10: usage(model, prompt_tokens, completion_tokens) with cost: own prices where price_in or price_out is over 0, else those of the first prefix of the model's name, else 0."""
-    model = F.col("model")
-    p_in = F.coalesce(*(F.when(model.startswith(p), F.lit(a)) for p, a, _ in prices or PRICES), F.lit(0.0))
-    p_out = F.coalesce(*(F.when(model.startswith(p), F.lit(b)) for p, _, b in prices or PRICES), F.lit(0.0))
+    table = usage.sparkSession.createDataFrame([(k, *p) for k, p in enumerate(PRICES if prices is None else prices)], "_ord int, _prefix string, _in double, _out double")
+    own = by_prefix(usage, "model", table, "_prefix", F.col("_ord"), ["_in", "_out"])
+    p_in, p_out = F.coalesce("_in", F.lit(0.0)), F.coalesce("_out", F.lit(0.0))
     if "price_in" in usage.columns:
-        own = (F.coalesce("price_in", F.lit(0.0)) > 0) | (F.coalesce("price_out", F.lit(0.0)) > 0)
-        p_in, p_out = F.when(own, F.coalesce("price_in", F.lit(0.0))).otherwise(p_in), F.when(own, F.coalesce("price_out", F.lit(0.0))).otherwise(p_out)
-    return usage.withColumn("cost", cost("prompt_tokens", "completion_tokens", p_in, p_out))
+        given = (F.coalesce("price_in", F.lit(0.0)) > 0) | (F.coalesce("price_out", F.lit(0.0)) > 0)
+        p_in, p_out = F.when(given, F.coalesce("price_in", F.lit(0.0))).otherwise(p_in), F.when(given, F.coalesce("price_out", F.lit(0.0))).otherwise(p_out)
+    return own.withColumn("cost", cost("prompt_tokens", "completion_tokens", p_in, p_out)).drop("_in", "_out")
 
 
 def usage_totals(usage: DataFrame, *keys: str) -> DataFrame:
