@@ -5,8 +5,11 @@ Rules are of bounded number (packs of hundreds or thousands of rows), so they ar
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from auditlake.functions.text import FLAGS, context_of, line_of, matches
 from auditlake.operators.scan import constant, scanning
@@ -186,11 +189,22 @@ def with_offsets(spans: DataFrame) -> DataFrame:
 
 
 def with_span_label(found: DataFrame, spans: DataFrame) -> DataFrame:
-    """JOI-6: label of the first span that overlaps a match, '' if none does."""
-    own = with_offsets(spans).select("doc_id", "section_type", "span_no", "label", "approx_start", "approx_end")
-    keys = ["doc_id", "section_type", "rule_seq", "start"]
-    first = found.select(*keys, F.length("matched").alias("_n")).join(own, ["doc_id", "section_type"]).where("start < approx_end AND start + _n > approx_start").groupBy(*keys).agg(F.min_by("label", "span_no").alias("span_label"))
-    return found.join(first, keys, "left").withColumn("span_label", F.coalesce("span_label", F.lit("")))
+    """JOI-6: label of the first span that overlaps a match, '' if none does.
+
+    One sweep over the ends of spans and the starts of matches of a section, from its end: spans follow one another, so the first to overlap is the one that ends first after the match's start, if it begins
+    before the match's end. No span meets a match that it is not asked about."""
+    own = with_offsets(spans).select("doc_id", "section_type", F.col("approx_end").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.struct("label", "approx_start").alias("_span"))
+    asked = found.withColumn("_at", F.col("start").cast("long")).withColumn("_kind", F.lit(0))
+    sweep = Window.partitionBy("doc_id", "section_type").orderBy(F.col("_at").desc(), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(own, allowMissingColumns=True).withColumn("_span", F.last("_span", ignorenulls=True).over(sweep)).where("_kind = 0")
+    label = F.when(F.col("start") + F.length("matched") > F.col("_span.approx_start"), F.col("_span.label"))
+    return both.withColumn("span_label", F.coalesce(label, F.lit(""))).select(*found.columns, "span_label")
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _ending_after(ends: pa.Array, starts: pa.Array) -> pa.Array:
+    """For each start the place of the first of the ascending ends that is greater; their number if there is none."""
+    return pa.array([None if e.as_py() is None or s.as_py() is None else np.searchsorted(np.asarray(e.as_py(), np.int64), np.asarray(s.as_py(), np.int64), "right").tolist() for e, s in zip(ends, starts, strict=True)], pa.list_(pa.int32()))
 
 
 def platform_codes(found: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -236,11 +250,12 @@ def run(docs: DataFrame, sections: DataFrame, rules: DataFrame, spans: DataFrame
     by_print = fingerprint_mode and spans is not None
     blank = ~free.rlike(r"(?U)\S") if by_print else F.lit(True)
 
-    def hit(m: Column) -> Column:
+    def hit(m: Column, k: Column) -> Column:
         start, n = m["start"], F.length(m["match"])
         label = F.lit("")
         if spans is not None:
-            label = F.coalesce(F.get(F.filter("_spans", lambda s: (start < s["approx_end"]) & (start + n > s["approx_start"])), F.lit(0))["label"], F.lit(""))
+            first = F.get("_spans", F.get("_first", k))
+            label = F.coalesce(F.when(start + n > first["approx_start"], first["label"]), F.lit(""))
         return F.struct(F.col("rule_seq"), kind.alias("section_type"), start.alias("start"), m["match"].alias("matched"), line_of("content", start).alias("line_no"), context_of("content", start, n).alias("text"), label.alias("label"))
 
     def allowed(m: Column) -> Column:
@@ -267,7 +282,10 @@ def run(docs: DataFrame, sections: DataFrame, rules: DataFrame, spans: DataFrame
     if of("forbidden"):
         one = one.select("doc_id", "section_type", "content", "free", *(("_spans",) if spans is not None else ()), *lists, F.posexplode_outer("_seen.maybe").alias("_k", "rule_seq"))
         one = one.join(F.broadcast(own.where("type = 'forbidden'").select("rule_seq", "_rx", "exclude_contexts")), "rule_seq", "left")
-        found = F.when(F.col("_rx").isNotNull() & F.expr("content rlike _rx"), F.transform(F.filter(matches("content", "_rx"), allowed), hit))
+        one = one.withColumn("_matches", F.when(F.col("_rx").isNotNull() & F.expr("content rlike _rx"), F.filter(matches("content", "_rx"), allowed)))
+        if spans is not None:  # the span of each match, by its place among their ends
+            one = one.withColumn("_first", _ending_after(F.transform("_spans", lambda x: x["approx_end"].cast("long")), F.transform("_matches", lambda m: m["start"])))
+        found = F.transform("_matches", hit)
         first = F.coalesce(F.col("_k"), F.lit(0)) == 0  # the lists of a section once
         one = one.select("doc_id", "section_type", "free", F.coalesce(found.cast(f"array<{HIT}>"), nothing).alias("hits"), *(F.when(first, F.col(c)).alias(c) for c in lists))
     else:

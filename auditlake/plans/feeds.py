@@ -185,7 +185,7 @@ def result_of(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-@query(f"SELECT CAST(user_id AS VARCHAR) AS rule_id, current_confidence, total_feedbacks, false_positive_count, needs_review FROM ({demo.SQL['feedback_fold']})")
+@query(f"SELECT user_id AS rule_id, current_confidence, total_feedbacks, false_positive_count, needs_review FROM ({demo.SQL['feedback_fold']})")
 def stream_feedback(spark: SparkSession, d: str) -> DataFrame:
     """STR-4"""
     kind = F.when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type").isin("error", "click"), "false_positive").otherwise("missed")
@@ -197,7 +197,7 @@ def stream_feedback(spark: SparkSession, d: str) -> DataFrame:
 @query(demo.SQL["rate_limit"])
 def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """STR-1, STR-2"""
-    return result_of(streams.rate_limited(stream_of(spark, d, "events"), most=3, seconds=345_600), "append")
+    return result_of(streams.rate_limited(stream_of(spark, d, "events"), most=3, seconds=345_600), "append").drop("late")
 
 
 @query(f"SELECT k.rule_id, count(*) AS hits FROM documents d JOIN {demo._K} k ON contains(d.text, k.keyword) WHERE source IN ({', '.join(map(literal, tender._DECIDED))}) GROUP BY 1")
@@ -214,3 +214,38 @@ def stream_quota(spark: SparkSession, d: str) -> DataFrame:
     """STR-6"""
     own = stream_of(spark, d, "events").select("ts", "user_id", F.get_json_object("props", "$.k").cast("long").alias("tokens"))
     return result_of(streams.monthly_quota(own), "complete")
+
+
+def stretched(spark: SparkSession, d: str) -> DataFrame:
+    """Usage from events whose days are four times as long, so that they are several months."""
+    first = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    ts = F.timestamp_micros(first + 4 * (F.unix_micros(F.col("ts").cast("timestamp")) - first))
+    return stream_of(spark, d, "events").select(ts.alias("ts"), "user_id", F.get_json_object("props", "$.k").cast("long").alias("tokens"))
+
+
+_STRETCHED = f"(SELECT TIMESTAMP '2024-01-01' + 4 * (ts - TIMESTAMP '2024-01-01') AS ts, user_id, tokens FROM {demo._USAGE})"
+
+
+@query(f"WITH u AS {_STRETCHED} SELECT user_id, strftime(ts, '%Y-%m') AS period_key, count(*) AS files_used, CAST(sum(tokens) AS BIGINT) AS tokens_used FROM u WHERE date_trunc('month', ts) + INTERVAL 1 MONTH <= (SELECT max(ts) - INTERVAL 1 DAY FROM u) GROUP BY ALL")
+def stream_quota_closed(spark: SparkSession, d: str) -> DataFrame:
+    """STR-6: months that are over, each given once and then forgotten"""
+    return result_of(streams.closed_quotas(stretched(spark, d)), "append")
+
+
+@query(f"SELECT date_trunc('day', ts) AS start, model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (success) AS ok FROM {demo._USAGE} WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL")
+def stream_usage_windows(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-1 over a stream: closed days by model"""
+    own = stream_of(spark, d, "events").select("ts", F.col("event_type").alias("model"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), (F.col("event_type") != "error").alias("success"))
+    return result_of(streams.usage_counts(own, "1 day"), "append").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    f"""WITH e AS (SELECT user_id, ts, tokens, coalesce(ts - lag(ts) OVER w >= INTERVAL 12 HOUR, true) AS opens FROM {demo._USAGE} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+)
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-1 by sessions: closed sessions of users"""
+    own = stream_of(spark, d, "events").select("ts", "user_id", F.get_json_object("props", "$.k").cast("long").alias("tokens"))
+    got = result_of(streams.usage_sessions(own, "12 hours"), "append")
+    return got.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))

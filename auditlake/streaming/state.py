@@ -128,7 +128,8 @@ class _Feedback(StatefulProcessor):
 
 def feedback_state(feedback: DataFrame, key: str = "rule_id", keep: timedelta | None = None) -> DataFrame:
     """STR-4: feedback(key, ts, event_id, feedback_type) -> the state of each key that a micro-batch changed (update mode). Events count when they come; late_count tells those that
-    were older than one before. keep: a key that hears nothing for so long (by the clock) begins anew."""
+    were older than one before. keep: a key that hears nothing for so long (by the clock) begins anew; a run over
+    what is available then ends only with spark.sql.streaming.noDataMicroBatches.enabled off, as by the clock there is always one more batch."""
     kind = feedback.schema[key].dataType.simpleString()
     code = F.array_position(F.array(*map(F.lit, _Feedback.KINDS)), F.col("feedback_type")) - 1
     t = F.unix_micros(F.col("ts").cast("timestamp"))
