@@ -42,10 +42,19 @@ def last_n_by(df: DataFrame, n: int, keys: list[str], order: list[str]) -> DataF
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def violations_of(reports: DataFrame, *keep: str) -> DataFrame:
+    """The rule violations of stored reports (report_data, VARIANT or JSON text), a row each: kept columns, rule_id, section, risk_level, description; null what an entry lacks. Of a VARIANT only these paths
+    are read. Reports that do not parse, or whose list is no list, have none."""
+    data = F.col("report_data")
+    data = data if reports.schema["report_data"].dataType.simpleString() == "variant" else F.try_parse_json(data)
+    entries = F.try_variant_get(data, "$.rule_violations", "array<variant>")
+    each = reports.select(*keep, F.explode(entries).alias("_v"))
+    return each.select(*keep, *(F.try_variant_get("_v", f"$.{c}", "string").alias(c) for c in ("rule_id", "section", "risk_level", "description")))
+
+
 def rule_effectiveness(reports: DataFrame) -> DataFrame:
-    """AGG-2: reports(report_id, report_data JSON) -> hits by rule id, most first; hit_rate = hits / reports and may exceed 1. Reports that do not parse count as reports."""
-    ids = F.from_json(F.get_json_object("report_data", "$.rule_violations"), "array<struct<rule_id:string,description:string>>")
-    hits = reports.select(F.explode(ids).alias("v")).groupBy(F.coalesce("v.rule_id", F.lit("unknown")).alias("rule_id")).agg(F.count("*").alias("hit_count"))
+    """AGG-2: reports(report_id, report_data) -> hits by rule id, most first; hit_rate = hits / reports and may exceed 1. Reports that do not parse count as reports."""
+    hits = violations_of(reports).groupBy(F.coalesce("rule_id", F.lit("unknown")).alias("rule_id")).agg(F.count("*").alias("hit_count"))
     total = reports.agg(F.count("*").alias("total_reports"))
     return hits.crossJoin(F.broadcast(total)).withColumn("hit_rate", F.bround(F.col("hit_count") / F.greatest("total_reports", F.lit(1)), 3)).orderBy(F.col("hit_count").desc(), "rule_id")
 
@@ -96,7 +105,7 @@ def billing_status(usage: DataFrame, max_tokens: float, max_cost: float, alert_p
 
 
 def risk_heatmap(found: DataFrame, row: str = "section", column: str = "risk_level", levels: tuple[str, ...] = ("critical", "high", "medium", "low")) -> DataFrame:
-    """AGG-13: counts by section and risk, largest total first."""
+    """AGG-13: counts by section and risk, largest total first. found: findings, or violations_of stored reports."""
     out = found.groupBy(row).agg(F.count("*").alias("total"), *(F.count_if(F.col(column) == x).alias(x) for x in levels))
     return out.orderBy(F.col("total").desc(), row)
 

@@ -134,7 +134,7 @@ def reports_written(spark: SparkSession, d: str) -> DataFrame:
     folder = new_folder(spark, "reports")
     documents.write_reports(tender.reports(spark, d), folder)
     own = spark.read.parquet(folder)
-    return own.select("doc_id", F.get_json_object("report_data", "$.violation_count").cast("long").alias("violation_count"), F.get_json_object("report_data", "$.total_score").cast("double").alias("total_score"))
+    return own.select("doc_id", F.variant_get("report_data", "$.violation_count", "long").alias("violation_count"), F.variant_get("report_data", "$.total_score", "double").alias("total_score"))
 
 
 @query(f"WITH {demo._SECTIONS} SELECT doc_id, section_type, CAST(length(content) AS INTEGER) AS n FROM sections")

@@ -116,8 +116,8 @@ def ingested(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """SNK-1: report rows, with the whole row as JSON, too."""
-    reports.withColumn("report_data", F.to_json(F.struct("*"))).write.mode("append").parquet(path)
+    """SNK-1: report rows, with the whole row as one VARIANT, too: a reader takes paths out of it and parses no text (to_json gives the JSON)."""
+    reports.withColumn("report_data", F.parse_json(F.to_json(F.struct("*")))).write.mode("append").parquet(path)
 
 
 def write_sections(sections: DataFrame, path: str, by: str | None = None) -> None:
