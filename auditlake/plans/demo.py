@@ -36,7 +36,7 @@ BIAS = [
 BIAS_DEDICATED = {"same_word": ("critical", "B-1", [("pathetic|loser", 0.85), ("the[a-z]{4} of", 0.7)])}
 REVIEWER = [(["idiot", "moron"], "exclusivity", "high", 20.0, 0.92), (["trash", "und "], "bias", "medium", 10.0, 0.78), (["licensed", "que "], "ambiguity", "low", 5.0, 0.72)]
 KNOWN = [("idiot", "R-1"), ("moron", "R-1"), ("trash", "R-2"), ("Licensed", "R-3"), ("und", "R-4")]
-CANDIDATES = [("two_words", "R-9", "scum.*clown|clown.*scum", "high"), ("number", "R-1", "[0-9]{4}", "medium")]
+CANDIDATES = [("two_words", "R-9", "scum.*clown|clown.*scum", "high"), ("number", "R-1", "[0-9]{4}", "medium"), ("licence", "R-7", "licensed under|worthless", "medium"), ("endings", "R-8", "the[a-z]+ion|und[a-z]+lich", "low"), ("abuse", "R-9", "idiot|moron|trash", "high")]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,16 +240,10 @@ _ORDER = "CASE risk_level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 @query(
     f"""WITH {_FUSED}, rp AS (SELECT doc_id, sum(p / sqrt(rn)) AS p FROM (SELECT doc_id, {_PENALTY} AS p, row_number() OVER (PARTITION BY doc_id ORDER BY {_ORDER}, weight DESC) AS rn FROM found) GROUP BY doc_id),
 mp AS (SELECT doc_id, sum({_PENALTY}) AS m FROM model GROUP BY doc_id)
-SELECT d.doc_id, round(coalesce(p, 0), 4) AS rule_penalty, round(coalesce(m, 0), 4)::DOUBLE AS llm_penalty, round(greatest(0.0, least(100.0, 100 - CASE WHEN m IS NULL THEN coalesce(p, 0) ELSE coalesce(p, 0) * 0.6 + m * 0.4 END)), 4) AS total FROM documents d LEFT JOIN rp USING (doc_id) LEFT JOIN mp USING (doc_id)"""
+SELECT d.doc_id, round_even(coalesce(p, 0), 1) AS rule_penalty, round_even(coalesce(m, 0)::DOUBLE, 1) AS llm_penalty, round_even(greatest(0.0, least(100.0, 100 - CASE WHEN m IS NULL THEN coalesce(p, 0) ELSE coalesce(p, 0) * 0.6 + m * 0.4 END))::DOUBLE, 1) AS total FROM documents d LEFT JOIN rp USING (doc_id) LEFT JOIN mp USING (doc_id)"""
 )
 def fuse_score(spark: SparkSession, d: str) -> DataFrame:
-    order = F.when(F.col("risk_level") == "high", 0).when(F.col("risk_level") == "medium", 1).otherwise(2)
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(order, F.col("weight").desc()))
-    r = found(spark, d).select("doc_id", (fn.risk_penalty("risk_level", "weight") / F.sqrt(rank)).alias("p")).groupBy("doc_id").agg(F.sum("p").alias("p"))
-    m = short_model(spark, d).groupBy("doc_id").agg(F.sum(fn.risk_penalty("risk_level", "weight")).alias("m"))
-    p, q = F.coalesce("p", F.lit(0.0)), F.col("m")
-    total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.when(q.isNull(), p).otherwise(p * 0.6 + q * 0.4)))
-    return docs(spark, d).join(r, "doc_id", "left").join(m, "doc_id", "left").select("doc_id", F.round(p, 4).alias("rule_penalty"), F.round(F.coalesce(q, F.lit(0.0)), 4).alias("llm_penalty"), F.round(total, 4).alias("total"))
+    return scores.total_scores(docs(spark, d), found(spark, d), short_model(spark, d)).select("doc_id", "rule_penalty", "llm_penalty", F.col("total_score").alias("total"))
 
 
 _BIAS_ONLY = _BIAS.removeprefix(_SECTIONS + ", ")
@@ -298,12 +292,6 @@ def _line_list(x) -> object:
     return F.filter(F.split(x, "\n"), lambda s: F.length(s) >= 10)
 
 
-@query(f"WITH {_LINES}, k AS (SELECT doc_id, text[1:40] AS grp FROM documents), n AS (SELECT grp, count(*) AS docs FROM k GROUP BY grp), s AS (SELECT grp, {_NORM.format('line')} AS norm, count(DISTINCT doc_id) AS has, count(*) AS frequency FROM lines JOIN k USING (doc_id) WHERE length(line) >= 10 GROUP BY ALL) SELECT grp, sha256(norm)[1:16] AS hash_id, frequency, CAST(length(norm) AS INTEGER) AS length FROM s JOIN n USING (grp) WHERE docs > 1 AND has = docs")
-def fingerprint_build(spark: SparkSession, d: str) -> DataFrame:
-    own = t(spark, d, "documents").select("doc_id", F.left("text", F.lit(40)).alias("grp"), "text")
-    return label.fingerprints(own, ["grp"], singles=False, split=_line_list).select("grp", "hash_id", "frequency", "length")
-
-
 _WORDS = ", ".join(f"'{w}'" for w in label.TEMPLATE_WORDS)
 _SCORE = f"""CASE WHEN regexp_matches(line, '招标投标法|政府采购法|实施条例|财政部|87号令|94号令|38号文') THEN 3 ELSE 0 END + 2 * least(5, len(list_filter([{_WORDS}], lambda w: contains(line, w)))) + CASE WHEN length(line) >= 40 THEN 2 ELSE 0 END
 + CASE WHEN regexp_matches(line, '(第[一二三四五六七八九十\\p{{Nd}}]+[章节条]|^\\p{{Nd}}+[.、])') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(line, '(注[：:]|说明[：:]|注意[：:]|提示[：:])') THEN 1 ELSE 0 END"""
@@ -311,11 +299,21 @@ _SCORE = f"""CASE WHEN regexp_matches(line, '招标投标法|政府采购法|实
 
 @query(f"WITH {_LINES}, k AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents), n AS (SELECT lang, source, count(DISTINCT doc_id) AS docs FROM k GROUP BY ALL), s AS (SELECT lang, source, {_NORM.format('line')} AS norm, count(DISTINCT doc_id) AS has, count(*) AS frequency, max({_SCORE}) AS score FROM lines JOIN k USING (doc_id) WHERE length(line) >= 10 GROUP BY ALL) SELECT lang, source, sha256(norm)[1:16] AS hash_id, frequency, CAST(length(norm) AS INTEGER) AS length FROM s JOIN n USING (lang, source) WHERE (docs > 1 AND has = docs) OR (docs = 1 AND score >= 5)")
 def fingerprint_build_all(spark: SparkSession, d: str) -> DataFrame:
-    """Groups by columns and groups of one template, where fingerprint_build has documents that begin alike."""
+    """Groups by columns and groups of one template, where fingerprint_build has documents of one length."""
     own = t(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
     return label.fingerprints(own, ["lang", "source"], split=_line_list).select("lang", "source", "hash_id", "frequency", "length")
 
 
+_BY_LENGTH = "WITH {lines}, k AS (SELECT doc_id, coalesce(lang, '') AS lang, n_chars FROM documents), n AS (SELECT lang, n_chars, count(DISTINCT doc_id) AS docs FROM k GROUP BY ALL), s AS (SELECT lang, n_chars, {norm} AS norm, count(DISTINCT doc_id) AS has, count(*) AS frequency, max({score}) AS score FROM lines JOIN k USING (doc_id) WHERE length(line) >= 10 GROUP BY ALL) SELECT lang, n_chars, sha256(norm)[1:16] AS hash_id, frequency, CAST(length(norm) AS INTEGER) AS length FROM s JOIN n USING (lang, n_chars) WHERE (docs > 1 AND has = docs) OR (docs = 1 AND score >= 5)"
+
+
+@query(_BY_LENGTH.format(lines=_LINES, norm=_NORM.format("line"), score=_SCORE))
+def fingerprint_build(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of texts of one language and length, so that copies are groups."""
+    own = t(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "n_chars", "text")
+    return label.fingerprints(own, ["lang", "n_chars"], split=_line_list).select("lang", "n_chars", "hash_id", "frequency", "length")
+
+
 def _prints(spark: SparkSession, d: str) -> DataFrame:
     own = t(spark, d, "benchmark").select(F.explode(F.split("text", "\n")).alias("text")).where("length(text) >= 10").distinct()
     return own.withColumn("hash_id", fn.text_hash("text"))
@@ -362,14 +360,15 @@ def label_spans(spark: SparkSession, d: str) -> DataFrame:
     return label.marked(sections(spark, d)).select("doc_id", "section_type", "span_no", "label", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"WITH {_SPANS} SELECT doc_id, count(*) AS total_spans, round(sum(CASE WHEN label = 'FIXED' THEN length(text) ELSE 0 END) / greatest(sum(length(text)), 1), 6) AS fixed_ratio, round(sum(CASE WHEN label = 'VARIABLE' THEN length(text) ELSE 0 END) / greatest(sum(length(text)), 1), 6) AS variable_ratio FROM spans GROUP BY doc_id")
+@query(f"WITH {_SPANS} SELECT doc_id, count(*) AS total_spans, round_even(sum(CASE WHEN label = 'FIXED' THEN length(text) ELSE 0 END) / greatest(sum(length(text)), 1), 3) AS fixed_ratio, round_even(sum(CASE WHEN label = 'VARIABLE' THEN length(text) ELSE 0 END) / greatest(sum(length(text)), 1), 3) AS variable_ratio FROM spans GROUP BY doc_id")
 def label_ratios(spark: SparkSession, d: str) -> DataFrame:
-    own = label.marked(sections(spark, d))
-    share = lambda x: F.round(F.sum(F.when(F.col("label") == x, F.length("text")).otherwise(0)) / F.greatest(F.sum(F.length("text")), F.lit(1)), 6)
-    return own.groupBy("doc_id").agg(F.count("*").alias("total_spans"), share("FIXED").alias("fixed_ratio"), share("VARIABLE").alias("variable_ratio"))
+    return label.ratios(label.marked(sections(spark, d))).select("doc_id", "total_spans", "fixed_ratio", "variable_ratio")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, sha256({_NORM.format('line')})[1:16] AS hash, CAST(len(CASE WHEN length({_NORM.format('line')}) > 2 THEN {_GRAMS.format(_NORM.format('line'))} ELSE [] END) AS INTEGER) AS grams, CAST(length(line) * 2 AS BIGINT) AS tokens FROM lines")
+@query(
+    f"""WITH {_LINES}, n AS MATERIALIZED (SELECT doc_id, line_no, line, {_NORM.format('line')} AS norm FROM lines)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, sha256(norm)[1:16] AS hash, CAST(CASE WHEN length(norm) > 2 THEN len({_GRAMS.format('norm')}) ELSE 0 END AS INTEGER) AS grams, CAST(length(line) * 2 AS BIGINT) AS tokens FROM n"""
+)
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
     own = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return own.select("doc_id", "line_no", fn.text_hash("line").alias("hash"), F.size(fn.grams(fn.normalized("line"))).alias("grams"), fn.tokens_estimate("line").alias("tokens"))
@@ -419,9 +418,9 @@ def usage_by_model(spark: SparkSession, d: str) -> DataFrame:
     return stats.usage_totals(usage(spark, d), "model").select("model", "calls", "tokens", F.round("duration", 4).alias("duration"), F.round("success_rate", 6).alias("success_rate"), F.round("avg_tokens", 6).alias("avg_tokens"))
 
 
-@query(f"SELECT user_id, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (NOT success) AS failures FROM {_USAGE} GROUP BY user_id")
+@query(f"SELECT user_id, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(count(*) FILTER (success) / count(*) * 100, 6) AS success_rate FROM {_USAGE} GROUP BY user_id")
 def usage_by_user(spark: SparkSession, d: str) -> DataFrame:
-    return usage(spark, d).groupBy("user_id").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.count_if(~F.col("success")).alias("failures"))
+    return stats.usage_totals(usage(spark, d), "user_id").select("user_id", "calls", "tokens", F.round("success_rate", 6).alias("success_rate"))
 
 
 @query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
@@ -630,16 +629,16 @@ def case_candidates(spark: SparkSession, d: str) -> DataFrame:
     return mine.new_patterns(_cases(spark, d), CANDIDATES, ["R-1"], ["src1", "src2", "src3"]).select("case_id", "name", "is_new")
 
 
-@query("SELECT source, count(*) AS total, count(*) FILTER (lang = 'en') AS upheld, count(*) FILTER (lang = 'fr') AS rejected, count(*) FILTER (lang = 'de') AS partial, count(*) FILTER (lang NOT IN ('en', 'fr', 'de')) AS dismissed FROM documents WHERE source = 'src1' GROUP BY source")
+@query("SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS upheld, count(*) FILTER (lang = 'fr') AS rejected, count(*) FILTER (lang = 'de') AS partial, count(*) FILTER (source IN ('src1', 'src3')) AS analyzed, count(*) FILTER (lang NOT IN ('en', 'fr', 'de')) AS dismissed FROM documents")
 def case_counts(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("lang") == "en", "upheld").when(F.col("lang") == "fr", "rejected").when(F.col("lang") == "de", "partial").otherwise("dismissed")
-    own = t(spark, d, "documents").where("source = 'src1'").select(kind.alias("decision_type"), F.lit(0).alias("is_analyzed"))
-    return mine.case_counts(own).select(F.lit("src1").alias("source"), "total", "upheld", "rejected", "partial", "dismissed")
+    own = t(spark, d, "documents").select(kind.alias("decision_type"), F.col("source").isin("src1", "src3").cast("int").alias("is_analyzed"))
+    return mine.case_counts(own).select("total", "upheld", "rejected", "partial", "analyzed", "dismissed")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS upheld, count(*) FILTER (lang = 'fr') AS rejected, count(*) FILTER (lang = 'de') AS partial, count(*) - count(*) FILTER (lang IN ('en', 'fr', 'de')) AS dismissed FROM documents")
 def case_counts_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every document, where case_counts has those of one source."""
+    """Without those that were analysed."""
     kind = F.when(F.col("lang") == "en", "upheld").when(F.col("lang") == "fr", "rejected").when(F.col("lang") == "de", "partial").otherwise("dismissed")
     own = t(spark, d, "documents").select(kind.alias("decision_type"), F.lit(0).alias("is_analyzed"))
     return mine.case_counts(own).select("total", "upheld", "rejected", "partial", "dismissed")
