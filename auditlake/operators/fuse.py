@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import col, json_array, section_name, strip
+from auditlake.functions.text import col, json_array, risk_penalty, section_name, strip
 
 # fixed values: kinds of model findings; thresholds by pair of kinds; keywords of the deterministic reviewer
 KINDS = ["exclusivity", "bias", "hidden_barrier", "ambiguity", "high_risk", "format_issue", "legal_risk", "procedural_issue"]
@@ -112,7 +112,11 @@ def verdicts(docs: DataFrame, items: DataFrame, quality: Column | str = "ok") ->
     medium by one."""
     n = lambda c: F.count_if(F.col("category") == c).alias(f"{c}_count")
     own = docs.join(items.groupBy("doc_id").agg(*(n(c) for c in ("confirmed", "high_risk", "needs_review", "advisory"))), "doc_id", "left").na.fill(0, [f"{c}_count" for c in ("confirmed", "high_risk", "needs_review", "advisory")])
-    q = quality if isinstance(quality, Column) else F.lit(quality)
+    return _judged(own.withColumn("_q", quality if isinstance(quality, Column) else F.lit(quality)))
+
+
+def _judged(own: DataFrame) -> DataFrame:
+    q = F.col("_q")
     c, h, r = F.col("confirmed_count"), F.col("high_risk_count"), F.col("needs_review_count")
     level = F.when(c >= 2, "critical").when((c > 0) | (h > 0), "high").when(r > 0, "medium").otherwise("low")
     up = q.isin("ocr", "partial", "failed")
@@ -123,13 +127,62 @@ def verdicts(docs: DataFrame, items: DataFrame, quality: Column | str = "ok") ->
     )
 
 
+def gathered(rule_found: DataFrame, bias_found: DataFrame | None, model_found: DataFrame) -> DataFrame:
+    """(doc_id, rules, bias, model): the findings of each document as three arrays, by one union and one shuffle: what fusion looks at of each. A document's findings follow its text."""
+    r = F.struct("rule_id", "rule_type", "risk_level", F.col("weight").cast("double").alias("weight"), section_name(F.coalesce(F.nullif("location", F.lit("")), "description")).alias("section"), F.coalesce(F.nullif("text", F.lit("")), "description").alias("text"))
+    m = F.struct("risk_level", F.col("weight").cast("double").alias("weight"), F.coalesce(F.nullif("section", F.lit("")), section_name("text")).alias("section"), "text")
+    parts = [rule_found.select("doc_id", r.alias("rules")), model_found.select("doc_id", m.alias("model"))]
+    if bias_found is not None:
+        parts.append(bias_found.select("doc_id", F.struct("rule_id", "severity").alias("bias")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    if bias_found is None:
+        every = every.withColumn("bias", F.lit(None).cast("struct<rule_id:string,severity:string>"))
+    return every.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("rules", "bias", "model")))
+
+
+def _with_findings(docs: DataFrame, found: DataFrame) -> DataFrame:
+    own = docs.select("doc_id").join(found, "doc_id", "left")
+    return own.select("doc_id", *(F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("rules", "bias", "model")))
+
+
+def reports_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """FUS-5 over gathered findings: see reports."""
+    own = _with_findings(docs, found)
+    # FUS-1
+    covered = lambda m: (m["text"] != "") & F.exists("rules", lambda r: (r["section"] != "") & (r["section"] == m["section"]) & (r["risk_level"] == m["risk_level"]) & r["text"].contains(m["text"]))
+    own = own.withColumn("_kept", F.filter("model", lambda m: ~F.coalesce(covered(m), F.lit(False))))
+    n = lambda c, risk: F.size(F.filter(c, lambda x: x["risk_level"] == risk))
+    counts = [(n("rules", r) + n("_kept", r)).cast("long").alias(f"{r}_count") for r in RISKS]
+    # SCO-2
+    order = lambda x: F.when(x["risk_level"] == "high", 0).when(x["risk_level"] == "medium", 1).otherwise(2)
+    ranked = F.array_sort(F.transform("rules", lambda x: F.struct(order(x).alias("o"), (-x["weight"]).alias("w"), x["risk_level"].alias("risk_level"), x["weight"].alias("weight"))))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    own = own.withColumn("_r", total(F.transform(ranked, lambda x, k: risk_penalty(x["risk_level"], x["weight"]) / F.sqrt(k + 1)))).withColumn("_m", total(F.transform("model", lambda x: risk_penalty(x["risk_level"], x["weight"]))))
+    some = F.size("model") > 0
+    cut = lambda x: F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - x)), 1)
+    both = F.when(some, F.col("_r") * 0.6 + F.col("_m") * 0.4).otherwise(F.col("_r"))
+    return own.select(
+        "doc_id", *counts, (F.size("rules") + F.size("_kept")).cast("long").alias("violation_count"), (F.size("model") - F.size("_kept")).cast("long").alias("dedup_cross_engine"), cut(both).alias("total_score"), F.bround("_r", 1).alias("rule_penalty"), F.bround("_m", 1).alias("llm_penalty"),
+        cut(F.col("_r")).alias("rule_raw_score"), F.when(some, cut(F.col("_m"))).otherwise(100.0).alias("llm_raw_score"),
+    )
+
+
+def verdicts_of(docs: DataFrame, found: DataFrame, quality: Column | str = "ok") -> DataFrame:
+    """FUS-6 and FUS-7 over gathered findings: the counts of risk_items, and their verdicts."""
+    own = _with_findings(docs, found)
+    ids = lambda c: F.transform(c, lambda x: x["rule_id"])
+    own = own.withColumn("_by_bias", F.array_distinct(ids("bias"))).withColumn("_by_rule", F.array_distinct(ids("rules")))
+    has = lambda c, x: x.isNotNull() & F.coalesce(F.array_contains(c, x), F.lit(False))
+    rule = lambda x: F.when((x["rule_type"] == "forbidden") & has("_by_bias", x["rule_id"]), "confirmed").when((x["rule_type"] == "forbidden") | (x["risk_level"] == "high"), "high_risk").when(x["risk_level"] == "medium", "needs_review").otherwise("advisory")
+    bias = F.transform(F.filter("bias", lambda x: ~has("_by_rule", x["rule_id"])), lambda x: F.when(x["severity"].isin("critical", "high"), "high_risk").otherwise("needs_review"))
+    model = F.transform("model", lambda x: F.when(x["risk_level"] == "high", "high_risk").otherwise("needs_review"))
+    own = own.withColumn("_c", F.concat(F.transform("rules", rule), bias, model))
+    n = lambda c: F.size(F.filter("_c", lambda x: x == c)).cast("long").alias(f"{c}_count")
+    return _judged(own.select("doc_id", *map(n, ("confirmed", "high_risk", "needs_review", "advisory")), (quality if isinstance(quality, Column) else F.lit(quality)).alias("_q")))
+
+
 def reports(docs: DataFrame, rule_found: DataFrame, model_found: DataFrame) -> DataFrame:
     """FUS-5: one row per document: counts by risk over both lists (the model's without what rules cover), number of findings removed, and SCO-2 with the model's whole list."""
-    from auditlake.operators.scores import total_scores
-
-    kept = deduplicated(rule_found, model_found)
-    both = rule_found.select("doc_id", "risk_level").unionByName(kept.select("doc_id", "risk_level"))
-    counts = both.groupBy("doc_id").agg(*(F.count_if(F.col("risk_level") == r).alias(f"{r}_count") for r in RISKS), F.count("*").alias("violation_count"))
-    removed = model_found.groupBy("doc_id").agg(F.count("*").alias("_m")).join(kept.groupBy("doc_id").agg(F.count("*").alias("_k")), "doc_id", "left").select("doc_id", (F.col("_m") - F.coalesce("_k", F.lit(0))).alias("dedup_cross_engine"))
-    out = docs.select("doc_id").join(counts, "doc_id", "left").join(removed, "doc_id", "left").na.fill(0)
-    return out.join(total_scores(docs, rule_found, model_found), "doc_id")
+    return reports_of(docs, gathered(rule_found, None, model_found))

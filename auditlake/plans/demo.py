@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as fn
 from auditlake.operators import bias, chunk, fuse, graph, label, mine, routing, rules, scores, state, stats, sync
+from auditlake.session import written
 from auditlake.sources import packs
 
 SECTIONS = ["notice", "scope", "qualification", "evaluation", "instructions"]
@@ -220,8 +221,12 @@ _KEPT = "kept AS (SELECT * FROM model m WHERE NOT EXISTS (SELECT 1 FROM found r
 
 
 def short_model(spark: SparkSession, d: str) -> DataFrame:
+    return short(modelled(spark, d))
+
+
+def short(model: DataFrame) -> DataFrame:
     """The model's findings as if it had quoted the keyword alone."""
-    return modelled(spark, d).withColumn("text", F.col("keyword")).withColumn("risk_level", F.when(F.col("risk_level") == "high", "critical").otherwise(F.col("risk_level")))
+    return model.withColumn("text", F.col("keyword")).withColumn("risk_level", F.when(F.col("risk_level") == "high", "critical").otherwise(F.col("risk_level")))
 
 
 _SHORT = "model AS (SELECT * REPLACE (keyword AS text, CASE WHEN risk_level = 'high' THEN 'critical' ELSE risk_level END AS risk_level) FROM model0)"
@@ -258,8 +263,10 @@ n AS (SELECT d.doc_id, count(*) FILTER (category = 'confirmed') AS c, count(*) F
 SELECT doc_id, c AS confirmed_count, h AS high_risk_count, r AS needs_review_count, a AS advisory_count, CASE WHEN c >= 2 THEN 'critical' WHEN c > 0 OR h > 0 THEN 'high' WHEN r > 0 THEN 'medium' ELSE 'low' END AS risk_level, c = 0 AND h = 0 AS final_passed, CASE WHEN c = 0 AND h = 0 AND r = 0 THEN 'auto_passed' WHEN c > 0 THEN 'auto_failed' ELSE 'needs_review' END AS review_status FROM n"""
 )
 def risk_merge(spark: SparkSession, d: str) -> DataFrame:
-    items = fuse.risk_items(found(spark, d), biased(spark, d), modelled(spark, d))
-    return fuse.verdicts(docs(spark, d), items).select("doc_id", "confirmed_count", "high_risk_count", "needs_review_count", "advisory_count", "risk_level", "final_passed", "review_status")
+    own = written(sections(spark, d), "sections")
+    found_ = rules.run(docs(spark, d), own, pack(spark), synonyms=SYNONYMS, format_words=FORMATS)
+    biased_ = bias.findings(own, bias.patterns_of(spark, BIAS, BIAS_DEDICATED), BIAS_FIELDS)
+    return fuse.verdicts_of(docs(spark, d), fuse.gathered(found_, biased_, fuse.reviewed(own, REVIEWER))).select("doc_id", "confirmed_count", "high_risk_count", "needs_review_count", "advisory_count", "risk_level", "final_passed", "review_status")
 
 
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role, text[1:40] ORDER BY length(text) % 7 DESC, turn) = 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import budget
 from auditlake.operators import bias, chunk, fuse, label, routing, rules, scores
+from auditlake.session import written
 from auditlake.sources.packs import rendered
 
 
@@ -28,8 +29,10 @@ def review(docs: DataFrame, sections: DataFrame, pack: DataFrame, bias_rx: DataF
     """docs(doc_id, text[, method]); sections(doc_id, section_type, content, ord).
 
     Documents with a green light get no model findings. answers(doc_id, chunk_no, response) are a model's raw answers; without them the deterministic reviewer stands for it. With
-    fingerprints, labels are by fingerprint (mode "fingerprint": FIXED text is trusted), else by signs.
+    fingerprints, labels are by fingerprint (mode "fingerprint": FIXED text is trusted), else by signs. Sections are written once to the shared folder, since labels, rules, bias patterns and the
+    reviewer each read them.
     """
+    sections = written(sections, "sections")
     method = F.col("method") if "method" in docs.columns else F.lit("")
     routes = routing.routed(docs.select("doc_id", budget("text").alias("budget"), method.alias("method")))
     by_print = fingerprints is not None
@@ -44,7 +47,8 @@ def review(docs: DataFrame, sections: DataFrame, pack: DataFrame, bias_rx: DataF
         model = fuse.reviewed(sections.join(deep, "doc_id", "left_semi"), reviewer, checked)
     items = fuse.risk_items(findings, biased, model)
     only = docs.select("doc_id")
-    return Review(routes, spans, findings, biased, model, fuse.reports(only, findings, model).join(scores.rule_scores(only, findings).withColumnRenamed("total_score", "rule_total"), "doc_id"), items, fuse.verdicts(only, items))
+    found = fuse.gathered(findings, biased, model)
+    return Review(routes, spans, findings, biased, model, fuse.reports_of(only, found).join(scores.rule_scores(only, findings).withColumnRenamed("total_score", "rule_total"), "doc_id"), items, fuse.verdicts_of(only, found))
 
 
 def prompts(sections: DataFrame, findings: DataFrame, limit: int = 6000, rate: float = 0.3) -> DataFrame:

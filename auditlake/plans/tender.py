@@ -10,6 +10,7 @@ from auditlake.operators import bias, chunk, fuse, graph, label, mine, rules, sc
 from auditlake.plans import demo
 from auditlake.plans.demo import literal, query, t, values
 from auditlake.plans.review import clause_prompts, review
+from auditlake.session import written
 from auditlake.sources import documents, packs
 
 #: Lines of a tender document: (line, whether it is a heading, the type of its section). Line i of document d is one of them where (7 d + 3 i) mod 24 is its number.
@@ -448,7 +449,9 @@ round(greatest(0.0, least(100.0, 100 - CASE WHEN m IS NULL THEN coalesce(r, 0) E
 )
 def reports(spark: SparkSession, d: str) -> DataFrame:
     """FUS-5, SCO-2"""
-    got = fuse.reports(demo.docs(spark, d), demo.found(spark, d), demo.short_model(spark, d))
+    own = written(demo.sections(spark, d), "sections")
+    found = rules.run(demo.docs(spark, d), own, demo.pack(spark), synonyms=demo.SYNONYMS, format_words=demo.FORMATS)
+    got = fuse.reports(demo.docs(spark, d), found, demo.short(fuse.reviewed(own, demo.REVIEWER)))
     return got.select("doc_id", *(f"{x}_count" for x in fuse.RISKS), "violation_count", "dedup_cross_engine", "total_score")
 
 
@@ -474,11 +477,11 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
 # the whole review
 
 
-@query()
+@query(f"SELECT doc_id, confirmed_count, high_risk_count, needs_review_count, advisory_count, risk_level, review_status FROM ({demo.SQL['risk_merge'].replace('FROM model0)', 'FROM model0 WHERE doc_id % 2 = 0)')})")
 def review_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """The review as one plan: verdicts of all documents. Its parts have SQL of their own."""
-    own = t(spark, d, "documents").select("doc_id", "text")
-    got = review(own, demo.sections(spark, d), demo.pack(spark), bias.patterns_of(spark, demo.BIAS, demo.BIAS_DEDICATED), synonyms=demo.SYNONYMS, formats=demo.FORMATS, fields=demo.BIAS_FIELDS)
+    """The review as one plan: verdicts of all documents. No budget stands in these texts, so the method alone decides whether a model looks at one: at every second."""
+    own = t(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "单一来源").otherwise("").alias("method"))
+    got = review(own, demo.sections(spark, d), demo.pack(spark), bias.patterns_of(spark, demo.BIAS, demo.BIAS_DEDICATED), synonyms=demo.SYNONYMS, formats=demo.FORMATS, fields=demo.BIAS_FIELDS, reviewer=demo.REVIEWER)
     return got.verdicts.select("doc_id", "confirmed_count", "high_risk_count", "needs_review_count", "advisory_count", "risk_level", "review_status")
 
 

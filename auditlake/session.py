@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -51,6 +51,13 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/auditlake/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The table, written once to the shared folder: what several parts of a plan read."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def put_files(spark: SparkSession, folder: str, files: dict[str, str]) -> None:
     """Small texts as files of a folder, by Spark's own file system."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
