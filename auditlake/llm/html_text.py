@@ -3,7 +3,8 @@
 The page is cut into blocks of text. A classifier gives each block a score (log odds of being content): its capacity from the source (content) or to the sink. Blocks
 that follow each other, or that are neighbouring children of one element, are tied by a capacity that is larger the nearer they are in the tree. The minimum cut
 labels all blocks of the page at once: a block that scores a little below zero amid the article stays, one that scores a little above amid a menu goes. Blocks whose own
-capacity exceeds all their ties are settled first; max-flow (shortest augmenting paths) decides the rest.
+capacity exceeds all their ties are settled first; then blocks with two ties at most are taken out one by one, each leaving its least cost between its neighbours, which is exact and, as the ties of a
+page nest, takes out all of them; max-flow (shortest augmenting paths) is for what would be left of other graphs.
 
 The classifier is one logistic regression over what a block looks like (length, links, punctuation, heading, list, position) and over the evidence of the elements around
 it: article or main, navigation, aside, header or footer, form, readers' remarks, words of class and id for and against. The nearest element with evidence counts in full, each further
@@ -311,22 +312,59 @@ def min_cut(score: list[float], tie: dict[tuple[int, int], float]) -> list[bool]
                 del near[j][i]
                 queue.append(j)
             near[i] = {}
-    rest = [i for i in range(n) if label[i] is None]
-    if not rest:
-        return [bool(x) for x in label]
-    s, t = n, n + 1
+    # A node with two ties at most is taken out: the least cost it has, given its neighbours' labels, is a tie between them and something on their own capacities. It is set once they are.
+    # Ties of a page nest, so this takes out all nodes of a page, each in constant time.
+    taken: list[tuple[int, float, list[tuple[int, float]]]] = []
+    gone = [x is not None for x in label]
+    queue = deque(i for i in range(n) if not gone[i] and len(near[i]) <= 2)
+    while queue:
+        i = queue.popleft()
+        if gone[i] or len(near[i]) > 2:
+            continue
+        gone[i] = True
+        ends = list(near[i].items())
+        taken.append((i, own[i], ends))
+        for j, _ in ends:
+            del near[j][i]
+        least = lambda *x: min(sum(c for (_, c), k in zip(ends, x, strict=True) if k != v) - own[i] * v for v in (0, 1))  # noqa: B023, E731
+        if len(ends) == 1:
+            own[ends[0][0]] -= least(1) - least(0)
+        elif ends:
+            (j, _), (k, _) = ends
+            none, first, second, both = least(0, 0), least(1, 0), least(0, 1), least(1, 1)
+            c = max(0.0, (first + second - none - both) / 2)
+            own[j] -= first - none - c
+            own[k] -= second - none - c
+            if c > 0:
+                near[j][k] = near[k][j] = near[j].get(k, 0.0) + c
+        queue.extend(j for j, _ in ends if len(near[j]) <= 2)
+    rest = [i for i in range(n) if not gone[i]]
+    if rest:
+        label = _by_flow(rest, own, near, label)
+    for i, capacity, ends in reversed(taken):
+        label[i] = capacity + sum(c if label[j] else -c for j, c in ends) > EVEN
+    return [bool(x) for x in label]
+
+
+#: What rounding may make of nothing.
+EVEN = 1e-12
+
+
+def _by_flow(rest: list[int], own: list[float], near: list[dict[int, float]], label: list[bool | None]) -> list[bool | None]:
+    """Labels of nodes that all have three ties or more, by maximum flow along shortest augmenting paths."""
+    s, t = len(own), len(own) + 1
     cap: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest} | {s: {}, t: {}}
     for i in rest:
         a, b = (s, i) if own[i] > 0 else (i, t)
         cap[a][b] = abs(own[i])
         cap[b].setdefault(a, 0.0)
-    while True:  # shortest augmenting paths
+    while True:
         before: dict[int, int] = {s: s}
         queue = deque([s])
         while queue and t not in before:
             i = queue.popleft()
             for j, c in cap[i].items():
-                if c > 1e-12 and j not in before:
+                if c > EVEN and j not in before:
                     before[j] = i
                     queue.append(j)
         if t not in before:
@@ -339,7 +377,9 @@ def min_cut(score: list[float], tie: dict[tuple[int, int], float]) -> list[bool]
         for i, j in path:
             cap[i][j] -= flow
             cap[j][i] = cap[j].get(i, 0.0) + flow
-    return [bool(label[i]) if label[i] is not None else i in before for i in range(n)]
+    for i in rest:
+        label[i] = i in before
+    return label
 
 
 def labelled(page: str | None, weight: np.ndarray) -> list[tuple[str, float, bool]]:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 import re
 from collections import Counter
@@ -311,6 +312,45 @@ def test_minimum_cut_is_minimal():
         assert cost == pytest.approx(brute_cut(score, tie))
 
 
+def nested(rng, n):
+    """Ties as a page has them: a chain, and arcs that nest."""
+    tie = {(i, i + 1): rng.random() for i in range(n - 1)}
+
+    def arcs(a, b, depth):
+        at = a
+        while at < b and depth < 12:
+            to = min(b, at + rng.randint(1, max(1, (b - a) // 2)))
+            if to > at + 1:
+                tie[at, to] = tie.get((at, to), 0.0) + rng.random()
+                arcs(at, to, depth + 1)
+            at = to
+
+    arcs(0, n - 1, 0)
+    return tie
+
+
+def test_reductions_keep_the_cut():
+    rng = random.Random(8)
+    for n in [*range(1, 10)] * 6 + [40, 60]:
+        score = [rng.choice([rng.uniform(-1, 1), 0.0]) for _ in range(n)]
+        for tie in (nested(rng, n), {(i, j): rng.random() for i in range(n) for j in range(i + 1, n) if rng.random() < 0.4}):
+            near = [{} for _ in range(n)]
+            for (i, j), c in tie.items():
+                near[i][j] = near[j][i] = c
+            assert html_text.min_cut(score, tie) == html_text._by_flow(list(range(n)), score, near, [None] * n)  # the one with least content, too
+
+
+@pytest.mark.parametrize("kind", ["chain", "nested"])
+def test_minimum_cut_of_a_very_long_page_takes_linear_time(kind):
+    rng = random.Random(9)
+    n = 100_000
+    tie = {(i, i + 1): 1.0 for i in range(n - 1)} if kind == "chain" else nested(rng, n)
+    score = [rng.uniform(-0.5, 0.5) for _ in range(n)]
+    began = time.time()
+    assert len(set(html_text.min_cut(score, tie))) <= 2
+    assert time.time() - began < 5
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="ad">Buy now.</div>
 <article><h1>One &amp; two</h1><p><b>First   line.<br><p>Second &lt;line&gt; é.</p><p></p><div class="comments"><p>I like it very much indeed.</p></div></article><form><input>Sign</form><footer>&copy; x</footer>"""
 
