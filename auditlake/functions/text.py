@@ -214,7 +214,8 @@ def budget(x: Column | str) -> Column:
         amount = F.replace(F.regexp_extract(c, "(?U)" + p, 1), F.lit(","), F.lit("")).try_cast("double")
         return amount * F.when(F.regexp_extract(c, "(?U)" + p, 0).contains("万"), 10_000.0).otherwise(1.0)
 
-    return F.coalesce(*map(one, forms))
+    # each form has one of the words, so other texts need no look
+    return F.when(c.contains("预算") | c.contains("最高限价"), F.coalesce(*map(one, forms)))
 
 
 # fixed values: pairs of words that count as near
