@@ -31,6 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: From so many partitions on they grow before their number does, up to so many bytes.
+PARTITIONS, LARGEST = 10_000, 512 << 20
+
 _made: list[Scratch] = []
 
 
@@ -62,10 +65,16 @@ class Scratch:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def partitions(self, name: str, size: int = 16 << 20) -> int:
-        """How many partitions a kept table makes at about so many written bytes each; as many as there are cores at least."""
+    def written_bytes(self, name: str) -> int:
         fs, p = self._at(f"{self.path}/{name}")
-        return max(self.spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(p).getLength() // size))
+        return fs.getContentSummary(p).getLength()
+
+    def partitions(self, name: str, size: int = 16 << 20) -> int:
+        """How many partitions a kept table makes at about so many written bytes each; as many as there are cores at least. A table of more than PARTITIONS of them has larger ones, up to LARGEST, as each is
+        an entry of every map task's list: what is done in a partition is streamed, so its size is no matter of memory."""
+        total = self.written_bytes(name)
+        size = max(size, min(LARGEST, total // PARTITIONS))
+        return max(self.spark.sparkContext.defaultParallelism, -(-total // size))
 
     def drop(self, *names: str) -> None:
         """Removes tables of this call (all of it without names) by Spark's own file system."""

@@ -142,18 +142,18 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_edges(found: DataFrame) -> DataFrame:
-    """JUDGED with the neighbours of the edges in other partitions: two rows a partition, so a table as short as the list of partitions."""
+    """JUDGED with the neighbours of the edges in other partitions. Only edges, two rows a partition, are looked at by anchor and joined; all other rows stay where they are."""
     key = ["a", "d1", "d2", "doc_id", "row", "lo"]
-    order = Window.orderBy(*key)
-    near = lambda f: f(F.struct("a", "d1", "d2")).over(order)
+    order = Window.partitionBy("a").orderBy(*key[1:])  # neighbours of interest share the anchor
+    near = lambda f: f(F.struct("d1", "d2")).over(order)
     edge = found.where("edge").select(*key, near(F.lag).alias("up"), near(F.lead).alias("down"))
-    beside = lambda x: F.coalesce(F.col(x)["a"] == F.col("a"), F.lit(False))
-    same = lambda x: beside(x) & (F.col(x)["d1"] == F.col("d1")) & (F.col(x)["d2"] == F.col("d2"))
+    same = lambda x: F.coalesce((F.col(x)["d1"] == F.col("d1")) & (F.col(x)["d2"] == F.col("d2")), F.lit(False))
+    other = lambda x: F.col(x).isNotNull() & ~same(x)
     names = {k: f"_{k}" for k in key}
-    edge = edge.groupBy(*key).agg(F.bool_or(same("up") | same("down")).alias("_whole"), F.bool_or((beside("up") & ~same("up")) | (beside("down") & ~same("down"))).alias("_part")).withColumnsRenamed(names)
-    both = found.join(F.broadcast(edge), F.col("edge") & reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]), "left")
-    both = both.withColumns({x: F.col(x) | F.coalesce(f"_{x}", F.lit(False)) for x in ("whole", "part")})
-    return both.where(F.col("whole") | F.col("part")).drop("_whole", "_part", "edge", *names.values())
+    edge = edge.groupBy(*key).agg(F.bool_or(same("up") | same("down")).alias("_whole"), F.bool_or(other("up") | other("down")).alias("_part")).withColumnsRenamed(names)
+    joined = found.where("edge").join(edge, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]), "left")
+    joined = joined.withColumns({x: F.col(x) | F.coalesce(f"_{x}", F.lit(False)) for x in ("whole", "part")}).select(found.columns)
+    return found.where("NOT edge").unionByName(joined).where(F.col("whole") | F.col("part")).drop("edge")
 
 
 def fetched(docs: DataFrame, parts: DataFrame) -> DataFrame:

@@ -410,5 +410,20 @@ def test_tokens_of_any_piece_size(texts, piece):
 def test_queries_return_their_columns(spark):
     from auditlake.llm.queries import oracle_sql, queries
 
-    assert [int(re.match(r"op(\d+)_", q)[1]) for q in queries()] == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert [int(re.match(r"op(\d+)_", q)[1]) for q in queries()] == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
     assert F is not None
+
+
+@pytest.mark.parametrize(("size", "most"), [(1 << 30, 64), (100 << 30, 6_400), (160 << 40, 330_000), (1 << 50, 2_200_000)])
+def test_partitions_grow_before_their_number_does(spark, monkeypatch, size, most):
+    monkeypatch.setattr(Scratch, "written_bytes", lambda *_: size)
+    n = Scratch(spark, "test").partitions("x")
+    assert n <= most and size / n <= (512 << 20) and (size <= (160 << 30) or size / n >= (16 << 20))
+
+
+def test_edges_are_joined_without_a_hint_and_without_one_task_for_all(spark):
+    found = spark.createDataFrame([(1, 1, 1, 1, 1, 0, False, False, True), (1, 1, 1, 2, 1, 0, False, False, True), (2, 1, 1, 3, 1, 0, False, False, True), (1, 2, 1, 3, 1, 0, False, False, True), (5, 1, 1, 3, 1, 9, True, False, False)], "a long, d1 long, d2 long, doc_id long, row long, lo int, whole boolean, part boolean, edge boolean")
+    out = suffix_dedup.with_edges(found)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 1, 1, 1, 0, True, False), (1, 1, 1, 2, 1, 0, True, True), (1, 2, 1, 3, 1, 0, False, True), (5, 1, 1, 3, 1, 9, True, False)]
+    plan = out._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "strategy=broadcast" not in plan
