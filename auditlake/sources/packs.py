@@ -58,25 +58,14 @@ def rules_from(spark: SparkSession, rules: list[dict]) -> DataFrame:
 
 
 def checked(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """RUL-11: (rules, rejected with a reason). A forbidden rule needs a pattern that compiles and does not match the empty string; types and ids are checked too.
-
-    Packs are small and compiled on the driver, by the JVM's own pattern classes, which will run them.
-    """
-    spark = rules.sparkSession
-    rows = rules.select("rule_seq", "type", F.coalesce("pattern", quoted("target")).alias("pattern")).collect()
-    bad = []
-    for r in rows:
-        reason = None if r.type in TYPES else "unknown type"
-        if r.type == "forbidden":
-            try:
-                if spark._jvm.java.util.regex.Pattern.compile("(?iudU)" + (r.pattern or "")).matcher("").find():
-                    reason = "matches the empty string"
-            except Exception:
-                reason = "does not compile"
-        if reason:
-            bad.append((r.rule_seq, reason))
-    reasons = F.broadcast(spark.createDataFrame(bad, "rule_seq int, reason string"))
-    return rules.join(reasons, "rule_seq", "left_anti"), rules.join(reasons, "rule_seq")
+    """RUL-11: (rules, rejected with a reason). A forbidden rule needs a pattern that compiles and does not match the empty string; types are checked too. Patterns are compiled
+    by the JVM's own pattern class, which will run them, where the rows are."""
+    rx = F.concat(F.lit("(?iudU)"), F.coalesce("pattern", quoted("target"), F.lit("")))
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), rx)
+    wrong = F.when(compiled.isNull(), "does not compile").when(F.rlike(F.lit(""), rx), "matches the empty string")
+    reason = F.when(F.col("type") == "forbidden", wrong).when(~F.coalesce(F.col("type").isin(TYPES), F.lit(False)), "unknown type")
+    own = rules.withColumn("reason", reason)
+    return own.where("reason IS NULL").drop("reason"), own.where("reason IS NOT NULL")
 
 
 def quoted(c: Column | str) -> Column:
