@@ -83,6 +83,15 @@ class Scratch:
             fs.delete(p, True)
 
 
+#: Rows of a table of two hashes and two numbers a row, about, that may be broadcast: 64 MB.
+SENT_ROWS = 1_000_000
+
+
+def sent_if_small(short: DataFrame) -> DataFrame:
+    """The table, marked to be broadcast if a count of its rows allows it; beyond that Spark joins it by a shuffle. It is counted, so it should be cheap to make."""
+    return F.broadcast(short) if short.limit(SENT_ROWS + 1).count() <= SENT_ROWS else short
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names near the wanted ones that no column of df has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Scratch, free_name, map_batches, table
+from auditlake.llm.common import Scratch, free_name, map_batches, sent_if_small, table
 from auditlake.session import ship
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -137,9 +137,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = ["h1", "h2", F.col("doc_id").desc_nulls_last()]
     ordered = lines.repartitionByRange(scratch.partitions("lines"), *order).sortWithinPartitions(*order, "row")
     found = scratch.keep(ordered.mapInArrow(judged(min_docs), GONE), "judged")
-    # two hashes of a partition at most, so tables as short as the list of partitions; whether one of them is broadcast is for Spark to see
+    # two hashes of a partition at most, so a table as short as the list of partitions
     edges = found.where("documents IS NOT NULL").groupBy("h1", "h2").agg(F.max("doc_id").alias("largest"), F.sum("documents").alias("n")).where(F.col("n") >= min_docs)
-    open_ = found.where("h1 IS NOT NULL AND documents IS NULL").join(edges, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("largest")))
+    open_ = found.where("h1 IS NOT NULL AND documents IS NULL").join(sent_if_small(edges), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("largest")))
     gone = found.where("h1 IS NULL").select("doc_id", "row", "places").union(open_.select("doc_id", "row", "places"))
     gone = gone.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 

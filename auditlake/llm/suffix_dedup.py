@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Scratch, map_batches, mix, table, utf8
+from auditlake.llm.common import Scratch, map_batches, mix, sent_if_small, table, utf8
 from auditlake.llm.suffix_sort import suffixes
 from auditlake.session import ship
 
@@ -142,7 +142,7 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_edges(found: DataFrame) -> DataFrame:
-    """JUDGED with the neighbours of the edges in other partitions. Only edges, two rows a partition, are looked at by anchor and joined; all other rows stay where they are."""
+    """JUDGED with the neighbours of the edges in other partitions: two rows a partition, so a table as short as the list of partitions, looked at by anchor."""
     key = ["a", "d1", "d2", "doc_id", "row", "lo"]
     order = Window.partitionBy("a").orderBy(*key[1:])  # neighbours of interest share the anchor
     near = lambda f: f(F.struct("d1", "d2")).over(order)
@@ -151,9 +151,9 @@ def with_edges(found: DataFrame) -> DataFrame:
     other = lambda x: F.col(x).isNotNull() & ~same(x)
     names = {k: f"_{k}" for k in key}
     edge = edge.groupBy(*key).agg(F.bool_or(same("up") | same("down")).alias("_whole"), F.bool_or(other("up") | other("down")).alias("_part")).withColumnsRenamed(names)
-    joined = found.where("edge").join(edge, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]), "left")
-    joined = joined.withColumns({x: F.col(x) | F.coalesce(f"_{x}", F.lit(False)) for x in ("whole", "part")}).select(found.columns)
-    return found.where("NOT edge").unionByName(joined).where(F.col("whole") | F.col("part")).drop("edge")
+    both = found.join(sent_if_small(edge), F.col("edge") & reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]), "left")
+    both = both.withColumns({x: F.col(x) | F.coalesce(f"_{x}", F.lit(False)) for x in ("whole", "part")})
+    return both.where(F.col("whole") | F.col("part")).drop("_whole", "_part", "edge", *names.values())
 
 
 def fetched(docs: DataFrame, parts: DataFrame) -> DataFrame:

@@ -421,9 +421,16 @@ def test_partitions_grow_before_their_number_does(spark, monkeypatch, size, most
     assert n <= most and size / n <= (512 << 20) and (size <= (160 << 30) or size / n >= (16 << 20))
 
 
-def test_edges_are_joined_without_a_hint_and_without_one_task_for_all(spark):
+def test_edges_are_broadcast_by_their_size_and_without_one_task_for_all(spark, monkeypatch):
     found = spark.createDataFrame([(1, 1, 1, 1, 1, 0, False, False, True), (1, 1, 1, 2, 1, 0, False, False, True), (2, 1, 1, 3, 1, 0, False, False, True), (1, 2, 1, 3, 1, 0, False, False, True), (5, 1, 1, 3, 1, 9, True, False, False)], "a long, d1 long, d2 long, doc_id long, row long, lo int, whole boolean, part boolean, edge boolean")
     out = suffix_dedup.with_edges(found)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 1, 1, 1, 0, True, False), (1, 1, 1, 2, 1, 0, True, True), (1, 2, 1, 3, 1, 0, False, True), (5, 1, 1, 3, 1, 9, True, False)]
     plan = out._jdf.queryExecution().toString()
-    assert "SinglePartition" not in plan and "strategy=broadcast" not in plan
+    assert "SinglePartition" not in plan and "strategy=broadcast" in plan
+    texts = [f"line number {i % 7} of all the lines\nown {i}" for i in range(60)]
+    bitmaps = sorted(map(tuple, line_dedup.keep_bitmaps(frame(spark, texts)).collect()), key=repr)
+    assert len(bitmaps) == 53
+    monkeypatch.setattr(common, "SENT_ROWS", 1)
+    large = suffix_dedup.with_edges(found)
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, out.collect())) and "strategy=broadcast" not in large._jdf.queryExecution().toString()
+    assert sorted(map(tuple, line_dedup.keep_bitmaps(frame(spark, texts)).collect()), key=repr) == bitmaps
