@@ -7,8 +7,9 @@
    partitions stream, a very frequent anchor is cut like anything else, and what the first and the last row of a partition lack comes from a join of these rows.
 3. The fetched segments are dealt out by anchor into shards. A shard's text goes to a file as it comes, and its suffix array is made by induced sorting over disk-backed queues that carry
    common prefixes (suffix_sort.py): neighbours in it that share SPAN symbols are repeated. What a task keeps in memory is the queues' share, a few blocks, and ids and sizes of the
-   pieces (about a tenth of the text). An anchor with more than MAX_BYTES of different segments would still be one task's work, so its windows are counted by 128-bit hash
-   on all executors instead, which gives the same windows.
+   pieces (about a tenth of the text). An anchor with more than MAX_BYTES of different segments would still be one task's work: its windows are dealt out again to finer anchors, by
+   the place of the gram in the window (in 2, then 10, then REACH parts) and the bytes that all windows with it there share, and go through 2 and 3 like the first ones. The finest anchor is
+   a window itself, so whatever a text holds, no anchor stays large.
 4. The intervals of a document are applied to its text.
 """
 
@@ -32,8 +33,10 @@ SPAN = 200
 GRAM = 51
 REACH = SPAN - GRAM + 1  # grams of a window
 STEP = 1 << 20
-#: Bytes of different segments under one anchor that one task sorts; an anchor with more has its windows counted instead, on all executors.
+#: Bytes of different segments under one anchor that one task sorts; an anchor with more is split into finer ones.
 MAX_BYTES = 64 << 20
+#: Parts of the places of a gram in its window, for finer anchors; with REACH of them a part is one place, and its anchor the whole window.
+FINER = (2, 10, REACH)
 #: Bytes of text a shard gathers before it is sorted.
 SHARD = 4 << 20
 SEGMENT = "a long, d1 long, d2 long, doc_id long, row long, lo int, hi int"
@@ -264,22 +267,34 @@ def sum_bytes(batch: pa.RecordBatch, begin: int, end: int) -> int:
     return int(at[end]) - int(at[begin])
 
 
-def counted(pieces: DataFrame) -> DataFrame:
-    """The windows of the pieces whose hash stands at two places at least -> FOUND."""
+def finer(pieces: DataFrame, parts: int) -> DataFrame:
+    """The windows of the pieces (a, doc_id, row, lo, piece) under finer anchors -> SEGMENT, each window once.
 
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw, at = utf8(batch.column(4))
-        own = np.maximum(np.diff(at) - SPAN + 1, 0)
-        which = np.repeat(np.arange(len(own)), own)
-        start = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        d = digests(raw, at[which] + start, at[which] + start + SPAN)
-        rows = batch.select([1, 2, 3]).take(pa.array(which))
-        lo = rows.column(2).to_numpy() + start
-        return pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), rows.column(0), rows.column(1), pa.array(lo.astype(np.int32)), pa.array((lo + SPAN).astype(np.int32))], ["d1", "d2", "doc_id", "row", "lo", "hi"])
+    A window's smallest gram begins `off` bytes into it. Windows of one part of the offsets share the bytes from the latest begin to the earliest end of such windows: these and the part are the new
+    anchor. Equal windows have equal offsets, so they meet again."""
 
-    each = map_batches(pieces, f, "d1 long, d2 long, doc_id long, row long, lo int, hi int", size=1 << 17)
-    often = each.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1")
-    return each.join(often, ["d1", "d2"], "left_semi").select("doc_id", "row", "lo", "hi")
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        raw, at = utf8(batch.column(4))
+        which, first, last, gram, _ = segments(raw, at)
+        if not len(which):
+            return None
+        own = last - first + 1
+        seg = np.repeat(np.arange(len(own)), own)
+        start = first[seg] + np.arange(own.sum()) - (np.cumsum(own) - own)[seg]
+        part = (gram[seg] - start) * parts // REACH
+        new = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) | (part[1:] != part[:-1]))))
+        end = start[np.append(new[1:], len(start)) - 1] + SPAN
+        seg, start, part = seg[new], start[new], part[new]
+        least, most = -(-part * REACH // parts), -(-(part + 1) * REACH // parts) - 1
+        text, middle = at[which[seg]], gram[seg]
+        core = digests(raw, text + middle - least, text + middle - most + SPAN)[:, 0] ^ part
+        d = digests(raw, text + start, text + end)
+        rows = batch.select([1, 2, 3]).take(pa.array(which[seg]))
+        lo = rows.column(2).to_numpy()
+        found = [pa.array((lo + start).astype(np.int32)), pa.array((lo + end).astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(core), pa.array(d[:, 0]), pa.array(d[:, 1]), rows.column(0), rows.column(1), *found], ["a", "d1", "d2", "doc_id", "row", "lo", "hi"])
+
+    return map_batches(pieces, f, SEGMENT, size=1 << 18)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -293,21 +308,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark, "suffix-dedup")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
     order = ["a", "d1", "d2", "doc_id", "row", "lo"]  # down to the place, so that equal segments of one text are cut, too
+    spans = []
     # written first: a range partitioner samples its input, which would else look at every byte twice
     every = scratch.keep(all_segments(text), "segments")
-    ordered = every.repartitionByRange(scratch.partitions("segments"), *order).sortWithinPartitions(*order)
-    first = scratch.keep(ordered.mapInArrow(neighbours, JUDGED), "first")
-    scratch.drop("segments")
-    judged = scratch.keep(with_edges(first), "judged")
-    scratch.drop("first")
-
-    pieces = scratch.keep(fetched(text, judged.where("part")), "pieces")
-    n = scratch.partitions("pieces", SHARD)
-    hot = scratch.keep(pieces.groupBy("a").agg(F.sum(F.length("piece")).alias("size")).where(F.col("size") > max_bytes).select("a"), "hot")
-    rest = pieces.join(hot, "a", "left_anti").repartition(n, "a").sortWithinPartitions("a").mapInArrow(shards, FOUND)
-    some = scratch.keep(rest.union(counted(pieces.join(hot, "a", "left_semi"))), "some")
-    scratch.drop("pieces", "hot")
-    found = judged.where("whole").select("doc_id", "row", "lo", "hi").union(some)
+    for level, parts in enumerate((*FINER, None)):
+        ordered = every.repartitionByRange(scratch.partitions("segments"), *order).sortWithinPartitions(*order)
+        first = scratch.keep(ordered.mapInArrow(neighbours, JUDGED), "first")
+        scratch.drop("segments")
+        judged = scratch.keep(with_edges(first), f"judged{level}")
+        scratch.drop("first")
+        pieces = scratch.keep(fetched(text, judged.where("part")), "pieces")
+        large = pieces.groupBy("a").agg(F.sum(F.length("piece")).alias("size")).where(F.col("size") > max_bytes).select("a")
+        hot = sent_if_small(scratch.keep(large, "hot"))
+        own = pieces.join(hot, "a", "left_anti") if parts else pieces
+        sorted_ = own.repartition(scratch.partitions("pieces", SHARD), "a").sortWithinPartitions("a").mapInArrow(shards, FOUND)
+        spans += [judged.where("whole").select("doc_id", "row", "lo", "hi"), scratch.keep(sorted_, f"some{level}")]
+        again = parts is not None and not hot.isEmpty()
+        if again:
+            every = scratch.keep(finer(pieces.join(hot, "a", "left_semi"), parts), "segments")
+        scratch.drop("pieces", "hot")
+        if not again:
+            break
+    found = reduce(DataFrame.union, spans)
     found = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("found")).withColumnsRenamed({"doc_id": "_id", "row": "_of"})
     both = text.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_of")), "left").select("doc_id", "text", "found")
 

@@ -226,7 +226,7 @@ def brute_suffix(texts, span=200):
     return out
 
 
-@pytest.mark.parametrize("most", [suffix_dedup.MAX_BYTES, 900])
+@pytest.mark.parametrize("most", [suffix_dedup.MAX_BYTES, 900, 100])  # 100: down to single windows
 def test_suffix_dedup_equals_brute_force(spark, most, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD", 5000)
     monkeypatch.setattr(Scratch, "partitions", lambda *a: 7)  # edges of partitions
@@ -248,18 +248,34 @@ def test_suffix_dedup_equals_brute_force(spark, most, monkeypatch):
     assert got == brute_suffix(texts)
 
 
-def test_anchors_of_many_bytes_are_counted(spark, monkeypatch):
+def test_anchors_of_many_bytes_are_split(spark, monkeypatch):
     rng = random.Random(13)
     shared = "".join(rng.choice("abcdef") for _ in range(230))
     texts = [f"{i:05d}" * 30 + shared + f"{i + 7:06d}" * 30 for i in range(40)]
-    calls, real = [], suffix_dedup.counted
-    monkeypatch.setattr(suffix_dedup, "counted", lambda pieces: calls.append(pieces.count()) or real(pieces))
+    calls, real = [], suffix_dedup.finer
+    monkeypatch.setattr(suffix_dedup, "finer", lambda pieces, parts: calls.append(pieces.count()) or real(pieces, parts))
     for most, counts in ((1000, True), (suffix_dedup.MAX_BYTES, False)):
         calls.clear()
         got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.text).hexdigest()) for r in suffix_dedup.repeated_spans(frame(spark, texts), max_bytes=most).collect()}
         assert got == brute_suffix(texts) and bool(sum(calls)) == counts
 
 
+def test_finer_anchors_have_each_window_once_and_equal_ones_together(spark):
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abc") for _ in range(260))
+    texts = [("".join(rng.choice("xy") for _ in range(rng.randint(0, 90))) + shared[rng.randint(0, 20) :] + f"{i:03d}").encode() for i in range(25)]
+    pieces = spark.createDataFrame([(0, i, 0, 5, bytearray(x)) for i, x in enumerate(texts)], "a long, doc_id long, row long, lo int, piece binary")
+    for parts in suffix_dedup.FINER:
+        own, anchors = Counter(), defaultdict(set)
+        for r in suffix_dedup.finer(pieces, parts).collect():
+            for s in range(r.lo - 5, r.hi - 5 - 199):
+                own[r.doc_id, s] += 1
+                anchors[texts[r.doc_id][s : s + 200]].add(r.a)
+        assert own == Counter((i, s) for i, x in enumerate(texts) for s in range(len(x) - 199))
+        assert all(len(x) == 1 for x in anchors.values())
+    assert len({a for x in anchors.values() for a in x}) == len(anchors)  # the finest anchor is a window
+
+
 def test_suffix_dedup_of_edge_tables(spark):
     assert suffix_dedup.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "q" * 10 + "".join(chr(97 + i % 26) for i in range(250))), (1, "q" * 10 + "".join(chr(97 + i % 26) for i in range(250))), (None, "short")]
