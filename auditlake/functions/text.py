@@ -228,10 +228,20 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     pair = F.struct(F.when(F.length(x) <= F.length(y), x).otherwise(y).alias("s"), F.when(F.length(x) <= F.length(y), y).otherwise(x).alias("t"))
 
     def longest(p: Column) -> Column:
-        s, t, n = p["s"], p["t"], F.length(p["s"])
-        lengths = F.when(n >= 2, F.sequence(n, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        found = F.filter(lengths, lambda k: F.exists(F.sequence(F.lit(1), n - k + 1), lambda i: t.contains(F.substring(s, i, k))))
-        return F.coalesce(F.get(found, F.lit(0)), F.lit(0)) / F.greatest(n, F.lit(1))
+        # a common substring has common substrings of every smaller length, so its length is found by halving; one length compares two sets
+        pieces = lambda t, k: F.transform(F.sequence(F.lit(1), F.length(t) - k + 1), lambda i: F.substring(t, i, k))
+        n = F.length(p["s"])
+
+        def halve(acc: Column, _: Column) -> Column:
+            def one(k: Column) -> Column:
+                found = F.arrays_overlap(pieces(p["s"], k), pieces(p["t"], k))
+                return F.when(found, F.struct(k.alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), (k - 1).alias("hi")))
+
+            return F.when(acc["lo"] < acc["hi"], let(F.ceil((acc["lo"] + acc["hi"]) / 2).cast("int"), one)).otherwise(acc)
+
+        rounds = F.sequence(F.lit(1), F.length(F.bin(n.cast("long"))))
+        size = F.aggregate(rounds, F.struct(F.lit(1).alias("lo"), n.alias("hi")), halve, lambda acc: acc["lo"])
+        return F.when((n >= 2) & (size >= 2), size).otherwise(F.lit(0)) / F.greatest(n, F.lit(1))
 
     near = reduce(F.greatest, [F.when((x.contains(p) & y.contains(q)) | (x.contains(q) & y.contains(p)), 0.6).when(x.contains(p) & y.contains(p), 0.8).otherwise(0.0) for p, q in SYNONYMS])
     return F.when((x == "") | (y == "") | x.isNull() | y.isNull(), F.lit(0.0)).otherwise(F.bround(F.greatest(let(pair, longest), near), 3))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import col, section_name, tokens_estimate
-from auditlake.session import ship
+from auditlake.functions.text import col, let, section_name, tokens_estimate
 
 OVERLAP_RATIO, OVERLAP_MIN, OVERLAP_MAX = 0.15, 200, 800
 DEGRADE = 5
@@ -97,53 +97,64 @@ def best_group(names: DataFrame, groups: DataFrame, default_limit: int) -> DataF
     return out.select("key", F.coalesce("g.id", F.lit("general")).alias("dimension"), F.greatest(F.lit(default_limit), F.coalesce("g.token_limit_override", F.lit(0))).alias("token_limit"))
 
 
+def _packed_names(names: Column, limit: int) -> Column:
+    """array<struct<name, size>> in order, filled into array<array<string>> up to the limit."""
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<array<string>>").alias("out"), none.alias("now"), F.lit(0).alias("total"))
+
+    def step(acc: Column, x: Column) -> Column:
+        flush = (acc["total"] + x["size"] > limit) & (F.size(acc["now"]) > 0)
+        fresh = F.struct(F.array_append(acc["out"], acc["now"]).alias("out"), F.array(x["name"]).alias("now"), x["size"].alias("total"))
+        more = F.struct(acc["out"].alias("out"), F.array_append(acc["now"], x["name"]).alias("now"), (acc["total"] + x["size"]).alias("total"))
+        return F.when(flush, fresh).otherwise(more)
+
+    return F.aggregate(names, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.array_append(acc["out"], acc["now"])).otherwise(acc["out"]))
+
+
+def _grown(seed: Column, rest: Column, near: Callable[[Column, Column], Column], limit: int) -> Column:
+    """The cluster of a seed (struct<name, size>) among array<struct<name, size>> in order: array<string>."""
+    ranked = F.array_sort(F.transform(rest, lambda x, i: F.struct((-near(seed["name"], x["name"])).alias("far"), i.alias("pos"), x["name"].alias("name"), x["size"].alias("size"))))
+    start = F.struct(F.array(seed["name"]).alias("own"), seed["size"].alias("total"), F.lit(limit).alias("budget"))
+
+    def step(acc: Column, x: Column) -> Column:
+        total, wider = acc["total"] + x["size"], F.floor(acc["budget"] * 1.5).cast("int")
+        taken = lambda budget: F.struct(F.array_append(acc["own"], x["name"]).alias("own"), total.alias("total"), budget.alias("budget"))
+        return F.when(total <= acc["budget"], taken(acc["budget"])).when((x["far"] <= -0.8) & (total <= wider), taken(wider)).otherwise(acc)
+
+    return F.aggregate(ranked, start, step, lambda acc: acc["own"])
+
+
 def clustered(sections: DataFrame, seeds: DataFrame, affinity: dict[tuple[str, str], float], limit: int, degrade: int = DEGRADE) -> DataFrame:
     """CHK-4/8: (doc_id, chunk_no, sections array<string>): greedy clusters of a document's sections around seeds(doc_id, section_type, rank). A candidate joins by affinity while the budget
-    lasts; from affinity 0.8 on the budget grows by half once for it. Sections that no cluster took form the last one. A document is one group: its sections are few.
+    lasts; from affinity 0.8 on the budget grows by half once for it. Sections that no cluster took form the last one. A document's sections are few: they are folded as one array of names and
+    sizes. A name that repeats in a document counts once, at its first place and with its last size; a section without text has size 0 for it; rows without a name and documents without a seed are left out.
     """
-    ship(sections.sparkSession)
-    joined = sections.join(seeds.select("doc_id", "section_type", "rank"), ["doc_id", "section_type"], "left").select("doc_id", "section_type", "ord", "rank", (F.length("content") + F.length("section_type") + 11).alias("n"))
-
-    def near(a: str, b: str) -> float:
-        return affinity.get((a, b), affinity.get((b, a), 0.0))
-
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        size = dict(zip(pdf["section_type"], (int(2 * n) for n in pdf["n"]), strict=True))
-        order = pdf[pdf["rank"].notna()].sort_values("rank", kind="stable")["section_type"].tolist()
-        taken: set[str] = set()
-        out: list[list[str]] = []
-        if len(size) <= degrade:
-            now: list[str] = []
-            total = 0
-            for s in (s for s in size if s in set(order)):
-                if total + size[s] > limit and now:
-                    out.append(now)
-                    now, total = [], 0
-                now.append(s)
-                total += size[s]
-            out += [now] if now else []
-        else:
-            for seed in order:
-                if seed in taken:
-                    continue
-                own, total, budget = [seed], size[seed], limit
-                taken.add(seed)
-                for c in sorted((s for s in size if s not in taken), key=lambda s: -near(seed, s)):
-                    if total + size[c] > budget:
-                        if near(seed, c) < 0.8 or total + size[c] > int(budget * 1.5):
-                            continue
-                        budget = int(budget * 1.5)
-                    own.append(c)
-                    total += size[c]
-                    taken.add(c)
-                out.append(own)
-            rest = [s for s in size if s not in taken]
-            if order and rest:
-                out.append(rest)
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * len(out), "chunk_no": range(len(out)), "sections": out})
-
-    return joined.groupBy("doc_id").applyInPandas(f, "doc_id long, chunk_no int, sections array<string>")
+    rank = seeds.groupBy("doc_id", "section_type").agg(F.min("rank").alias("rank"))
+    size = (2 * (F.coalesce(F.length("content"), F.lit(0)) + F.length("section_type") + 11)).cast("int")
+    named = sections.where(F.col("section_type").isNotNull()).select("doc_id", "section_type", "ord", size.alias("size"))
+    once = named.groupBy("doc_id", "section_type").agg(F.min("ord").alias("ord"), F.max_by("size", F.struct("ord", "size")).alias("size"))
+    joined = once.join(rank.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (once["section_type"] == rank["section_type"]), "left")
+    rows = F.array_sort(F.collect_list(F.struct(F.col("ord"), once["section_type"].alias("name"), F.col("size"), F.col("rank"))))
+    docs = joined.groupBy("doc_id").agg(rows.alias("every"))
+    known = {f"{b}\0{a}": w for (a, b), w in affinity.items()} | {f"{a}\0{b}": w for (a, b), w in affinity.items()}
+    weights = F.create_map(*[F.lit(x) for k, w in known.items() for x in (k, float(w))]) if known else None
+    near = lambda a, b: F.lit(0.0) if weights is None else F.coalesce(weights[F.concat(a, F.lit("\0"), b)], F.lit(0.0))
+    bare = lambda xs: F.transform(xs, lambda x: F.struct(x["name"].alias("name"), x["size"].alias("size")))
+    chosen = F.filter("every", lambda x: x["rank"].isNotNull())
+    by_rank = F.array_sort(F.transform(chosen, lambda x: F.struct(x["rank"].alias("rank"), x["ord"].alias("ord"), x["name"].alias("name"), x["size"].alias("size"))))
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<array<string>>").alias("out"))
+
+    def step(acc: Column, seed: Column) -> Column:
+        rest = F.filter(bare(F.col("every")), lambda x: ~F.array_contains(acc["taken"], x["name"]) & (x["name"] != seed["name"]))
+        grown = let(_grown(seed, rest, near, limit), lambda own: F.struct(F.concat(acc["taken"], own).alias("taken"), F.array_append(acc["out"], own).alias("out")))
+        return F.when(F.array_contains(acc["taken"], seed["name"]), acc).otherwise(grown)
+
+    def finish(acc: Column) -> Column:
+        left = F.array_except(F.transform("every", lambda x: x["name"]), acc["taken"])
+        return F.when((F.size(acc["out"]) > 0) & (F.size(left) > 0), F.array_append(acc["out"], left)).otherwise(acc["out"])
+
+    clusters = F.when(F.size("every") <= degrade, _packed_names(bare(chosen), limit)).otherwise(F.aggregate(by_rank, start, step, finish))
+    return docs.select("doc_id", F.posexplode(clusters).alias("chunk_no", "sections"))
 
 
 def routed_models(chunks: DataFrame, routes: DataFrame, default: str) -> DataFrame:

@@ -404,9 +404,29 @@ def overlap_tail(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "conversations").withColumn("p", prev).select("conv_id", "turn", chunk.overlap_tail("p", 2000).alias("overlap"))
 
 
-@query()
+_GREEDY = f"""{_SECTIONS}, own AS (SELECT doc_id, section_type AS name, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS pos, count(*) OVER (PARTITION BY doc_id) AS many,
+  2 * (length(content) + length(section_type) + 11) AS n, section_type = 'scope' OR CAST(('0x' || substr(md5(section_type), 1, 8)) AS BIGINT) % 1000 / 1000.0 <= 0.5 AS seed FROM sections),
+aff(a, b, w) AS (VALUES ('notice', 'scope', 0.9), ('evaluation', 'qualification', 0.85), ('scope', 'instructions', 0.3)),
+pair AS (SELECT s.doc_id, s.pos AS seed_pos, c.name, c.pos, c.n, coalesce(max(w), 0) AS w FROM own s JOIN own c ON s.doc_id = c.doc_id AND s.name <> c.name
+  LEFT JOIN aff ON (aff.a = s.name AND aff.b = c.name) OR (aff.b = s.name AND aff.a = c.name) WHERE s.seed AND s.many > 3 GROUP BY ALL),
+step AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seed_pos, opens DESC, w DESC, pos) AS k
+  FROM (SELECT doc_id, seed_pos, name, pos, n, w, FALSE AS opens FROM pair UNION ALL SELECT doc_id, pos, name, pos, n, 1, TRUE FROM own WHERE seed AND many > 3)),
+fold AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS names, CAST([] AS BIGINT[]) AS chunks, CAST(-1 AS BIGINT) AS c, FALSE AS live, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS budget FROM (SELECT DISTINCT doc_id FROM step)
+UNION ALL SELECT doc_id, k, CASE WHEN joins THEN list_append(names, name) ELSE names END, CASE WHEN joins THEN list_append(chunks, c + CAST(opens AS BIGINT)) ELSE chunks END, c + CAST(opens AND joins AS BIGINT),
+  CASE WHEN opens THEN joins ELSE live END, CASE WHEN NOT joins THEN total WHEN opens THEN n ELSE total + n END, CASE WHEN opens AND joins THEN 3000 WHEN joins AND total + n > budget THEN CAST(floor(budget * 1.5) AS BIGINT) ELSE budget END
+  FROM (SELECT s.doc_id, s.k, s.name, s.n, s.opens, f.names, f.chunks, f.c, f.live, f.total, f.budget,
+    NOT list_contains(f.names, s.name) AND (s.opens OR (f.live AND (f.total + s.n <= f.budget OR (s.w >= 0.8 AND f.total + s.n <= floor(f.budget * 1.5))))) AS joins FROM fold f JOIN step s ON s.doc_id = f.doc_id AND s.k = f.k + 1)),
+done AS (SELECT doc_id, unnest(names) AS name, unnest(chunks) AS c, generate_subscripts(names, 1) AS nth FROM (SELECT doc_id, max_by(names, k) AS names, max_by(chunks, k) AS chunks FROM fold GROUP BY doc_id)),
+rest AS (SELECT o.doc_id, o.name, (SELECT max(c) + 1 FROM done d WHERE d.doc_id = o.doc_id) AS c, o.pos AS nth FROM own o ANTI JOIN done d ON d.doc_id = o.doc_id AND d.name = o.name WHERE o.doc_id IN (SELECT doc_id FROM done)),
+few AS (SELECT doc_id, name, n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM own WHERE seed AND many <= 3),
+pack AS (SELECT doc_id, name, k, n AS total, CAST(0 AS BIGINT) AS c FROM few WHERE k = 1
+UNION ALL SELECT s.doc_id, s.name, s.k, CASE WHEN f.total + s.n > 3000 THEN s.n ELSE f.total + s.n END, f.c + CAST(f.total + s.n > 3000 AS BIGINT) FROM pack f JOIN few s ON s.doc_id = f.doc_id AND s.k = f.k + 1)
+SELECT doc_id, CAST(c AS INTEGER) AS chunk_no, string_agg(name, ' + ' ORDER BY nth) AS section_names FROM (SELECT * FROM done UNION ALL SELECT * FROM rest UNION ALL SELECT doc_id, name, c, k FROM pack) GROUP BY doc_id, c"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY}")
 def affinity_cluster(spark: SparkSession, d: str) -> DataFrame:
-    """Not SQL: greedy per document; tested against a plain version."""
+    """CHK-4: the steps of the greedy choice one after another, in SQL by recursion"""
     own = sections(spark, d)
     seeds = chunk.selected(own, own.where("section_type = 'scope'"), 0.5).select("doc_id", "section_type", F.col("ord").alias("rank"))
     got = chunk.clustered(own, seeds, {("notice", "scope"): 0.9, ("evaluation", "qualification"): 0.85, ("scope", "instructions"): 0.3}, 3000, degrade=3)

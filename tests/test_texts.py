@@ -182,6 +182,74 @@ def test_clusters(spark):
     assert rows[1].prompt.startswith("<【上文重叠】\n") and rows[1].prompt.endswith("=== d ===\n" + "x" * 10 + "\n\n>")
 
 
+def _greedy(rows, order, near, limit, degrade):
+    """rows [(name, size)], order: seeds by rank."""
+    size, taken, out = dict(rows), [], []
+    if len(size) <= degrade:
+        total = 0
+        for s in (s for s in size if s in order):
+            if not out or total + size[s] > limit:
+                out.append([])
+                total = 0
+            out[-1].append(s)
+            total += size[s]
+        return out
+    for seed in order:
+        if seed in taken:
+            continue
+        own, total, budget = [seed], size[seed], limit
+        for c in sorted((s for s in size if s not in taken and s != seed), key=lambda s: -near(seed, s)):
+            wide = int(budget * 1.5)
+            if total + size[c] > budget:
+                if near(seed, c) < 0.8 or total + size[c] > wide:
+                    continue
+                budget = wide
+            own.append(c)
+            total += size[c]
+        taken += own
+        out.append(own)
+    left = [s for s in size if s not in taken]
+    return out + ([left] if out and left else [])
+
+
+def test_clusters_equal_a_plain_greedy_choice(spark):
+    rng = random.Random(4)
+    names = [f"s{i}" for i in range(9)]
+    aff = {(a, b): rng.choice([0.3, 0.5, 0.8, 0.95]) for a in names for b in names if a < b and rng.random() < 0.4}
+    near = lambda a, b: aff.get((a, b), aff.get((b, a), 0.0))
+    rows, ranks, want = [], [], {}
+    for d in range(40):
+        own = rng.sample(names, rng.randint(1, 9))
+        text = [rng.choice([None, "x" * rng.randint(0, 120)]) for _ in own]
+        order = rng.sample(own, rng.randint(0, len(own)))
+        rows += [(d, s, x, i) for i, (s, x) in enumerate(zip(own, text, strict=True))]
+        ranks += [(d, s, i) for i, s in enumerate(order)]
+        want[d] = _greedy([(s, 2 * (len(x or "") + len(s) + 11)) for s, x in zip(own, text, strict=True)], order, near, 300, 4)
+    rows += [(99, None, "x", 0)]
+    s = spark.createDataFrame(rows, "doc_id long, section_type string, content string, ord int")
+    got = {d: [] for d in want}
+    for r in chunk.clustered(s, spark.createDataFrame(ranks, "doc_id long, section_type string, rank int"), aff, 300, 4).orderBy("doc_id", "chunk_no").collect():
+        got[r.doc_id].append(r.sections)
+    assert got == want
+    none = chunk.clustered(s.where("doc_id < 0"), spark.createDataFrame(ranks, "doc_id long, section_type string, rank int"), {}, 300)
+    assert none.count() == 0
+
+
+def test_similarity_equals_a_plain_search(spark):
+    rng = random.Random(8)
+    pairs = [("".join(rng.choice("abé唯") for _ in range(rng.randint(0, 30))), "".join(rng.choice("abé唯") for _ in range(rng.randint(0, 30)))) for _ in range(200)]
+
+    def plain(a, b):
+        s, t = sorted((a, b), key=len)
+        return next((k for k in range(len(s), 1, -1) if any(s[i : i + k] in t for i in range(len(s) - k + 1))), 0) / max(len(s), 1) if s and t else 0.0
+
+    got = {(r.a, r.b): r.s for r in spark.createDataFrame(pairs, "a string, b string").withColumn("s", fn.similarity("a", "b")).collect()}
+    assert all(abs(got[p] - plain(*p)) < 0.00051 for p in pairs)
+    long = ("".join(rng.choice("abcdefgh") for _ in range(3000)), "".join(rng.choice("abcdefgh") for _ in range(3000)))
+    long = (long[0], long[1][:1000] + long[0][500:1100] + long[1][1000:])
+    assert spark.createDataFrame([long], "a string, b string").select(fn.similarity("a", "b").alias("s")).first().s == pytest.approx(0.2, abs=0.002)
+
+
 def test_feedback_order_and_bounds(spark):
     rows = [("a", i, "false_positive") for i in range(3)] + [("b", i, "false_positive") for i in range(21)] + [("c", i, "confirm") for i in range(11)] + [("d", 0, "missed")] + [("e", i, "false_positive") for i in range(12)] + [("e", 12, "confirm")]
     got = {r.rule_id: r for r in state.feedback_state(spark.createDataFrame(rows, "rule_id string, event_id long, feedback_type string").withColumn("ts", F.col("event_id"))).collect()}
