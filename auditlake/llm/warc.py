@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import Scratch, table
@@ -31,6 +31,8 @@ from auditlake.session import ship
 CHUNK = 1 << 20
 SLICE = 1 << 16
 SPLIT = 64 << 20
+#: Bytes (of payloads; of archives) that a task which writes or reads archives gets at least, where there are enough of them.
+LEAST = 16 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, begin long, end long, records long"
@@ -42,15 +44,25 @@ def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def planned(pages: DataFrame, id_col: str, html_col: str, url_col: str, min_bytes: int) -> DataFrame:
-    """page_id, url, html, sha1 (hex), record (UUID of a response that revisits refer to; null: any), revisit, first_page and first (page and UUID of a revisit's response).
+def with_payload(pages: DataFrame, id_col: str, html_col: str, *more: Column) -> DataFrame:
+    """page_id, what more is asked for, html (null: empty), sha1 (hex)."""
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), *more, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("sha1", F.sha1("html"))
+
+
+def payloads(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """page_id, sha1, bytes: what planned() needs to know of all rows at once."""
+    return with_payload(pages, id_col, html_col).select("page_id", "sha1", F.octet_length("html").cast("long").alias("bytes"))
+
+
+def planned(pages: DataFrame, known: DataFrame, id_col: str, html_col: str, url_col: str, min_bytes: int) -> DataFrame:
+    """known: payloads() of the pages. Gives page_id, url, html, sha1 (hex), record (UUID of a response that revisits refer to; null: any), revisit, first_page and first (page and UUID of a revisit's response).
 
     The UUID of a response follows from its payload and page, so what refers to it need not see it. Rows that repeat a response's page and payload are responses
     too: none of them can be told from the others, so their revisits name the page and the digest but no record (which the format leaves open).
     """
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("sha1", F.sha1("html"))
+    own = with_payload(pages, id_col, html_col, F.col(url_col).cast("string").alias("url"))
     size = F.octet_length("html")
-    each = own.where(size >= min_bytes).groupBy("sha1", "page_id").agg(F.count("*").alias("n"))
+    each = known.where(F.col("bytes") >= min_bytes).groupBy("sha1", "page_id").agg(F.count("*").alias("n"))
     firsts = each.groupBy("sha1").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")).alias("least"), F.sum("n").alias("n")).where("n > 1")
     both = own.join(firsts.select("sha1", F.col("least.page_id").alias("least"), F.col("least.n").alias("times"), F.lit(True).alias("often")), "sha1", "left")
     again = F.col("often").isNotNull() & (size >= min_bytes)
@@ -228,20 +240,33 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK, payload: bool = T
     return manifest.mapInArrow(run, CHUNKS)
 
 
+def tasks_for(size: int, spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-size // LEAST))
+
+
+def dealt(manifest: DataFrame) -> DataFrame:
+    """The manifest in as many partitions as its bytes ask for: a range of SPLIT bytes is a task of its own, small ones share tasks."""
+    n, size = manifest.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0))).first()
+    return manifest.repartition(max(1, min(n, tasks_for(size, manifest.sparkSession))))
+
+
 def archive(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", min_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """Writes one record per row of pages; returns the manifest, kept as a table in the shared folder.
 
     Null html is an empty payload; a null url gives no target URI. Payloads under min_bytes are responses. Rows that repeat the response's id and payload are
     written as responses, too. A null id is above all others and refers to a response with an id if there is one. An empty table writes nothing.
+    Few bytes in many partitions make few archives: partitions are put together to LEAST bytes of payload, down to as many as there are cores.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    return scratch.keep(write_archives(planned(pages, id_col, html_col, url_col, min_bytes), folder or f"{scratch.path}/archives"), "manifest")
+    known = scratch.keep(payloads(pages, id_col, html_col), "payloads")
+    records = planned(pages, known, id_col, html_col, url_col, min_bytes).coalesce(tasks_for(known.agg(F.sum("bytes")).first()[0] or 0, pages.sparkSession))
+    manifest = scratch.keep(write_archives(records, folder or f"{scratch.path}/archives"), "manifest")
+    scratch.drop("payloads")
+    return manifest
 
 
 def op1_warc_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = archive(table(spark, sf_dir, "pages"))
-    n = manifest.count()
-    chunks = read_chunks(manifest.repartition(max(1, n)), payload=False).where("last")
+    chunks = read_chunks(dealt(archive(table(spark, sf_dir, "pages"))), payload=False).where("last")
     return chunks.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to_page").alias("refers_to"))
 
 

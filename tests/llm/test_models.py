@@ -265,6 +265,33 @@ def test_records_of_repeated_and_missing_page_ids(spark):
     assert [texts[c[0].refers_to][0].page_id for c in texts.values() if c[0].refers_to] == [8]  # 1 stands twice, so no record of it is named
 
 
+def test_few_bytes_in_many_partitions_make_few_archives_and_tasks(spark, tmp_path):
+    rows = [(i, "u", None if i % 7 == 0 else f"page {i // 2}") for i in range(300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(40).write.parquet(f"{tmp_path}/pages.parquet")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    was = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in zip(names, ("40", "false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        got = warc.op1_warc_chunked_records(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        manifest = warc.archive(spark.read.parquet(f"{tmp_path}/pages.parquet"))
+        assert sum(r.records for r in manifest.collect()) == 300 and 1 < manifest.select("path").distinct().count() <= spark.sparkContext.defaultParallelism
+        first = {}
+        for i, _, html in rows:
+            first.setdefault(html, i)
+        want = [(i, len(html or ""), base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode(), "response" if first[html] == i else "revisit", None if first[html] == i else first[html]) for i, _, html in rows]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    large = spark.createDataFrame([("file:///none", k * warc.SPLIT, (k + 1) * warc.SPLIT, 9) for k in range(30)], warc.MANIFEST)
+    assert warc.dealt(large).rdd.getNumPartitions() == 30  # a range of full size is a task of its own
+    small = spark.createDataFrame([("file:///none", k, k + 1, 1) for k in range(30)], warc.MANIFEST)
+    assert warc.dealt(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert warc.dealt(large.limit(0)).rdd.getNumPartitions() == 1
+
+
 def test_a_changed_archive_is_an_error(spark, tmp_path):
     import gzip
 
