@@ -174,7 +174,8 @@ def fingerprint_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.readStream.schema(t(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """The files of a table, which is one file or a folder of files: as a pattern, as a stream's path without one must be a folder."""
+    return spark.readStream.schema(t(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def result_of(stream: DataFrame, mode: str) -> DataFrame:

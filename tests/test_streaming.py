@@ -177,3 +177,12 @@ def test_windows_and_sessions_close_and_shrink(spark, tmp_path):
     assert [(r.user_id, r.calls, r.tokens) for r in feed.run(sessions)[0]] == [(1, 2, 3)]
     feed.put((1, at(20_000), "m", 1, True))
     assert [(r.user_id, r.calls, r.tokens) for r in feed.run(sessions)[0]] == [(1, 1, 4)] and feed.state().count() == 1
+
+
+def test_queries_stream_tables_that_are_folders(spark, tmp_path):
+    from auditlake.plans import feeds
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    d.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    got, want = ({tuple(r) for r in feeds.stream_cases(spark, x).collect()} for x in (f"{tmp_path}/folder", "/root/testdata/sf0.001"))
+    assert got == want and len(want) > 1
