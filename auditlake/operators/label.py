@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import CASED, col, grams, is_placeholder, let, normalized, overlap, sentences, template_sentences, text_hash
+from auditlake.functions.text import CASED, col, gram_codes, is_placeholder, let, normalized, overlap, sentences, template_sentences, text_hash
+from auditlake.operators.near import nearest
+from auditlake.session import written
 
 # fixed values: signs of template text and of authored text, with weights; words of template text
 FIXED_SIGNS = [("(?:招标投标法|政府采购法|实施条例|财政部令|号令|号文)", 3), (r"(?:第[一二三四五六七八九十\d]+[章节条]|^[一二三四五六七八九十]+[、\.])", 2), ("(?:注[：:]|说明[：:]|注意[：:]|提示[：:]|附[：:])", 1), ("(?:不得|必须|应当|严禁|禁止|须按|须在|应在)", 1), ("(?:投标人须知|前附表|招标公告|资格要求|评审办法|投标须知)", 2), ("(?:投诉|质疑|答复|行政复议|起[诉])", 1)]
@@ -16,6 +18,7 @@ VARIABLE_SIGNS = [
 TEMPLATE_WORDS = ["招标投标法", "政府采购法", "实施条例", "财政部", "公共资源交易", "电子招标投标", "招标文件", "投标人须知", "投标须知", "前附表", "投标文件", "投标保证金", "履约保证金", "招标公告", "资格要求", "评审办法", "评标办法", "开标", "评标", "定标", "中标", "质疑", "投诉", "答复", "签字", "盖章", "密封", "装订", "格式", "要求", "说明", "注：", "注:", "不得", "必须", "应当", "严禁", "第一条", "第二条", "第三条", "第四条", "第五条"]
 FUZZY = 0.85
 # end of the fixed values
+FEW, HITS = 100_000, 8
 
 
 def _sum(x: Column, signs: list[tuple[str, int]]) -> Column:
@@ -97,29 +100,54 @@ def exact(sentences_: DataFrame, prints: DataFrame, key: str = "text") -> DataFr
     return sentences_.withColumn("_key", text_hash(key)).join(own, F.col("_key") == F.col("_h"), "left").withColumn("fingerprint_id", F.col("_h")).drop("_key", "_h")
 
 
+def _texts(prints: DataFrame) -> DataFrame:
+    """Fingerprints that have grams: (hash_id, _norm)."""
+    return prints.select("hash_id", normalized("text").alias("_norm")).where("length(_norm) > 2").groupBy("hash_id").agg(F.min("_norm").alias("_norm"))
+
+
 def fuzzy(sentences_: DataFrame, prints: DataFrame, least: float = FUZZY, key: str = "text") -> DataFrame:
     """LAB-5: sentences_(sid, text) -> (sid, hash_id, score): the best fingerprint by 3-gram overlap of the smaller set, `least` at least, of a length that differs by
     no more than the larger of 30 % and 10; the first in order of text on ties.
 
-    Of a pair, the smaller set has at least ceil(least * its size) grams in common with the other, so one of any size - ceil(least * size) + 1 of its grams is among the other's. Each side is looked up by
-    so many of its grams, those that are rarest on the other side, against all grams of larger sets there: a gram that most texts have joins next to nothing. Pairs found are compared in full.
+    A few fingerprints (near.MOST_CELLS) are sent to the rows; else sets are joined. Of a pair, at least c = ceil(least * size of the smaller set) grams are common, so any size - c + k grams of a fingerprint hold k of them. Fingerprints are looked up by their grams that are rarest in
+    the sentences, k = HITS of them or c, where these are less: a sentence must have so many, and only such pairs are compared in full. The lookup goes by classes of length, and sentences of a length that
+    no fingerprint's band has are left out first. Only a sentence that has few different grams for its length (_low) can need more than the rarer part of a fingerprint's grams. Fingerprints of FEW grams,
+    which are counted first, are broadcast, so that the sentences' grams are not shuffled; more are joined by a shuffle. Ids are hashes of 64 bits there: equal ones can only add a pair to compare.
     """
-    n = lambda df, c: df.withColumn("_norm", normalized(c)).select("*", F.length("_norm").alias("_len"), grams("_norm", 3).alias("_g"))
-    a = n(sentences_.select("sid", F.col(key).alias("_text")), "_text").select("sid", "_len", "_g").where(F.size("_g") > 0)
-    b = n(prints.select("hash_id", "text"), "text").groupBy("hash_id").agg(F.min(F.struct("_norm", "_len", "_g")).alias("p")).select("hash_id", F.crc32("p._norm").alias("_tie"), F.col("p._len").alias("_plen"), F.col("p._g").alias("_pg")).where(F.size("_pg") > 0)
-    each_a = a.select("sid", F.size("_g").alias("_as"), F.explode("_g").alias("g"))
-    each_b = b.select("hash_id", F.size("_pg").alias("_bs"), F.explode("_pg").alias("g"))
-
-    def rarest(own: DataFrame, ident: str, size: str, other: DataFrame) -> DataFrame:
-        often = other.groupBy("g").agg(F.count("*").alias("_n"))
-        place = F.row_number().over(Window.partitionBy(ident).orderBy(F.coalesce("_n", F.lit(0)), "g"))
-        return own.join(often, "g", "left").withColumn("_k", place).where((F.col("_k") <= F.col(size) - F.ceil(F.col(size) * least - 1e-9) + 1) & F.col("_n").isNotNull()).drop("_k", "_n")
-
-    small_a = rarest(each_a, "sid", "_as", each_b).join(each_b, "g").where("_as <= _bs")
-    small_b = rarest(each_b, "hash_id", "_bs", each_a).join(each_a, "g").where("_bs <= _as")
-    pairs = small_a.select("sid", "hash_id").union(small_b.select("sid", "hash_id")).distinct()
-    band = F.abs(F.col("_len") - F.col("_plen")) <= F.greatest(F.col("_len") * 0.3, F.lit(10.0))
-    full = pairs.join(a, "sid").join(b, "hash_id").where(band).withColumn("score", overlap(F.col("_g"), F.col("_pg"), "min")).where(F.col("score") >= least)
+    if seen := nearest(_texts(prints), least):
+        found = sentences_.where("sid IS NOT NULL").select("sid", seen(normalized(key)).alias("_b")).where("_b IS NOT NULL")
+        return found.groupBy("sid").agg(F.max_by("_b", "_b.score").alias("b")).select("sid", "b.*")
+    b = _texts(prints).withColumn("_plen", F.length("_norm"))
+    short, long, n = (x or 0 for x in b.agg(F.min("_plen"), F.max("_plen"), F.sum(F.col("_plen") - 2)).first())
+    small = F.broadcast if n <= FEW else lambda df: df
+    reach = lambda x: F.greatest(x * 0.3, F.lit(10.0))
+    a = sentences_.where("sid IS NOT NULL").select("sid", let(normalized(key), lambda x: F.when((F.length(x) > 2) & (F.length(x) - reach(F.length(x)) <= long) & (F.length(x) + reach(F.length(x)) >= short), x)).alias("_norm"))
+    a = written(a, "sentences").where("_norm IS NOT NULL").withColumn("_len", F.length("_norm"))
+
+    # explode_outer: no set is empty, and for explode Spark would make each set once more to see that
+    each = lambda df, ident, size, n: df.select(F.xxhash64(ident).alias("_id"), n, gram_codes("_norm").alias("_g")).select("_id", n, F.size("_g").alias(size), F.explode_outer("_g").alias("g"))
+    step = lambda x: F.floor(F.log(x.cast("double")) * 4).cast("int")
+    low = F.col("_as") < 0.5 * (F.greatest(F.col("_len") * 1.3, F.col("_len") + 10.0) - 2)
+    each_a = each(a, "sid", "_as", "_len").select(F.col("_id").alias("_s"), "_len", "_as", "g", low.alias("_low"), step(F.col("_len")).alias("_step"))
+    each_b = each(b, "hash_id", "_bs", "_plen").withColumnRenamed("_id", "_p")
+
+    often = each_a.join(small(each_b.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count("*").alias("_n"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(F.coalesce("_n", F.lit(0)), "g"))
+    most = lambda x: F.ceil(x * least - 1e-9)
+    # the largest sentence's set that needs a gram, and the band's lengths; both may be a little too wide
+    far = F.when(F.col("_k") <= F.col("_bs") - most(F.col("_bs")) + F.least(most(F.col("_bs")), F.lit(HITS)), 1 << 30).otherwise(F.floor((F.col("_bs") + HITS - F.col("_k")) / least + 1e-6)).cast("int")
+    from_ = F.greatest(F.floor(F.least(F.col("_plen") / 1.3, F.col("_plen") - 10.0)) - 1, F.lit(3)).cast("int")
+    to = (F.ceil(F.greatest(F.col("_plen") / 0.7, F.col("_plen") + 10.0)) + 1).cast("int")
+    ranked = each_b.join(often, "g", "left").withColumn("_k", place).where("_n IS NOT NULL").select("g", "_p", "_bs", far.alias("_far"), from_.alias("_from"), to.alias("_to"))
+    ranked = ranked.select("*", F.explode(F.sequence(step(F.col("_from")), step(F.col("_to")))).alias("_step"))
+    places = ranked.withColumn("_low", F.explode(F.when(F.col("_far") >= 0.5 * F.col("_bs"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    hits = each_a.join(small(places), ["g", "_low", "_step"]).where("_as <= _far AND _len BETWEEN _from AND _to")
+    pairs = hits.groupBy("_s", "_p").agg(F.count("*").alias("_n"), F.min(F.least("_as", "_bs")).alias("_least")).where(F.col("_n") >= F.least(most(F.col("_least")), F.lit(HITS))).select("_s", "_p")
+
+    own = b.select(F.xxhash64("hash_id").alias("_p"), "hash_id", F.crc32("_norm").alias("_tie"), "_plen", F.col("_norm").alias("_pnorm"))
+    found = a.withColumn("_s", F.xxhash64("sid")).join(pairs, "_s").join(small(own), "_p").where(F.abs(F.col("_len") - F.col("_plen")) <= reach(F.col("_len")))
+    score = let(F.struct(gram_codes("_norm").alias("a"), gram_codes("_pnorm").alias("b")), lambda g: overlap(g["a"], g["b"], "min"))
+    full = found.select("sid", "hash_id", "_tie", score.alias("score")).where(F.col("score") >= least)
     return full.groupBy("sid").agg(F.max_by(F.struct("hash_id", "score"), F.struct(F.col("score"), -F.col("_tie"))).alias("b")).select("sid", "b.*")
 
 
