@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,9 +96,10 @@ def variable_markers(templates: DataFrame, group: list[str]) -> DataFrame:
     return templates.select(*group, F.explode(template_sentences("text")).alias("text")).where(is_placeholder("text"))
 
 
-def exact(sentences_: DataFrame, prints: DataFrame, key: str = "text") -> DataFrame:
-    """LAB-4: adds fingerprint_id by equal hash, null if there is none. The side of fingerprints is one row per hash."""
+def exact(sentences_: DataFrame, prints: DataFrame, key: str = "text", few: bool = False) -> DataFrame:
+    """LAB-4: adds fingerprint_id by equal hash, null if there is none. The side of fingerprints is one row per hash; few: it is broadcast."""
     own = prints.select(F.col("hash_id").alias("_h")).distinct()
+    own = F.broadcast(own) if few else own
     return sentences_.withColumn("_key", text_hash(key)).join(own, F.col("_key") == F.col("_h"), "left").withColumn("fingerprint_id", F.col("_h")).drop("_key", "_h")
 
 
@@ -105,6 +108,14 @@ def _texts(prints: DataFrame) -> DataFrame:
     return prints.select("hash_id", normalized("text").alias("_norm")).where("length(_norm) > 2").groupBy("hash_id").agg(F.min("_norm").alias("_norm"))
 
 
+def _with_near(own: DataFrame, prints: DataFrame, seen: Callable[[Column], Column] | None, asked: Column) -> DataFrame:
+    """own(text, ...) with _near, the hash of the near fingerprint of rows that are asked for; seen: of nearest()."""
+    if seen:
+        return own.withColumn("_near", seen(F.when(asked, normalized("text")))["hash_id"])
+    texts = own.where(asked).select("text").distinct().withColumn("sid", F.col("text"))
+    return own.join(fuzzy(texts, prints).select(F.col("sid").alias("text"), F.col("hash_id").alias("_near")), "text", "left")
+
+
 def fuzzy(sentences_: DataFrame, prints: DataFrame, least: float = FUZZY, key: str = "text") -> DataFrame:
     """LAB-5: sentences_(sid, text) -> (sid, hash_id, score): the best fingerprint by 3-gram overlap of the smaller set, `least` at least, of a length that differs by
     no more than the larger of 30 % and 10; the first in order of text on ties.
@@ -173,9 +184,8 @@ def _by_fingerprint(spans: DataFrame, prints: DataFrame, with_fuzzy: bool) -> Da
 
 def is_known_fixed(texts_: DataFrame, prints: DataFrame) -> DataFrame:
     """LAB-6: texts_(sid, text) -> (sid, is_fixed, confidence, fingerprint_id): 0.95 by an equal fingerprint, 0.80 by a near one, 0 by none."""
-    own = exact(texts_.select("sid", "text"), prints)
-    near = fuzzy(own.where("fingerprint_id IS NULL").select("sid", "text"), prints).select("sid", F.col("hash_id").alias("_near"))
-    both = own.join(near, "sid", "left")
+    seen = nearest(_texts(prints), FUZZY)
+    both = _with_near(exact(texts_.select("sid", "text"), prints, few=seen is not None), prints, seen, F.col("fingerprint_id").isNull())
     return both.select("sid", F.coalesce("fingerprint_id", "_near").isNotNull().alias("is_fixed"), F.when(F.col("fingerprint_id").isNotNull(), 0.95).when(F.col("_near").isNotNull(), 0.8).otherwise(0.0).alias("confidence"), F.coalesce("fingerprint_id", "_near").alias("fingerprint_id"))
 
 

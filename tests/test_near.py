@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as fn
 from auditlake.operators import label, near
-from auditlake.plans import demo
+from auditlake.plans import demo, tender
 
 DATA = "/root/testdata/sf0.001"
 
@@ -52,7 +52,7 @@ def test_gram_codes_are_the_grams(spark):
         assert [(ord(x[0]) << 42) + (ord(x[1]) << 21) + ord(x[2]) for x in r.g] == r.c
 
 
-@pytest.mark.parametrize("q", [demo.fixed_fuzzy])
+@pytest.mark.parametrize("q", [demo.fixed_fuzzy, tender.sentences_known])
 def test_few_fingerprints_shuffle_no_grams(spark, q):
     plan = q(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3 and "Window" not in plan and "ArrowEvalPython" in plan
