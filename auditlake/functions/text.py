@@ -201,10 +201,14 @@ PLACEHOLDERS = [
 ]
 
 
+#: Each blank and each sign of template text (operators.label) holds one of these: a text without any needs no further look.
+SIGNED = "[Xx_＿]{2}|[(（【□一-鿿]"
+
+
 def is_placeholder(x: Column | str, of: str = "fingerprint") -> Column:
     """FN-21: either of the two lists ("fingerprint", "marker")."""
     extra = "（.*?）" if of == "fingerprint" else "□"
-    return col(x).rlike(CASED + "|".join([*PLACEHOLDERS, extra]))
+    return col(x).rlike(SIGNED) & col(x).rlike(CASED + "|".join([*PLACEHOLDERS, extra]))
 
 
 def budget(x: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import CASED, col, gram_codes, is_placeholder, let, normalized, overlap, sentences, template_sentences, text_hash
+from auditlake.functions.text import CASED, SIGNED, col, gram_codes, is_placeholder, let, normalized, overlap, sentences, template_sentences, text_hash
 from auditlake.operators.near import nearest
 from auditlake.session import written
 
@@ -47,7 +47,8 @@ def classified(x: Column | str) -> Column:
         shorter = F.when((F.length(c) < 10) & (n["variable"] == 0), 1).otherwise(0)
         return F.struct((n["fixed"] + longer + shorter).alias("fixed"), n["variable"].alias("variable"))
 
-    return let(let(F.struct(_sum(c, FIXED_SIGNS).alias("fixed"), _sum(c, VARIABLE_SIGNS).alias("variable")), by_length), decide)
+    signs = F.when(c.rlike(SIGNED), F.struct(_sum(c, FIXED_SIGNS).alias("fixed"), _sum(c, VARIABLE_SIGNS).alias("variable"))).otherwise(F.struct(F.lit(0).alias("fixed"), F.lit(0).alias("variable")))
+    return let(let(signs, by_length), decide)
 
 
 def template_score(x: Column | str) -> Column:
@@ -168,13 +169,9 @@ def marked_by_fingerprint(sections: DataFrame, prints: DataFrame, with_fuzzy: bo
 
 
 def _by_fingerprint(spans: DataFrame, prints: DataFrame, with_fuzzy: bool) -> DataFrame:
-    own = exact(spans, prints).withColumn("_p", is_placeholder("text")).withColumn("_c", classified("text"))
-    if with_fuzzy:
-        texts = own.where("NOT _p AND fingerprint_id IS NULL").select("text").distinct().withColumn("sid", F.col("text"))
-        near = fuzzy(texts, prints).select(F.col("sid").alias("text"), F.col("hash_id").alias("_near"))
-        own = own.join(near, "text", "left")
-    else:
-        own = own.withColumn("_near", F.lit(None).cast("string"))
+    seen = nearest(_texts(prints), FUZZY) if with_fuzzy else None
+    own = exact(spans, prints, few=seen is not None).withColumn("_p", is_placeholder("text")).withColumn("_c", classified("text"))
+    own = _with_near(own, prints, seen, F.expr("NOT _p AND fingerprint_id IS NULL")) if with_fuzzy else own.withColumn("_near", F.lit(None).cast("string"))
     label = F.when(F.col("_p"), "VARIABLE").when(F.col("fingerprint_id").isNotNull() | F.col("_near").isNotNull(), "FIXED").otherwise(F.col("_c.label"))
     conf = F.when(F.col("_p"), 0.9).when(F.col("fingerprint_id").isNotNull(), 0.95).when(F.col("_near").isNotNull(), 0.8).otherwise(F.col("_c.confidence"))
     fid = F.when(~F.col("_p"), F.coalesce("fingerprint_id", "_near"))

@@ -52,7 +52,18 @@ def test_gram_codes_are_the_grams(spark):
         assert [(ord(x[0]) << 42) + (ord(x[1]) << 21) + ord(x[2]) for x in r.g] == r.c
 
 
-@pytest.mark.parametrize("q", [demo.fixed_fuzzy, tender.sentences_known])
+@pytest.mark.parametrize("q", [demo.fixed_fuzzy, tender.sentences_known, tender.sentences_quick_checked])
 def test_few_fingerprints_shuffle_no_grams(spark, q):
     plan = q(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3 and "Window" not in plan and "ArrowEvalPython" in plan
+
+
+def test_texts_without_a_sign_need_no_look(spark):
+    rng = random.Random(6)
+    patterns = [*fn.PLACEHOLDERS, "（.*?）", "□", *(p for p, _ in label.FIXED_SIGNS + label.VARIABLE_SIGNS)]
+    words = [w for p in patterns for w in p.replace("(?:", "|").replace(")", "|").split("|") if w] + ["x", "X", "_", "＿", "(", ")", "（", "）", "【", "】", "第3章", "٣", " ", "a", "\n"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(1500)] + ["xx", "a_＿", "()", "x_", "ax b_", "□", "注:", "本项目位于城东", "投标人的资格", "业绩的要求", "根据项目情况确定", "此处由人填写", "详见后面附件", "【】", "(项目名称)", "（金额）", "第一章"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    held = [F.col("t").rlike(fn.CASED + p) for p in patterns]
+    seen = df.select(F.col("t").rlike(fn.SIGNED).alias("signed"), *(h.alias(f"h{k}") for k, h in enumerate(held))).collect()
+    assert all(r.signed for r in seen if any(r[1:])) and all(any(r[k] for r in seen) for k in range(1, len(held) + 1))
