@@ -7,7 +7,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import strip
@@ -158,14 +158,24 @@ def fingerprints_of_templates(templates: DataFrame) -> DataFrame:
     return label.fingerprints(named, ["sector", "method", "project_type"])
 
 
+PRINT_BUCKETS = 64
+
+
+def _bucket(sector: Column) -> Column:
+    return F.pmod(F.xxhash64(sector), F.lit(PRINT_BUCKETS)).cast("int")
+
+
 def write_fingerprints(prints: DataFrame, path: str) -> None:
-    """SNK-4: as JSON lines, one group after another, so that a group is read without the others."""
-    prints.write.mode("overwrite").partitionBy("sector").json(path)
+    """SNK-4: as JSON lines, one group after another, in folders by hash of the sector: their number does not grow with the sectors', and a group is read without most others."""
+    own = prints.withColumn("bucket", _bucket(F.col("sector"))).hint("rebalance", F.col("bucket"))
+    own.sortWithinPartitions("bucket", "sector", "method", "project_type").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
-def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SNK-4: (sector, method, project_type, hash_id, normalized, text, frequency, length)"""
-    return spark.read.schema("method string, project_type string, hash_id string, normalized string, text string, frequency long, length int, sector string").json(path)
+def read_fingerprints(spark: SparkSession, path: str, sector: str | None = None) -> DataFrame:
+    """SNK-4: (sector, method, project_type, hash_id, normalized, text, frequency, length), of one sector where it is given."""
+    own = spark.read.schema("method string, project_type string, hash_id string, normalized string, text string, frequency long, length int, sector string, bucket int").json(path)
+    own = own if sector is None else own.where((F.col("bucket") == _bucket(F.lit(sector))) & (F.col("sector") == sector))
+    return own.drop("bucket")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -41,3 +41,15 @@ def test_stored_reports_are_read_by_paths(spark, tmp_path):
     assert got == {"A": (3, 7), "B": (1, 7), "unknown": (2, 7)}
     plan = stats.risk_heatmap(stats.violations_of(stored))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<report_data" in plan and "rule_violations:array" not in plan.split("ReadSchema")[1].split(">")[0].replace("report_data", "")
+
+
+def test_fingerprints_of_many_sectors_are_few_folders(spark, tmp_path):
+    own = spark.range(600).select(F.when(F.col("id") > 0, F.concat(F.lit("s "), (F.col("id") / 2).cast("int").cast("string"), F.lit("/a=b"))).alias("sector"), F.lit("m").alias("method"), F.lit("p").alias("project_type"), F.col("id").cast("string").alias("hash_id"), F.lit("n\n").alias("normalized"), F.lit("t").alias("text"), F.col("id").alias("frequency"), F.lit(2).alias("length"))
+    documents.write_fingerprints(own, str(tmp_path / "p"))
+    assert 1 < len([x for x in (tmp_path / "p").iterdir() if x.is_dir()]) <= documents.PRINT_BUCKETS
+    back = documents.read_fingerprints(spark, str(tmp_path / "p"))
+    assert back.columns == ["method", "project_type", "hash_id", "normalized", "text", "frequency", "length", "sector"]
+    assert {tuple(r) for r in back.select(own.columns).collect()} == {tuple(r) for r in own.collect()} and back.count() == 600
+    one = documents.read_fingerprints(spark, str(tmp_path / "p"), "s 7/a=b")
+    assert sorted(r.hash_id for r in one.collect()) == ["14", "15"] and len(one.inputFiles()) >= 1
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
